@@ -1,0 +1,139 @@
+"""Inputs which the registered queries derive from the given tables.
+
+Each input exists twice: as a Spark plan over the parquet tables and as SQL over views of the same
+name, so that both sides of a comparison start from the same rows. All of them keep every row and the
+whole text of their table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gatesift.functions.expr import texts
+from gatesift.plans import samples as S
+from gatesift.plans.duck import q, qlist
+
+EPOCH = 1_704_067_200  # 2024-01-01 00:00:00 UTC
+SQUEEZE = 3000  # the event log spans 30 days; a traffic log of the same rows spans a quarter of an hour
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pick(values: list[str], number: Column) -> Column:
+    return F.element_at(texts(values), (number % len(values) + 1).cast("int"))
+
+
+def json_escaped(text: Column) -> Column:
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+JSON_ESCAPED = "replace(replace(replace({}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n')"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, each with a payload on a line of its own; some start like a formula."""
+    d = table(spark, sf_dir, "documents")
+    text = F.concat(pick(S.PREFIXES, F.col("doc_id")), "text", F.lit("\n"), pick(S.PAYLOADS, F.col("doc_id")))
+    return d.select("doc_id", "lang", "source", text.alias("text"))
+
+
+DOCUMENTS = f"""documents_in AS (
+  SELECT doc_id, lang, source,
+         ({qlist(S.PREFIXES)})[doc_id % {len(S.PREFIXES)} + 1] || text || chr(10)
+         || ({qlist(S.PAYLOADS)})[doc_id % {len(S.PAYLOADS)} + 1] AS text
+  FROM documents)"""
+
+
+def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four conversations in a row are one session; sessions differ in pace and in what is said."""
+    c = table(spark, sf_dir, "conversations")
+    session = F.expr("conv_id div 4")
+    seq = (F.col("conv_id") % 4) * 8 + F.col("turn")
+    pace = F.element_at(F.array(*[F.lit(x) for x in (10, 30, 60, 130, 290, 700, 2000)]), (session % 7 + 1).cast("int"))
+    kinds = F.array(*[texts(d) for d in S.DIALOGUES])
+    kind = F.element_at(kinds, (session % len(S.DIALOGUES) + 1).cast("int"))
+    phrase = F.element_at(kind, (seq % F.size(kind) + 1).cast("int"))
+    call = F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" "), pick(S.TOOL_CALLS, seq + session))).otherwise("")
+    spoken = F.concat("text", F.lit(" "), phrase, call)
+    content = F.when(session % 9 == 8, F.lit(S.REPEATED)).otherwise(spoken)
+    ts_s = F.lit(EPOCH) + seq * pace + F.when(seq >= 16, (session % 3) * 1000).otherwise(0)
+    return c.select(
+        F.concat(F.lit("s"), session).alias("session_id"),
+        F.concat(F.lit("u"), session % 10).alias("user_id"),
+        seq.alias("msg_id"),
+        F.timestamp_seconds(ts_s).alias("ts"),
+        content.alias("content"),
+    )
+
+
+DIALOGUES = f"""dialogues_base AS (
+  SELECT conv_id // 4 AS sid, (conv_id % 4) * 8 + turn AS msg_id, turn, text FROM conversations),
+dialogues_kind AS (
+  SELECT *, ([{', '.join(qlist(d) for d in S.DIALOGUES)}])[sid % {len(S.DIALOGUES)} + 1] AS kind FROM dialogues_base),
+dialogues_in AS (
+  SELECT 's' || sid AS session_id, 'u' || (sid % 10) AS user_id, msg_id,
+         {EPOCH} + msg_id * ([10, 30, 60, 130, 290, 700, 2000])[sid % 7 + 1]
+         + CASE WHEN msg_id >= 16 THEN (sid % 3) * 1000 ELSE 0 END AS ts_s,
+         CASE WHEN sid % 9 = 8 THEN {q(S.REPEATED)} ELSE
+           text || ' ' || kind[msg_id % len(kind) + 1]
+           || CASE WHEN turn % 3 = 1 THEN ' ' || ({qlist(S.TOOL_CALLS)})[(msg_id + sid) % {len(S.TOOL_CALLS)} + 1] ELSE '' END
+         END AS content
+  FROM dialogues_kind)"""
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a request log; `at_us` is the start in microseconds since 1970."""
+    e = table(spark, sf_dir, "events")
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    e = e.withColumn("_us", us).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    at = F.lit(EPOCH * 1_000_000) + F.expr(f"(_us - {EPOCH * 1_000_000}L) div {SQUEEZE}")
+    status = (
+        F.when(F.col("event_type") == "error", 500)
+        .when(F.col("event_type") == "signup", 201)
+        .when((F.col("event_type") == "purchase") & (F.col("k") >= 90), 429)
+        .otherwise(200)
+    )
+    attacks = F.array_compact(F.array(
+        F.when(F.col("k") % 10 == 3, F.lit("xss")),
+        F.when(F.col("k") % 15 == 4, F.lit("jailbreak")),
+        F.when((F.col("k") >= 95), F.lit("prompt_injection")),
+    ))
+    return e.select(
+        F.col("event_id").alias("request_id"),
+        at.alias("at_us"),
+        F.round(F.col("value") * 1_000_000).cast("bigint").alias("duration_ns"),
+        F.col("event_type").alias("method"),
+        F.concat(F.lit("/api/"), "event_type").alias("path"),
+        status.cast("bigint").alias("status"),
+        (F.col("k") * 10).alias("bytes_in"),
+        (F.col("k") * 1000).alias("bytes_out"),
+        F.concat(F.lit("u"), F.col("user_id")).alias("user_id"),
+        F.concat(F.lit("c"), F.col("user_id") % 5).alias("client"),
+        F.concat(F.lit("s"), F.col("user_id") % 20).alias("session_id"),
+        F.concat(F.lit("10.0.0."), F.col("user_id") % 250).alias("client_ip"),
+        F.concat(F.lit("agent/"), F.col("user_id") % 3).alias("user_agent"),
+        F.col("k"),
+        attacks.alias("attacks"),
+    )
+
+
+REQUESTS = f"""requests_base AS (
+  SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         {EPOCH}000000 + (epoch_us(ts) - {EPOCH}000000) // {SQUEEZE} AS at_us
+  FROM events),
+requests_in AS (
+  SELECT event_id AS request_id, at_us, CAST(round(value * 1000000) AS BIGINT) AS duration_ns, event_type AS method,
+         '/api/' || event_type AS path,
+         CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'signup' THEN 201
+              WHEN event_type = 'purchase' AND k >= 90 THEN 429 ELSE 200 END AS status,
+         k * 10 AS bytes_in, k * 1000 AS bytes_out, 'u' || user_id AS user_id, 'c' || (user_id % 5) AS client,
+         's' || (user_id % 20) AS session_id, '10.0.0.' || (user_id % 250) AS client_ip,
+         'agent/' || (user_id % 3) AS user_agent, k,
+         list_filter([CASE WHEN k % 10 = 3 THEN 'xss' END, CASE WHEN k % 15 = 4 THEN 'jailbreak' END,
+                      CASE WHEN k >= 95 THEN 'prompt_injection' END], lambda x: x IS NOT NULL) AS attacks
+  FROM requests_base)"""
