@@ -59,7 +59,9 @@ def shown_regex(rules: Sequence[Rule], index: Column) -> Column:
 
 
 def explode_detections(df: DataFrame, detections: Column, keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep, F.explode(detections).alias("_d")).select(*keep, "_d.*")
+    """One row per detection. The outer form keeps the optimizer from testing the array twice."""
+    long = df.select(*keep, F.explode_outer(detections).alias("_d")).filter(F.col("_d").isNotNull())
+    return long.select(*keep, "_d.*")
 
 
 def detect_command_injection(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
@@ -91,14 +93,17 @@ def literal_counts(normalized: Column) -> Column:
         F.struct(F.lit(l).alias("literal"), F.lit(i).alias("id"), F.lit(t).alias("technique"), F.lit(s).alias("severity"))
         for l, i, t, s in LITERALS
     ])
-    found = F.filter(table, lambda x: F.contains(normalized, x["literal"]))
-    return F.transform(
-        found,
-        lambda x: F.struct(
-            x["id"].alias("id"), x["technique"].alias("technique"), x["severity"].alias("severity"),
-            F.regexp_count(normalized, F.concat(F.lit("(?="), x["literal"], F.lit(")"))).cast("bigint").alias("hits"),
-        ),
-    )
+
+    def counted(text: Column) -> Column:
+        return F.transform(
+            F.filter(table, lambda x: F.contains(text, x["literal"])),
+            lambda x: F.struct(
+                x["id"].alias("id"), x["technique"].alias("technique"), x["severity"].alias("severity"),
+                F.regexp_count(text, F.concat(F.lit("(?="), x["literal"], F.lit(")"))).cast("bigint").alias("hits"),
+            ),
+        )
+
+    return let(normalized, counted)
 
 
 def match_literals(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
@@ -132,11 +137,11 @@ def detect_xss(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     return explode_detections(run, xss_detections("_r"), keep)
 
 
-def xss_detections(result: str) -> Column:
-    hits, rest = F.col(f"{result}.hits"), F.col(f"{result}.text")
-    plain = hits_as_detections(hits, C.XSS_RULES, pattern="kind")
-    hidden = F.transform(encoded_xss(rest), lambda b: detection(F.lit(C.ENCODED_XSS_TYPE), b, F.lit("high")))
-    return F.concat(plain, hidden)
+def xss_detections(result: str, blobs: Column | None = None) -> Column:
+    """Detections of the pack's result, then of the base64 runs (found in its text unless given)."""
+    plain = hits_as_detections(F.col(f"{result}.hits"), C.XSS_RULES, pattern="kind")
+    hidden = encoded_xss(F.col(f"{result}.text")) if blobs is None else blobs
+    return F.concat(plain, F.transform(hidden, lambda b: detection(F.lit(C.ENCODED_XSS_TYPE), b, F.lit("high"))))
 
 
 def detect_encoded_xss(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:

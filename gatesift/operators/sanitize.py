@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatesift.functions import text as T
+from gatesift.functions.expr import opaque
 from gatesift.operators import detect as D
 from gatesift.operators import verdict as V
 from gatesift.operators.rewrite import apply_rules
@@ -29,42 +30,56 @@ def _replace_blobs(text: Column, blobs: Column) -> Column:
 
 def sanitize_columns(df: DataFrame, text: str, stages: Sequence[str] = STAGES) -> DataFrame:
     """Adds `sanitized` and `detections`. A stage which is left out adds no columns to the plan."""
-    out = df.withColumn("_text", F.col(text)).withColumn("detections", F.expr(D.NONE))
-
-    def add(frame: DataFrame, new_text: Column, found: Column) -> DataFrame:
-        both = {"_text": new_text, "detections": F.concat("detections", found)}
-        return frame.withColumns(both).drop("_r")
+    out = df
+    current = text  # SQL name of the text as the stages so far have left it
+    found: list[Column] = []
 
     if "fold" in stages:
-        n = T.folded_count(F.col("_text"))
+        n = T.folded_count(F.col(text))
         note = D.detection(F.lit("confusables_fold"), F.concat(n.cast("string"), F.lit(" runes folded")), F.lit("low"))
-        out = add(out, T.fold_confusables(F.col("_text")), D.one_if(n > 0, note))
+        out = out.withColumns({"_fold": T.fold_confusables(F.col(text)), "_folded": D.one_if(n > 0, note)})
+        found.append(F.col("_folded"))
+        current = "_fold"
     if "commands" in stages:
-        out = out.withColumn("_r", apply_rules("_text", C.COMMAND_RULES))
-        out = add(out, F.col("_r.text"), D.hits_as_detections(F.col("_r.hits"), C.COMMAND_RULES, pattern="regex", type_="command_injection"))
+        out = out.withColumn("_cmd", apply_rules(current, C.COMMAND_RULES))
+        found.append(D.hits_as_detections(F.col("_cmd.hits"), C.COMMAND_RULES, pattern="regex", type_="command_injection"))
+        current = "_cmd.text"
     if "secrets" in stages:
-        out = out.withColumn("_r", apply_rules("_text", SECRET_RULES))
-        out = add(out, F.col("_r.text"), D.hits_as_detections(F.col("_r.hits"), SECRET_RULES, "secret_"))
+        out = out.withColumn("_sec", apply_rules(current, SECRET_RULES))
+        found.append(D.hits_as_detections(F.col("_sec.hits"), SECRET_RULES, "secret_"))
+        current = "_sec.text"
     if "content" in stages:
-        out = out.withColumn("_r", apply_rules("_text", C.XSS_RULES, first_only=True))
-        out = add(out, _replace_blobs(F.col("_r.text"), D.encoded_xss(F.col("_r.text"))), D.xss_detections("_r"))
-        out = out.withColumn("_r", D.sql_injection("_text", text))
-        out = add(out, F.col("_r.text"), D.sql_detections(F.col("_r.rules")))
-        marked = F.regexp_replace("_text", f"[{C.HOMOGLYPHS}]", C.HOMOGLYPH_MARKER)
-        out = add(out, marked, D.homoglyph_detections(F.col("_text")))
-        out = out.withColumn("_r", apply_rules("_text", C.FORMULA_RULES, first_only=True))
-        out = add(out, F.col("_r.text"), D.hits_as_detections(F.col("_r.hits"), C.FORMULA_RULES, pattern="regex", type_="spreadsheet_formula"))
+        out = out.withColumn("_xss", apply_rules(current, C.XSS_RULES, first_only=True))
+        out = out.withColumn("_blobs", D.encoded_xss(F.col("_xss.text")))
+        out = out.withColumn("_plain", _replace_blobs(F.col("_xss.text"), F.col("_blobs")))
+        out = out.withColumn("_sql", D.sql_injection("_plain", text))
+        out = out.withColumn("_glyph", F.regexp_replace("_sql.text", f"[{C.HOMOGLYPHS}]", C.HOMOGLYPH_MARKER))
+        out = out.withColumn("_form", apply_rules("_glyph", C.FORMULA_RULES, first_only=True))
+        found += [
+            D.xss_detections("_xss", F.col("_blobs")),
+            D.sql_detections(F.col("_sql.rules")),
+            D.homoglyph_detections(F.col("_sql.text")),
+            D.hits_as_detections(F.col("_form.hits"), C.FORMULA_RULES, pattern="regex", type_="spreadsheet_formula"),
+        ]
+        current = "_form.text"
     if "prompts" in stages:
-        out = add(out, T.collapse_spacing(F.col("_text")), D.base64_injections(F.col("_text")))
-        out = out.withColumn("_leet", T.normalize_leet(F.col("_text")))
-        out = out.withColumn("_r", apply_rules("_text", PROMPT_RULES, leet="_leet"))
-        out = add(out, F.col("_r.text"), D.hits_as_detections(F.col("_r.hits"), PROMPT_RULES, "prompt_injection_")).drop("_leet")
-        out = out.withColumn("_r", apply_rules("_text", IOC_RULES))
-        out = add(out, F.col("_r.text"), D.hits_as_detections(F.col("_r.hits"), IOC_RULES, "prompt_injection_ioc_"))
-        out = out.withColumn("_r", D.literal_counts(T.normalize_for_match(F.col("_text"))))
-        out = add(out, F.when(F.size("_r") > 0, F.lit(MARKER)).otherwise(F.col("_text")), _literal_detections(F.col("_r")))
-        out = _advanced(out)
-    return out.withColumnRenamed("_text", "sanitized")
+        out = out.withColumns({"_b64": D.base64_injections(F.col(current)), "_flat": T.collapse_spacing(F.col(current))})
+        out = out.withColumn("_leet", T.normalize_leet(F.col("_flat")))
+        out = out.withColumn("_prompt", apply_rules("_flat", PROMPT_RULES, leet="_leet"))
+        out = out.withColumn("_ioc", apply_rules("_prompt.text", IOC_RULES))
+        out = out.withColumn("_lit", D.literal_counts(T.normalize_for_match(F.col("_ioc.text"))))
+        out = out.withColumn("_marked", F.when(F.size("_lit") > 0, F.lit(MARKER)).otherwise(F.col("_ioc.text")))
+        found += [
+            F.col("_b64"),
+            D.hits_as_detections(F.col("_prompt.hits"), PROMPT_RULES, "prompt_injection_"),
+            D.hits_as_detections(F.col("_ioc.hits"), IOC_RULES, "prompt_injection_ioc_"),
+            _literal_detections(F.col("_lit")),
+        ]
+        out, heuristics, current = _advanced(out, "_marked")
+        found += heuristics
+    result = F.struct(F.col(current).alias("sanitized"), F.concat(F.expr(D.NONE), *found).alias("detections"))
+    out = out.select(*df.columns, opaque(result).alias("_result"))
+    return out.select(*df.columns, "_result.sanitized", "_result.detections")
 
 
 def _literal_detections(found: Column) -> Column:
@@ -78,21 +93,22 @@ def _literal_detections(found: Column) -> Column:
     return F.flatten(each)
 
 
-def _advanced(out: DataFrame) -> DataFrame:
+def _advanced(out: DataFrame, current: str) -> tuple[DataFrame, list[Column], str]:
     """Repetition, stuffing and invisible characters; each rewrite is seen by the next test."""
     steps = (
         (T.has_repetition, T.limit_repetition, "repetition", "repetition_attack", "medium"),
         (T.is_stuffed, T.truncate_stuffed, "stuffing", "prompt_stuffing", "high"),
         (T.has_invisible, T.strip_invisible, "unicode", "suspicious_unicode", "medium"),
     )
+    found = []
     for test, rewrite, kind, pattern, severity in steps:
-        out = out.withColumn("_hit", test(F.col("_text")))
-        found = D.detection(F.lit(f"prompt_injection_{kind}"), F.lit(pattern), F.lit(severity))
-        out = out.withColumns({
-            "_text": F.when(F.col("_hit"), rewrite(F.col("_text"))).otherwise(F.col("_text")),
-            "detections": F.concat("detections", D.one_if(F.col("_hit"), found)),
-        }).drop("_hit")
-    return out
+        text, hit = F.col(current), f"_{kind}_hit"
+        out = out.withColumn(hit, test(text))
+        out = out.withColumn(f"_{kind}", F.when(F.col(hit), rewrite(text)).otherwise(text))
+        note = D.detection(F.lit(f"prompt_injection_{kind}"), F.lit(pattern), F.lit(severity))
+        found.append(D.one_if(F.col(hit), note))
+        current = f"_{kind}"
+    return out, found, current
 
 
 def sanitize_content(df: DataFrame, text: str, stages: Sequence[str] = STAGES) -> DataFrame:
@@ -120,7 +136,7 @@ def top_technique(detections: Column) -> Column:
 def scan_app_html(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """Active content in HTML which a client will render: detections, risk, and blocked for any hit."""
     run = df.select(*keep, apply_rules(html, C.XSS_RULES, first_only=True).alias("_r"))
-    found = run.select(*keep, D.xss_detections("_r").alias("_d"))
+    found = run.select(*keep, opaque(D.xss_detections("_r")).alias("_d"))
     return found.select(
         *keep,
         F.size("_d").cast("bigint").alias("detections"),

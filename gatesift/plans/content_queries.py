@@ -128,8 +128,8 @@ def _sanitize(spark, sf):
 
 
 def _sanitized_detections(spark, sf):
-    out = Z.sanitize_content(I.documents(spark, sf), "text").select("doc_id", F.explode("detections").alias("d"))
-    return out.groupBy("d.type", "d.severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
+    out = D.explode_detections(Z.sanitize_content(I.documents(spark, sf), "text"), F.col("detections"), KEEP)
+    return out.groupBy("type", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
 def _pattern_pack(spark, sf):
@@ -218,6 +218,10 @@ _BLOBS = f"""blobs AS (
   SELECT doc_id, text, blob, TRY(decode(from_base64(blob))) AS body FROM (
     SELECT doc_id, text, unnest(regexp_extract_all(text, {K.q(C.BASE64_RUN)})) AS blob FROM documents_in)
   WHERE length(blob) % 4 = 0)"""
+def _words(source: str, name: str = "ws") -> str:
+    return f"{name} AS (SELECT doc_id, {K.fields('text')} AS ws FROM {source})"
+
+
 _RUNS = """runs AS (
   SELECT doc_id, w, count(*) AS n, min(i) AS i, n_words FROM (
     SELECT *, i - row_number() OVER (PARTITION BY doc_id, w ORDER BY i) AS grp FROM (
@@ -225,9 +229,9 @@ _RUNS = """runs AS (
   GROUP BY doc_id, w, grp, n_words)"""
 
 
-def _chars_shortened() -> str:
+def _chars_shortened(source: str = "documents_in") -> str:
     """Runs of more than ten equal characters cut to three: by character positions, no back-references."""
-    return """cs AS (SELECT doc_id, string_split(text, '') AS cs FROM documents_in),
+    return f"""cs AS (SELECT doc_id, string_split(text, '') AS cs FROM {source}),
 c AS (SELECT doc_id, unnest(cs) AS ch, generate_subscripts(cs, 1) AS i FROM cs),
 cruns AS (
   SELECT doc_id, ch, count(*) AS n, min(i) AS i FROM (
@@ -237,6 +241,92 @@ short AS (
   FROM cruns GROUP BY doc_id)"""
 
 
+_REPETITIVE = """doc_id IN (SELECT doc_id FROM cruns WHERE n >= 50 AND unicode(ch) < 128)
+  OR doc_id IN (SELECT doc_id FROM runs WHERE n >= 10 AND n_words > 10 AND strlen(w) > 3)"""
+_LIMITED = """SELECT doc_id, string_agg(CASE WHEN n <= 3 THEN w || repeat(' ' || w, n - 1)
+    ELSE w || ' ' || w || ' [WORD_REPETITION_REMOVED]' END, ' ' ORDER BY i) AS t FROM {runs} GROUP BY doc_id"""
+
+
+def _pipeline() -> str:
+    """The whole pipeline, one materialised step per stage; ends in steps `final` and `found`."""
+    shown_xss = [r.regex.removeprefix("(?i)") for r in C.XSS_RULES]
+
+    def step(name: str, source: str, rules, text: str = "text", **options) -> str:
+        return f"{name}_r AS MATERIALIZED (SELECT doc_id, {K.chain(text, rules, **options)} AS r FROM {source}), " \
+               f"{name} AS (SELECT doc_id, r.t AS text FROM {name}_r)"
+
+    def hits(name: str, rules, type_: str, pattern: str | None = None) -> str:
+        return f"SELECT doc_id, {type_} AS type, {pattern or K.attribute(rules, 'name', 'h.k')} AS pattern, " \
+               f"{K.attribute(rules, 'severity', 'h.k')} AS severity FROM (SELECT doc_id, unnest(r.h) AS h FROM {name}_r)"
+
+    def named(rules, prefix: str) -> str:
+        return f"{K.q(prefix)} || {K.attribute(rules, 'name', 'h.k')}"
+
+    def blobs(name: str, source: str, test: str) -> str:
+        return f"""{name} AS (SELECT doc_id, blob, TRY(decode(from_base64(blob))) AS body FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, {K.q(C.BASE64_RUN)})) AS blob FROM {source})
+  WHERE length(blob) % 4 = 0 AND {test})"""
+
+    body = "TRY(decode(from_base64(blob)))"
+    keywords = "(" + " OR ".join(f"contains(lower({body}), {K.q(k)})" for k in C.BASE64_KEYWORDS) + ")"
+    sql_patterns = K.qlist([r.regex for r in C.SQL_RULES])
+    later_runs = _RUNS.replace("runs AS", "lruns AS", 1).replace("FROM ws)", "FROM lws)").replace("len(ws) AS n_words FROM ws", "len(ws) AS n_words FROM lws")
+    parts = [
+        I.DOCUMENTS,
+        f"fold AS MATERIALIZED (SELECT doc_id, {_FOLDED} AS text, text AS original, length(text) - length(translate(text, {K.q(T.FOLD_FROM)}, '')) AS n FROM documents_in)",
+        step("cmd", "fold", C.COMMAND_RULES),
+        step("sec", "cmd", SECRET_RULES),
+        step("xss", "sec", C.XSS_RULES, first_only=True),
+        blobs("xblobs", "xss", f"regexp_matches({body}, {K.q(C.XSS_INDICATOR)})"),
+        f"""plain AS MATERIALIZED (SELECT doc_id, original, coalesce(list_reduce(list_prepend(x.text, bs),
+  lambda t, b: replace(t, b, {K.q(C.ENCODED_XSS_MARKER)})), x.text) AS text
+  FROM xss x JOIN fold USING (doc_id) LEFT JOIN (SELECT doc_id, list(blob) AS bs FROM xblobs GROUP BY doc_id) USING (doc_id))""",
+        step("sq", "plain", C.SQL_RULES, first_only=True),
+        f"""sqk AS MATERIALIZED (SELECT doc_id, list_transform(r.h, lambda h: h.k) AS here,
+  list_filter(range({len(C.SQL_RULES)}), lambda i: regexp_matches(original, ({sql_patterns})[i + 1])) AS orig, r.t AS t, text
+  FROM sq_r JOIN plain USING (doc_id))""",
+        f"""sqt AS MATERIALIZED (SELECT doc_id, list_distinct(list_concat(here, orig)) AS rules,
+  CASE WHEN list_min(list_filter(orig, lambda i: NOT list_contains(here, i))) < coalesce(list_min(here), 99)
+    AND NOT contains(text, {K.q(C.SQL_MARKER)}) THEN t || {K.q(' ' + C.SQL_MARKER)} ELSE t END AS text FROM sqk)""",
+        step("form", "sqt", C.FORMULA_RULES, first_only=True),
+        blobs("pblobs", "form", keywords),
+        f"flat AS MATERIALIZED (SELECT doc_id, t AS text, {_LEET.format('t')} AS leet FROM (SELECT doc_id, {_COLLAPSED} AS t FROM form))",
+        step("prompt", "flat", PROMPT_RULES, leet="leet"),
+        step("ioc", "prompt", IOC_RULES),
+        f"norm AS MATERIALIZED (SELECT doc_id, text, {K.normalized('text')} AS t FROM ioc)",
+        f"""lits AS MATERIALIZED (SELECT doc_id, id, severity,
+  unnest(list_filter(range(1, length(t) + 1), lambda i: starts_with(substr(t, i), literal))) AS at
+  FROM norm, (VALUES {_LITERAL_ROWS}) AS l(literal, id, technique, severity) WHERE contains(t, literal))""",
+        f"marked AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM lits) THEN {K.q(MARKER)} ELSE text END AS text FROM norm)",
+        _chars_shortened("marked"),
+        _words("marked"), _RUNS, _words("short", "lws"), later_runs,
+        f"rep AS MATERIALIZED (SELECT doc_id, text, {_REPETITIVE} AS hit FROM marked)",
+        f"limited AS ({_LIMITED.format(runs='lruns')})",
+        "rept AS MATERIALIZED (SELECT doc_id, CASE WHEN hit THEN coalesce(t, '') ELSE text END AS text FROM rep LEFT JOIN limited USING (doc_id))",
+        f"stuff AS MATERIALIZED (SELECT doc_id, text, strlen(text) > 10000 AND len({K.fields('text')}) > 2000 AS hit FROM rept)",
+        f"stufft AS MATERIALIZED (SELECT doc_id, CASE WHEN hit THEN array_to_string(({K.fields('text')})[1:1000], ' ') || ' [CONTENT_TRUNCATED_FOR_SAFETY]' ELSE text END AS text FROM stuff)",
+        f"final AS MATERIALIZED (SELECT doc_id, regexp_matches(text, {K.q(_INVISIBLE_CLASS)}) AS hit, {_STRIPPED} AS text FROM stufft)",
+    ]
+    found = [
+        "SELECT doc_id, 'confusables_fold' AS type, n || ' runes folded' AS pattern, 'low' AS severity FROM fold WHERE n > 0",
+        hits("cmd", C.COMMAND_RULES, "'command_injection'"),
+        hits("sec", SECRET_RULES, named(SECRET_RULES, "secret_")),
+        hits("xss", C.XSS_RULES, K.attribute(C.XSS_RULES, "kind", "h.k"), f"({K.qlist(shown_xss)})[h.k + 1]"),
+        "SELECT doc_id, 'xss_encoded_script', blob, 'high' FROM xblobs",
+        "SELECT doc_id, 'sql_injection', CAST(unnest(rules) AS VARCHAR), 'high' FROM sqt",
+        hits("form", C.FORMULA_RULES, "'spreadsheet_formula'"),
+        "SELECT doc_id, 'base64_encoded_injection', blob, 'critical' FROM pblobs",
+        hits("prompt", PROMPT_RULES, named(PROMPT_RULES, "prompt_injection_")),
+        hits("ioc", IOC_RULES, named(IOC_RULES, "prompt_injection_ioc_")),
+        "SELECT doc_id, 'prompt_injection_ioc_' || id, id, severity FROM lits",
+        "SELECT doc_id, 'prompt_injection_repetition', 'repetition_attack', 'medium' FROM rep WHERE hit",
+        "SELECT doc_id, 'prompt_injection_stuffing', 'prompt_stuffing', 'high' FROM stuff WHERE hit",
+        "SELECT doc_id, 'prompt_injection_unicode', 'suspicious_unicode', 'medium' FROM final WHERE hit",
+    ]
+    parts.append("found AS MATERIALIZED (SELECT row_number() OVER () AS i, * FROM (" + " UNION ALL ".join(found) + "))")
+    return K.with_(*parts)
+
+
 def _xss(source: str) -> str:
     rules = C.XSS_RULES
     shown = [r.regex.removeprefix("(?i)") for r in rules]
@@ -286,7 +376,16 @@ def _fragment_sql() -> str:
     return _sql(f"SELECT doc_id, round(CAST({parts} AS DOUBLE), 6) AS score FROM documents_in WHERE {parts} > 0")
 
 
+_TECHNIQUE = K.first_match("type", TECHNIQUE_RULES)
 ORACLES = {
+    "sanitize_content": _pipeline()
+    + f"""SELECT doc_id, {K.risk('top')} AS risk, coalesce(top, 0) >= 3 AS blocked, coalesce(n, 0) AS detections, technique AS atlas_technique,
+  sha256(text) AS sanitized FROM final LEFT JOIN (
+    SELECT doc_id, max({K.rank('severity')}) AS top, count(*) AS n FROM found GROUP BY doc_id) USING (doc_id)
+  LEFT JOIN (SELECT doc_id, arg_max({_TECHNIQUE}, {K.rank('severity')} * 1000000 - i) AS technique FROM found
+    WHERE {_TECHNIQUE} IS NOT NULL GROUP BY doc_id) USING (doc_id)""",
+    "sanitize_detections": _pipeline()
+    + "SELECT type, severity, count(*) AS n, count(DISTINCT doc_id) AS documents FROM found GROUP BY type, severity",
     "fold_confusables": _per_document(f"{_FOLDED} AS folded, length(text) - length(translate(text, {K.q(T.FOLD_FROM)}, '')) AS n"),
     "normalize_for_match": _per_document(f"{K.normalized('text')} AS normalized"),
     "normalize_leet": _per_document(_LEET.format("text") + " AS leet"),

@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores where a small table fills fewer partitions than there are cores.
+
+    Text scans are bound by the processor. A large table has far more splits than cores and is left
+    as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values: list[str], number: Column) -> Column:
     return F.element_at(texts(values), (number % len(values) + 1).cast("int"))
 
@@ -37,7 +47,7 @@ JSON_ESCAPED = "replace(replace(replace({}, '\\', '\\\\'), '\"', '\\\"'), chr(10
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, each with a payload on a line of its own; some start like a formula."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     text = F.concat(pick(S.PREFIXES, F.col("doc_id")), "text", F.lit("\n"), pick(S.PAYLOADS, F.col("doc_id")))
     return d.select("doc_id", "lang", "source", text.alias("text"))
 
