@@ -18,16 +18,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def texts(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array of strings."""
+    return F.expr("array(" + ", ".join(map(sql_text, values)) + ")")
 
 
 def contains_any(text: Column, values: Iterable[str]) -> Column:
     """True where the text holds one of a fixed list of strings."""
-    checks = [F.contains(text, F.lit(v)) for v in values]
-    result = checks[0]
-    for check in checks[1:]:
-        result = result | check
-    return result
+    return F.exists(texts(values), lambda v: F.contains(text, v))
 
 
 def lookup(key: Column, table: Mapping[str, str]) -> Column:
@@ -61,4 +58,4 @@ def opaque(value: Column) -> Column:
     A filter on the result of a long pipeline would otherwise be rewritten in terms of the input,
     stage by stage, and run the pipeline again. Filter on other columns before the pipeline.
     """
-    return F.when(F.rand(0) >= 0, value)
+    return F.when(F.spark_partition_id() >= 0, value)

@@ -46,16 +46,14 @@ def parse_ipv4(host: Column) -> Column:
 
 def parse_loose_ipv4(host: Column) -> Column:
     """Any number notation: one number above 255, or four octets each in its own base."""
-    def dotted(parts: Column) -> Column:
-        number = F.aggregate(
-            F.transform(parts, parse_uint),
-            F.lit(0).cast("bigint"),
-            lambda s, o: F.when(o <= 255, s * 256 + o),
+    def address(numbers: Column) -> Column:
+        one = F.get(numbers, 0)
+        dotted = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda s, o: F.when(o <= 255, s * 256 + o))
+        return F.when(F.size(numbers) == 4, dotted).when(
+            (F.size(numbers) == 1) & (one > 255) & (one <= 0xFFFFFFFF), one
         )
-        return F.when(F.size(parts) == 4, number)
 
-    single = let(parse_uint(host), lambda v: F.when((v > 255) & (v <= 0xFFFFFFFF), v))
-    return F.when(F.contains(host, F.lit(".")), let(F.split(host, r"\.", -1), dotted)).otherwise(single)
+    return let(F.transform(F.split(host, r"\.", -1), parse_uint), address)
 
 
 def parse_ipv6(host: Column) -> Column:
@@ -159,50 +157,59 @@ def _strip_zone(host: Column) -> Column:
     return _extract(host, r"\A([^%]*)")
 
 
-def _unsafe_http(url: Column) -> Column:
-    """An http(s) URL whose host is empty, local or an unsafe address."""
-    def judge(host: Column) -> Column:
-        local = F.lower(host).isin("localhost", "localdomain")
-        return (host == "") | local | unsafe_address(_strip_zone(host))
-
-    return let(url_host(url), judge)
-
-
-def _unsafe_raw(text: Column) -> Column:
+def _raw_host(text: Column) -> Column:
+    """What stands where a host would: behind the first `://` and before the first colon."""
     after = F.regexp_replace(text, r"\A(?s:.*?)://", "")
-    return unsafe_address(F.regexp_replace(_extract(after, r"\A([^:]*)"), r"\A[\[\]]+|[\[\]]+\z", ""))
+    return F.regexp_replace(_extract(after, r"\A([^:]*)"), r"\A[\[\]]+|[\[\]]+\z", "")
 
 
-def _unsafe_in_prose(text: Column) -> Column:
-    def literal(url: Column) -> Column:
-        return F.when(url_well_formed(url), _unsafe_http(url)).otherwise(_unsafe_raw(url))
+def _candidate(host: Column, parsed: Column) -> Column:
+    return F.struct(host.alias("host"), parsed.alias("parsed"))
 
-    urls = F.regexp_extract_all(text, F.lit(URL_IN_PROSE), F.lit(0))
-    brackets = F.regexp_extract_all(text, F.lit(BRACKET_IN_PROSE), F.lit(0))
-    return (
-        F.exists(urls, literal)
-        | F.exists(brackets, lambda b: restricted_address(_strip_zone(F.lower(F.regexp_replace(b, r"[\[\]]", "")))))
-        | _unsafe_raw(text)
-    )
+
+def _unsafe_candidate(c: Column) -> Column:
+    host = c["host"]
+    local = c["parsed"] & ((host == "") | F.lower(host).isin("localhost", "localdomain"))
+    return local | unsafe_address(_strip_zone(host))
 
 
 def ssrf_target(text: Column) -> Column:
-    """True for a URL, or prose with one, which aims at an unsafe scheme or address."""
+    """True for a URL, or prose with one, which aims at an unsafe scheme or address.
+
+    A well-formed http(s) URL is judged by its host. Anything else is searched for such URLs and for
+    bracketed addresses, and judged as a bare host itself.
+    """
     denied = texts(UNSAFE_SCHEMES)
 
+    def of_url(url: Column) -> Column:
+        good = url_well_formed(url)
+        return _candidate(F.when(good, url_host(url)).otherwise(_raw_host(url)), good)
+
     def judge(raw: Column) -> Column:
         before = F.lower(F.when(F.contains(raw, F.lit("://")), F.substring_index(raw, "://", 1)).otherwise(""))
-        scheme = url_scheme(raw)
+        return let(
+            F.struct(raw.alias("raw"), before.alias("before"), url_scheme(raw).alias("scheme"), url_well_formed(raw).alias("good")),
+            decide,
+        )
+
+    def decide(u: Column) -> Column:
+        raw = u["raw"]
+        is_url = u["good"] & u["scheme"].isin("http", "https")
+        urls = F.when(is_url, F.array(raw)).otherwise(F.regexp_extract_all(raw, F.lit(URL_IN_PROSE), F.lit(0)))
+        itself = F.when(~is_url, F.array(_candidate(_raw_host(raw), F.lit(False)))).otherwise(
+            F.expr("cast(array() AS array<struct<host:string,parsed:boolean>>)")
+        )
+        brackets = F.when(~is_url, F.regexp_extract_all(raw, F.lit(BRACKET_IN_PROSE), F.lit(0)))
+        in_brackets = F.exists(
+            brackets, lambda b: restricted_address(_strip_zone(F.lower(F.regexp_replace(b, r"[\[\]]", ""))))
+        )
         return (
             F.when(raw == "", F.lit(False))
-            .when(F.array_contains(denied, before), F.lit(True))
-            .when(~url_well_formed(raw), _unsafe_in_prose(raw))
-            .when(F.array_contains(denied, scheme), F.lit(True))
-            .when(scheme.isin("http", "https"), _unsafe_http(raw))
-            .otherwise(_unsafe_in_prose(raw))
+            .when(F.array_contains(denied, u["before"]) | (u["good"] & F.array_contains(denied, u["scheme"])), F.lit(True))
+            .otherwise(F.exists(F.concat(F.transform(urls, of_url), itself), _unsafe_candidate) | F.coalesce(in_brackets, F.lit(False)))
         )
 
-    return let(F.trim(F.regexp_replace(text, r"\A[\s\x85\x{A0}]+|[\s\x85\x{A0}]+\z", "")), judge)
+    return let(F.regexp_replace(text, r"\A[\s\x85\x{A0}]+|[\s\x85\x{A0}]+\z", ""), judge)
 
 
 def resource_uri_reason(uri: Column) -> Column:

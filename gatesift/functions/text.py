@@ -78,7 +78,7 @@ def query_shape(text: Column) -> Column:
 
 def clamp_session_id(value: Column, max_bytes: int) -> Column:
     """First bytes of an identifier without spaces, control and non-ASCII characters."""
-    clipped = F.decode(F.substring(F.encode(value, "UTF-8"), 1, max_bytes), "UTF-8")
+    clipped = F.substring(F.encode(value, "UTF-8"), 1, max_bytes).cast("string")
     return F.regexp_replace(F.when(is_ascii(value), F.substring(value, 1, max_bytes)).otherwise(clipped), r"[^\x21-\x7E]", "")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gatesift.functions import text as T
 from gatesift.functions.expr import let, texts
-from gatesift.functions.regex import to_java
+from gatesift.functions.regex import sql_text, to_java
 from gatesift.operators.rewrite import apply_rules, explode_hits, hit_sql, rule_column
 from gatesift.patterns import content as C
 from gatesift.patterns.indicators import IOC_RULES
@@ -89,10 +89,11 @@ def literal_counts(normalized: Column) -> Column:
 
     `hits` counts overlapping occurrences.
     """
-    table = F.array(*[
-        F.struct(F.lit(l).alias("literal"), F.lit(i).alias("id"), F.lit(t).alias("technique"), F.lit(s).alias("severity"))
-        for l, i, t, s in LITERALS
-    ])
+    names = ("literal", "id", "technique", "severity")
+    structs = ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {sql_text(v)}" for n, v in zip(names, row)) + ")" for row in LITERALS
+    )
+    table = F.expr(f"array({structs})")
 
     def counted(text: Column) -> Column:
         return F.transform(

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatesift.functions.expr import texts
 from gatesift.functions.regex import sql_text, to_java
 from gatesift.patterns.rule import Rule
 
@@ -152,7 +153,7 @@ def apply_rules(text: str, rules: Sequence[Rule], *, first_only: bool = False, l
 
 def rule_column(rules: Sequence[Rule], attribute: str, index: Column) -> Column:
     """An attribute of the rule with a given number."""
-    return F.element_at(F.array(*[F.lit(getattr(r, attribute)) for r in rules]), index + 1)
+    return F.element_at(texts([getattr(r, attribute) for r in rules]), index + 1)
 
 
 def explode_hits(df: DataFrame, hits: str, rules: Sequence[Rule], keep: Sequence[str], type_prefix: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatesift.functions.expr import texts
+from gatesift.functions.signing import base64url
 from gatesift.plans import samples as S
 from gatesift.plans.duck import q, qlist
 
@@ -147,3 +148,122 @@ requests_in AS (
          list_filter([CASE WHEN k % 10 = 3 THEN 'xss' END, CASE WHEN k % 15 = 4 THEN 'jailbreak' END,
                       CASE WHEN k >= 95 THEN 'prompt_injection' END], lambda x: x IS NOT NULL) AS attacks
   FROM requests_base)"""
+
+
+TOOLS = ["bench", "delete_file", "drop_table", "read_file", "Format_Disk", "search", "overwrite_all", "send_email"]
+METAS = ['{"trace_id":"t"}', '{"role":"admin"}', '{"trace_id":"t","x":1}', "", '{"progressToken":7,"source":"s"}', '"str"']
+VERSIONS = ['"2.0"', '"2.0"', '"1.0"', "2.0", '"2.0"', '"2.0"', '"2.0"', "null"]
+HEADER_NAMES = ["Authorization", "X-Api-Trace", "x-mcp-header-token", "User-Agent", "X-Debug", "Referer", "X-Custom"]
+ORIGINS = ["", "https://app.example.com", "https://evil.example.net", "null", "https://admin.example.com"]
+SCOPES = ['"scope":"read write"', '"scope":"read admin"', '"scp":["a","write:all"]', '"scope":"*"', '"sub":"x"', '"scp":[1,"admin"]', '"scope":["x"],"scp":"admin"']
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as JSON-RPC calls, some of them malformed, with their headers."""
+    c = table(spark, sf_dir, "conversations")
+    v = F.col("conv_id") * 8 + F.col("turn")
+    tool = pick(TOOLS, v)
+    target = F.concat(F.lit("http://"), pick([h.replace("HOST", "example.org") for h in S.URL_HOSTS], v), F.lit("/x"))
+    said = json_escaped(F.concat("text", F.lit(" "), pick(S.PAYLOADS, v)))
+    meta = pick(METAS, v)
+    params = F.concat(
+        F.lit('{"name":"'), tool, F.lit('","arguments":{"q":"'), said, F.lit('","deep":{"list":["'), target,
+        F.lit('",{"k":"v"}],"n":5}}'), F.when(meta != "", F.concat(F.lit(',"_meta":'), meta)).otherwise(""), F.lit("}"),
+    )
+    method = F.when(v % 11 == 6, F.lit("5")).otherwise(F.lit('"tools/call"'))
+    whole = F.concat(
+        F.lit('{"jsonrpc":'), pick(VERSIONS, v), F.lit(',"id":'), v.cast("string"), F.lit(',"method":'), method,
+        F.when(v % 13 == 3, F.lit(',"extra":true')).otherwise(""), F.lit(',"params":'), params, F.lit("}"),
+    )
+    raw = F.when(v % 17 == 4, F.expr("substring(_raw, 1, char_length(_raw) - 1)")).when(v % 19 == 5, F.lit("[1]")).otherwise(F.col("_raw"))
+    return c.withColumn("_raw", whole).select(
+        v.alias("env_id"),
+        raw.alias("raw"),
+        params.alias("params"),
+        F.when(v % 5 == 1, "").when(v % 5 == 2, "tools/list").otherwise("tools/call").alias("method_header"),
+        F.when(v % 7 == 1, "").when(v % 7 == 2, "other").otherwise(tool).alias("name_header"),
+        F.create_map(
+            pick(HEADER_NAMES, v), pick(S.PAYLOADS, v), F.lit("X-Role"), F.col("role"),
+            F.lit("X-Note"), pick(S.PAYLOADS, v + 40),
+        ).alias("headers"),
+    )
+
+
+def _duck_pick(values: list[str], number: str) -> str:
+    return f"({qlist(values)})[({number}) % {len(values)} + 1]"
+
+
+ENVELOPES = f"""envelopes_base AS (
+  SELECT *, conv_id * 8 + turn AS v FROM conversations),
+envelopes_params AS (
+  SELECT *, {_duck_pick(TOOLS, 'v')} AS tool, '{{"name":"' || {_duck_pick(TOOLS, 'v')} || '","arguments":{{"q":"'
+    || {JSON_ESCAPED.format("(text || ' ' || " + _duck_pick(S.PAYLOADS, 'v') + ")")} || '","deep":{{"list":["http://'
+    || {_duck_pick([h.replace("HOST", "example.org") for h in S.URL_HOSTS], 'v')} || '/x",{{"k":"v"}}],"n":5}}}}'
+    || CASE WHEN {_duck_pick(METAS, 'v')} <> '' THEN ',"_meta":' || {_duck_pick(METAS, 'v')} ELSE '' END || '}}' AS params
+  FROM envelopes_base),
+envelopes_raw AS (
+  SELECT *, '{{"jsonrpc":' || {_duck_pick(VERSIONS, 'v')} || ',"id":' || v || ',"method":'
+    || CASE WHEN v % 11 = 6 THEN '5' ELSE '"tools/call"' END || CASE WHEN v % 13 = 3 THEN ',"extra":true' ELSE '' END
+    || ',"params":' || params || '}}' AS whole
+  FROM envelopes_params),
+envelopes_in AS (
+  SELECT v AS env_id, CASE WHEN v % 17 = 4 THEN whole[1:-2] WHEN v % 19 = 5 THEN '[1]' ELSE whole END AS raw, params,
+    CASE WHEN v % 5 = 1 THEN '' WHEN v % 5 = 2 THEN 'tools/list' ELSE 'tools/call' END AS method_header,
+    CASE WHEN v % 7 = 1 THEN '' WHEN v % 7 = 2 THEN 'other' ELSE tool END AS name_header, tool, role, v
+  FROM envelopes_raw)"""
+
+
+def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as results of a tool: their address as text, their source as a panel."""
+    p = table(spark, sf_dir, "pages")
+    host = pick(S.URL_HOSTS, F.col("page_id"))
+    seen = F.when(host == "HOST", F.col("url")).otherwise(F.concat(F.lit("http://"), host, F.lit("/p")))
+    first = json_escaped(F.concat(F.lit("see "), seen, F.lit(" now\n"), pick(S.PAYLOADS, F.col("page_id"))))
+    panel_type = pick(["text/HTML", "application/json", "text/html;profile=x", "text/plain"], F.col("page_id"))
+    result = F.concat(
+        F.lit('{"content":[{"type":"text","text":"'), first, F.lit('"},5,{"type":"image","data":"x"},{"type":"resource","mimeType":"'),
+        panel_type, F.lit('","text":"'), json_escaped(F.col("html")), F.lit('"},{"type":"ui","html":"<b>'),
+        F.col("page_id").cast("string"), F.lit('</b>"}]}'),
+    )
+    return p.select("page_id", F.when(F.col("page_id") % 12 == 7, F.lit('{"content":"none"}')).otherwise(result).alias("result"))
+
+
+RESULTS = f"""results_in AS (
+  SELECT page_id, CASE WHEN page_id % 12 = 7 THEN '{{"content":"none"}}' ELSE
+    '{{"content":[{{"type":"text","text":"' || {JSON_ESCAPED.format(
+      "('see ' || CASE WHEN " + _duck_pick(S.URL_HOSTS, 'page_id') + " = 'HOST' THEN url ELSE 'http://' || "
+      + _duck_pick(S.URL_HOSTS, 'page_id') + " || '/p' END || ' now' || chr(10) || " + _duck_pick(S.PAYLOADS, 'page_id') + ")")}
+    || '"}},5,{{"type":"image","data":"x"}},{{"type":"resource","mimeType":"'
+    || {_duck_pick(["text/HTML", "application/json", "text/html;profile=x", "text/plain"], 'page_id')} || '","text":"'
+    || {JSON_ESCAPED.format('html')} || '"}},{{"type":"ui","html":"<b>' || page_id || '</b>"}}]}}' END AS result
+  FROM pages)"""
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses with their host or scheme exchanged in some rows, bare or inside a sentence."""
+    p = table(spark, sf_dir, "pages")
+    host = pick(S.URL_HOSTS, F.col("page_id"))
+    scheme = pick(S.URL_SCHEMES, F.expr("page_id div 24"))
+    url = F.when(host == "HOST", F.col("url")).otherwise(
+        F.concat(F.when(scheme == "", F.lit("http")).otherwise(scheme), F.lit("://"), host, F.lit("/p?id="), F.col("page_id"))
+    )
+    text = F.when(F.col("page_id") % 5 == 2, F.concat(F.lit("please fetch "), url, F.lit(" for me"))).otherwise(url)
+    return p.select("page_id", url.alias("url"), text.alias("text"))
+
+
+TARGETS = f"""targets_base AS (
+  SELECT page_id, CASE WHEN h = 'HOST' THEN url ELSE CASE WHEN s = '' THEN 'http' ELSE s END || '://' || h || '/p?id=' || page_id END AS url
+  FROM (SELECT *, {_duck_pick(S.URL_HOSTS, 'page_id')} AS h, {_duck_pick(S.URL_SCHEMES, 'page_id // 24')} AS s FROM pages)),
+targets_in AS (
+  SELECT *, CASE WHEN page_id % 5 = 2 THEN 'please fetch ' || url || ' for me' ELSE url END AS text FROM targets_base)"""
+
+
+def bearer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per customer with an Origin and an unsigned bearer token."""
+    c = table(spark, sf_dir, "customer")
+    claims = F.concat(F.lit('{"sub":"'), "c_name", F.lit('",'), pick(SCOPES, F.col("c_custkey")), F.lit("}"))
+    token = F.concat(F.lit("Bearer e30."), base64url(F.encode(claims, "UTF-8")), F.lit(".c2ln"))
+    broken = F.when(F.col("c_custkey") % 9 == 4, F.lit("Bearer only.two")).when(F.col("c_custkey") % 9 == 5, F.lit("Basic abc"))
+    return c.select(
+        "c_custkey", F.coalesce(broken, token).alias("authorization"), pick(ORIGINS, F.col("c_custkey")).alias("origin")
+    )

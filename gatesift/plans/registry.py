@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatesift.plans import content_queries
+from gatesift.plans import content_queries, gateway_queries, regulated_queries
 
-MODULES = (content_queries,)
+MODULES = (content_queries, regulated_queries, gateway_queries)
+flagship = regulated_queries.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
