@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatesift.plans import content_queries, gateway_queries, regulated_queries
+from gatesift.plans import content_queries, gateway_queries, regulated_queries, traffic_queries
 
-MODULES = (content_queries, regulated_queries, gateway_queries)
+MODULES = (content_queries, regulated_queries, gateway_queries, traffic_queries)
 flagship = regulated_queries.flagship
 
 
