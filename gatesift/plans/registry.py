@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatesift.plans import content_queries, gateway_queries, regulated_queries, session_queries, traffic_queries
+from gatesift.plans import catalog_queries, content_queries, gateway_queries, regulated_queries, session_queries, traffic_queries
 
-MODULES = (content_queries, regulated_queries, gateway_queries, traffic_queries, session_queries)
+MODULES = (content_queries, regulated_queries, gateway_queries, traffic_queries, session_queries, catalog_queries)
 flagship = regulated_queries.flagship
 
 
