@@ -112,7 +112,12 @@ def _rounded_share(part: Column, whole: Column) -> Column:
 
 def analyze(messages: DataFrame, slice_s: int = SLICE_S, halo_s: int = HALO_S, role_limit: int = P.ROLE_LIMIT) -> DataFrame:
     """One row per message with all counts, scores, `patterns`, `risk`, `action` and `block`."""
-    rows = with_history(message_features(messages), slice_s, halo_s)
+    return analyze_features(message_features(messages), slice_s, halo_s, role_limit)
+
+
+def analyze_features(features: DataFrame, slice_s: int = SLICE_S, halo_s: int = HALO_S, role_limit: int = P.ROLE_LIMIT) -> DataFrame:
+    """The same from the features of the messages, which are all that later messages need."""
+    rows = with_history(features, slice_s, halo_s)
     ordered = Window.partitionBy("session_id", "_slice").orderBy("at_us", "msg_id")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)

@@ -1,22 +1,25 @@
 """Session analysis on a stream of messages.
 
-Each micro-batch runs the batch analysis over its messages together with what their sessions have said
-within the look-back, which lies as a table beside the checkpoint. A batch reads the table of the batch
-before and writes its own, under its number, so a batch which is run again after a failure does the same.
+Each micro-batch runs the batch analysis over its messages together with the features of what their
+sessions have said within the look-back. Features are a few numbers per message; they lie beside the
+checkpoint in one folder per batch and are only ever added to. A batch reads the folders before its own
+and writes its own anew, so a batch which is run again after a failure gives the same result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatesift.operators import sessions as S
 
+FEATURES = (
+    "session_id string, user_id string, msg_id bigint, at_us bigint, flags int, fragment double, shape string, tool string"
+)
 SECOND = 1_000_000
-COLUMNS = ("session_id", "user_id", "msg_id", "ts", "content")
 
 
-def shared_dir(spark) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The folder which all executors share, as the cluster names it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
@@ -24,38 +27,30 @@ def shared_dir(spark) -> str:
     return path.rstrip("/")
 
 
-def _exists(spark, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def prepare(spark: SparkSession, base: str) -> None:
+    """An empty folder of features, so that the first batch has something to read."""
+    spark.createDataFrame([], FEATURES).write.mode("overwrite").parquet(f"{base}/features/batch=-1")
 
 
 def analyze_batch(batch: DataFrame, batch_id: int, base: str, halo_s: int = S.HALO_S) -> None:
-    """One micro-batch: results under `base/results`, look-back under `base/recent`, both by number."""
+    """One micro-batch: results under `base/results`, features under `base/features`, both by number."""
     spark = batch.sparkSession
-    new = batch.select(*COLUMNS, F.lit(True).alias("_new"))
-    before = f"{base}/recent/batch={batch_id - 1}"
-    if batch_id > 0 and _exists(spark, before):
-        old = spark.read.parquet(before)
-        touched = old.join(new.select("session_id").distinct(), "session_id", "left_semi")
-        known = touched.select(*COLUMNS, F.lit(False).alias("_new"))
-        messages = known.unionByName(new)
-    else:
-        old, messages = None, new
-    flagged = messages.groupBy("session_id", "msg_id").agg(F.bool_or("_new").alias("_new"))
-    judged = S.analyze(messages.select(*COLUMNS), halo_s=halo_s).join(flagged.filter("_new"), ["session_id", "msg_id"], "left_semi")
-    judged.write.mode("overwrite").parquet(f"{base}/results/batch={batch_id}")
-
-    kept = new.select(*COLUMNS) if old is None else old.select(*COLUMNS).unionByName(new.select(*COLUMNS))
-    newest = kept.agg(F.max("ts").alias("_newest"))
-    # One row: the newest time. It decides how far back the next batch has to look.
-    limit = newest.first()["_newest"]
-    if limit is not None:
-        kept = kept.filter(F.col("ts") >= F.lit(limit) - F.expr(f"INTERVAL {halo_s} SECONDS"))
-    kept.write.mode("overwrite").parquet(f"{base}/recent/batch={batch_id}")
+    own = f"{base}/features/batch={batch_id}"
+    S.message_features(batch).write.mode("overwrite").parquet(own)
+    new = spark.read.schema(FEATURES).parquet(own)
+
+    earlier = spark.read.schema(FEATURES + ", batch bigint").parquet(f"{base}/features").filter(F.col("batch") < batch_id)
+    since = new.groupBy("session_id").agg((F.min("at_us") - halo_s * SECOND).alias("_since"))
+    known = earlier.join(since, "session_id").filter(F.col("at_us") >= F.col("_since")).drop("batch", "_since")
+
+    judged = S.analyze_features(known.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))), halo_s=halo_s)
+    judged.filter("_new").drop("_new").write.mode("overwrite").parquet(f"{base}/results/batch={batch_id}")
 
 
 def analyze_stream(messages: DataFrame, name: str, base: str | None = None, **trigger):
-    """Starts the analysis of a stream; results are parquet under `<base>/results`."""
-    root = f"{base or shared_dir(messages.sparkSession)}/{name}"
+    """Starts the analysis of a stream; results are parquet under `<base>/<name>/results`."""
+    spark = messages.sparkSession
+    root = f"{base or shared_dir(spark)}/{name}"
+    prepare(spark, root)
     writer = messages.writeStream.foreachBatch(lambda b, i: analyze_batch(b, i, root))
     return writer.option("checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"processingTime": "1 minute"})).start()
