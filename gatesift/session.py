@@ -19,7 +19,7 @@ def build_session(app: str = "gatesift", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
-        **{k.replace("_", "."): v for k, v in conf.items()},
+        **conf,
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
