@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gatesift.plans import registry
 from gatesift.session import build_session
 
-HEADLINES = [
+HEADLINES = os.environ.get("BENCH_QUERIES", "").split() or [
     "sanitize_content", "match_ioc", "match_literals", "detect_secrets", "detect_prompt_injection", "detect_xss",
     "detect_sql_injection", "anomaly_score", "scan_compliance", "redact_basic", "regulated_by_label", "scan_poisoning",
     "validate_resource_uri", "request_summary", "rps", "latency_percentiles", "token_bucket", "replay", "recon_rate",

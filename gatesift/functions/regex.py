@@ -64,6 +64,7 @@ def to_java(pattern: str) -> str:
 
 
 def sql_text(value: str) -> str:
-    """A Spark SQL string literal for any text."""
+    """A Spark SQL string literal for any text. `$` is escaped, since Spark substitutes `${name}` in SQL."""
     escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
+    escaped = escaped.replace("$", "\\u0024")
     return f"'{escaped}'"

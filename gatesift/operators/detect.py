@@ -55,7 +55,7 @@ def hits_as_detections(hits: Column, rules: Sequence[Rule], type_prefix: str = "
 def shown_regex(rules: Sequence[Rule], index: Column) -> Column:
     """The expression as it is reported, without the case flag for the active-content pack."""
     shown = [r.regex.removeprefix("(?i)") if r.kind.startswith("xss") else r.regex for r in rules]
-    return F.element_at(texts(shown), index + 1)
+    return F.element_at(texts(shown), (index + 1).cast("int"))
 
 
 def explode_detections(df: DataFrame, detections: Column, keep: Sequence[str]) -> DataFrame:
@@ -152,23 +152,25 @@ def detect_encoded_xss(df: DataFrame, text: str, keep: Sequence[str]) -> DataFra
 
 def sql_rules_in(text: str) -> Column:
     """Numbers of the SQL rules which match the text as it stands."""
-    tests = [f"CASE WHEN {hit_sql(r, text, f'lower({text})')} THEN {i} END" for i, r in enumerate(C.SQL_RULES)]
-    return F.expr(f"array_compact(array({', '.join(tests)}))")
+    tests = [f"CASE WHEN {hit_sql(r, text, 'v.low')} THEN {i}L END" for i, r in enumerate(C.SQL_RULES)]
+    return F.expr(
+        f"element_at(transform(array(named_struct('low', lower({text}))), v -> array_compact(array({', '.join(tests)}))), 1)"
+    )
 
 
-def sql_injection(current: str, original: str) -> Column:
+def sql_injection(current: str, original: str, low: str | None = None) -> Column:
     """`(text, rules)`: rewritten text and the rules which match it or the original text.
 
     Where a signature stands only in the original, because an earlier pack has eaten it, the marker is
     appended, once, unless a rewrite has put it there before.
     """
-    run = F.struct(apply_rules(current, C.SQL_RULES, first_only=True).alias("r"), sql_rules_in(original).alias("o"))
+    run = F.struct(apply_rules(current, C.SQL_RULES, first_only=True, low=low).alias("r"), sql_rules_in(original).alias("o"))
 
     def combine(x: Column) -> Column:
         here = F.transform(x["r"]["hits"], lambda h: h["rule"])
         rules = F.array_sort(F.array_union(here, x["o"]))
         lost = F.array_except(x["o"], here)
-        first_lost, first_here = F.array_min(lost), F.coalesce(F.array_min(here), F.lit(len(C.SQL_RULES)))
+        first_lost, first_here = F.array_min(lost), F.coalesce(F.array_min(here), F.lit(len(C.SQL_RULES)).cast("bigint"))
         append = first_lost.isNotNull() & (first_lost < first_here) & ~F.contains(F.expr(current), F.lit(C.SQL_MARKER))
         text = F.when(append, F.concat(x["r"]["text"], F.lit(" " + C.SQL_MARKER))).otherwise(x["r"]["text"])
         return F.struct(text.alias("text"), rules.alias("rules"))

@@ -59,9 +59,28 @@ class CreditMap:
         self.start = np.array([0], dtype=np.int64)
         self.offset = np.array([0], dtype=np.int64)
         self.moving = np.array([True])
+        self.drained = False  # every result lies below the cost of a request
+        self.pending = 0  # refill not yet worked into the pieces
 
     def request(self, refill: int) -> None:
         """One more request, `refill` after the one before."""
+        if self.drained and refill < self.cost:
+            # Below the cost a request leaves (credit + refill) modulo cost, so refills add up.
+            self.pending = (self.pending + refill) % self.cost
+            return
+        self.settle()
+        self._apply(refill)
+        ends = np.append(self.start[1:] - 1, self.cap)
+        highest = np.where(self.moving, ends + self.offset, self.offset).max()
+        self.drained = bool(highest < self.cost) and self.cap >= 2 * self.cost
+
+    def settle(self) -> None:
+        """Works pending refill into the pieces."""
+        if self.pending:
+            self._apply(self.pending)
+            self.pending = 0
+
+    def _apply(self, refill: int) -> None:
         offset = self.offset + refill
         # Moving pieces are cut where they reach the cap and where a request becomes affordable.
         cuts = np.concatenate([self.cap - offset[self.moving], self.cost - offset[self.moving]])
@@ -77,7 +96,7 @@ class CreditMap:
         self.start, self.offset, self.moving = starts[keep], offset[keep], moving[keep]
 
     def constant(self) -> int | None:
-        return int(self.offset[0]) if len(self.start) == 1 and not self.moving[0] else None
+        return int(self.offset[0]) if not self.pending and len(self.start) == 1 and not self.moving[0] else None
 
 
 def credit_after(credit: int, start: Sequence[int], offset: Sequence[int], moving: Sequence[bool]) -> int:
@@ -99,6 +118,7 @@ def _summaries(cost: int, cap: int) -> Callable:
             if fixed is not None:
                 pieces = ([0], [fixed], [False])
             else:
+                state.settle()
                 pieces = (state.start.tolist(), state.offset.tolist(), state.moving.tolist())
             return dict(zip(("key", "slice", "first_us", "last_us", "start", "offset", "moving"), (*current, first, last, *pieces)))
 

@@ -70,11 +70,11 @@ def scan_compliance(df: DataFrame, text: str, classes: Sequence[str] = ("pci", "
     Cards come first, so that phone and number patterns do not eat into them; each class sees what the
     class before has redacted. A class which is left out adds no columns to the plan.
     """
-    out, current, found = df, text, []
+    out, current, low, found = df, text, None, []
     for class_ in classes:
-        out = out.withColumn(f"_{class_}", apply_rules(current, PACKS[class_]))
+        out = out.withColumn(f"_{class_}", apply_rules(current, PACKS[class_], low=low))
         found.append(violations(F.col(f"_{class_}.hits"), class_))
-        current = f"_{class_}.text"
+        current, low = f"_{class_}.text", f"_{class_}.low"
     all_found = F.concat(F.expr(f"cast(array() AS array<{VIOLATION}>)"), *found)
     result = opaque(F.struct(F.col(current).alias("redacted"), all_found.alias("violations")))
     out = out.select(*df.columns, result.alias("_result"))

@@ -16,16 +16,32 @@ from gatesift.functions.expr import texts
 from gatesift.functions.regex import sql_text, to_java
 from gatesift.patterns.rule import Rule
 
-HITS = "array<struct<rule:int,pos:int,ok:boolean>>"
+HITS = "array<struct<rule:bigint,pos:int,ok:boolean>>"
 BLOCK = 256
 GROUP = 8
 
 
+# Letters by how often English prose uses them; a search which looks for a rare letter first is quick.
+COMMON = "etaoinshrdlcumwfgypbvkjxqz"
+NEEDLE = 4
+
+
+def _quick(needle: str) -> str:
+    """The part of a needed string, from its rarest letter on, that is searched for in its stead.
+
+    Where the whole stands the part stands too, so no match is missed.
+    """
+    starts = range(max(1, len(needle) - NEEDLE + 1))
+    return needle[min(starts, key=lambda i: (-COMMON.find(needle[i]) if needle[i] in COMMON else -len(COMMON) + (needle[i] == " ") * 99, i)):]
+
+
 def guard_sql(rule: Rule, text: str, low: str) -> str:
     """Condition under which the rule's own expression is worth trying."""
     parts = []
+    if rule.non_ascii:
+        parts.append(f"octet_length({text}) > char_length({text})")
     if rule.needs:
-        parts.append("(" + " OR ".join(f"contains({low}, {sql_text(n)})" for n in rule.needs) + ")")
+        parts.append("(" + " OR ".join(f"contains({low}, {sql_text(_quick(n))})" for n in rule.needs) + ")")
     if rule.screen:
         parts.append(f"{text} RLIKE {sql_text(to_java(rule.screen))}")
     return " AND ".join(parts) or "true"
@@ -91,69 +107,70 @@ def _starts_sql(pieces: str) -> str:
     )
 
 
-def _choose(rules: Sequence[Rule], branch) -> str:
-    """A two-level CASE on the rule number `k`."""
+def _choose(rules: Sequence[Rule], branch, step: int, first: int) -> str:
+    """A two-level CASE on the step number `k`: rule `i` has the number `step * i + first`."""
     groups = []
     for g in range(0, len(rules), GROUP):
-        inner = " ".join(f"WHEN k = {i} THEN {branch(rules[i])}" for i in range(g, min(g + GROUP, len(rules))))
-        groups.append(f"WHEN k < {g + GROUP} THEN CASE {inner} END")
+        part = range(g, min(g + GROUP, len(rules)))
+        inner = " ".join(f"WHEN k = {step * i + first} THEN {branch(rules[i])}" for i in part)
+        groups.append(f"WHEN k <= {step * part[-1] + first} THEN CASE {inner} END")
     return "CASE " + " ".join(groups) + " END"
 
 
-def apply_rules(text: str, rules: Sequence[Rule], *, first_only: bool = False, leet: str | None = None) -> Column:
-    """`struct(text, hits)` after the rules have run over the SQL expression `text` in order.
+def apply_rules(
+    text: str, rules: Sequence[Rule], *, first_only: bool = False, leet: str | None = None, low: str | None = None
+) -> Column:
+    """`struct(text, low, hits)` after the rules have run over the SQL expression `text` in order.
 
     A hit is `(rule, pos, ok)`: rule number, start in characters from 0 in the text of that step, and
     false for a match which failed its check. With `first_only` a rule gives one hit, position 0.
     `leet` names a second text which is searched as well; only starts not yet seen are added.
+    `low` names the lower-cased text where a stage before has it already.
     """
+    step = 1 if leet is None else 2
+    rule = "k" if leet is None else "k div 2"
     markers = "array(" + ", ".join(sql_text(r.marker) for r in rules) + ")"
     gated = "array(" + ", ".join("true" if r.luhn else "false" for r in rules) + ")"
     any_gated = any(r.luhn for r in rules)
-    state = {"text": text, "low": f"lower({text})", "hits": f"cast(array() AS {HITS})"}
+    state = {"text": text, "low": low or f"lower({text})", "hits": f"cast(array() AS {HITS})"}
     if leet is not None:
         state |= {"leet": leet, "leet_low": f"lower({leet})"}
 
-    def struct(source: str, **changed: str) -> str:
-        return "named_struct(" + ", ".join(f"'{f}', {changed.get(f, f'{source}.{f}')}" for f in state) + ")"
+    def struct(**changed: str) -> str:
+        return "named_struct(" + ", ".join(f"'{f}', {changed.get(f, f'a.{f}')}" for f in state) + ")"
 
-    def found(rule: Rule, text_sql: str, low_sql: str) -> str:
-        return f"IF({hit_sql(rule, text_sql, low_sql)}, {_pieces_sql(rule, text_sql)}, NULL)"
+    def searched(text_sql: str, low_sql: str, first: int, found: str) -> str:
+        """The state `found` builds from the pieces `h` where rule `k` matches, else the state as it is."""
+        test = _choose(rules, lambda r: hit_sql(r, text_sql, low_sql), step, first)
+        pieces = _choose(rules, lambda r: _pieces_sql(r, text_sql), step, first)
+        return f"IF({test}, element_at(transform(array({pieces}), h -> {found}), 1), a)"
 
-    here = _choose(rules, lambda r: found(r, "a.text", "a.low"))
-    kept = f"({gated}[k] AND NOT {luhn_sql('h.m[i]')})"
+    kept = f"({gated}[{rule}] AND NOT {luhn_sql('h.m[i]')})"
     if first_only:
-        hits = "array(named_struct('rule', k, 'pos', 0, 'ok', true))"
+        hits = f"array(named_struct('rule', {rule}, 'pos', 0, 'ok', true))"
     else:
         ok = f"NOT {kept}" if any_gated else "true"
-        hits = f"transform({_starts_sql('h')}, (pos, i) -> named_struct('rule', k, 'pos', pos, 'ok', {ok}))"
-    marker = f"IF({kept}, h.m[i], {markers}[k])" if any_gated else f"{markers}[k]"
+        hits = f"transform({_starts_sql('h')}, (pos, i) -> named_struct('rule', {rule}, 'pos', pos, 'ok', {ok}))"
+    marker = f"IF({kept}, h.m[i], {markers}[{rule}])" if any_gated else f"{markers}[{rule}]"
     new_text = f"array_join(transform(h.p, (piece, i) -> concat(piece, IF(i < size(h.m), {marker}, ''))), '')"
-    changed = struct("a", text="t", low="lower(t)", hits=f"concat(a.hits, {hits})")
-    step = (
-        f"element_at(transform(array({here}), h -> IF(h IS NULL, a, "
-        f"element_at(transform(array({new_text}), t -> {changed}), 1))), 1)"
-    )
+    changed = struct(text="t", low="lower(t)", hits=f"concat(a.hits, {hits})")
+    merge = searched("a.text", "a.low", 0, f"element_at(transform(array({new_text}), t -> {changed}), 1)")
     if leet is not None:
-        # While both texts are the same, the second can add nothing.
-        other = f"IF(a.text = a.leet, NULL, {_choose(rules, lambda r: found(r, 'a.leet', 'a.leet_low'))})"
-        seen = "transform(filter(z.hits, x -> x.rule = k), x -> x.pos)"
-        new = f"transform(array_except({_starts_sql('h')}, {seen}), p -> named_struct('rule', k, 'pos', p, 'ok', true))"
-        more = struct("z", hits=f"concat(z.hits, {new})")
-        step = (
-            f"element_at(transform(array({step}), z -> "
-            f"element_at(transform(array({other}), h -> IF(h IS NULL, z, {more})), 1)), 1)"
-        )
+        # Odd steps search the second text. While both texts are the same it can add nothing.
+        seen = f"transform(filter(a.hits, x -> x.rule = {rule}), x -> x.pos)"
+        new = f"transform(array_except({_starts_sql('h')}, {seen}), p -> named_struct('rule', {rule}, 'pos', p, 'ok', true))"
+        second = searched("a.leet", "a.leet_low", 1, struct(hits=f"concat(a.hits, {new})"))
+        merge = f"IF(k % 2 = 0, {merge}, IF(a.text = a.leet, a, {second}))"
     start = "named_struct(" + ", ".join(f"'{f}', {v}" for f, v in state.items()) + ")"
     return F.expr(
-        f"aggregate(sequence(0, {len(rules) - 1}), {start}, (a, k) -> {step}, "
-        "a -> named_struct('text', a.text, 'hits', a.hits))"
+        f"aggregate(sequence(0, {step * len(rules) - 1}), {start}, (a, k) -> {merge}, "
+        "a -> named_struct('text', a.text, 'low', a.low, 'hits', a.hits))"
     )
 
 
 def rule_column(rules: Sequence[Rule], attribute: str, index: Column) -> Column:
     """An attribute of the rule with a given number."""
-    return F.element_at(texts([getattr(r, attribute) for r in rules]), index + 1)
+    return F.element_at(texts([getattr(r, attribute) for r in rules]), (index + 1).cast("int"))
 
 
 def explode_hits(df: DataFrame, hits: str, rules: Sequence[Rule], keep: Sequence[str], type_prefix: str) -> DataFrame:

@@ -48,10 +48,22 @@ def request_summary(requests: DataFrame, now_us: Column) -> DataFrame:
 
 def rps(requests: DataFrame, window_s: int = 60) -> DataFrame:
     """Requests per second at each request: those of the last `window_s` seconds over its length."""
-    sliced = with_halo(requests.select("request_id", "at_us"), F.col("at_us"), 10 * window_s * SECOND, window_s * SECOND)
-    recent = Window.partitionBy("_slice").orderBy("at_us").rangeBetween(-window_s * SECOND + 1, 0)
-    counted = sliced.withColumn("in_window", F.count("*").over(recent))
-    return own_rows(counted).withColumn("rps", F.col("in_window") / window_s)
+    counted = _in_last(requests.select("request_id", "at_us"), window_s * SECOND, False)
+    return counted.drop("_gone").withColumn("rps", F.col("in_window") / window_s)
+
+
+def _in_last(rows: DataFrame, window_us: int, closed: bool) -> DataFrame:
+    """Each row with `in_window`, the rows of the time before it (its own instant included), and `_gone`.
+
+    The number is the difference of two running counts, so the cost per row does not grow with the
+    rows in the window. `closed` says whether a row exactly `window_us` old still counts.
+    """
+    sliced = with_halo(rows, F.col("at_us"), 10 * window_us, window_us)
+    ordered = Window.partitionBy("_slice").orderBy("at_us")
+    upto = F.count("*").over(ordered.rangeBetween(Window.unboundedPreceding, 0))
+    gone = F.count("*").over(ordered.rangeBetween(Window.unboundedPreceding, -window_us - (1 if closed else 0)))
+    counted = sliced.withColumns({"in_window": upto - gone, "_gone": gone})
+    return own_rows(counted)
 
 
 def rps_summary(requests: DataFrame, window_s: int = 60) -> DataFrame:
@@ -138,14 +150,20 @@ def client_totals(decisions: DataFrame, now_us: Column) -> DataFrame:
 def log_write_rate(writes: DataFrame, window_s: int = 60) -> DataFrame:
     """Writes per second at each write: those of the last minute over the time from the first to the last.
 
-    Where that time is zero the rate is their number.
+    Where that time is zero the rate is their number. The first write of a window is the one behind those
+    which have left it, so it is found by its rank.
     """
-    sliced = with_halo(writes.select("request_id", "at_us"), F.col("at_us"), 10 * window_s * SECOND, window_s * SECOND)
-    recent = Window.partitionBy("_slice").orderBy("at_us").rangeBetween(-window_s * SECOND, 0)
-    seen = sliced.withColumns({"n": F.count("*").over(recent), "_first": F.min("at_us").over(recent)})
+    window = window_s * SECOND
+    sliced = with_halo(writes.select("request_id", "at_us"), F.col("at_us"), 10 * window, window)
+    ordered = Window.partitionBy("_slice").orderBy("at_us")
+    gone = F.count("*").over(ordered.rangeBetween(Window.unboundedPreceding, -window - 1))
+    upto = F.count("*").over(ordered.rangeBetween(Window.unboundedPreceding, 0))
+    ranked = sliced.withColumns({"_gone": gone, "n": upto - gone, "_rank": F.row_number().over(Window.partitionBy("_slice").orderBy("at_us", "request_id"))})
+    first = ranked.select(F.col("_slice").alias("_s"), (F.col("_rank") - 1).alias("_g"), F.col("at_us").alias("_first"))
+    seen = own_rows(ranked.join(first, (F.col("_slice") == F.col("_s")) & (F.col("_gone") == F.col("_g"))))
     span = (F.col("at_us") - F.col("_first")) / SECOND
     rate = F.when(span == 0, F.col("n").cast("double")).otherwise(F.col("n") / span)
-    return own_rows(seen.withColumn("writes_per_second", rate)).drop("_first")
+    return seen.select("request_id", "at_us", "n", rate.alias("writes_per_second"))
 
 
 def counters(requests: DataFrame, bounds: Sequence[float] = G.DURATION_BUCKETS) -> DataFrame:

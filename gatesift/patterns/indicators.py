@@ -112,6 +112,7 @@ IOC_RULES = [
     Rule(
         "LLM.JB.003", r'[\x{202E}\x{200E}\x{200F}\x{2066}\x{2067}\x{2068}\x{2069}\x{200B}\x{200C}\x{200D}]', "high", MARKER,
         title="Unicode Obfuscation", kind="prompt_injection",
+        non_ascii=True,
     ),
     Rule(
         "LLM.JB.004", r'(?i)(?:poem|rhyme|verse|lyric|ballad|sonnet|ode|elegy).*(?:about|regarding|concerning).*(?:instruction|request|command)', "medium", MARKER,
@@ -128,6 +129,7 @@ IOC_RULES = [
         title="Language Mixing", kind="prompt_injection",
         screen=r'[А-Яа-яα-ωΑ-Ω一-龯가-힣]',
         by_line=True,
+        non_ascii=True,
     ),
     Rule(
         "LLM.ML.003", r'(?i)(?:transliteration|latin.*script|romanization|pinyin|jyutping|romanized).*(?:instruction|prompt|request)', "medium", MARKER,
@@ -139,6 +141,7 @@ IOC_RULES = [
         title="Code-Switching Attack", kind="prompt_injection",
         screen=r'[А-Яа-я]',
         by_line=True,
+        non_ascii=True,
     ),
     Rule(
         "LLM.ML.005", r'(?i)(?:[a-zA-Z]+).*(?:festival|festival|fête|fête|feast|celebration|ceremony|ritual|tradition|custom).*(?:instruction|prompt|request)', "medium", MARKER,
@@ -252,22 +255,27 @@ IOC_RULES = [
     Rule(
         "POLY.004", r'[☺☹☝😀-🙏🌀-🏿]', "medium", MARKER,
         title="Emoji Obfuscation", kind="prompt_injection",
+        non_ascii=True,
     ),
     Rule(
         "POLY.005", r'[Ѐ-ӿ]', "high", MARKER,
         title="Mixed Script Attack", kind="prompt_injection",
+        non_ascii=True,
     ),
     Rule(
         "POLY.006", r'[\x{202E}]', "critical", MARKER,
         title="Reverse Text Attack", kind="prompt_injection",
+        non_ascii=True,
     ),
     Rule(
         "POLY.007", r'[\x{200B}\x{200C}\x{200D}]', "high", MARKER,
         title="Zero Width Characters", kind="prompt_injection",
+        non_ascii=True,
     ),
     Rule(
         "POLY.008", r'[а-яА-Я]', "high", MARKER,
         title="Homoglyph Attack", kind="prompt_injection",
+        non_ascii=True,
     ),
     Rule(
         "PI.VELOCITY.001", r'#set\s*\(\s*\$\w+\s*=\s*\$\w+\.(?:forName|getClass|getMethod|invoke|exec|runtime)\b', "critical", MARKER,

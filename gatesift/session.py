@@ -18,6 +18,8 @@ def build_session(app: str = "gatesift", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Lower-casing by the JVM: the packs need it only to look for ASCII strings.
+        "spark.sql.icu.caseMappings.enabled": "false",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
         **conf,
     }

@@ -64,6 +64,7 @@ def test_credit_map_stays_small():
         state.request(refill)
         direct = [L._spend(c, refill, cost, burst * cost)[0] for c in direct]
         assert len(state.start) <= 3 * burst
+    state.settle()
     pieces = (state.start.tolist(), state.offset.tolist(), state.moving.tolist())
     assert [L.credit_after(c, *pieces) for c in checks] == direct
 

@@ -38,7 +38,7 @@ def results(df, rules):
 
 @pytest.mark.parametrize("pack", list(PACKS))
 def test_guards_change_nothing(spark, pack):
-    bare = [dataclasses.replace(r, needs=(), screen="", by_line=False) for r in PACKS[pack]]
+    bare = [dataclasses.replace(r, needs=(), screen="", by_line=False, non_ascii=False) for r in PACKS[pack]]
     df = texts(spark)
     assert results(df, PACKS[pack]) == results(df, bare)
 

@@ -164,6 +164,13 @@ def test_signing(spark):
     assert one(spark, signing.from_base64url, encoded + ["a", "!!"]) == ["a", "ab", "abc", "ÿ?>" * 40, None, None]
 
 
+def test_sql_text(spark):
+    from gatesift.functions.regex import sql_text
+
+    for text in ("${user.name} $1 \\$", "it's", 'a"b', "back\\slash\\u0041", "line\nfeed\r\t", "é\u202e\U0001F600", "%_", "${system:x}", ""):
+        assert spark.range(1).select(F.expr(sql_text(text))).first()[0] == text
+
+
 def test_dialect(spark):
     """Where the JVM's engine differs from RE2, the translated pattern follows RE2."""
     cases = [
