@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gatesift.functions.regex import sql_text
 
+# White space between words: ASCII, next line and the Unicode separators.
+BLANK = r"\s\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SEVERITIES = ("low", "medium", "high", "critical")
 
 
@@ -44,7 +46,7 @@ def severity_name(rank: Column) -> Column:
 
 def fields(text: Column) -> Column:
     """The words of a text: runs without white space."""
-    return F.filter(F.split(text, r"[\s\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != "")
 
 
 def epoch_micros(ts: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gatesift.functions.expr import fields, let
+from gatesift.functions.expr import BLANK, fields, let
 from gatesift.patterns import content as C
 
 _FULLWIDTH = "".join(map(chr, range(0xFF01, 0xFF5F)))
@@ -56,10 +56,8 @@ def normalize_leet(text: Column) -> Column:
 
 def collapse_spacing(text: Column) -> Column:
     """`i g n o r e` as `ignore`: more than three words, all of one character, are joined."""
-    return let(
-        fields(text),
-        lambda w: F.when((F.size(w) > 3) & F.forall(w, lambda x: F.char_length(x) == 1), F.array_join(w, "")).otherwise(text),
-    )
+    joined = let(fields(text), lambda w: F.when(F.size(w) > 3, F.array_join(w, "")).otherwise(text))
+    return F.when(F.rlike(text, F.lit(f"[^{BLANK}][^{BLANK}]")), text).otherwise(joined)
 
 
 def strip_invisible(text: Column) -> Column:
@@ -140,7 +138,9 @@ def has_repetition(text: Column) -> Column:
         )
         return F.when(F.size(words) > C.WORD_RUN_MIN_WORDS, found).otherwise(F.lit(False))
 
-    return F.rlike(text, F.lit(r"([\x00-\x7F])\1{49}")) | let(fields(text), long_run)
+    # Words are only cut where some word stands twice in a row.
+    doubled = F.rlike(text, F.lit(f"(?<![^{BLANK}])([^{BLANK}]++)[{BLANK}]++\\1(?![^{BLANK}])"))
+    return F.rlike(text, F.lit(r"([\x00-\x7F])\1{49}")) | F.when(doubled, let(fields(text), long_run)).otherwise(F.lit(False))
 
 
 def limit_repetition(text: Column) -> Column:
