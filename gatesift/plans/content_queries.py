@@ -274,8 +274,8 @@ def _pipeline() -> str:
     parts = [
         I.DOCUMENTS,
         f"fold AS MATERIALIZED (SELECT doc_id, {_FOLDED} AS text, text AS original, length(text) - length(translate(text, {K.q(T.FOLD_FROM)}, '')) AS n FROM documents_in)",
-        step("cmd", "fold", C.COMMAND_RULES),
-        step("sec", "cmd", SECRET_RULES),
+        step("cmd", "fold", C.COMMAND_RULES, positions=False),
+        step("sec", "cmd", SECRET_RULES, positions=False),
         step("xss", "sec", C.XSS_RULES, first_only=True),
         blobs("xblobs", "xss", f"regexp_matches({body}, {K.q(C.XSS_INDICATOR)})"),
         f"""plain AS MATERIALIZED (SELECT doc_id, original, coalesce(list_reduce(list_prepend(x.text, bs),
@@ -292,7 +292,7 @@ def _pipeline() -> str:
         blobs("pblobs", "form", keywords),
         f"flat AS MATERIALIZED (SELECT doc_id, t AS text, {_LEET.format('t')} AS leet FROM (SELECT doc_id, {_COLLAPSED} AS t FROM form))",
         step("prompt", "flat", PROMPT_RULES, leet="leet"),
-        step("ioc", "prompt", IOC_RULES),
+        step("ioc", "prompt", IOC_RULES, positions=False),
         f"norm AS MATERIALIZED (SELECT doc_id, text, {K.normalized('text')} AS t FROM ioc)",
         f"""lits AS MATERIALIZED (SELECT doc_id, id, severity,
   unnest(list_filter(range(1, length(t) + 1), lambda i: starts_with(substr(t, i), literal))) AS at
@@ -366,7 +366,7 @@ _LITERAL_ROWS = ", ".join(f"({K.q(l)}, {K.q(i)}, {K.q(t)}, {K.q(s)})" for l, i,
 
 def _response_sql(rules, type_: str) -> str:
     rows = ", ".join(f"({i}, {K.q(r.regex)})" for i, r in enumerate(rules))
-    return _sql(f"""SELECT doc_id, {K.q(type_)} AS type, k AS rule, regexp_extract(text, p) AS match
+    return _sql(f"""SELECT doc_id, {K.q(type_)} AS type, k::BIGINT AS rule, regexp_extract(text, p) AS match
 FROM documents_in, (VALUES {rows}) AS t(k, p) WHERE regexp_matches(text, p)""")
 
 

@@ -42,8 +42,8 @@ def luhn(text: str) -> str:
     )
 
 
-def chain(text: str, rules: Sequence[Rule], *, first_only: bool = False, leet: str | None = None) -> str:
-    """`{t, h}` after the rules have run in order; a hit is `{k, p, ok}`."""
+def chain(text: str, rules: Sequence[Rule], *, first_only: bool = False, leet: str | None = None, positions: bool = True) -> str:
+    """`{t, h}` after the rules have run in order; a hit is `{k, p, ok}`, with `p` 0 if not asked for."""
     gated = any(r.luhn for r in rules)
     rows = ", ".join(
         f"{{'t': {q(r.regex)}, 'm': {q(r.marker)}, 'k': {i}, 'g': {str(r.luhn).lower()}, "
@@ -62,6 +62,8 @@ def chain(text: str, rules: Sequence[Rule], *, first_only: bool = False, leet: s
 
     if first_only:
         hits = "CASE WHEN regexp_matches(a.t, x.t) THEN [{'k': x.k, 'p': 0::BIGINT, 'ok': true}] ELSE [] END"
+    elif not positions:
+        hits = "list_transform(regexp_extract_all(a.t, x.t), lambda m: {'k': x.k, 'p': 0::BIGINT, 'ok': true})"
     else:
         hits = starts("a.t", f"NOT (x.g AND NOT {luhn('z.m[i]')})" if gated else "true")
     if leet is not None:

@@ -255,7 +255,7 @@ ORACLES = {
     "parse_envelope": K.with_(I.ENVELOPES)
     + f"SELECT env_id, {_string('$.jsonrpc')} AS jsonrpc, {_string('$.method')} AS method, "
       f"CASE WHEN {_VALID} THEN json_extract_string(raw, '$.id') END AS id, {_string('$.params.name')} AS tool_name FROM envelopes_in",
-    "validate_envelope": K.with_(I.ENVELOPES) + f"SELECT env_id, {_ERROR} AS code FROM envelopes_in",
+    "validate_envelope": K.with_(I.ENVELOPES) + f"SELECT env_id, CAST({_ERROR} AS BIGINT) AS code FROM envelopes_in",
     "header_body_mismatch": K.with_(I.ENVELOPES) + f"SELECT env_id, {_MISMATCH} AS reason FROM envelopes_in",
     "filter_meta_keys": K.with_(I.ENVELOPES)
     + f"""SELECT env_id, array_to_string(list_sort(list_filter(ks, lambda k: list_contains({K.qlist(G.META_ALLOWED)}, k))), ',') AS kept,
@@ -327,7 +327,7 @@ gates AS (SELECT env_id, coalesce({_ERROR}, 0) = -32700 AS malformed, {_MISMATCH
   regexp_matches(lower({_string('$.params.name')}), '^(delete_|drop_|purge_|format_|overwrite_)') AS approval FROM envelopes_in)
 SELECT env_id, CASE WHEN malformed THEN 'malformed' WHEN mismatch THEN 'header_mismatch' WHEN meta THEN 'meta' WHEN anomaly THEN 'anomaly'
   WHEN content THEN 'content' WHEN compliance THEN 'compliance' WHEN ssrf THEN 'ssrf' WHEN approval THEN 'approval' END AS gate,
-  CASE WHEN malformed OR mismatch THEN 400 WHEN meta OR anomaly OR content OR compliance OR ssrf OR approval THEN 403 ELSE 200 END AS status,
-  CASE WHEN malformed OR mismatch THEN -32600 WHEN meta OR anomaly OR content THEN -32000 WHEN compliance THEN -32001
-    WHEN ssrf OR approval THEN -32000 END AS code FROM gates""",
+  CAST(CASE WHEN malformed OR mismatch THEN 400 WHEN meta OR anomaly OR content OR compliance OR ssrf OR approval THEN 403 ELSE 200 END AS BIGINT) AS status,
+  CAST(CASE WHEN malformed OR mismatch THEN -32600 WHEN meta OR anomaly OR content THEN -32000 WHEN compliance THEN -32001
+    WHEN ssrf OR approval THEN -32000 END AS BIGINT) AS code FROM gates""",
 }

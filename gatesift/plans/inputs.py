@@ -140,8 +140,8 @@ REQUESTS = f"""requests_base AS (
 requests_in AS (
   SELECT event_id AS request_id, at_us, CAST(round(value * 1000000) AS BIGINT) AS duration_ns, event_type AS method,
          '/api/' || event_type AS path,
-         CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'signup' THEN 201
-              WHEN event_type = 'purchase' AND k >= 90 THEN 429 ELSE 200 END AS status,
+         CAST(CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'signup' THEN 201
+              WHEN event_type = 'purchase' AND k >= 90 THEN 429 ELSE 200 END AS BIGINT) AS status,
          k * 10 AS bytes_in, k * 1000 AS bytes_out, 'u' || user_id AS user_id, 'c' || (user_id % 5) AS client,
          's' || (user_id % 20) AS session_id, '10.0.0.' || (user_id % 250) AS client_ip,
          'agent/' || (user_id % 3) AS user_agent, k,

@@ -152,9 +152,9 @@ ORACLES = {
     "log_write_rate": _sql("""SELECT request_id, n, round(CASE WHEN at_us = f THEN n ELSE n / ((at_us - f) / 1000000) END, 6) AS writes_per_second FROM (
   SELECT request_id, at_us, count(*) OVER w AS n, min(at_us) OVER w AS f FROM requests_in
   WINDOW w AS (ORDER BY at_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW))"""),
-    "counters": _sql(f"""SELECT le, count(*) FILTER (duration_ns <= le * 1e9 OR le IS NULL) AS requests,
+    "counters": _sql(f"""SELECT CAST(le AS DOUBLE) AS le, count(*) FILTER (duration_ns <= le * 1e9 OR le IS NULL) AS requests,
   count(*) FILTER ((duration_ns <= le * 1e9 OR le IS NULL) AND status BETWEEN 400 AND 499) AS blocked
-FROM requests_in, (VALUES {_BOUNDS}, (NULL)) AS b(le) GROUP BY le"""),
+FROM requests_in, (VALUES {_BOUNDS}, (NULL)) AS b(le) GROUP BY b.le"""),
     "access_log": _sql("SELECT request_id, client_ip, method, path, status AS status_code, duration_ns // 1000000 AS duration_ms, user_agent FROM requests_in"),
     "client_ip": _sql(f"""SELECT request_id, CASE WHEN client_ip NOT IN ({", ".join(map(K.q, TRUSTED))}) THEN client_ip
   WHEN k % 4 = 1 THEN '9.9.9.9' WHEN k % 4 <> 0 THEN '203.0.113.5' WHEN k % 3 = 0 THEN '198.51.100.7' ELSE client_ip END AS ip FROM requests_in"""),
