@@ -10,13 +10,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatesift.patterns import gates as G
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
+HOUR = 60 * MINUTE
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, output: str) -> DataFrame:
@@ -44,6 +45,29 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
 
 
+def by_silence(df: DataFrame, keys: Sequence[str], silence_us: int, slice_us: int) -> DataFrame:
+    """The rows with `segment`: the number of pauses longer than `silence_us` in their key so far.
+
+    After such a pause a key has no state left, so its segments can be scanned in different tasks. The
+    number is found slice by slice.
+    """
+    keys = [*keys, "_slice"]
+    inside = Window.partitionBy(*keys).orderBy("at_us", "request_id")
+    rows = df.withColumn("_slice", F.expr(f"at_us div {slice_us}"))
+    pause = F.when(F.col("at_us") - F.lag("at_us").over(inside) > silence_us, 1).otherwise(0)
+    rows = rows.withColumn("_pause", pause)
+    rows = rows.withColumn("_inside", F.sum("_pause").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # Per slice its pauses, and whether it begins with one; summed up over the slices of a key.
+    ends = rows.groupBy(*keys).agg(F.min("at_us").alias("_from"), F.max("at_us").alias("_to"), F.sum("_pause").alias("_pauses"))
+    across = Window.partitionBy(*keys[:-1]).orderBy("_slice")
+    begins = F.when(F.col("_from") - F.lag("_to").over(across) > silence_us, 1).otherwise(0)
+    upto = across.rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.col("_begins") + F.col("_pauses")).over(upto) - F.col("_pauses")
+    carry = ends.withColumn("_begins", begins).select(*keys, total.alias("_carry"))
+    joined = rows.join(carry, keys)
+    return joined.withColumn("segment", F.col("_inside") + F.col("_carry")).drop("_slice", "_pause", "_inside", "_carry")
+
+
 # Token bucket. Credit is counted in microseconds of refill, so that all arithmetic is exact.
 
 
@@ -204,7 +228,9 @@ def token_bucket(
     return decided.mapInPandas(_replayed(cost, cap), "request_id bigint, key string, at_us bigint, allowed boolean")
 
 
-def replay(messages: DataFrame, session: str, message: str, ttl_us: int = G.REPLAY_TTL * SECOND) -> DataFrame:
+def replay(
+    messages: DataFrame, session: str, message: str, ttl_us: int = G.REPLAY_TTL * SECOND, slice_us: int = HOUR
+) -> DataFrame:
     """`request_id` and `replayed`: the same message of a session within `ttl_us` of its first accepted sighting.
 
     After that time the next sighting is accepted again and starts a new one.
@@ -213,8 +239,10 @@ def replay(messages: DataFrame, session: str, message: str, ttl_us: int = G.REPL
         at = row[3]
         return (at, False) if first is None or at - first > ttl_us else (first, True)
 
+    keys = ["session", "message"]
     rows = messages.select("request_id", F.col(session).alias("session"), F.col(message).alias("message"), "at_us")
-    return ordered_scan(rows, ["session", "message"], ["at_us", "request_id"], step, "replayed")
+    rows = by_silence(rows, keys, ttl_us, slice_us).select("request_id", *keys, "at_us", "segment")
+    return ordered_scan(rows, [*keys, "segment"], ["at_us", "request_id"], step, "replayed")
 
 
 def rotation_step(state, sid: str, at: int, limit: int, window_us: int):
@@ -232,7 +260,8 @@ def rotation_step(state, sid: str, at: int, limit: int, window_us: int):
 
 
 def sid_rotation(
-    requests: DataFrame, identity: str, sid: str, limit: int = G.ROTATION_LIMIT, window_us: int = G.ROTATION_WINDOW * SECOND
+    requests: DataFrame, identity: str, sid: str, limit: int = G.ROTATION_LIMIT, window_us: int = G.ROTATION_WINDOW * SECOND,
+    slice_us: int = HOUR,
 ) -> DataFrame:
     """`request_id` and `honored`: whether a client's session identifier is used or the shared key instead.
 
@@ -243,4 +272,5 @@ def sid_rotation(
         return rotation_step(state, row[2], row[3], limit, window_us)
 
     rows = requests.select("request_id", F.col(identity).alias("identity"), F.col(sid).alias("sid"), "at_us")
-    return ordered_scan(rows, ["identity"], ["at_us", "request_id"], step, "honored")
+    rows = by_silence(rows, ["identity"], window_us, slice_us).select("request_id", "identity", "sid", "at_us", "segment")
+    return ordered_scan(rows, ["identity", "segment"], ["at_us", "request_id"], step, "honored")

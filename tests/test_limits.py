@@ -77,8 +77,9 @@ def test_replay(spark):
         expected[i] = first is not None and at - first <= 60 * SECOND
         if not expected[i]:
             seen[key, msg] = at
-    got = L.replay(frame(spark, rows), "key", "msg").collect()
-    assert {r["request_id"]: r["replayed"] for r in got} == expected
+    for slice_us in (10 * SECOND, L.HOUR):
+        got = L.replay(frame(spark, rows), "key", "msg", slice_us=slice_us).collect()
+        assert {r["request_id"]: r["replayed"] for r in got} == expected
 
 
 def test_replay_cases(spark):
@@ -103,8 +104,9 @@ def test_sid_rotation(spark):
             degraded = len(ids) > 20
             expected[i] = not degraded
         state[key] = (ids, degraded)
-    got = L.sid_rotation(frame(spark, rows), "key", "sid").collect()
-    assert {r["request_id"]: r["honored"] for r in got} == expected and not all(expected.values())
+    for slice_us in (10 * SECOND, L.HOUR):
+        got = L.sid_rotation(frame(spark, rows), "key", "sid", slice_us=slice_us).collect()
+        assert {r["request_id"]: r["honored"] for r in got} == expected and not all(expected.values())
 
 
 def test_recon_rate(spark):
