@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatesift.functions import jsonv as J
 from gatesift.functions.signing import base64url, from_base64url, hmac_sha256
-from gatesift.operators.slices import previous_row
+from gatesift.operators.slices import previous_row, side_by_side
 
 IDS_PER_SLICE = 1_000_000
 GAP_CHUNK = 10_000
@@ -49,8 +49,7 @@ def verify_audit(log: DataFrame, key: bytes) -> DataFrame:
         F.count("*").alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid")
     )
     missing = sequence_gaps(log).agg(F.count("*").alias("missing"))
-    both = counted.withColumn("_k", F.lit(0)).join(missing.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    return both.withColumn("intact", (F.col("invalid") == 0) & (F.col("missing") == 0))
+    return side_by_side(counted, missing).withColumn("intact", (F.col("invalid") == 0) & (F.col("missing") == 0))
 
 
 def sign_token(claims: Column, key: bytes) -> Column:

@@ -58,3 +58,9 @@ def running_total(df: DataFrame, keys: Sequence[str], slice_: Column, order: Seq
     carry = totals.select(*keys, SLICE, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry"))
     joined = rows.withColumn("_inside", F.sum("_amount").over(inside)).join(carry, [*keys, SLICE], "left")
     return joined.withColumn(name, F.col("_inside") + F.col("_carry")).drop(SLICE, "_amount", "_inside", "_carry")
+
+
+def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row results with different columns as one row, without a join."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

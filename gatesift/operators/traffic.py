@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatesift.operators.slices import own_rows, previous_row, running_total, with_halo
+from gatesift.operators.slices import own_rows, previous_row, running_total, side_by_side, with_halo
 from gatesift.patterns import gates as G
 
 SECOND = 1_000_000
@@ -43,7 +43,7 @@ def request_summary(requests: DataFrame, now_us: Column) -> DataFrame:
         F.expr("sum(duration_ns) div count(*)").alias("average_ns"),
         F.get(times, F.expr("cast(count(*) div 2 as int)")).alias("median_ns"),
     )
-    return totals.withColumn("_k", F.lit(0)).join(recent.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return side_by_side(totals, recent)
 
 
 def rps(requests: DataFrame, window_s: int = 60) -> DataFrame:
@@ -100,7 +100,7 @@ def health_summary(requests: DataFrame, now_us: Column) -> DataFrame:
     fresh = F.when(F.col("at_us") > now_us - 60 * SECOND, F.size("attacks")).otherwise(0)
     attacks = last.agg(F.coalesce(F.sum(fresh), F.lit(0)).cast("bigint").alias("attacks_last_minute"))
     average = request_summary(requests, now_us).select("average_ns")
-    both = attacks.withColumn("_k", F.lit(0)).join(average.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    both = side_by_side(attacks, average)
     slow = F.col("average_ns") > F.lit(int(G.SLOW_AVERAGE * 1_000_000_000))
     many = F.col("attacks_last_minute") > G.ATTACKS_PER_MINUTE
     return both.withColumn("status", F.when(slow, "warning").when(many, "critical").otherwise("healthy"))

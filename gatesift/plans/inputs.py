@@ -160,7 +160,7 @@ SCOPES = ['"scope":"read write"', '"scope":"read admin"', '"scp":["a","write:all
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as JSON-RPC calls, some of them malformed, with their headers."""
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations"), "conv_id")
     v = F.col("conv_id") * 8 + F.col("turn")
     tool = pick(TOOLS, v)
     target = F.concat(F.lit("http://"), pick([h.replace("HOST", "example.org") for h in S.URL_HOSTS], v), F.lit("/x"))
@@ -215,7 +215,7 @@ envelopes_in AS (
 
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as results of a tool: their address as text, their source as a panel."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"), "page_id")
     host = pick(S.URL_HOSTS, F.col("page_id"))
     seen = F.when(host == "HOST", F.col("url")).otherwise(F.concat(F.lit("http://"), host, F.lit("/p")))
     first = json_escaped(F.concat(F.lit("see "), seen, F.lit(" now\n"), pick(S.PAYLOADS, F.col("page_id"))))
