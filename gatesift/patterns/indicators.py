@@ -147,6 +147,7 @@ IOC_RULES = [
         "LLM.ML.005", r'(?i)(?:[a-zA-Z]+).*(?:festival|festival|fête|fête|feast|celebration|ceremony|ritual|tradition|custom).*(?:instruction|prompt|request)', "medium", MARKER,
         title="Cultural Context Attack", kind="prompt_injection",
         needs=("festival", "fête", "feast", "celebration", "ceremony", "ritual", "tradition", "custom"),
+        screen=r'(?i)(?:festival|fête|feast|celebration|ceremony|ritual|tradition|custom).*(?:instruction|prompt|request)',
         by_line=True,
     ),
     Rule(
@@ -250,6 +251,7 @@ IOC_RULES = [
         "POLY.003", r'(?i)(?:[a-z0-9]).*(?:1|!|3|@|4|$|5|6|7|8|9|0).*(?:ignore|override|bypass|disable|reset|forget|pr3v1ous)', "high", MARKER,
         title="Leet Speak Bypass", kind="prompt_injection",
         needs=("ignore", "override", "bypass", "disable", "reset", "forget", "pr3v1ous"),
+        screen=r'(?i)[1!3@4567890].*(?:ignore|override|bypass|disable|reset|forget|pr3v1ous)',
         by_line=True,
     ),
     Rule(
