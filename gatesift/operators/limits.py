@@ -5,16 +5,21 @@ Input rows have `request_id` and `at_us` (microseconds); rows of a key count in
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatesift.patterns import gates as G
 
+# The few functions which run in Python workers travel with the plan, so workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE

@@ -8,9 +8,11 @@ it cannot matter any more. On ordered input the results equal those of the batch
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from gatesift.operators.limits import MINUTE, SECOND, rotation_step
 from gatesift.patterns import gates as G
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUT = "request_id bigint, key string, at_us bigint, {name} {type}"
 
 

@@ -186,3 +186,17 @@ def test_client_ip(spark):
     for r in df.select("*", R.client_ip(F.col("remote"), F.col("fwd"), F.col("real"), ["10.0.0.1"]).alias("got")).collect():
         assert r["got"] == r["expected"]
     assert df.select(R.client_ip(F.col("remote"), F.col("fwd"), F.col("real"), [])).first()[0] == "10.0.0.1"
+
+
+def test_workers_need_no_package(tmp_path):
+    """What runs in Python workers can be loaded where the package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    for i, f in enumerate((L._summaries(600, 1200), L._carry(600, 1200), L._replayed(600, 1200), L.rotation_step)):
+        path = tmp_path / f"{i}.pkl"
+        path.write_bytes(cloudpickle.dumps(f))
+        code = f"import pickle; pickle.load(open({str(path)!r}, 'rb'))"
+        subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, check=True)
