@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,10 +82,14 @@ def in_bitmap(rows: DataFrame, key: str, bitmap: DataFrame, bits: int, flag: str
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], hit.alias(flag))
 
 
-def by_value(*functions: Callable) -> None:
-    """Registers the modules of worker functions, so that they are pickled by value."""
-    for f in functions:
-        cloudpickle.register_pickle_by_value(sys.modules[f.__module__])
+def per_worker(key: tuple, make: Callable[[], Any], most: int = 8) -> Any:
+    """What `make` returns, made once per Python process: workers are used again for many tasks."""
+    kept = sys.__dict__.setdefault("_gatesift_per_worker", {})
+    if key not in kept:
+        while len(kept) >= most:
+            kept.pop(next(iter(kept)))
+        kept[key] = make()
+    return kept[key]
 
 
 def text_or_empty(text: str) -> Column:

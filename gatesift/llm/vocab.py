@@ -6,10 +6,11 @@ import json
 import re
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark import cloudpickle
 
+from gatesift.llm.common import per_worker
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the published pattern of the byte-level pre-tokenizer; letters and digits, the most frequent, come first.
@@ -24,40 +25,45 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str):
     """The library's tokenizer for a .json vocabulary."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return per_worker(("tokenizer", path), lambda: Tokenizer.from_file(path))
 
 
-@lru_cache(maxsize=4)
 def special_tokens(path: str) -> dict[str, int]:
-    return {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()}
+    return per_worker(("special", path), lambda: {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()})
 
 
-@lru_cache(maxsize=4)
 def is_byte_level(path: str) -> bool:
     """True for vocabularies without normalizer whose pre-tokenizer is the published byte-level pattern."""
-    spec = json.loads(tokenizer(path).to_str())
-    pre = spec.get("pre_tokenizer") or {}
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]) for t in spec["added_tokens"])
-    return plain and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+
+    def look() -> bool:
+        spec = json.loads(tokenizer(path).to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        simple = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"])
+        own = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+        return simple and own and not spec.get("normalizer")
+
+    return per_worker(("byte level", path), look)
 
 
-@lru_cache(maxsize=4)
 def fast_encoding(path: str):
     """The same vocabulary in tiktoken, which yields the same ids several times faster; None where the kinds differ."""
-    if not is_byte_level(path):
-        return None
-    import tiktoken
-
-    of = byte_characters()
-    special = special_tokens(path)
-    vocab = json.loads(tokenizer(path).to_str())["model"]["vocab"]
-    ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=special)
+
+    def build():
+        if not is_byte_level(path):
+            return None
+        import tiktoken
+
+        of = byte_characters()
+        special = special_tokens(path)
+        vocab = json.loads(tokenizer(path).to_str())["model"]["vocab"]
+        ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in special}
+        return tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=special)
+
+    return per_worker(("encoding", path), build)
 
 
 BREAK = re.compile(r"(?<=\S) (?=\S)")  # a single space between two words always begins a pre-token
