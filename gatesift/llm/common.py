@@ -55,11 +55,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     is_hot = F.col(size) * SHARE > total
     hot = groups.filter(is_hot).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
     rest = groups.filter(~is_hot).select(F.col(key).alias("_rest_key"), F.struct(*values).alias("_rest"))
+    binary = rows.schema[key].dataType.typeName() == "binary"
+    as_text = lambda c: F.hex(c) if binary else F.col(c).cast("string")
     own = F.concat(F.lit("#"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string"))
     found = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
-        "_key", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), own).otherwise(F.col(key).cast("string"))
+        "_key", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), own).otherwise(as_text(key))
     )
-    found = found.join(rest.withColumn("_rest_key", F.col("_rest_key").cast("string")), F.col("_key") == F.col("_rest_key"), "left")
+    found = found.join(rest.withColumn("_rest_key", as_text("_rest_key")), F.col("_key") == F.col("_rest_key"), "left")
     got = F.coalesce("_hot", "_rest")
     return found.select(*[F.col(f"`{c}`") for c in rows.columns], *[got[v].alias(v) for v in values])
 
