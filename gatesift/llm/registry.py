@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatesift.llm import chat, decontam, exact_dedup, jaccard, packing, pii, token_counts, toxicity, warc
+from gatesift.llm import chat, decontam, exact_dedup, jaccard, licenses, packing, pii, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard": op5_jaccard,
     "op6_pii": op6_pii,
     "op7_decontam": op7_decontam,
+    "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -131,6 +136,7 @@ items AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
        sha256(coalesce(t.joined, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
 FROM doc_words d LEFT JOIN covered c USING (doc_id) LEFT JOIN items t USING (doc_id)""",
+    "op8_licenses": licenses.oracle_sql(),
     "op10_exact_dedup": r"""
 WITH normed AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
