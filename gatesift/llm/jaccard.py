@@ -207,9 +207,10 @@ class Join:
         return spread.withColumn("_list", F.count("*").over(Window.partitionBy("token"))).filter("_list > 1").select("token", "class", "n", "pos")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Overlap and sizes of pairs `a, b, group`; pairs of a group meet in one order, so that similar sets follow each other."""
-        left = self.sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
-        right = self.sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
+        """Which of the pairs `a, b` (a saved table) are linked. Only sets that occur in a pair are read and moved."""
+        sets = saved(self._sets_of(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()))
+        left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
+        right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
         rows = pairs.join(left, "a").join(right, "b").select("a", "set_a", "b", "set_b")
         found = rows.sortWithinPartitions("a", "b").mapInArrow(_overlaps, "a binary, b binary, both bigint, n_a bigint, n_b bigint")
         linked = 100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
@@ -235,12 +236,11 @@ class Join:
             near.select("token", F.col("n_y").alias("n"), F.col("pos_y").alias("pos"), F.col("lead_y").alias("lead"))
         ).distinct()
         active = saved(shared.join(used, place))
-        self.sets = saved(self._sets_of(active.select("class").distinct()))
 
         own = near.filter("lead_x = lead_y and n_x = n_y and pos_x = pos_y").select("token", F.col("n_x").alias("n"), F.col("pos_x").alias("pos"))
         members = active.join(own, place, "left_semi").filter("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b"))
         leaders = near.filter("lead_x <> lead_y").select(F.least("lead_x", "lead_y").alias("a"), F.greatest("lead_x", "lead_y").alias("b"))
-        done = self.verified(members.unionByName(leaders).distinct())
+        done = self.verified(saved(members.unionByName(leaders).distinct()))
         labels = saved(self.labelled(done.filter("linked")))
 
         for all_entries in (False, True):

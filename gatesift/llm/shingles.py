@@ -79,20 +79,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(offsets, np.concatenate(places), side="right") - 1
 
 
+def _weights(words: int, size: int) -> np.ndarray:
+    """An unrelated odd number per place in a sequence of a size: sums over permuted words differ."""
+    return mixed(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(size)) | np.uint64(1)
+
+
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     """Per text the sorted distinct shingles; a text with fewer words has its whole sequence as one, one without words none."""
     hashes, text = word_hashes(texts)
     bounds = np.searchsorted(text, np.arange(len(texts) + 1))
     total = np.zeros(max(len(hashes) - words + 1, 0), np.uint64)
-    for k in range(words):
-        total += hashes[k : len(total) + k] * np.uint64(2 * k + 0x632BE59BD9B4E01B + (k << 33))
+    for k, weight in enumerate(_weights(words, words)):
+        total += hashes[k : len(total) + k] * weight
     total = mixed(total)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= words:
             yield np.unique(total[a : b - words + 1])
         elif b > a:
-            size = int(b - a)
-            few = sum((int(h) * (2 * k + 0x2545F4914F6CDD1D + (size << 40)) for k, h in enumerate(hashes[a:b])), size)
-            yield mixed(np.array([few & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))
+            yield mixed(np.sum(hashes[a:b] * _weights(b - a, int(b - a)), dtype=np.uint64, keepdims=True))
         else:
             yield np.zeros(0, np.uint64)
