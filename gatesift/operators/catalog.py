@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatesift.functions.regex import sql_text, to_java
+from gatesift.functions.regex import low_sql, sql_text, to_java
 from gatesift.operators.rewrite import hit_sql
 from gatesift.operators.slices import previous_row
 from gatesift.patterns.responses import TOOL_INJECTION_RULES, TOOL_KEY
@@ -22,7 +22,7 @@ SNAPSHOTS_PER_SLICE = 1000
 def tool_injection(catalog: DataFrame, keep: Sequence[str]) -> DataFrame:
     """The first pattern which a description matches."""
     tests = " ".join(
-        f"WHEN {hit_sql(r, 'description', 'lower(description)')} THEN {sql_text(r.regex)}" for r in TOOL_INJECTION_RULES
+        f"WHEN {hit_sql(r, 'description', low_sql('description'))} THEN {sql_text(r.regex)}" for r in TOOL_INJECTION_RULES
     )
     found = catalog.select(*keep, F.expr(f"CASE {tests} END").alias("pattern")).filter(F.col("pattern").isNotNull())
     return found.withColumns({"type": F.lit("tool_desc_injection"), "severity": F.lit("critical")})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gatesift.functions import text as T
 from gatesift.functions.expr import let, texts
-from gatesift.functions.regex import sql_text, to_java
+from gatesift.functions.regex import low_sql, sql_text, to_java
 from gatesift.operators.rewrite import apply_rules, explode_hits, hit_sql, rule_column
 from gatesift.patterns import content as C
 from gatesift.patterns.indicators import IOC_RULES
@@ -154,7 +154,7 @@ def sql_rules_in(text: str) -> Column:
     """Numbers of the SQL rules which match the text as it stands."""
     tests = [f"CASE WHEN {hit_sql(r, text, 'v.low')} THEN {i}L END" for i, r in enumerate(C.SQL_RULES)]
     return F.expr(
-        f"element_at(transform(array(named_struct('low', lower({text}))), v -> array_compact(array({', '.join(tests)}))), 1)"
+        f"element_at(transform(array(named_struct('low', {low_sql(text)})), v -> array_compact(array({', '.join(tests)}))), 1)"
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatesift.functions.regex import sql_text, to_java
+from gatesift.functions.regex import low_sql, sql_text, to_java
 from gatesift.operators.rewrite import hit_sql
 from gatesift.patterns.responses import ACE_RULES, MAX_BODY_BYTES, POISON_RULES
 from gatesift.patterns.rule import Rule
@@ -21,7 +21,7 @@ def first_matches(text: str, rules: Sequence[Rule]) -> Column:
         for i, r in enumerate(rules)
     ]
     return F.expr(
-        f"element_at(transform(array(named_struct('low', lower({text}))), v -> array_compact(array({', '.join(found)}))), 1)"
+        f"element_at(transform(array(named_struct('low', {low_sql(text)})), v -> array_compact(array({', '.join(found)}))), 1)"
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatesift.functions.expr import texts
-from gatesift.functions.regex import sql_text, to_java
+from gatesift.functions.regex import low_sql, sql_text, to_java
 from gatesift.patterns.rule import Rule
 
 HITS = "array<struct<rule:bigint,pos:int,ok:boolean>>"
@@ -49,7 +49,7 @@ def guard_sql(rule: Rule, text: str, low: str) -> str:
 
 def candidate_lines_sql(rule: Rule, text: str) -> str:
     """The text with every line which cannot match blanked out, length unchanged."""
-    keep = guard_sql(rule, "line", "lower(line)")
+    keep = guard_sql(rule, "line", low_sql("line"))
     return (
         f"array_join(transform(split({text}, '\\n', -1), line -> "
         f"IF({keep}, line, repeat('\\n', char_length(line)))), '\\n')"
@@ -132,9 +132,9 @@ def apply_rules(
     markers = "array(" + ", ".join(sql_text(r.marker) for r in rules) + ")"
     gated = "array(" + ", ".join("true" if r.luhn else "false" for r in rules) + ")"
     any_gated = any(r.luhn for r in rules)
-    state = {"text": text, "low": low or f"lower({text})", "hits": f"cast(array() AS {HITS})"}
+    state = {"text": text, "low": low or low_sql(text), "hits": f"cast(array() AS {HITS})"}
     if leet is not None:
-        state |= {"leet": leet, "leet_low": f"lower({leet})"}
+        state |= {"leet": leet, "leet_low": low_sql(leet)}
 
     def struct(**changed: str) -> str:
         return "named_struct(" + ", ".join(f"'{f}', {changed.get(f, f'a.{f}')}" for f in state) + ")"
@@ -153,7 +153,7 @@ def apply_rules(
         hits = f"transform({_starts_sql('h')}, (pos, i) -> named_struct('rule', {rule}, 'pos', pos, 'ok', {ok}))"
     marker = f"IF({kept}, h.m[i], {markers}[{rule}])" if any_gated else f"{markers}[{rule}]"
     new_text = f"array_join(transform(h.p, (piece, i) -> concat(piece, IF(i < size(h.m), {marker}, ''))), '')"
-    changed = struct(text="t", low="lower(t)", hits=f"concat(a.hits, {hits})")
+    changed = struct(text="t", low=low_sql("t"), hits=f"concat(a.hits, {hits})")
     merge = searched("a.text", "a.low", 0, f"element_at(transform(array({new_text}), t -> {changed}), 1)")
     if leet is not None:
         # Odd steps search the second text. While both texts are the same it can add nothing.

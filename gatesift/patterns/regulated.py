@@ -39,7 +39,7 @@ PHI_RULES = [
     Rule("mrn", r"(?i)\b(?:MRN|Medical Record|Patient ID)[\s:]+([A-Z0-9]{6,12})\b", "critical", PHI_MARKER, needs=("mrn", "medical record", "patient id")),
     Rule("health_plan", r"(?i)\b(?:Health Plan|Insurance|Policy)[\s#:]+([A-Z0-9]{8,15})\b", "high", PHI_MARKER, needs=("health plan", "insurance", "policy")),
     Rule("diagnosis_code", r"(?i)\b[A-Z]\d{2}(?:\.\d{1,4})?\b", "high", PHI_MARKER, screen=r"[A-Za-z]\d{2}"),
-    Rule("medicare_id", r"(?i)\b\d[A-Z0-9]{3}-[A-Z0-9]{2}\d-[A-Z0-9]{2}\d{2}\b", "critical", PHI_MARKER, screen=r"\d-[A-Za-z0-9]{2}\d{2}"),
+    Rule("medicare_id", r"(?i)\b\d[A-Z0-9]{3}-[A-Z0-9]{2}\d-[A-Z0-9]{2}\d{2}\b", "critical", PHI_MARKER, screen=r"(?i)\d-[A-Z0-9]{2}\d{2}"),
     Rule(
         "genetic_info",
         r"(?i)\b(?:BRCA[12]|TP53|KRAS|EGFR|ALK|BRAF|HER2|MLH1|MSH2)\b.*?(?:mutation|variant|deletion|insertion|c\.\d)",

@@ -7,7 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gatesift.operators.rewrite import apply_rules
+from gatesift.functions.regex import low_sql
+from gatesift.operators.rewrite import apply_rules, hit_sql
 from gatesift.patterns import content, regulated, responses
 from gatesift.patterns.indicators import IOC_RULES
 from gatesift.patterns.literals import LITERALS
@@ -88,3 +89,23 @@ def test_pack_sizes():
     severities = [r.severity for r in IOC_RULES]
     assert [severities.count(s) for s in ("critical", "high", "medium")] == [30, 25, 14]
     assert all(re.fullmatch(r"[a-z ]+", l) for l, *_ in LITERALS)
+
+
+ANYCASE = [(pack, i) for pack, rules in {**PACKS, "responses": [r for k in vars(responses).values() if isinstance(k, list) for r in k if isinstance(r, Rule)]}.items()
+           for i, r in enumerate(rules) if "(?i" in r.regex]
+
+
+def test_letters_beyond_ascii_fold_as_in_re2(spark):
+    """Every rule without regard to case, on the texts with `s` and `k` written as the characters which fold to them."""
+    all_rules = {**PACKS, "responses": [r for k in vars(responses).values() if isinstance(k, list) for r in k if isinstance(r, Rule)]}
+    rules = [all_rules[pack][i] for pack, i in ANYCASE]
+    plain = samples.PAYLOADS + EXTRA
+    written = [t.translate(str.maketrans({"s": "ſ", "k": "K", "K": "K"})) for t in plain]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(range(0, len($1))) AS i, unnest($1) AS text", [plain + written])
+    df = spark.createDataFrame(list(enumerate(plain + written)), "i int, text string")
+    columns = [F.count_if(F.expr(hit_sql(r, "text", low_sql("text")))).alias(f"c{n}") for n, r in enumerate(rules)]
+    got = list(df.agg(*columns).first())
+    want = [con.execute("SELECT count(*) FROM t WHERE regexp_matches(text, $1)", [r.regex]).fetchone()[0] for r in rules]
+    assert [(r.name, g) for r, g in zip(rules, got)] == [(r.name, w) for r, w in zip(rules, want)]
+    assert len(rules) > 50
