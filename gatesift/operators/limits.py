@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from gatesift.patterns import gates as G
 
@@ -33,7 +34,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     """
     keys, columns = list(keys), df.columns
     at = [columns.index(k) for k in keys]
-    schema = df.schema.add(output, "boolean")
+    schema = StructType([*df.schema.fields, StructField(output, BooleanType())])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
@@ -250,6 +251,24 @@ def replay(
     return ordered_scan(rows, [*keys, "segment"], ["at_us", "request_id"], step, "replayed")
 
 
+def admitted(
+    tasks: DataFrame, user: str = "user_id", limit: int = G.TASK_LIMIT, timeout_s: int = G.TASK_TIMEOUT, slice_us: int = HOUR
+) -> DataFrame:
+    """`task_id`, the user, `start_us`, `end_us` (timeout included) and `admitted`: a start is refused while `limit` admitted tasks run.
+
+    The state of a user is at most `limit` ends. An end comes before a start at the same instant.
+    """
+    def step(ends, row):
+        running = [e for e in ends or [] if e > row[2]]
+        return (running + [row[3]], True) if len(running) < limit else (running, False)
+
+    end = F.least("end_us", F.col("start_us") + timeout_s * SECOND)
+    rows = tasks.select(F.col("task_id").alias("request_id"), F.col(user).alias("user"), F.col("start_us").alias("at_us"), end.alias("end_us"))
+    rows = by_silence(rows, ["user"], timeout_s * SECOND, slice_us).select("request_id", "user", "at_us", "end_us", "segment")
+    judged = ordered_scan(rows, ["user", "segment"], ["at_us", "request_id"], step, "admitted")
+    return judged.select(F.col("request_id").alias("task_id"), F.col("user").alias(user), F.col("at_us").alias("start_us"), "end_us", "admitted")
+
+
 def rotation_step(state, sid: str, at: int, limit: int, window_us: int):
     """State of one identity: identifiers with the time they were first seen, and whether it is degraded."""
     ids, degraded = state or ({}, False)

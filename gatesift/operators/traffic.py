@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatesift.operators.limits import admitted
 from gatesift.operators.slices import own_rows, previous_row, running_total, side_by_side, with_halo
 from gatesift.patterns import gates as G
 
@@ -202,26 +203,42 @@ def client_ip(remote: Column, forwarded: Column, real_ip: Column, trusted: Seque
     )
 
 
+def running_tasks(tasks: DataFrame, keys: Sequence[str] = (), name: str = "running", slice_s: int = 60) -> DataFrame:
+    """Admitted tasks which run when a task starts, itself included if admitted, per key or over all.
+
+    `tasks` has `task_id`, the keys, `start_us`, `end_us`, `admitted`. Rows are counted in slices of time; only
+    one number per slice is carried on.
+    """
+    start = F.struct(F.col("start_us").alias("at_us"), F.lit(1).alias("kind"), F.col("admitted").cast("int").alias("step"))
+    stop = F.struct(F.col("end_us").alias("at_us"), F.lit(0).alias("kind"), F.lit(-1).alias("step"))
+    both = F.when(F.col("admitted"), F.array(start, stop)).otherwise(F.array(start))
+    events = tasks.select("task_id", *keys, F.explode(both).alias("_e")).select("task_id", *keys, "_e.*")
+    counted = running_total(events, keys, F.expr(f"at_us div {slice_s * SECOND}"), ["at_us", "kind", "task_id"], F.col("step"), name)
+    return counted.filter("kind = 1").select("task_id", *keys, name)
+
+
 def task_concurrency(
-    tasks: DataFrame, keys: Sequence[str] = ("user_id",), limit: int = G.TASK_LIMIT, total: int = G.TASK_TOTAL,
-    timeout_s: int = G.TASK_TIMEOUT, slice_s: int = 3600,
+    tasks: DataFrame, user: str = "user_id", limit: int = G.TASK_LIMIT, timeout_s: int = G.TASK_TIMEOUT, slice_s: int = 60
 ) -> DataFrame:
-    """Running tasks at each start, per key and over all, and whether a quota is exceeded.
+    """Admitted tasks of a user which run at each start, and whether the start is refused.
 
-    `tasks` has `task_id`, the keys, `start_us`, `end_us`. A task ends at its end or its timeout;
-    an end comes before a start at the same instant.
+    `tasks` has `task_id`, the user, `start_us`, `end_us`. A refused task does not run and counts for nothing.
     """
-    end = F.least("end_us", F.col("start_us") + timeout_s * SECOND)
-    keys = list(keys)
-    start = F.struct(F.col("start_us").alias("at_us"), F.lit(1).alias("step"))
-    stop = F.struct(end.alias("at_us"), F.lit(-1).alias("step"))
-    events = tasks.select("task_id", *keys, F.explode(F.array(start, stop)).alias("_e")).select("task_id", *keys, "_e.*")
-    slice_ = F.expr(f"at_us div {slice_s * SECOND}")
-    order = ["at_us", "step", "task_id"]
-    counted = running_total(events, keys, slice_, order, F.col("step"), "running")
-    counted = running_total(counted, [], slice_, order, F.col("step"), "running_total")
-    over = (F.col("running") > limit) | (F.col("running_total") > total)
-    return counted.filter("step = 1").select("task_id", *keys, "running", "running_total", over.alias("over_quota"))
+    judged = admitted(tasks, user, limit, timeout_s)
+    counted = running_tasks(judged, [user], "running", slice_s)
+    return counted.join(judged.select("task_id", (~F.col("admitted")).alias("over_quota")), "task_id")
+
+
+def total_concurrency(tasks: DataFrame, total: int = G.TASK_TOTAL, timeout_s: int = G.TASK_TIMEOUT, slice_s: int = 10, limit: int = G.TASK_LIMIT) -> DataFrame:
+    """Admitted tasks over all users which run at each start, and whether they are more than `total`."""
+    counted = running_tasks(admitted(tasks, limit=limit, timeout_s=timeout_s), [], "running_total", slice_s)
+    return counted.select("task_id", "running_total", (F.col("running_total") > total).alias("over_total"))
+
+
+def tenant_concurrency(tasks: DataFrame, tenant: str = "tenant_id", limit: int = G.TASK_LIMIT, timeout_s: int = G.TASK_TIMEOUT, slice_s: int = 60) -> DataFrame:
+    """Admitted tasks of a tenant which run at each start; tenants have no limit of their own."""
+    judged = admitted(tasks, limit=limit, timeout_s=timeout_s).join(tasks.select("task_id", tenant), "task_id")
+    return running_tasks(judged, [tenant], "running", slice_s)
 
 
 def recon_rate(calls: DataFrame, key: str = "session_id", window_s: int = G.RECON_WINDOW, limit: int = G.RECON_LIMIT) -> DataFrame:

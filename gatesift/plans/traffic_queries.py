@@ -58,7 +58,8 @@ QUERIES = {
     "access_log": lambda spark, sf: R.access_log(I.requests(spark, sf)),
     "client_ip": _client_ip,
     "task_concurrency": lambda spark, sf: R.task_concurrency(_tasks(spark, sf)),
-    "tenant_concurrency": lambda spark, sf: R.task_concurrency(_tasks(spark, sf), keys=("tenant_id",)),
+    "total_concurrency": lambda spark, sf: R.total_concurrency(_tasks(spark, sf)),
+    "tenant_concurrency": lambda spark, sf: R.tenant_concurrency(_tasks(spark, sf)),
     "recon_rate": lambda spark, sf: R.recon_rate(_listings(spark, sf)).select("request_id", "session_id", "calls_per_minute"),
     "token_bucket": lambda spark, sf: _decisions(spark, sf).select("request_id", "key", "allowed"),
     "replay": lambda spark, sf: L.replay(I.requests(spark, sf).withColumn("msg_id", F.col("k").cast("string")), "session_id", "msg_id").select("request_id", "replayed"),
@@ -119,12 +120,24 @@ steps(request_id, ident, rn, ids, degraded, honored) AS (
     FROM steps s JOIN numbered n ON n.ident = s.ident AND n.rn = s.rn + 1)))"""
 
 
-def _concurrency(key: str, name: str) -> str:
-    return _sql(f"""SELECT task_id, {name}, running, running_total, running > {G.TASK_LIMIT} OR running_total > {G.TASK_TOTAL} AS over_quota FROM (
-  SELECT *, CAST(sum(step) OVER (PARTITION BY {name} ORDER BY at_us, step, task_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running,
-         CAST(sum(step) OVER (ORDER BY at_us, step, task_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_total FROM (
-    SELECT request_id AS task_id, {key} AS {name}, at_us, 1 AS step FROM requests_in UNION ALL
-    SELECT request_id, {key}, least(at_us + duration_ns, at_us + {G.TASK_TIMEOUT}000000), -1 FROM requests_in)) WHERE step = 1""")
+_ADMITTED = f"""tasks AS (
+  SELECT request_id AS task_id, session_id AS user_id, client AS tenant_id, at_us,
+         least(at_us + duration_ns, at_us + {G.TASK_TIMEOUT}000000) AS end_us,
+         row_number() OVER (PARTITION BY session_id ORDER BY at_us, request_id) AS rn FROM requests_in),
+steps(task_id, user_id, tenant_id, at_us, end_us, rn, ends, admitted) AS (
+  SELECT task_id, user_id, tenant_id, at_us, end_us, rn, [end_us], true FROM tasks WHERE rn = 1
+  UNION ALL
+  SELECT task_id, user_id, tenant_id, at_us, end_us, rn,
+         CASE WHEN len(live) < {G.TASK_LIMIT} THEN list_append(live, end_us) ELSE live END, len(live) < {G.TASK_LIMIT}
+  FROM (SELECT n.*, list_filter(s.ends, lambda e: e > n.at_us) AS live FROM steps s JOIN tasks n ON n.user_id = s.user_id AND n.rn = s.rn + 1)),
+events AS (
+  SELECT task_id, user_id, tenant_id, admitted, at_us, 1 AS kind, CAST(admitted AS INT) AS step FROM steps
+  UNION ALL SELECT task_id, user_id, tenant_id, admitted, end_us, 0, -1 FROM steps WHERE admitted)"""
+
+
+def _running(columns: str, over: str) -> str:
+    return _sql(f"""SELECT {columns} FROM (
+  SELECT *, CAST(sum(step) OVER ({over} ORDER BY at_us, kind, task_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events) WHERE kind = 1""", _ADMITTED)
 
 
 _BOUNDS = ", ".join(f"({b})" for b in G.DURATION_BUCKETS)
@@ -158,8 +171,9 @@ FROM requests_in, (VALUES {_BOUNDS}, (NULL)) AS b(le) GROUP BY b.le"""),
     "access_log": _sql("SELECT request_id, client_ip, method, path, status AS status_code, duration_ns // 1000000 AS duration_ms, user_agent FROM requests_in"),
     "client_ip": _sql(f"""SELECT request_id, CASE WHEN client_ip NOT IN ({", ".join(map(K.q, TRUSTED))}) THEN client_ip
   WHEN k % 4 = 1 THEN '9.9.9.9' WHEN k % 4 <> 0 THEN '203.0.113.5' WHEN k % 3 = 0 THEN '198.51.100.7' ELSE client_ip END AS ip FROM requests_in"""),
-    "task_concurrency": _concurrency("session_id", "user_id"),
-    "tenant_concurrency": _concurrency("client", "tenant_id"),
+    "task_concurrency": _running("task_id, user_id, running, NOT admitted AS over_quota", "PARTITION BY user_id"),
+    "total_concurrency": _running(f"task_id, running AS running_total, running > {G.TASK_TOTAL} AS over_total", ""),
+    "tenant_concurrency": _running("task_id, tenant_id, running", "PARTITION BY tenant_id"),
     "recon_rate": _sql(f"""SELECT request_id, session_id, n AS calls_per_minute FROM (
   SELECT a.request_id, a.session_id, count(*) AS n FROM requests_in a JOIN requests_in b ON a.session_id = b.session_id
     AND b.method = 'view' AND b.at_us > a.at_us - 60000000 AND (b.at_us, b.request_id) <= (a.at_us, a.request_id)

@@ -145,14 +145,35 @@ def test_slices_equal_whole_windows(spark, slice_us):
 
 
 def test_task_concurrency(spark):
+    """Against a plain simulation; refused tasks do not run."""
     rng = random.Random(12)
-    tasks = [(i, f"u{rng.randrange(3)}", s := rng.randrange(2000) * SECOND, s + rng.randrange(1, 900) * SECOND) for i in range(200)]
-    df = spark.createDataFrame(tasks, "task_id bigint, user_id string, start_us bigint, end_us bigint")
-    got = {r["task_id"]: (r["running"], r["running_total"], r["over_quota"]) for r in R.task_concurrency(df, total=20, slice_s=100).collect()}
-    for i, user, start, _ in tasks:
-        live = [(j, u) for j, u, s, e in tasks if (s, j) <= (start, i) and min(e, s + 300 * SECOND) > start]
-        mine = sum(u == user for _, u in live)
-        assert got[i] == (mine, len(live), mine > 5 or len(live) > 20)
+    tasks = [(i, f"u{rng.randrange(3)}", f"t{rng.randrange(2)}", s := rng.randrange(1500) * SECOND, s + rng.randrange(1, 900) * SECOND) for i in range(300)]
+    df = spark.createDataFrame(tasks, "task_id bigint, user_id string, tenant_id string, start_us bigint, end_us bigint")
+    got = {r["task_id"]: (r["running"], r["over_quota"]) for r in R.task_concurrency(df, slice_s=100).collect()}
+    total = {r["task_id"]: (r["running_total"], r["over_total"]) for r in R.total_concurrency(df, total=12, slice_s=100).collect()}
+    tenant = {r["task_id"]: r["running"] for r in R.tenant_concurrency(df, slice_s=100).collect()}
+    live = []
+    for i, user, of, start, end in sorted(tasks, key=lambda t: (t[3], t[0])):
+        live = [x for x in live if x[2] > start]
+        refused = sum(u == user for u, _, _ in live) >= 5
+        if not refused:
+            live.append((user, of, min(end, start + 300 * SECOND)))
+        assert got[i] == (sum(u == user for u, _, _ in live), refused)
+        assert total[i] == (len(live), len(live) > 12)
+        assert tenant[i] == sum(t == of for _, t, _ in live)
+    assert any(o for _, o in got.values()) and any(o for _, o in total.values())
+
+
+def test_a_refused_task_leaves_room(spark):
+    tasks = [(i, "u", "t", i * 10 * SECOND, (i * 10 + 60) * SECOND) for i in range(12)]
+    df = spark.createDataFrame(tasks, "task_id bigint, user_id string, tenant_id string, start_us bigint, end_us bigint")
+    assert sorted(r["task_id"] for r in R.task_concurrency(df).filter("over_quota").collect()) == [5, 11]
+
+
+def test_scan_leaves_its_input_alone(spark):
+    df = spark.createDataFrame([(1, "a", 5)], "request_id bigint, k string, at_us bigint")
+    L.ordered_scan(df, ["k"], ["at_us"], lambda s, r: (s, True), "out")
+    assert df.columns == ["request_id", "k", "at_us"]
 
 
 def test_summary_and_percentiles(spark):
