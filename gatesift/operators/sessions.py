@@ -3,9 +3,11 @@
 Input: `session_id`, `user_id`, `msg_id`, `ts`, `content`. "Now" is the time of the message. A session
 which is silent for more than 30 minutes starts anew.
 
-All look-backs are bounded: 50 messages and 5 minutes of history, 10 minutes of tool calls, 10 counts of
-repetition, and an average which forgets within 64 messages. So a session's rows are cut into slices of
-time with a halo from the slice before, and a session which holds most rows is still spread out.
+A session of any length is cut into slices, so that one which holds most rows is still spread out. What grows
+with the session is carried exactly: start and count from slice to slice, the decaying average, which is linear in
+the scores, as one linear map per group of messages. What looks back over a fixed number of messages (50 of history,
+10 counts of repetition) sees them through blocks of message numbers which overlap by that many, and tool calls,
+which count for ten minutes, through slices of time which overlap by ten minutes.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from gatesift.operators.slices import own_rows, with_halo
 from gatesift.patterns import phrases as P
 
 SECOND = 1_000_000
-SLICE_S = 2 * 86_400
-HALO_S = 12 * 3_600
-EWMA_MEMORY = 64  # 0.6 ** 64 is below the precision of a double
+SLICE_S = 600  # seconds of a slice
+BLOCK = 2048  # messages of a block
+AVERAGE_BLOCK = 16_384  # and of one for the average, which looks back further
+MAP_ROWS = 64  # messages whose scores make up one linear map of the average
+MAPS = 24  # maps before that: 0.6 to the power of 24 * 64 is zero in a double, so nothing is left out
+ORDER = ["at_us", "msg_id"]
 
 # One bit per phrase set of a message.
 SETS = {
@@ -67,30 +72,52 @@ def _step(tool: Column, step: str) -> Column:
     return F.startswith(tool, F.lit(step[:-1])) if step.endswith("*") else tool == step
 
 
-def with_history(features: DataFrame, slice_s: int = SLICE_S, halo_s: int = HALO_S) -> DataFrame:
+def numbered(features: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
+    """Features with the message's number `rn` in its id, and `started_us`, `count` and `_before` of the running session.
+
+    Rows meet in slices of time only; a slice hands on one row: its first and last time, its number of messages and
+    its last fresh start after its first message. Whether that first message is fresh follows from the slice before.
+    """
+    keys = ["session_id", "_slice"]
+    idle = P.SESSION_IDLE * SECOND
+    inside = Window.partitionBy(*keys).orderBy(*ORDER)
+    rows = features.withColumn("_slice", F.expr(f"at_us div {slice_s * SECOND}"))
+    rows = rows.withColumns({"_lag": F.lag("at_us").over(inside), "_own": F.row_number().over(inside)})
+    start = F.struct("at_us", F.col("_own").cast("bigint").alias("rn"))
+    rows = rows.withColumn("_inner", F.max(F.when(F.col("at_us") - F.col("_lag") > idle, start)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+
+    ends = rows.groupBy(*keys).agg(F.min("at_us").alias("_from"), F.max("at_us").alias("_to"), F.count("*").alias("_n"), F.max("_inner").alias("_fresh"))
+    across = Window.partitionBy("session_id").orderBy("_slice")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"_last": F.lag("_to").over(across), "_rows": F.coalesce(F.sum("_n").over(earlier), F.lit(0))})
+    first = F.when(F.col("_last").isNull() | (F.col("_from") - F.col("_last") > idle), F.struct(F.col("_from").alias("at_us"), (F.col("_rows") + 1).alias("rn")))
+    inner = F.when(F.col("_fresh").isNotNull(), F.struct(F.col("_fresh.at_us").alias("at_us"), (F.col("_fresh.rn") + F.col("_rows")).alias("rn")))
+    ends = ends.withColumns({"_first": first, "_newest": F.coalesce(inner, first)})
+    # Times and numbers grow with the order, so the largest so far belongs to the last fresh start.
+    carry = ends.select(*keys, "_last", "_rows", F.coalesce("_first", F.max("_newest").over(earlier)).alias("_start"))
+
+    rows = rows.join(carry, keys)
+    own = F.when(F.col("_inner").isNotNull(), F.struct(F.col("_inner.at_us").alias("at_us"), (F.col("_inner.rn") + F.col("_rows")).alias("rn")))
+    begun = F.coalesce(own, F.col("_start"))
+    rows = rows.withColumns({"_before": F.coalesce("_lag", "_last"), "rn": F.col("_own") + F.col("_rows")})
+    rows = rows.withColumns({"started_us": begun["at_us"], "count": F.col("rn") - begun["rn"] + 1})
+    return rows.drop("_slice", "_lag", "_own", "_inner", "_last", "_rows", "_start")
+
+
+def with_history(features: DataFrame, slice_s: int = SLICE_S, block: int = BLOCK) -> DataFrame:
     """Features with `started_us` and `count` of the running session, its visible `history` (this message
     included) and `recent`, the part of it within five minutes."""
-    sliced = with_halo(features, F.col("at_us"), slice_s * SECOND, halo_s * SECOND)
-    ordered = Window.partitionBy("session_id", "_slice").orderBy("at_us", "msg_id")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    before = F.lag("at_us").over(ordered)
-    fresh = before.isNull() | (F.col("at_us") - before > P.SESSION_IDLE * SECOND)
-    rows = sliced.withColumns({"_before": before, "_rn": F.row_number().over(ordered)})
-    rows = rows.withColumn("_fresh", fresh)
-    rows = rows.withColumns({
-        "started_us": F.last(F.when(F.col("_fresh"), F.col("at_us")), ignorenulls=True).over(so_far),
-        "_first": F.last(F.when(F.col("_fresh"), F.col("_rn")), ignorenulls=True).over(so_far),
-    })
+    rows = with_halo(numbered(features, slice_s), F.col("rn"), block, P.HISTORY_SIZE)
+    ordered = Window.partitionBy("session_id", "_slice").orderBy("rn")
     entry = F.struct("at_us", "flags", "shape", "fragment")
-    bounded = ordered.rowsBetween(1 - P.HISTORY_SIZE, 0)
-    rows = rows.withColumns({"count": F.col("_rn") - F.col("_first") + 1, "_last": F.collect_list(entry).over(bounded)})
+    rows = own_rows(rows.withColumn("_last", F.collect_list(entry).over(ordered.rowsBetween(1 - P.HISTORY_SIZE, 0))))
     # History is pruned while the message before is handled, then this message is added.
-    size = F.least(F.col("count"), F.size("_last"))
+    size = F.least(F.col("count"), F.size("_last")).cast("int")
     own_session = F.slice("_last", F.size("_last") - size + 1, size)
     visible = F.filter(own_session, lambda h, i: (i == size - 1) | (h["at_us"] >= F.col("_before") - P.HISTORY_WINDOW * SECOND))
     rows = rows.withColumn("history", visible)
     recent = F.filter("history", lambda h: h["at_us"] >= F.col("at_us") - P.HISTORY_WINDOW * SECOND)
-    return rows.withColumn("recent", recent).drop("_last", "_before", "_fresh", "_first", "_rn")
+    return rows.withColumn("recent", recent).drop("_last")
 
 
 def _count(name: str) -> Column:
@@ -110,17 +137,14 @@ def _rounded_share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.lit(1.0) - part / whole).otherwise(F.lit(0.0))
 
 
-def analyze(messages: DataFrame, slice_s: int = SLICE_S, halo_s: int = HALO_S, role_limit: int = P.ROLE_LIMIT) -> DataFrame:
+def analyze(messages: DataFrame, slice_s: int = SLICE_S, block: int = BLOCK, role_limit: int = P.ROLE_LIMIT) -> DataFrame:
     """One row per message with all counts, scores, `patterns`, `risk`, `action` and `block`."""
-    return analyze_features(message_features(messages), slice_s, halo_s, role_limit)
+    return analyze_features(message_features(messages), slice_s, block, role_limit)
 
 
-def analyze_features(features: DataFrame, slice_s: int = SLICE_S, halo_s: int = HALO_S, role_limit: int = P.ROLE_LIMIT) -> DataFrame:
+def analyze_features(features: DataFrame, slice_s: int = SLICE_S, block: int = BLOCK, role_limit: int = P.ROLE_LIMIT) -> DataFrame:
     """The same from the features of the messages, which are all that later messages need."""
-    rows = with_history(features, slice_s, halo_s)
-    ordered = Window.partitionBy("session_id", "_slice").orderBy("at_us", "msg_id")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_history(features, slice_s, block)
 
     # Counts over the history, repetition over its recent part.
     names = [n for n in SETS if n != "danger"]
@@ -150,13 +174,20 @@ def analyze_features(features: DataFrame, slice_s: int = SLICE_S, halo_s: int =
     })
 
     # Counts of the last ten messages of the session, and tool sequences.
-    ten = F.collect_list("repetitions").over(ordered.rowsBetween(1 - P.REPETITION_HISTORY, 0))
-    rows = rows.withColumn("_ten", ten)
-    mine = F.slice("_ten", F.size("_ten") - F.least("count", F.size("_ten")) + 1, F.least("count", F.size("_ten")))
+    rows = with_halo(rows, F.col("rn"), block, P.REPETITION_HISTORY)
+    ordered = Window.partitionBy("session_id", "_slice").orderBy("rn")
+    rows = own_rows(rows.withColumn("_ten", F.collect_list("repetitions").over(ordered.rowsBetween(1 - P.REPETITION_HISTORY, 0))))
+    ten = F.least("count", F.size("_ten")).cast("int")
+    mine = F.slice("_ten", F.size("_ten") - ten + 1, ten)
+    # An opening counts for ten minutes, so slices of time which overlap by that much hold all that is asked for.
+    rows = with_halo(rows, F.col("at_us"), slice_s * SECOND, P.SEQUENCE_WINDOW * SECOND)
+    ordered = Window.partitionBy("session_id", "_slice").orderBy("rn")
+    so_far, earlier = (ordered.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
     for i, (first, then) in enumerate(P.TOOL_SEQUENCES):
         opened = F.last(F.when(_step(F.col("tool"), first), F.col("at_us")), ignorenulls=True).over(earlier)
         rows = rows.withColumn(f"_open{i}", F.when(_step(F.col("tool"), then), opened))
         rows = rows.withColumn(f"_seq{i}", F.max(F.when(F.col(f"_open{i}") >= F.col("started_us"), F.col(f"_open{i}"))).over(so_far))
+    rows = own_rows(rows)
     in_time = [
         (F.col(f"_seq{i}") >= F.col("started_us")) & (F.col(f"_seq{i}") >= F.col("at_us") - P.SEQUENCE_WINDOW * SECOND)
         for i in range(len(P.TOOL_SEQUENCES))
@@ -207,27 +238,35 @@ def analyze_features(features: DataFrame, slice_s: int = SLICE_S, halo_s: int =
     total = F.col("_current") + F.col("jailbreak_risk") + add(hasty, 0.1) + add(F.size("patterns") > 2, 0.15) + F.col("fragments")
     rows = rows.withColumn("score", F.least(F.lit(1.0), total)).drop("_current")
 
-    # The average is linear in the scores, so a bounded fold is exact to rounding.
-    past = F.collect_list(F.struct("at_us", "score")).over(ordered.rowsBetween(1 - EWMA_MEMORY, 0))
-    rows = rows.withColumn("_past", past)
-    kept = F.least("count", F.size("_past"))
-    rows = own_rows(rows.withColumn("_past", F.slice("_past", F.size("_past") - kept + 1, kept)))
-    rows = rows.withColumn("ewma", ewma(F.col("_past"))).drop("_past")
+    rows = with_ewma(rows)
     blocked = F.col("ewma") >= P.EWMA_BLOCK
     level = F.when(blocked, "critical").otherwise(risk_of_score(F.col("score")))
     rows = rows.withColumn("risk", level)
     return rows.withColumns({"action": action_of_risk(F.col("risk")), "block": F.col("risk").isin("critical", "high")})
 
 
-def ewma(past: Column, alpha: float = P.EWMA_ALPHA, half_life_s: float = P.EWMA_HALF_LIFE) -> Column:
-    """Decaying average over `(at_us, score)` in order, from zero before the first."""
-    def fold(state: Column, h: Column) -> Column:
-        elapsed = (h["at_us"] - state["at"]) / SECOND
-        decayed = state["e"] * F.pow(F.lit(2.0), -elapsed / half_life_s)
-        return F.struct(h["at_us"].alias("at"), (h["score"] * alpha + decayed * (1 - alpha)).alias("e"))
+def with_ewma(rows: DataFrame, alpha: float = P.EWMA_ALPHA, half_life_s: float = P.EWMA_HALF_LIFE, block: int = AVERAGE_BLOCK) -> DataFrame:
+    """Adds `ewma`, the decaying average of `score` over the running session, from zero before its first message.
 
-    start = F.struct(F.get(past, 0)["at_us"].alias("at"), F.lit(0.0).alias("e"))
-    return F.aggregate(past, start, fold, lambda s: s["e"])
+    Each message is a linear map of the average before it: `e -> add + by * e`, where `by` is zero at a fresh start.
+    Maps are folded within groups of MAP_ROWS messages, then over the MAPS groups before. `rows` have `rn`, `count`,
+    `at_us`, `_before`, `score`.
+    """
+    by = F.when(F.col("count") == 1, 0.0).otherwise((1 - alpha) * F.pow(F.lit(2.0), -((F.col("at_us") - F.col("_before")) / SECOND) / half_life_s))
+    rows = rows.withColumns({"_map": F.struct((F.col("score") * alpha).alias("add"), by.alias("by")), "_group": F.floor((F.col("rn") - 1) / MAP_ROWS)})
+
+    def folded(maps: Column) -> Column:
+        one = F.struct(F.lit(0.0).alias("add"), F.lit(1.0).alias("by"))
+        return F.aggregate(maps, one, lambda s, m: F.struct((m["add"] + m["by"] * s["add"]).alias("add"), (m["by"] * s["by"]).alias("by")))
+
+    inside = Window.partitionBy("session_id", "_group").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_maps", F.collect_list("_map").over(inside)).withColumn("_so_far", folded(F.col("_maps"))).drop("_maps", "_map")
+    # The last message of a group has the map of the whole group; lists leave the others out.
+    rows = rows.withColumn("_whole", F.when(F.col("rn") % MAP_ROWS == 0, F.col("_so_far")))
+    rows = with_halo(rows, F.col("rn"), block, MAPS * MAP_ROWS + MAP_ROWS)
+    before = Window.partitionBy("session_id", "_slice").orderBy("_group").rangeBetween(-MAPS, -1)
+    rows = own_rows(rows.withColumn("_earlier", F.collect_list("_whole").over(before)))
+    return rows.withColumn("ewma", F.col("_so_far.add") + F.col("_so_far.by") * folded(F.col("_earlier"))["add"]).drop("_group", "_so_far", "_whole", "_earlier", "_before")
 
 
 def risk_of_score(score: Column) -> Column:

@@ -11,6 +11,7 @@ from gatesift.plans import duck as K
 from gatesift.plans import inputs as I
 
 KEYS = ["session_id", "msg_id"]
+SMALL = {"slice_s": 100, "block": 5}  # the dialogues are short: small slices, so that sessions cross them
 NOW = (I.EPOCH + 900) * 1_000_000
 DEFAULTS = {"threat": 0.5, "anomaly_block": 0.7, "jailbreak": 0.6, "entropy": 0.5}
 PROFILES = [("BUILDING", 0.3, 0.5, 0.0, 0.0), ("MACHINERY", 0.0, 0.9, 0.8, 0.0)]
@@ -18,7 +19,7 @@ PROFILES = [("BUILDING", 0.3, 0.5, 0.0, 0.0), ("MACHINERY", 0.0, 0.9, 0.8, 0.0)]
 
 def _analysis(*columns, rounded=()):
     def query(spark, sf):
-        out = S.analyze(I.dialogues(spark, sf))
+        out = S.analyze(I.dialogues(spark, sf), **SMALL)
         return out.selectExpr(*KEYS, *columns, *[f"round({c}, 6) AS {c}" for c in rounded])
 
     return query
@@ -33,12 +34,12 @@ def _found(pattern):
 
 
 def _history(spark, sf):
-    h = S.own_rows(S.with_history(S.message_features(I.dialogues(spark, sf))))
+    h = S.with_history(S.message_features(I.dialogues(spark, sf)), **SMALL)
     return h.selectExpr(*KEYS, "started_us", _long("count"), "cast(size(history) AS bigint) AS visible", "cast(size(recent) AS bigint) AS recent")
 
 
 def _extraction(spark, sf):
-    out = S.analyze(I.dialogues(spark, sf))
+    out = S.analyze(I.dialogues(spark, sf), **SMALL)
     return out.selectExpr(
         *KEYS, _long("repetitions"), _long("max_repetition"), "round(uniformity, 6) AS uniformity", "array_join(methods, '+') AS methods"
     )
@@ -65,7 +66,7 @@ QUERIES = {
     "anomaly_ewma": _analysis(rounded=("ewma",)),
     "profile_thresholds": _profiles,
     "sessionize": lambda spark, sf: S.sessionize(I.dialogues(spark, sf)),
-    "session_stats": lambda spark, sf: S.session_stats(S.analyze(I.dialogues(spark, sf)), F.lit(NOW)),
+    "session_stats": lambda spark, sf: S.session_stats(S.analyze(I.dialogues(spark, sf), **SMALL), F.lit(NOW)),
 }
 
 

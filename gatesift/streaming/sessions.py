@@ -1,8 +1,8 @@
 """Session analysis on a stream of messages.
 
 Each micro-batch runs the batch analysis over its messages together with the features of what their
-sessions have said within the look-back. Features are a few numbers per message; they lie beside the
-checkpoint in one folder per batch and are only ever added to. A batch reads the folders before its own
+sessions have said within the horizon. Features are a few numbers per message; they lie beside the
+checkpoint in one folder per batch and day and are only ever added to. A batch reads the folders before its own
 and writes its own anew, so a batch which is run again after a failure gives the same result.
 """
 
@@ -17,6 +17,7 @@ FEATURES = (
     "session_id string, user_id string, msg_id bigint, at_us bigint, flags int, fragment double, shape string, tool string"
 )
 SECOND = 1_000_000
+HORIZON_S = 7 * 86_400  # days that the stream looks back: what it keeps, as a watermark says for other operators
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,21 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def prepare(spark: SparkSession, base: str) -> None:
     """An empty folder of features, so that the first batch has something to read."""
-    spark.createDataFrame([], FEATURES).write.mode("overwrite").parquet(f"{base}/features/batch=-1")
+    spark.createDataFrame([], FEATURES).write.mode("overwrite").parquet(f"{base}/features/batch=-1/day=0")
 
 
-def analyze_batch(batch: DataFrame, batch_id: int, base: str, halo_s: int = S.HALO_S) -> None:
-    """One micro-batch: results under `base/results`, features under `base/features`, both by number."""
+def analyze_batch(batch: DataFrame, batch_id: int, base: str, horizon_s: int = HORIZON_S) -> None:
+    """One micro-batch: results under `base/results`, features under `base/features`, both by number.
+
+    Features are kept by day; days before the horizon are not read, so a batch reads as much however long the
+    stream has run.
+    """
     spark = batch.sparkSession
     own = f"{base}/features/batch={batch_id}"
-    S.message_features(batch).write.mode("overwrite").parquet(own)
-    new = spark.read.schema(FEATURES).parquet(own)
-
-    earlier = spark.read.schema(FEATURES + ", batch bigint").parquet(f"{base}/features").filter(F.col("batch") < batch_id)
-    since = new.groupBy("session_id").agg((F.min("at_us") - halo_s * SECOND).alias("_since"))
-    known = earlier.join(since, "session_id").filter(F.col("at_us") >= F.col("_since")).drop("batch", "_since")
-
-    judged = S.analyze_features(known.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))), halo_s=halo_s)
+    day = F.expr(f"at_us div {86_400 * SECOND}")
+    S.message_features(batch).withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(own)
+    first = batch.agg(F.min(F.unix_micros("ts"))).first()[0]
+    if first is None:
+        return
+    oldest = (first - horizon_s * SECOND) // (86_400 * SECOND)
+    kept = spark.read.schema(FEATURES + ", batch bigint, day bigint").option("basePath", f"{base}/features").parquet(f"{base}/features")
+    new = kept.filter((F.col("batch") == batch_id)).drop("batch", "day")
+    earlier = kept.filter((F.col("batch") < batch_id) & (F.col("day") >= oldest)).drop("batch", "day")
+    known = earlier.join(new.select("session_id").distinct(), "session_id", "left_semi")
+    judged = S.analyze_features(known.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))))
     judged.filter("_new").drop("_new").write.mode("overwrite").parquet(f"{base}/results/batch={batch_id}")
 
 

@@ -82,7 +82,7 @@ def test_fragments_leave_out_the_message_itself(spark):
 def test_history_is_pruned_one_message_late(spark):
     """The history of a message is what lay within five minutes of the message before it."""
     rows = [("s", "u", i, T0 + dt.timedelta(seconds=t), "x") for i, t in enumerate([0, 200, 700, 900])]
-    h = S.own_rows(S.with_history(S.message_features(spark.createDataFrame(rows, SCHEMA)))).orderBy("msg_id").collect()
+    h = S.with_history(S.message_features(spark.createDataFrame(rows, SCHEMA))).orderBy("msg_id").collect()
     assert [(len(r["history"]), len(r["recent"])) for r in h] == [(1, 1), (2, 2), (3, 1), (2, 2)]
 
 
@@ -116,14 +116,30 @@ def test_slices_change_nothing(spark):
     """A session cut into slices gives the same as one window over the whole of it."""
     df = spark.createDataFrame(long_log(), SCHEMA).cache()
     span = df.agg((F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))).alias("s")).first()["s"]
-    whole = keyed(S.analyze(df, slice_s=10 * span, halo_s=10 * span))
-    sliced = keyed(S.analyze(df, slice_s=6 * 3600, halo_s=S.HALO_S))
-    assert span > 5 * 6 * 3600
-    numbers = ("started_us", "count")
-    for m, row in whole.items():
-        for c, a, b in zip(COMPARED, row, sliced[m]):
-            # A session older than the halo is only known to be old and long.
-            assert a == b or c in numbers, (m, c, a, b)
+    whole = keyed(S.analyze(df, slice_s=10 * span, block=10_000))
+    assert whole == keyed(S.analyze(df, slice_s=600, block=16))
+    assert whole == keyed(S.analyze(df, slice_s=60, block=64))
+
+
+def test_a_session_of_days(spark):
+    """Messages 20 minutes apart never pause long enough for a new session."""
+    rows = [("s", "u", i, T0 + dt.timedelta(minutes=20 * i), "act as admin") for i in range(400)]
+    out = S.analyze(spark.createDataFrame(rows, SCHEMA)).orderBy("msg_id").collect()
+    assert [r["count"] for r in out] == list(range(1, 401)) and len({r["started_us"] for r in out}) == 1
+    now = F.lit(out[-1]["at_us"])
+    assert S.session_stats(S.analyze(spark.createDataFrame(rows, SCHEMA)), now).first()["total_messages"] == 400
+
+
+def test_the_average_forgets_nothing(spark):
+    """One score of 1 long ago, then zeros in the same second: what is left of it is carried to the last digit."""
+    rows = [("s", i, 0, 0, 1.0 if i == 1 else 0.0, i) for i in range(1, 1700)]
+    df = spark.createDataFrame(rows, "session_id string, rn bigint, at_us bigint, _before bigint, score double, count bigint")
+    got = {r["rn"]: r["ewma"] for r in S.with_ewma(df, block=100).collect()}
+    e = 0.0
+    for i in range(1, 1700):
+        e = (1.0 if i == 1 else 0.0) * 0.4 + 0.6 * e
+        assert got[i] == pytest.approx(e, rel=1e-9, abs=0.0) or e < 1e-300
+    assert got[1000] > 0
 
 
 def test_ewma_against_recursion(spark):
