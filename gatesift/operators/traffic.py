@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatesift.operators.limits import admitted
-from gatesift.operators.slices import own_rows, previous_row, running_total, side_by_side, with_halo
+from gatesift.operators.slices import own_rows, running_total, side_by_side, with_halo
 from gatesift.patterns import gates as G
 
 SECOND = 1_000_000
-RECENT = 1000
 
 
 def latest(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -24,10 +23,11 @@ def latest(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def request_summary(requests: DataFrame, now_us: Column) -> DataFrame:
-    """One row: totals over the log, and mean and median time of the last 1,000 finished requests.
+def request_summary(requests: DataFrame, now_us: Column, recent: int | None = None) -> DataFrame:
+    """One row: totals over the log, and mean and median time of the finished requests, or of the last `recent` of them.
 
-    The median is the upper element of an even number. `now_us` decides which requests are running.
+    The median is the upper element of an even number; equal durations are counted before they are ranked.
+    `now_us` decides which requests are running.
     """
     end = F.col("at_us") + F.expr("duration_ns div 1000")
     totals = requests.agg(
@@ -38,13 +38,14 @@ def request_summary(requests: DataFrame, now_us: Column) -> DataFrame:
         F.sum("bytes_out").alias("bytes_out"),
     )
     finished = requests.filter(end <= now_us).select("duration_ns", end.alias("end_us"), "request_id")
-    last = latest(finished, RECENT, ["end_us", "request_id"])
-    times = F.array_sort(F.collect_list("duration_ns"))  # at most 1,000 values
-    recent = last.agg(
-        F.expr("sum(duration_ns) div count(*)").alias("average_ns"),
-        F.get(times, F.expr("cast(count(*) div 2 as int)")).alias("median_ns"),
-    )
-    return side_by_side(totals, recent)
+    if recent is not None:
+        finished = latest(finished, recent, ["end_us", "request_id"])
+    counts = finished.groupBy(F.col("duration_ns").alias("v")).agg(F.count("*").alias("c"))
+    ranked = running_total(counts, [], F.expr("v div 20000000"), ["v"], F.col("c"), "upto")
+    number = finished.agg(F.count("*").alias("n"), F.expr("sum(duration_ns) div count(*)").alias("average_ns"))
+    one = number.select("n", F.lit(1).alias("_all"))
+    middle = ranked.withColumn("_all", F.lit(1)).join(F.broadcast(one), "_all").filter("upto > n div 2").agg(F.min("v").alias("median_ns"))
+    return side_by_side(side_by_side(totals, number.select("average_ns")), middle)
 
 
 def rps(requests: DataFrame, window_s: int = 60) -> DataFrame:
@@ -93,18 +94,20 @@ def attacks_by_category(requests: DataFrame) -> DataFrame:
 
 
 def health_summary(requests: DataFrame, now_us: Column) -> DataFrame:
-    """One row: status, and what it rests on. A slow average has the last word over many attacks.
+    """One row: status, alerts, and what they rest on: attacks of the last minute and the mean time.
 
-    Attacks count over the last 100 requests which started within the last minute.
+    Every condition that holds is an alert; a slow average has the last word over many attacks in the status.
     """
-    last = latest(requests.select("request_id", "at_us", "attacks"), 100, ["at_us", "request_id"])
-    fresh = F.when(F.col("at_us") > now_us - 60 * SECOND, F.size("attacks")).otherwise(0)
-    attacks = last.agg(F.coalesce(F.sum(fresh), F.lit(0)).cast("bigint").alias("attacks_last_minute"))
-    average = request_summary(requests, now_us).select("average_ns")
+    started = F.col("at_us").between(now_us - 60 * SECOND + 1, now_us)
+    attacks = requests.agg(F.coalesce(F.sum(F.when(started, F.size("attacks"))), F.lit(0)).cast("bigint").alias("attacks_last_minute"))
+    end = F.col("at_us") + F.expr("duration_ns div 1000")
+    average = requests.filter(end <= now_us).agg(F.expr("sum(duration_ns) div count(*)").alias("average_ns"))
     both = side_by_side(attacks, average)
     slow = F.col("average_ns") > F.lit(int(G.SLOW_AVERAGE * 1_000_000_000))
     many = F.col("attacks_last_minute") > G.ATTACKS_PER_MINUTE
-    return both.withColumn("status", F.when(slow, "warning").when(many, "critical").otherwise("healthy"))
+    alerts = F.array_compact(F.array(F.when(many, F.lit("attacks")), F.when(slow, F.lit("slow"))))
+    status = F.when(slow, "warning").when(many, "critical").otherwise("healthy")
+    return both.withColumns({"status": status, "alerts": F.array_join(alerts, ",")})
 
 
 def latency_percentiles(requests: DataFrame, category: str, shares: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
@@ -253,9 +256,3 @@ def recon_rate(calls: DataFrame, key: str = "session_id", window_s: int = G.RECO
     by_time = Window.partitionBy(key, "_slice").orderBy("at_us").rangeBetween(Window.unboundedPreceding, -window_s * SECOND)
     counted = ranked.withColumn("calls_per_minute", F.col("_rank") - F.count("*").over(by_time))
     return own_rows(counted).filter(F.col("calls_per_minute") > limit).drop("_rank")
-
-
-def previous_request(requests: DataFrame, key: str) -> DataFrame:
-    """Each request with the time of the key's request before it."""
-    slice_ = F.expr(f"at_us div {3600 * SECOND}")
-    return previous_row(requests, [key], slice_, ["at_us", "request_id"], F.col("at_us"), "previous_us")

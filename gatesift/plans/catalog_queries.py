@@ -21,10 +21,10 @@ def _names(spark, sf):
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     n = F.col("p_partkey") % 5
     changed = (
-        F.when(n == 1, F.expr("substring(replace(p_name, ' ', '_'), 2, 100)"))
+        F.when(n == 1, F.expr("substring(replace(p_name, ' ', '_'), 2)"))
         .when(n == 2, F.concat(name, F.lit("s")))
         .when(n == 3, F.replace(name, F.lit("e"), F.lit("3")))
-        .when(n == 4, F.concat(F.lit("x"), F.expr("substring(replace(p_name, ' ', '_'), 2, 100)"), F.lit("yz")))
+        .when(n == 4, F.concat(F.lit("x"), F.expr("substring(replace(p_name, ' ', '_'), 2)"), F.lit("yz")))
         .otherwise(name)
     )
     return p.select(changed.alias("name")), p.select(name.alias("trusted_name"))

@@ -85,8 +85,7 @@ _SUMMARY = f"""totals AS (
          CAST(sum(bytes_in) AS BIGINT) AS bytes_in, CAST(sum(bytes_out) AS BIGINT) AS bytes_out FROM requests_in),
 recent AS (
   SELECT CAST(sum(duration_ns) // count(*) AS BIGINT) AS average_ns, list_sort(list(duration_ns))[count(*) // 2 + 1] AS median_ns FROM (
-    SELECT duration_ns FROM requests_in WHERE at_us + duration_ns // 1000 <= {NOW}
-    ORDER BY at_us + duration_ns // 1000 DESC, request_id DESC LIMIT 1000))"""
+    SELECT duration_ns FROM requests_in WHERE at_us + duration_ns // 1000 <= {NOW}))"""
 _RPS = """rates AS (
   SELECT request_id, at_us, count(*) OVER (ORDER BY at_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS in_window FROM requests_in)"""
 _BUCKET = f"""numbered AS (
@@ -149,10 +148,10 @@ ORACLES = {
   round(count(*) / ((max(at_us) - min(at_us)) / 1000000), 6) AS average_rps FROM rates""".replace("at_us * 1000000 + request_id", "at_us::HUGEINT * 10000000 + request_id"), _RPS),
     "recent_requests": _sql("SELECT request_id, at_us, method, status FROM requests_in ORDER BY at_us DESC, request_id DESC LIMIT 50"),
     "attacks_by_category": _sql("SELECT category, count(*) AS attacks FROM (SELECT unnest(attacks) AS category FROM requests_in) GROUP BY ROLLUP (category)"),
-    "health_summary": _sql(f"""SELECT attacks_last_minute, average_ns, CASE WHEN average_ns > 5000000000 THEN 'warning'
+    "health_summary": _sql(f"""SELECT attacks_last_minute, average_ns,
+  concat_ws(',', CASE WHEN attacks_last_minute > 100 THEN 'attacks' END, CASE WHEN average_ns > 5000000000 THEN 'slow' END) AS alerts, CASE WHEN average_ns > 5000000000 THEN 'warning'
   WHEN attacks_last_minute > 100 THEN 'critical' ELSE 'healthy' END AS status FROM recent, (
-    SELECT CAST(coalesce(sum(CASE WHEN at_us > {NOW} - 60000000 THEN len(attacks) ELSE 0 END), 0) AS BIGINT) AS attacks_last_minute FROM (
-      SELECT * FROM requests_in ORDER BY at_us DESC, request_id DESC LIMIT 100))""", _SUMMARY),
+    SELECT CAST(coalesce(sum(CASE WHEN at_us > {NOW} - 60000000 AND at_us <= {NOW} THEN len(attacks) ELSE 0 END), 0) AS BIGINT) AS attacks_last_minute FROM requests_in)""", _SUMMARY),
     "latency_percentiles": _sql("""SELECT method, d[greatest(1, CAST(floor(n * 0.5 + 0.5) AS BIGINT))] AS p50_ns, d[greatest(1, CAST(floor(n * 0.95 + 0.5) AS BIGINT))] AS p95_ns,
   d[greatest(1, CAST(floor(n * 0.99 + 0.5) AS BIGINT))] AS p99_ns, d[n] AS max_ns, n FROM (
   SELECT method, list_sort(list(duration_ns)) AS d, count(*) AS n FROM requests_in GROUP BY method)"""),
