@@ -197,24 +197,44 @@ class Join:
         need = F.ceil(F.lit(self.percent) * (n_x + n_y) / (100 + self.percent) - 1e-9)
         return ordered & (100 * n_x >= self.percent * n_y) & (F.least(n_x - p_x, n_y - p_y) >= need)
 
-    def entries(self) -> DataFrame:
-        """Prefix entries `token, class, n, pos` of lists with two classes or more."""
+    def prefixes(self) -> DataFrame:
+        """`class, n, tokens` of every class, its prefix in the global order."""
         rows = self.texts.filter("id is not null").select("text").mapInArrow(
             _prefixes(self.words, self.percent, self.sketch), "class binary, n bigint, tokens array<bigint>"
         )
-        once = rows.groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-        spread = once.select("class", "n", F.posexplode("tokens").alias("pos", "token"))
+        return rows.groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+
+    def entries(self) -> DataFrame:
+        """Prefix entries `token, class, n, pos` of lists with two classes or more."""
+        spread = self.prefix.select("class", "n", F.posexplode("tokens").alias("pos", "token"))
         return spread.withColumn("_list", F.count("*").over(Window.partitionBy("token"))).filter("_list > 1").select("token", "class", "n", "pos")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Which of the pairs `a, b` (a saved table) are linked. Only sets that occur in a pair are read and moved."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose prefixes have enough in common.
+
+        Of two prefixes take the one that ends first in the global order: what both sets share is shared by the
+        prefixes or lies in the rest of that set. So the shared part of the prefixes and the longer rest bound
+        the overlap.
+        """
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).select(F.xxhash64("class").alias("_key"))
+        bitmap = saved(bitmap_of(wanted, "_key", BITS))
+        own = in_bitmap(self.prefix.withColumn("_key", F.xxhash64("class")), "_key", bitmap, BITS, "_likely").filter("_likely")
+        a, b = (own.select(F.col("class").alias(t), F.col("n").alias(f"n_{t}"), F.col("tokens").alias(f"tokens_{t}")) for t in ("a", "b"))
+        rows = pairs.join(a, "a").join(b, "b")
+        rest = F.greatest(F.col("n_a") - F.size("tokens_a"), F.col("n_b") - F.size("tokens_b"))
+        need = F.ceil(F.lit(self.percent) * (F.col("n_a") + F.col("n_b")) / (100 + self.percent) - 1e-9)
+        return rows.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) + rest >= need).select("a", "b")
+
+    def links_among(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of the pairs `a, b` (a saved table). Only sets that occur in a likely pair are read and moved."""
+        pairs = saved(self.likely(pairs))
         sets = saved(self._sets_of(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()))
         left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
         right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
         rows = pairs.join(left, "a").join(right, "b").select("a", "set_a", "b", "set_b")
         found = rows.sortWithinPartitions("a", "b").mapInArrow(_overlaps, "a binary, b binary, both bigint, n_a bigint, n_b bigint")
         linked = 100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
-        return saved(found.select("a", "b", linked.alias("linked")))
+        return saved(found.filter(linked).select("a", "b"))
 
     def labelled(self, links: DataFrame) -> DataFrame:
         """`class, comp` of every class that has a link."""
@@ -222,6 +242,7 @@ class Join:
 
     def run(self) -> DataFrame:
         """`class, comp` of every class that is linked with another."""
+        self.prefix = saved(self.prefixes())
         shared = saved(self.entries())
         place = ["token", "n", "pos"]
         blocks = shared.groupBy(*place).agg(F.min("class").alias("lead"), F.count("*").alias("c"))
@@ -240,15 +261,16 @@ class Join:
         own = near.filter("lead_x = lead_y and n_x = n_y and pos_x = pos_y").select("token", F.col("n_x").alias("n"), F.col("pos_x").alias("pos"))
         members = active.join(own, place, "left_semi").filter("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b"))
         leaders = near.filter("lead_x <> lead_y").select(F.least("lead_x", "lead_y").alias("a"), F.greatest("lead_x", "lead_y").alias("b"))
-        done = self.verified(saved(members.unionByName(leaders).distinct()))
-        labels = saved(self.labelled(done.filter("linked")))
+        compared = saved(members.unionByName(leaders).distinct())
+        links = self.links_among(compared)
+        labels = saved(self.labelled(links))
 
         for all_entries in (False, True):
-            pairs = saved(self._between(active, labels, all_entries).join(done, ["a", "b"], "left_anti"))
-            more = self.verified(pairs)
-            done = done.unionByName(more)
-            if more.filter("linked").limit(1).count():
-                labels = saved(self.labelled(done.filter("linked")))
+            pairs = saved(self._between(active, labels, all_entries).join(compared, ["a", "b"], "left_anti"))
+            more = self.links_among(pairs)
+            compared, links = compared.unionByName(pairs), links.unionByName(more)
+            if more.limit(1).count():
+                labels = saved(self.labelled(links))
         return labels
 
     def _between(self, active: DataFrame, labels: DataFrame, all_entries: bool) -> DataFrame:
