@@ -41,7 +41,7 @@ def request_summary(requests: DataFrame, now_us: Column, recent: int | None = No
     if recent is not None:
         finished = latest(finished, recent, ["end_us", "request_id"])
     counts = finished.groupBy(F.col("duration_ns").alias("v")).agg(F.count("*").alias("c"))
-    ranked = running_total(counts, [], F.expr("v div 20000000"), ["v"], F.col("c"), "upto")
+    ranked = running_total(counts, [], F.expr("v div 200000"), ["v"], F.col("c"), "upto")
     number = finished.agg(F.count("*").alias("n"), F.expr("sum(duration_ns) div count(*)").alias("average_ns"))
     one = number.select("n", F.lit(1).alias("_all"))
     middle = ranked.withColumn("_all", F.lit(1)).join(F.broadcast(one), "_all").filter("upto > n div 2").agg(F.min("v").alias("median_ns"))
@@ -51,21 +51,37 @@ def request_summary(requests: DataFrame, now_us: Column, recent: int | None = No
 def rps(requests: DataFrame, window_s: int = 60) -> DataFrame:
     """Requests per second at each request: those of the last `window_s` seconds over its length."""
     counted = _in_last(requests.select("request_id", "at_us"), window_s * SECOND, False)
-    return counted.drop("_gone").withColumn("rps", F.col("in_window") / window_s)
+    return counted.drop("first_us").withColumn("rps", F.col("in_window") / window_s)
 
 
-def _in_last(rows: DataFrame, window_us: int, closed: bool) -> DataFrame:
-    """Each row with `in_window`, the rows of the time before it (its own instant included), and `_gone`.
+def _instants(rows: DataFrame, window_us: int, closed: bool) -> DataFrame:
+    """Per distinct `at_us` the rows of the time before it (its own instant included) and the time of the first of them.
 
-    The number is the difference of two running counts, so the cost per row does not grow with the
-    rows in the window. `closed` says whether a row exactly `window_us` old still counts.
+    Rows are counted per instant first. Every instant enters at its time and leaves `window_us` later, so the rows
+    in the window are a running total, and the first of them is the one that leaves next: both are found in slices
+    of a second, of which each hands on one row. `closed` says whether a row exactly `window_us` old still counts.
     """
-    sliced = with_halo(rows, F.col("at_us"), 10 * window_us, window_us)
-    ordered = Window.partitionBy("_slice").orderBy("at_us")
-    upto = F.count("*").over(ordered.rangeBetween(Window.unboundedPreceding, 0))
-    gone = F.count("*").over(ordered.rangeBetween(Window.unboundedPreceding, -window_us - (1 if closed else 0)))
-    counted = sliced.withColumns({"in_window": upto - gone, "_gone": gone})
-    return own_rows(counted)
+    age = window_us + (1 if closed else 0)
+    counts = rows.groupBy("at_us").agg(F.count("*").alias("c"))
+    enter = F.struct(F.col("at_us").alias("t"), F.col("c").alias("d"), F.lit(None).cast("bigint").alias("left"))
+    leave = F.struct((F.col("at_us") + age).alias("t"), (-F.col("c")).alias("d"), F.col("at_us").alias("left"))
+    events = counts.select(F.explode(F.array(enter, leave)).alias("e")).select("e.*").groupBy("t").agg(
+        F.sum("d").alias("d"), F.min("left").alias("left"), F.max(F.col("left").isNull()).alias("enters")
+    )
+    events = running_total(events, [], F.expr(f"t div {SECOND}"), ["t"], F.col("d"), "in_window")
+    # The first row that leaves after an instant was the first in its window.
+    sliced = events.withColumn("_slice", F.expr(f"t div {SECOND}"))
+    later = Window.partitionBy("_slice").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
+    heads = sliced.groupBy("_slice").agg(F.min("left").alias("_head"))
+    after = Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    carry = heads.select("_slice", F.min("_head").over(after).alias("_next"))
+    found = sliced.withColumn("_own", F.min("left").over(later)).join(carry, "_slice")
+    return found.filter("enters").select(F.col("t").alias("at_us"), "in_window", F.coalesce("_own", "_next").alias("first_us"))
+
+
+def _in_last(rows: DataFrame, window_us: int, closed: bool) -> DataFrame:
+    """Each row with `in_window` and `first_us` of its instant."""
+    return rows.join(_instants(rows, window_us, closed), "at_us")
 
 
 def rps_summary(requests: DataFrame, window_s: int = 60) -> DataFrame:
@@ -117,7 +133,7 @@ def latency_percentiles(requests: DataFrame, category: str, shares: Sequence[flo
     values, so a category which holds most rows is spread over slices.
     """
     counts = requests.groupBy(category, F.col("duration_ns").alias("v")).agg(F.count("*").alias("c"))
-    slices = F.expr("v div 20000000")
+    slices = F.expr("v div 200000")
     ranked = running_total(counts, [category], slices, ["v"], F.col("c"), "upto")
     totals = requests.groupBy(category).agg(F.count("*").alias("n"), F.max("duration_ns").alias("max_ns"))
     joined = ranked.join(totals, category)
@@ -154,20 +170,12 @@ def client_totals(decisions: DataFrame, now_us: Column) -> DataFrame:
 def log_write_rate(writes: DataFrame, window_s: int = 60) -> DataFrame:
     """Writes per second at each write: those of the last minute over the time from the first to the last.
 
-    Where that time is zero the rate is their number. The first write of a window is the one behind those
-    which have left it, so it is found by its rank.
+    Where that time is zero the rate is their number.
     """
-    window = window_s * SECOND
-    sliced = with_halo(writes.select("request_id", "at_us"), F.col("at_us"), 10 * window, window)
-    ordered = Window.partitionBy("_slice").orderBy("at_us")
-    gone = F.count("*").over(ordered.rangeBetween(Window.unboundedPreceding, -window - 1))
-    upto = F.count("*").over(ordered.rangeBetween(Window.unboundedPreceding, 0))
-    ranked = sliced.withColumns({"_gone": gone, "n": upto - gone, "_rank": F.row_number().over(Window.partitionBy("_slice").orderBy("at_us", "request_id"))})
-    first = ranked.select(F.col("_slice").alias("_s"), (F.col("_rank") - 1).alias("_g"), F.col("at_us").alias("_first"))
-    seen = own_rows(ranked.join(first, (F.col("_slice") == F.col("_s")) & (F.col("_gone") == F.col("_g"))))
-    span = (F.col("at_us") - F.col("_first")) / SECOND
-    rate = F.when(span == 0, F.col("n").cast("double")).otherwise(F.col("n") / span)
-    return seen.select("request_id", "at_us", "n", rate.alias("writes_per_second"))
+    seen = _in_last(writes.select("request_id", "at_us"), window_s * SECOND, True)
+    span = (F.col("at_us") - F.col("first_us")) / SECOND
+    rate = F.when(span == 0, F.col("in_window").cast("double")).otherwise(F.col("in_window") / span)
+    return seen.select("request_id", "at_us", F.col("in_window").alias("n"), rate.alias("writes_per_second"))
 
 
 def counters(requests: DataFrame, bounds: Sequence[float] = G.DURATION_BUCKETS) -> DataFrame:
@@ -249,7 +257,7 @@ def recon_rate(calls: DataFrame, key: str = "session_id", window_s: int = G.RECO
 
     `calls` has `request_id`, the key and `at_us`, and holds listing calls only.
     """
-    sliced = with_halo(calls.select("request_id", key, "at_us"), F.col("at_us"), 10 * window_s * SECOND, window_s * SECOND)
+    sliced = with_halo(calls.select("request_id", key, "at_us"), F.col("at_us"), window_s * SECOND, window_s * SECOND)
     recent = Window.partitionBy(key, "_slice").orderBy("at_us", "request_id").rowsBetween(Window.unboundedPreceding, 0)
     # Rank within the slice minus the rows which have left the window.
     ranked = sliced.withColumn("_rank", F.row_number().over(recent))
