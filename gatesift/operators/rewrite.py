@@ -47,6 +47,35 @@ def guard_sql(rule: Rule, text: str, low: str) -> str:
     return " AND ".join(parts) or "true"
 
 
+def _literal(character: str) -> str:
+    return character if character.isalnum() and character.isascii() else f"\\x{{{ord(character):X}}}"
+
+
+def any_of_regex(strings: Sequence[str]) -> str:
+    """An expression which finds any of the strings, written as the tree of their beginnings.
+
+    At a character the engine looks at one branch for each first letter, not at every string.
+    """
+    if "" in strings:
+        return ""
+    by_first: dict[str, list[str]] = {}
+    for s in sorted(set(strings)):
+        by_first.setdefault(s[0], []).append(s[1:])
+    branches = [_literal(c) + any_of_regex(rest) for c, rest in by_first.items()]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
+def any_rule_sql(rules: Sequence[Rule], text: str, low: str) -> str:
+    """A condition without which no rule of the pack matches: one search for all needed strings, then what has none."""
+    needed = sorted({_quick(n) for r in rules for n in r.needs})
+    parts = [f"{low} RLIKE {sql_text(any_of_regex(needed))}"] if needed else []
+    for rule in rules:
+        if not rule.needs:
+            guard = guard_sql(rule, text, low)
+            parts.append(f"({guard})" if guard != "true" else f"{text} RLIKE {sql_text(to_java(rule.regex))}")
+    return " OR ".join(parts)
+
+
 def candidate_lines_sql(rule: Rule, text: str) -> str:
     """The text with every line which cannot match blanked out, length unchanged."""
     keep = guard_sql(rule, "line", low_sql("line"))
@@ -162,10 +191,12 @@ def apply_rules(
         second = searched("a.leet", "a.leet_low", 1, struct(hits=f"concat(a.hits, {new})"))
         merge = f"IF(k % 2 = 0, {merge}, IF(a.text = a.leet, a, {second}))"
     start = "named_struct(" + ", ".join(f"'{f}', {v}" for f, v in state.items()) + ")"
-    return F.expr(
-        f"aggregate(sequence(0, {step * len(rules) - 1}), {start}, (a, k) -> {merge}, "
-        "a -> named_struct('text', a.text, 'low', a.low, 'hits', a.hits))"
-    )
+    end = "named_struct('text', a.text, 'low', a.low, 'hits', a.hits)"
+    # Rules see what earlier ones have left; where none has anything to find, the pack is passed over.
+    tests = [any_rule_sql(rules, "b.text", "b.low")] + ([any_rule_sql(rules, "b.leet", "b.leet_low")] if leet is not None else [])
+    run = f"aggregate(sequence(0, {step * len(rules) - 1}), b, (a, k) -> {merge}, a -> {end})"
+    skip = end.replace("a.", "b.")
+    return F.expr(f"element_at(transform(array({start}), b -> IF({' OR '.join(tests)}, {run}, {skip})), 1)")
 
 
 def rule_column(rules: Sequence[Rule], attribute: str, index: Column) -> Column:
