@@ -54,10 +54,16 @@ def epoch_micros(ts: Column) -> Column:
     return F.unix_micros(F.to_timestamp(ts) if not isinstance(ts, str) else F.col(ts))
 
 
-def opaque(value: Column) -> Column:
-    """The same column, which the optimizer does not copy into filters above it.
+def settled(value: Column) -> Column:
+    """The same column, one row per row, which the optimizer does not copy into filters above it.
 
     A filter on the result of a long pipeline would otherwise be rewritten in terms of the input,
-    stage by stage, and run the pipeline again. Filter on other columns before the pipeline.
+    stage by stage, and run the pipeline again. Filters on other columns still pass below it to the scan.
+    To be the only generator of its `select`.
     """
+    return F.explode(F.array(value))
+
+
+def opaque(value: Column) -> Column:
+    """The same column, below which no filter passes: for steps within one operator."""
     return F.when(F.spark_partition_id() >= 0, value)

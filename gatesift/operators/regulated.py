@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatesift.functions.expr import opaque, texts
+from gatesift.functions.expr import settled, texts
 from gatesift.operators.detect import explode_detections
 from gatesift.operators.rewrite import apply_rules, rule_column
 from gatesift.patterns import regulated as R
@@ -76,7 +76,7 @@ def scan_compliance(df: DataFrame, text: str, classes: Sequence[str] = ("pci", "
         found.append(violations(F.col(f"_{class_}.hits"), class_))
         current, low = f"_{class_}.text", f"_{class_}.low"
     all_found = F.concat(F.expr(f"cast(array() AS array<{VIOLATION}>)"), *found)
-    result = opaque(F.struct(F.col(current).alias("redacted"), all_found.alias("violations")))
+    result = settled(F.struct(F.col(current).alias("redacted"), all_found.alias("violations")))
     out = out.select(*df.columns, result.alias("_result"))
     risk = compliance_risk(F.col("_result.violations"))
     return out.select(*df.columns, "_result.redacted", "_result.violations", risk.alias("compliance_risk"))
@@ -122,7 +122,7 @@ def response_action(found: DataFrame, policy: DataFrame, keys: Sequence[str]) ->
 def redact_basic(df: DataFrame, text: str) -> DataFrame:
     """The input with `redacted` and the counts `ssn`, `icd10`, `card` of what was replaced."""
     rules: Sequence[Rule] = R.BASIC_RULES
-    run = df.withColumn("_r", opaque(apply_rules(text, rules)))
+    run = df.select(*df.columns, settled(apply_rules(text, rules)).alias("_r"))
 
     def count(i: int) -> Column:
         return F.size(F.filter(F.col("_r.hits"), lambda h: (h["rule"] == i) & h["ok"])).cast("bigint")

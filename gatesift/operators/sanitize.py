@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatesift.functions import text as T
-from gatesift.functions.expr import opaque
+from gatesift.functions.expr import settled
 from gatesift.operators import detect as D
 from gatesift.operators import verdict as V
 from gatesift.operators.rewrite import apply_rules
@@ -79,7 +79,7 @@ def sanitize_columns(df: DataFrame, text: str, stages: Sequence[str] = STAGES) -
         out, heuristics, current = _advanced(out, "_marked")
         found += heuristics
     result = F.struct(F.col(current).alias("sanitized"), F.concat(F.expr(D.NONE), *found).alias("detections"))
-    out = out.select(*df.columns, opaque(result).alias("_result"))
+    out = out.select(*df.columns, settled(result).alias("_result"))
     return out.select(*df.columns, "_result.sanitized", "_result.detections")
 
 
@@ -137,7 +137,7 @@ def top_technique(detections: Column) -> Column:
 def scan_app_html(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """Active content in HTML which a client will render: detections, risk, and blocked for any hit."""
     run = df.select(*keep, apply_rules(html, C.XSS_RULES, first_only=True).alias("_r"))
-    found = run.select(*keep, opaque(D.xss_detections("_r")).alias("_d"))
+    found = run.select(*keep, settled(D.xss_detections("_r")).alias("_d"))
     return found.select(
         *keep,
         F.size("_d").cast("bigint").alias("detections"),
