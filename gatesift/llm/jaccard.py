@@ -177,6 +177,10 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["a", "b", "both", "n_a", "n_b"])
 
 
+def _empty(table: DataFrame) -> bool:
+    return not table.limit(1).count()
+
+
 class Join:
     """One join: its saved tables and the steps that use them."""
 
@@ -227,7 +231,11 @@ class Join:
 
     def links_among(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of the pairs `a, b` (a saved table). Only sets that occur in a likely pair are read and moved."""
+        if _empty(pairs):
+            return pairs
         pairs = saved(self.likely(pairs))
+        if _empty(pairs):
+            return pairs
         sets = saved(self._sets_of(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()))
         left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
         right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
@@ -238,12 +246,16 @@ class Join:
 
     def labelled(self, links: DataFrame) -> DataFrame:
         """`class, comp` of every class that has a link."""
+        if _empty(links):
+            return links.select(F.col("a").alias("class"), F.col("b").alias("comp"))
         return components(links).select(F.col("vertex").alias("class"), F.col("label").alias("comp"))
 
     def run(self) -> DataFrame:
         """`class, comp` of every class that is linked with another."""
         self.prefix = saved(self.prefixes())
         shared = saved(self.entries())
+        if _empty(shared):
+            return self.classes.select("class", F.col("class").alias("comp")).limit(0)
         place = ["token", "n", "pos"]
         blocks = shared.groupBy(*place).agg(F.min("class").alias("lead"), F.count("*").alias("c"))
         x, y = blocks.alias("x"), blocks.alias("y")
@@ -269,7 +281,7 @@ class Join:
             pairs = saved(self._between(active, labels, all_entries).join(compared, ["a", "b"], "left_anti"))
             more = self.links_among(pairs)
             compared, links = compared.unionByName(pairs), links.unionByName(more)
-            if more.limit(1).count():
+            if not _empty(more):
                 labels = saved(self.labelled(links))
         return labels
 
