@@ -49,11 +49,6 @@ def fields(text: Column) -> Column:
     return F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != "")
 
 
-def epoch_micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a timestamp with or without zone (taken as UTC)."""
-    return F.unix_micros(F.to_timestamp(ts) if not isinstance(ts, str) else F.col(ts))
-
-
 def settled(value: Column) -> Column:
     """The same column, one row per row, which the optimizer does not copy into filters above it.
 

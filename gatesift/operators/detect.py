@@ -219,15 +219,6 @@ def detect_base64_injection(df: DataFrame, text: str, keep: Sequence[str]) -> Da
     return explode_detections(df, base64_injections(F.col(text)), keep)
 
 
-def advanced_detections(text: Column) -> Column:
-    """Repetition, stuffing and invisible characters, each on the text as it stands."""
-    return F.concat(
-        one_if(T.has_repetition(text), detection(F.lit("prompt_injection_repetition"), F.lit("repetition_attack"), F.lit("medium"))),
-        one_if(T.is_stuffed(text), detection(F.lit("prompt_injection_stuffing"), F.lit("prompt_stuffing"), F.lit("high"))),
-        one_if(T.has_invisible(text), detection(F.lit("prompt_injection_unicode"), F.lit("suspicious_unicode"), F.lit("medium"))),
-    )
-
-
 def threat_fragment_score(text: Column, rules: Sequence[tuple[str, float, tuple[str, ...]]]) -> Column:
     """Sum of the weights of the expressions found in the folded, lower-cased text."""
     def score(low: Column) -> Column:

@@ -41,10 +41,6 @@ def scan_headers(df: DataFrame, headers: str, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def headers_blocked(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return findings.groupBy(*keys).agg(F.bool_or("blocking").alias("blocked"))
-
-
 def looks_like_url(token: Column) -> Column:
     return F.contains(token, F.lit("://"))
 

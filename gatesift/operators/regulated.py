@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatesift.functions.expr import settled, texts
+from gatesift.functions.expr import lookup, settled, texts
 from gatesift.operators.detect import explode_detections
 from gatesift.operators.rewrite import apply_rules, rule_column
 from gatesift.patterns import regulated as R
@@ -82,6 +82,14 @@ def scan_compliance(df: DataFrame, text: str, classes: Sequence[str] = ("pci", "
     return out.select(*df.columns, "_result.redacted", "_result.violations", risk.alias("compliance_risk"))
 
 
+def violations_by_regulation(scanned: DataFrame) -> DataFrame:
+    """Violations and distinct patterns per regulation and severity, from the result of `scan_compliance`."""
+    found = scanned.select(F.explode("violations").alias("v")).select("v.*")
+    return found.groupBy(lookup(F.col("class"), R.REGULATION).alias("regulation"), "severity").agg(
+        F.count("*").alias("violations"), F.countDistinct("pattern").alias("patterns")
+    )
+
+
 def violation_summary(found: Column) -> Column:
     """`pattern[class]:severity×count` per pattern, sorted, with the severity of its first violation."""
     def of_pattern(p: Column) -> Column:

@@ -53,15 +53,6 @@ CATEGORY_RULES = [
     ("equals", "sql_injection", "sql_injection"),
     ("prefix", "secret_", "secret_exposure"),
 ]
-SESSION_CATEGORY = {
-    "role_escalation": "role_escalation",
-    "dan_progression": "jailbreak",
-    "developer_mode": "jailbreak",
-    "grandmother_exploit": "jailbreak",
-    "context_poisoning": "prompt_injection",
-    "distributed_template_injection": "template_injection",
-    "emotional_manipulation": "emotional_manipulation",
-}
 
 # Technique of a detection type; the first matching row wins.
 TECHNIQUE_RULES = [

@@ -8,7 +8,6 @@ from gatesift.functions import jsonv as J
 from gatesift.functions import net
 from gatesift.functions import text as T
 from gatesift.functions.expr import texts
-from gatesift.operators import detect as D
 from gatesift.operators import envelopes as E
 from gatesift.operators import gateway as W
 from gatesift.operators import regulated as R
@@ -42,10 +41,16 @@ def _meta(spark, sf):
     out = E.filter_meta_keys(I.envelopes(spark, sf), "params")
     return out.select(
         "env_id", F.array_join("kept", ",").alias("kept"), F.array_join("stripped", ",").alias("stripped"),
-        "rejected", "claims_authority",
+        "rejected", "claims_authority", _entries(E.meta_allowed(F.col("params"))).alias("meta"),
     )
 
 
+def _entries(values):
+    """A map as sorted `key=value`, joined by commas; empty for NULL."""
+    pairs = F.transform(F.map_entries(values), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return F.coalesce(F.array_join(F.array_sort(pairs), ","), F.lit(""))
+
+
 def _catalog_listing(spark, sf):
     p = I.table(spark, sf, "part")
     listing = F.concat(
@@ -260,8 +265,10 @@ ORACLES = {
     "filter_meta_keys": K.with_(I.ENVELOPES)
     + f"""SELECT env_id, array_to_string(list_sort(list_filter(ks, lambda k: list_contains({K.qlist(G.META_ALLOWED)}, k))), ',') AS kept,
   array_to_string(list_sort(list_filter(ks, lambda k: NOT list_contains({K.qlist(G.META_ALLOWED)}, k))), ',') AS stripped,
-  NOT list_has_all({K.qlist(G.META_ALLOWED)}, ks) AS rejected, list_has_any({K.qlist(G.META_AUTHORITY)}, ks) AS claims_authority
-FROM (SELECT env_id, {_META_KEYS} AS ks FROM envelopes_in)""",
+  NOT list_has_all({K.qlist(G.META_ALLOWED)}, ks) AS rejected, list_has_any({K.qlist(G.META_AUTHORITY)}, ks) AS claims_authority,
+  array_to_string(list_sort(list_transform(list_filter(ks, lambda k: list_contains({K.qlist(G.META_ALLOWED)}, k)),
+    lambda k: k || '=' || json_extract_string(params, '$._meta.' || k))), ',') AS meta
+FROM (SELECT env_id, params, {_META_KEYS} AS ks FROM envelopes_in)""",
     "extract_tool_text": K.with_(I.RESULTS, _RESULT_BLOCKS)
     + f"SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ordinal FROM ({_TEXTS})",
     "extract_app_html": K.with_(I.RESULTS, _RESULT_BLOCKS)

@@ -134,6 +134,7 @@ QUERIES = {
     "request_action": lambda spark, sf: G.request_action(_violations(spark, sf), _policy(spark), KEEP),
     "response_action": lambda spark, sf: G.response_action(_violations(spark, sf), _policy(spark), KEEP),
     "violation_summary": _summary,
+    "violations_by_regulation": lambda spark, sf: G.violations_by_regulation(G.scan_compliance(I.documents(spark, sf), "text")),
     "redact_basic": _redact,
     "erase_user": _erase,
     "erasure_events": _erasure_events,
@@ -205,6 +206,9 @@ ORACLES = {
     "request_action": _action(
         "CASE WHEN severity = 'critical' THEN 'block' ELSE coalesce(act, CASE severity WHEN 'high' THEN 'redact' ELSE 'log-only' END) END"),
     "response_action": _action("coalesce(act, 'redact')"),
+    "violations_by_regulation": _ALL
+    + f"""SELECT CASE class {" ".join(f"WHEN '{c}' THEN {K.q(r)}" for c, r in R.REGULATION.items())} END AS regulation, severity,
+  count(*) AS violations, count(DISTINCT pattern) AS patterns FROM found GROUP BY ALL""",
     "violation_summary": _ALL
     + """SELECT doc_id, string_agg(pattern || '[' || class || ']:' || severity || '×' || n, ', ' ORDER BY pattern) AS summary FROM (
   SELECT doc_id, pattern, arg_min(class, stage * 1000000 + i) AS class, arg_min(severity, stage * 1000000 + i) AS severity, count(*) AS n
