@@ -7,9 +7,9 @@ order comes from a count sketch over all documents, whose size is fixed.
 Block skipping: entries of a shingle's list are grouped into blocks by set size and position. Whether two blocks can
 hold a linked pair follows from sizes and positions alone, so blocks are compared, not entries, and most are skipped.
 Derived answers: the members of a block are first compared with one member only, its leader, and leaders with leaders.
-What is linked makes up a component, and inside a component no answer is needed any more. The next round compares one
-leader per block and component, the last one all entries of blocks that lie in different components and were not
-compared before, so no link between components is lost. While pairs are verified, the answers of a set are derived from
+What is linked makes up a component, and inside a component no answer is needed any more. The next rounds compare one
+leader per block and component, first with the largest component of the list, then with each other; the last one all
+entries of blocks that lie in different components and were not compared before, so no link between components is lost. While pairs are verified, the answers of a set are derived from
 those of the similar set before it, by the few shingles in which the two differ.
 
 A text's words are its runs without ASCII white space, A-Z in lower case; with fewer words than a shingle the whole
@@ -277,23 +277,31 @@ class Join:
         links = self.links_among(compared)
         labels = saved(self.labelled(links))
 
-        for all_entries in (False, True):
-            pairs = saved(self._between(active, labels, all_entries).join(compared, ["a", "b"], "left_anti"))
+        for which in ("main", "leaders", "entries"):
+            pairs = saved(self._between(active, labels, which).join(compared, ["a", "b"], "left_anti"))
             more = self.links_among(pairs)
             compared, links = compared.unionByName(pairs), links.unionByName(more)
             if not _empty(more):
                 labels = saved(self.labelled(links))
         return labels
 
-    def _between(self, active: DataFrame, labels: DataFrame, all_entries: bool) -> DataFrame:
-        """Pairs from different components in blocks that may hold a link: of leaders, or of all entries."""
+    def _between(self, active: DataFrame, labels: DataFrame, which: str) -> DataFrame:
+        """Pairs from different components in blocks that may hold a link.
+
+        First leaders with those of the list's largest component, which in a large group of near copies leaves few
+        components; then leaders with leaders; then all entries.
+        """
         rows = active.drop("lead").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
         mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
         rows = saved(rows.join(mixed, "token", "left_semi"))
-        if not all_entries:
+        if which == "main":
+            sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
+            largest = sizes.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"))
+        if which != "entries":
             rows = rows.groupBy("token", "n", "pos", "comp").agg(F.min("class").alias("class"))
+        rows = saved(rows.join(largest, "token").withColumn("main", F.col("comp") == F.col("largest"))) if which == "main" else rows.withColumn("main", F.lit(True))
         x, y = rows.alias("x"), rows.alias("y")
-        apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.token") == F.col("y.token"))
+        apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.main") | F.col("y.main"))
         found = x.join(y, apart & self.may_link("x", "y"))
         return found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
