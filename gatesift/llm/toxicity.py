@@ -50,7 +50,7 @@ EXCEPTIONS = (
     "dumb bell", "dumb terminal", "bitch of the dog", "sore loser rule", "shit zu",
 )
 # Characters of other scripts that look like a Latin letter, and digits and signs used for letters.
-LOOK_ALIKES = dict(zip("аеорсухкмтвніјѕԁɡһӏαεοριτυκνχβηγ", "aeopcyxkmtbhijsdghlaeopityukvxbhy", strict=False))
+LOOK_ALIKES = dict(zip("аеорсухкмтвніјѕԁɡһӏαεοριτυκνχβηγ", "aeopcyxkmtbhijsdghlaeopitukvxbhy", strict=True))
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 INVISIBLE = re.compile("[­̀-ͯ​-‏⁠﻿]")
 SIGN_INSIDE = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")

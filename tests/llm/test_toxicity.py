@@ -34,7 +34,7 @@ def test_learns_from_the_other_folds_only(spark):
 @pytest.mark.parametrize("text, toxic", [
     ("you are an idiot my friend", True), ("you are an 1d10t my friend", True), ("you are an \u0456diot my friend", True), ("you are an i\u200bdiot my friend", True),
     ("you are an ID\uff29OT!", True), ("what a mor$on", False), ("5tup1d thing", True), ("put it in the trash can please", False), ("10 1010 57012", False),
-    ("a house by the river", False), ("", False), (None, False), ("idiotic? no: idiomatic", False),
+    ("you are an idi\u03bft", True), ("st\u03c5pid thing", True), ("a house by the river", False), ("", False), (None, False), ("idiotic? no: idiomatic", False),
 ])
 def test_folding_and_exceptions(spark, text, toxic):
     row = T.score(documents(spark, [text]), T.Model()).first()
