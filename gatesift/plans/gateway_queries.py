@@ -10,8 +10,10 @@ from gatesift.functions import text as T
 from gatesift.functions.expr import texts
 from gatesift.operators import envelopes as E
 from gatesift.operators import gateway as W
+from gatesift.operators import limits as L
 from gatesift.operators import regulated as R
 from gatesift.operators import sanitize as Z
+from gatesift.operators import sessions as SS
 from gatesift.operators import verdict as V
 from gatesift.patterns import content as C
 from gatesift.patterns import gates as G
@@ -20,6 +22,7 @@ from gatesift.plans import duck as K
 from gatesift.plans import inputs as I
 from gatesift.plans import regulated_queries as RQ
 from gatesift.plans import samples as S
+from gatesift.plans import session_queries as SQ
 
 POLICY = [("pii", "redact"), ("phi", "block"), ("pci", "redact")]
 
@@ -124,8 +127,19 @@ def _tool_result(spark, sf):
     return W.scan_tool_result(I.tool_results(spark, sf), "result", ["page_id"])
 
 
+def _requests(spark, sf):
+    """The calls as a log: when they came, in which session, under which message number, and how long they ran."""
+    c = I.table(spark, sf, "conversations")
+    v = F.col("conv_id") * 8 + F.col("turn")
+    at = F.lit(I.EPOCH * 1_000_000) + v * 1_000_000
+    return c.select(
+        v.alias("request_id"), v.alias("task_id"), at.alias("at_us"), at.alias("start_us"), (at + (v % 4 + 5) * 1_000_000).alias("end_us"),
+        F.expr("(conv_id * 8 + turn) div 16").alias("session"), (v % 13).cast("string").alias("message"), F.expr("(conv_id * 8 + turn) div 64").alias("user_id"),
+    )
+
+
 def _gateway(spark, sf):
-    """Every gate which needs no history, on the same requests."""
+    """Every gate on the same requests."""
     e = E.parse_envelope(I.envelopes(spark, sf).drop("headers"), "raw")
     violations_block = F.exists("violations", lambda v: (v["severity"] == "critical") | v["class"].isin([c for c, a in POLICY if a == "block"]))
     scanned = R.scan_compliance(Z.sanitize_content(e, "params"), "params")
@@ -141,8 +155,18 @@ def _gateway(spark, sf):
         F.exists(strings, net.ssrf_target).alias("ssrf"),
         W.is_destructive(F.col("tool_name")).alias("approval"),
     )
-    names = ["malformed", "header_mismatch", "meta", "anomaly", "content", "compliance", "ssrf", "approval"]
-    out = W.gateway_verdict(gates, names)
+    log = _requests(spark, sf)
+    session = F.substring("session_id", 2, 20).cast("bigint") * 32 + F.col("msg_id")
+    more = {
+        "header_credential": _headers(spark, sf).filter("blocking").select("env_id").distinct(),
+        "replay": L.replay(log, "session", "message").filter("replayed").select(F.col("request_id").alias("env_id")),
+        "task_quota": L.admitted(log).filter("not admitted").select(F.col("task_id").alias("env_id")),
+        "session": SS.analyze(I.dialogues(spark, sf)).filter("block").select(session.alias("env_id")),
+        "judge": _replies(spark, sf).filter("verdict = 'BLOCK'").select("env_id"),
+    }
+    for name, refused in more.items():
+        gates = gates.join(refused.withColumn(name, F.lit(True)), "env_id", "left")
+    out = W.gateway_verdict(gates, [name for name, _, _ in W.GATES])
     return out.select("env_id", "gate", F.col("status").cast("bigint").alias("status"), F.col("code").cast("bigint").alias("code"))
 
 
@@ -256,6 +280,19 @@ WHERE json_type(item, '$.html') = 'VARCHAR' OR (json_extract_string(item, '$.typ
   AND contains(lower(json_extract_string(item, '$.mimeType')), 'html') AND json_type(item, '$.text') = 'VARCHAR')"""
 _STRINGS = """SELECT env_id, t.atom ->> '$' AS value FROM envelopes_in, json_tree(params, '$.arguments') t WHERE t.type = 'VARCHAR'"""
 
+_REPLAYED = """WITH RECURSIVE r AS (SELECT v, v // 16 AS s, v % 13 AS m, row_number() OVER (PARTITION BY v // 16, v % 13 ORDER BY v) AS rn
+    FROM (SELECT conv_id * 8 + turn AS v FROM conversations)),
+  rs(v, s, m, rn, first, replayed) AS (
+    SELECT v, s, m, rn, v, false FROM r WHERE rn = 1 UNION ALL
+    SELECT n.v, n.s, n.m, n.rn, CASE WHEN n.v - rs.first <= 60 THEN rs.first ELSE n.v END, n.v - rs.first <= 60
+    FROM rs JOIN r n ON n.s = rs.s AND n.m = rs.m AND n.rn = rs.rn + 1) SELECT v, replayed FROM rs"""
+_REFUSED = f"""WITH RECURSIVE r AS (SELECT v, v // 64 AS u, v + v % 4 + 5 AS e, row_number() OVER (PARTITION BY v // 64 ORDER BY v) AS rn
+    FROM (SELECT conv_id * 8 + turn AS v FROM conversations)),
+  rs(v, u, rn, ends, admitted) AS (
+    SELECT v, u, rn, [e], true FROM r WHERE rn = 1 UNION ALL
+    SELECT v, u, rn, CASE WHEN len(live) < {G.TASK_LIMIT} THEN list_append(live, e) ELSE live END, len(live) < {G.TASK_LIMIT}
+    FROM (SELECT n.*, list_filter(rs.ends, lambda x: x > n.v) AS live FROM rs JOIN r n ON n.u = rs.u AND n.rn = rs.rn + 1)) SELECT v, admitted FROM rs"""
+
 ORACLES = {
     "parse_envelope": K.with_(I.ENVELOPES)
     + f"SELECT env_id, {_string('$.jsonrpc')} AS jsonrpc, {_string('$.method')} AS method, "
@@ -331,10 +368,18 @@ gates AS (SELECT env_id, coalesce({_ERROR}, 0) = -32700 AS malformed, {_MISMATCH
   env_id IN (SELECT doc_id FROM found WHERE severity IN ('high', 'critical')) AS content,
   env_id IN (SELECT doc_id FROM violations WHERE severity = 'critical' OR class = 'phi') AS compliance,
   env_id IN (SELECT env_id FROM unsafe) OR env_id IN (SELECT env_id FROM prose) AS ssrf,
-  regexp_matches(lower({_string('$.params.name')}), '^(delete_|drop_|purge_|format_|overwrite_)') AS approval FROM envelopes_in)
-SELECT env_id, CASE WHEN malformed THEN 'malformed' WHEN mismatch THEN 'header_mismatch' WHEN meta THEN 'meta' WHEN anomaly THEN 'anomaly'
-  WHEN content THEN 'content' WHEN compliance THEN 'compliance' WHEN ssrf THEN 'ssrf' WHEN approval THEN 'approval' END AS gate,
-  CAST(CASE WHEN malformed OR mismatch THEN 400 WHEN meta OR anomaly OR content OR compliance OR ssrf OR approval THEN 403 ELSE 200 END AS BIGINT) AS status,
-  CAST(CASE WHEN malformed OR mismatch THEN -32600 WHEN meta OR anomaly OR content THEN -32000 WHEN compliance THEN -32001
-    WHEN ssrf OR approval THEN -32000 END AS BIGINT) AS code FROM gates""",
+  regexp_matches(lower({_string('$.params.name')}), '^(delete_|drop_|purge_|format_|overwrite_)') AS approval,
+  env_id IN (SELECT env_id FROM (@headers) WHERE blocking) AS header,
+  env_id IN (SELECT v FROM ({_REPLAYED}) WHERE replayed) AS replay, env_id IN (SELECT v FROM ({_REFUSED}) WHERE NOT admitted) AS quota,
+  env_id IN (SELECT CAST(session_id[2:] AS BIGINT) * 32 + msg_id FROM (@session) WHERE block) AS session,
+  env_id IN (SELECT env_id FROM (@judge) WHERE verdict = 'BLOCK') AS judge FROM envelopes_in)
+SELECT env_id, CASE WHEN malformed THEN 'malformed' WHEN header THEN 'header_credential' WHEN mismatch THEN 'header_mismatch'
+  WHEN replay THEN 'replay' WHEN quota THEN 'task_quota' WHEN meta THEN 'meta' WHEN session THEN 'session' WHEN anomaly THEN 'anomaly'
+  WHEN content THEN 'content' WHEN compliance THEN 'compliance' WHEN judge THEN 'judge' WHEN ssrf THEN 'ssrf' WHEN approval THEN 'approval' END AS gate,
+  CAST(CASE WHEN malformed THEN 400 WHEN header THEN 403 WHEN mismatch OR replay THEN 400 WHEN quota THEN 429
+    WHEN meta OR session OR anomaly OR content OR compliance OR judge OR ssrf OR approval THEN 403 ELSE 200 END AS BIGINT) AS status,
+  CAST(CASE WHEN malformed THEN -32600 WHEN header THEN -32000 WHEN mismatch OR replay THEN -32600 WHEN quota OR meta OR session OR anomaly OR content THEN -32000
+    WHEN compliance THEN -32001 WHEN judge OR ssrf OR approval THEN -32000 END AS BIGINT) AS code FROM gates""",
 }
+for _mark, _other in (("@headers", ORACLES["scan_headers"]), ("@session", SQ.ORACLES["recommended_action"]), ("@judge", ORACLES["parse_verdict"])):
+    ORACLES["gateway_verdict"] = ORACLES["gateway_verdict"].replace(_mark, _other)
