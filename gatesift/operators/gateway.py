@@ -126,17 +126,18 @@ GATES = [
 
 
 def gateway_verdict(df: DataFrame, gates: Sequence[str]) -> DataFrame:
-    """The input with `gate`, `status` and `code` of the first gate which is true (200 and NULL for none).
+    """The input with `gate`, `status` and `code` of the first gate which is true (200 and NULL for none), and `held`, all that are.
 
     `gates` names the boolean columns at hand; NULL counts as false.
     """
-    gate, status, code = F, F, F
+    gate, status, code, held = F, F, F, []
     for name, http, error in GATES:
         if name in gates:
             hit = F.coalesce(F.col(name), F.lit(False))
             gate = gate.when(hit, F.lit(name))
             status = status.when(hit, F.lit(http))
             code = code.when(hit, F.lit(error))
-    return df.withColumns({"gate": gate, "status": status.otherwise(F.lit(200)), "code": code})
+            held.append(F.when(hit, F.lit(name)))
+    return df.withColumns({"gate": gate, "status": status.otherwise(F.lit(200)), "code": code, "held": F.array_compact(F.array(*held))})
 
 

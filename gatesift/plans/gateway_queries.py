@@ -167,7 +167,9 @@ def _gateway(spark, sf):
     for name, refused in more.items():
         gates = gates.join(refused.withColumn(name, F.lit(True)), "env_id", "left")
     out = W.gateway_verdict(gates, [name for name, _, _ in W.GATES])
-    return out.select("env_id", "gate", F.col("status").cast("bigint").alias("status"), F.col("code").cast("bigint").alias("code"))
+    return out.select(
+        "env_id", "gate", F.col("status").cast("bigint").alias("status"), F.col("code").cast("bigint").alias("code"), F.array_join("held", ",").alias("held")
+    )
 
 
 QUERIES = {
@@ -280,6 +282,8 @@ WHERE json_type(item, '$.html') = 'VARCHAR' OR (json_extract_string(item, '$.typ
   AND contains(lower(json_extract_string(item, '$.mimeType')), 'html') AND json_type(item, '$.text') = 'VARCHAR')"""
 _STRINGS = """SELECT env_id, t.atom ->> '$' AS value FROM envelopes_in, json_tree(params, '$.arguments') t WHERE t.type = 'VARCHAR'"""
 
+_HELD = list(zip(
+    "malformed header mismatch replay quota meta session anomaly content compliance judge ssrf approval".split(), [n for n, _, _ in W.GATES], strict=True))
 _REPLAYED = """WITH RECURSIVE r AS (SELECT v, v // 16 AS s, v % 13 AS m, row_number() OVER (PARTITION BY v // 16, v % 13 ORDER BY v) AS rn
     FROM (SELECT conv_id * 8 + turn AS v FROM conversations)),
   rs(v, s, m, rn, first, replayed) AS (
@@ -379,7 +383,8 @@ SELECT env_id, CASE WHEN malformed THEN 'malformed' WHEN header THEN 'header_cre
   CAST(CASE WHEN malformed THEN 400 WHEN header THEN 403 WHEN mismatch OR replay THEN 400 WHEN quota THEN 429
     WHEN meta OR session OR anomaly OR content OR compliance OR judge OR ssrf OR approval THEN 403 ELSE 200 END AS BIGINT) AS status,
   CAST(CASE WHEN malformed THEN -32600 WHEN header THEN -32000 WHEN mismatch OR replay THEN -32600 WHEN quota OR meta OR session OR anomaly OR content THEN -32000
-    WHEN compliance THEN -32001 WHEN judge OR ssrf OR approval THEN -32000 END AS BIGINT) AS code FROM gates""",
+    WHEN compliance THEN -32001 WHEN judge OR ssrf OR approval THEN -32000 END AS BIGINT) AS code,
+  concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in _HELD)}) AS held FROM gates""",
 }
 for _mark, _other in (("@headers", ORACLES["scan_headers"]), ("@session", SQ.ORACLES["recommended_action"]), ("@judge", ORACLES["parse_verdict"])):
     ORACLES["gateway_verdict"] = ORACLES["gateway_verdict"].replace(_mark, _other)
