@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,14 +84,22 @@ def in_bitmap(rows: DataFrame, key: str, bitmap: DataFrame, bits: int, flag: str
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], hit.alias(flag))
 
 
-def per_worker(key: tuple, make: Callable[[], Any], most: int = 8) -> Any:
-    """What `make` returns, made once per Python process: workers are used again for many tasks."""
+def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """What `make` returns, made once per Python process and stage: workers are used again for many tasks.
+
+    What only earlier stages have used is dropped, so that a worker which lives through a pipeline does not keep the
+    vocabularies and automata of all its stages.
+    """
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
     kept = sys.__dict__.setdefault("_gatesift_per_worker", {})
     if key not in kept:
-        while len(kept) >= most:
-            kept.pop(next(iter(kept)))
-        kept[key] = make()
-    return kept[key]
+        for old in [k for k, (used, _) in kept.items() if used != stage]:
+            del kept[old]
+        kept[key] = (stage, make())
+    elif kept[key][0] != stage:
+        kept[key] = (stage, kept[key][1])
+    return kept[key][1]
 
 
 def text_or_empty(text: str) -> Column:

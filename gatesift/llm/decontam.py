@@ -103,7 +103,7 @@ def find_hits(raw: bytes, searcher) -> tuple[int, list[dict]]:
 
 def _scan(windows: dict[str, tuple[str, ...]], key: str, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = per_worker(("windows", key), lambda: automaton(windows), most=8)
+        searcher = per_worker(("windows", key), lambda: automaton(windows))
         for batch in batches:
             counts, hits = [], []
             for raw, before in zip(batch.column(1).cast(pa.binary()), batch.column(3), strict=True):
@@ -170,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
 def _clean(windows: dict[str, tuple[str, ...]], key: str, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = per_worker(("windows", key), lambda: automaton(windows), most=8)
+        searcher = per_worker(("windows", key), lambda: automaton(windows))
         for batch in batches:
             texts = batch.column(at).cast(pa.binary())
             yield batch.filter(pa.array([not find_hits(t.as_py() or b"", searcher)[1] for t in texts], pa.bool_()))

@@ -40,7 +40,7 @@ SKETCH_BITS = 20  # counters of the sketch
 SLICE = 4096  # counters in one row while they are added up
 TOGETHER = 2_000_000  # bytes of texts that are shingled together
 SIMILAR = 0.2  # share of a set by which the set before may differ for its answers to be reused
-BITS = 26
+BITS = 24  # 2 MB of bitmap; there are several in a join
 
 
 def _batches(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[bytes]]]:
