@@ -34,3 +34,30 @@ that the following conditions are met: Redistributions of source code must retai
 conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list
 of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
 }
+
+# Bare lines and further notices, which a corpus holds more often than the long texts.
+LINES = {
+    "all-rights-reserved-line": "All rights reserved.",
+    "mit-licensed-line": "Licensed under the MIT License.",
+    "bsd-2-clause-line": "BSD 2-Clause License",
+    "bsd-3-clause-line": "BSD 3-Clause License",
+    "bsd-3-clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.""",
+    "agpl-line": "GNU Affero General Public License",
+    "lgpl-line": "GNU Lesser General Public License",
+    "epl-2.0-line": "Eclipse Public License 2.0",
+    "mpl-2.0-line": "Mozilla Public License, Version 2.0",
+    "bsl-1.0-line": "Boost Software License, Version 1.0",
+    "unlicense": "This is free and unencumbered software",
+    "cc0-1.0-line": "CC0 1.0 Universal",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-bsd-2-clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-bsd-3-clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-mpl-2.0": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-gpl-2.0": "SPDX-License-Identifier: GPL-2.0",
+    "spdx-gpl-3.0": "SPDX-License-Identifier: GPL-3.0",
+}

@@ -6,6 +6,9 @@ lies inside a window. MinHash bands of a window retrieve templates; the number o
 smallest Jaccard similarity that a window may have with a contained template, so that a band agrees with a probability of
 at least 1 - `miss`. Candidates are verified by the exact share of the template's shingles that the window holds.
 
+A template of fewer than WORDS words is one shingle of its own length: it is held as a whole or not at all, so it is looked
+up by that shingle instead of by bands. A template without any word is refused.
+
 Two conditions that no match can fail spare work: a document must hold one of a few words without which less than the
 wanted share of a template's shingles would be left (they are found from the templates), and a window one of the
 templates' shingles. Templates are a bounded side: they are part of the plan.
@@ -25,11 +28,12 @@ from pyspark.sql import functions as F
 
 from gatesift.functions.expr import opaque
 from gatesift.llm.common import plain, saved, text_or_empty
-from gatesift.llm.license_texts import NOTICES
+from gatesift.llm.license_texts import LINES, NOTICES
 
 WORDS = 5
 CONTAINMENT = 0.8
 MISS = 1e-4
+EVERY = {**NOTICES, **LINES}
 
 
 def template_words(text: str) -> list[str]:
@@ -45,7 +49,8 @@ def needed_words(templates: Mapping[str, str], share: float) -> list[str]:
     chosen: set[str] = set()
     for text in templates.values():
         words = template_words(text)
-        shingles = {tuple(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)}
+        width = min(WORDS, len(words))
+        shingles = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
         while True:
             free = [s for s in shingles if not chosen & set(s)]
             if len(free) < share * len(shingles):
@@ -70,10 +75,10 @@ def band_settings(templates: Mapping[str, str], share: float, miss: float) -> di
     return out
 
 
-def shingle_hashes(words: str) -> Column:
+def shingle_hashes(words: str, width: int = WORDS) -> Column:
     """Hash of every shingle of an array of words, in order; none for fewer words than a shingle."""
-    last = F.size(words) - WORDS + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, WORDS)))).otherwise(
+    last = F.size(words) - width + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(
         F.array().cast("array<bigint>")
     )
 
@@ -92,31 +97,59 @@ def templates_table(spark: SparkSession, templates: Mapping[str, str]) -> DataFr
     return df.select("license", stride.alias("stride"), "shingles")
 
 
+def short_table(spark: SparkSession, templates: Mapping[str, str]) -> DataFrame:
+    """Templates of fewer than WORDS words, each the one shingle of its own length."""
+    rows = [(name, template_words(text)) for name, text in templates.items() if len(template_words(text)) < WORDS]
+    df = spark.createDataFrame(rows, "license string, words array<string>")
+    return df.select("license", F.size("words").alias("width"), F.xxhash64("words").alias("shingle"))
+
+
+def short_places(width: int, shingles: list[int]) -> Column:
+    """Where one of these shingles of `width` words stands, in the column of all shingles of that width."""
+    at = F.transform(f"_short{width}", lambda h, i: F.struct(F.lit(width).alias("width"), h.alias("shingle"), i.alias("place")))
+    wanted = F.array(*[F.lit(h) for h in shingles]).cast("array<bigint>")
+    return F.filter(at, lambda s: F.array_contains(wanted, s["shingle"]))
+
+
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = NOTICES, share: float = CONTAINMENT, miss: float = MISS,
 ) -> DataFrame:
     """A row per document and template found: id, `license`, `containment`, `start_word` of the best window, `window_words`."""
     spark = docs.sparkSession
+    if wordless := [n for n, t in templates.items() if not template_words(t)]:
+        raise ValueError(f"templates without words: {wordless}")
     known = {n: t for n, t in templates.items() if len(template_words(t)) >= WORDS}
     table = templates_table(spark, known)
     every = sorted({h for r in table.select("shingles").collect() for h in r[0]})
     settings = band_settings(known, share, miss)
+    short = short_table(spark, templates)
+    of_width: dict[int, list[int]] = {}
+    for r in short.collect():
+        of_width.setdefault(r["width"], []).append(r["shingle"])
 
     lowered = F.lower("_text")
     holds = F.lit(False)
-    for word in needed_words(known, share):
+    for word in needed_words(templates, share):
         holds = holds | F.contains(lowered, F.lit(word))
     rows = plain(docs, id_col, text_col).select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).filter(holds)
     # Each step stands behind a barrier: a filter above must not copy the step below into a lambda, once per element.
     words = F.transform(F.regexp_extract_all("_text", F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
     rows = rows.select("_id", F.monotonically_increasing_id().alias("_row"), opaque(words).alias("_words"))
-    rows = rows.select("_id", "_row", opaque(shingle_hashes("_words")).alias("_shingles"))
+    shorter = [opaque(shingle_hashes("_words", width)).alias(f"_short{width}") for width in of_width]
+    rows = rows.select("_id", "_row", opaque(shingle_hashes("_words")).alias("_shingles"), *shorter)
     of_template = F.array(*[F.lit(h) for h in every]).cast("array<bigint>")
     places = F.filter(F.sequence(F.lit(0), F.size("_shingles") - 1), lambda i: F.array_contains(of_template, F.get("_shingles", i)))
     places = F.when(F.size("_shingles") > 0, places).otherwise(F.array().cast("array<int>"))
-    rows = saved(rows.select("_id", "_row", "_shingles", opaque(places).alias("_places")).filter(F.size("_places") > 0))
-
-    found = None
+    lines = F.concat(F.array().cast("array<struct<width:int,shingle:bigint,place:int>>"), *[short_places(w, h) for w, h in of_width.items()])
+    rows = rows.select("_id", "_row", "_shingles", opaque(places).alias("_places"), opaque(lines).alias("_lines"))
+    rows = saved(rows.filter((F.size("_places") > 0) | (F.size("_lines") > 0)))
+
+    # The window before the own one holds the line too, unless the line runs over its end.
+    stride = stride_of(1)
+    at = rows.select("_id", "_row", F.explode("_lines").alias("_at")).select("_id", "_row", "_at.*").join(F.broadcast(short), ["width", "shingle"])
+    own = F.floor(F.col("place") / stride) * stride
+    start = F.when((own >= stride) & (F.col("place") + F.col("width") <= own + stride), own - stride).otherwise(own).cast("int")
+    found = at.select("_id", "_row", "license", F.lit(1.0).alias("containment"), start.alias("start"), F.lit(2 * stride).alias("window_words"))
     for stride, (number, per_band) in sorted(settings.items()):
         first = F.transform("_places", lambda p: (F.floor(p / stride) * stride).cast("int"))
         starts = F.filter(F.array_union(first, F.transform(first, lambda s: s - stride)), lambda s: s >= 0)  # noqa: B023
@@ -130,7 +163,7 @@ def scan_licenses(
         once = matched.groupBy("_row", "start", "license").agg(F.first("_id").alias("_id"), F.first("_window").alias("_window"), F.first("_template").alias("_template"))
         held = F.size(F.array_intersect("_window", "_template")) / F.size("_template")
         one = once.select("_id", "_row", "license", held.alias("containment"), "start", F.lit(2 * stride).alias("window_words")).filter(F.col("containment") >= share)
-        found = one if found is None else found.unionByName(one)
+        found = found.unionByName(one)
     best = F.max(F.struct("containment", (-F.col("start")).alias("_back"), "window_words")).alias("b")
     result = found.groupBy("_row", "license").agg(F.first("_id").alias("_id"), best)
     return result.select(

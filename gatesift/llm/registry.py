@@ -65,7 +65,7 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), templates=licenses.EVERY)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
