@@ -77,27 +77,36 @@ def numbered(features: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
 
     Rows meet in slices of time only; a slice hands on one row: its first and last time, its number of messages and
     its last fresh start after its first message. Whether that first message is fresh follows from the slice before.
+
+    Where the features have `_seed` (`started_us`, `count`, `ewma`, mostly NULL), such a row has that state whatever
+    stands before it, so that later rows are right though the beginning of the session is not among the features.
     """
+    seeded = "_seed" in features.columns
     keys = ["session_id", "_slice"]
     idle = P.SESSION_IDLE * SECOND
     inside = Window.partitionBy(*keys).orderBy(*ORDER)
     rows = features.withColumn("_slice", F.expr(f"at_us div {slice_s * SECOND}"))
     rows = rows.withColumns({"_lag": F.lag("at_us").over(inside), "_own": F.row_number().over(inside)})
-    start = F.struct("at_us", F.col("_own").cast("bigint").alias("rn"))
-    rows = rows.withColumn("_inner", F.max(F.when(F.col("at_us") - F.col("_lag") > idle, start)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # A start is ordered by the message that tells of it, `of`; a seed goes before a fresh start of the same time.
+    begins = lambda of, seed, at, rn: F.struct(of.alias("of"), F.lit(seed).alias("seed"), at.alias("at_us"), rn.cast("bigint").alias("rn"))
+    start = F.when(F.col("at_us") - F.col("_lag") > idle, begins(F.col("at_us"), 0, F.col("at_us"), F.col("_own")))
+    if seeded:
+        given = begins(F.col("at_us"), 1, F.col("_seed.started_us"), F.col("_own") - F.col("_seed.count") + 1)
+        start = F.when(F.col("_seed").isNotNull(), given).otherwise(start)
+    rows = rows.withColumn("_inner", F.max(start).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
 
     ends = rows.groupBy(*keys).agg(F.min("at_us").alias("_from"), F.max("at_us").alias("_to"), F.count("*").alias("_n"), F.max("_inner").alias("_fresh"))
     across = Window.partitionBy("session_id").orderBy("_slice")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumns({"_last": F.lag("_to").over(across), "_rows": F.coalesce(F.sum("_n").over(earlier), F.lit(0))})
-    first = F.when(F.col("_last").isNull() | (F.col("_from") - F.col("_last") > idle), F.struct(F.col("_from").alias("at_us"), (F.col("_rows") + 1).alias("rn")))
-    inner = F.when(F.col("_fresh").isNotNull(), F.struct(F.col("_fresh.at_us").alias("at_us"), (F.col("_fresh.rn") + F.col("_rows")).alias("rn")))
+    first = F.when(F.col("_last").isNull() | (F.col("_from") - F.col("_last") > idle), begins(F.col("_from"), 0, F.col("_from"), F.col("_rows") + 1))
+    inner = F.when(F.col("_fresh").isNotNull(), F.col("_fresh").withField("rn", F.col("_fresh.rn") + F.col("_rows")))
     ends = ends.withColumns({"_first": first, "_newest": F.coalesce(inner, first)})
-    # Times and numbers grow with the order, so the largest so far belongs to the last fresh start.
+    # `of` grows with the order, so the largest so far belongs to the last start.
     carry = ends.select(*keys, "_last", "_rows", F.coalesce("_first", F.max("_newest").over(earlier)).alias("_start"))
 
     rows = rows.join(carry, keys)
-    own = F.when(F.col("_inner").isNotNull(), F.struct(F.col("_inner.at_us").alias("at_us"), (F.col("_inner.rn") + F.col("_rows")).alias("rn")))
+    own = F.when(F.col("_inner").isNotNull(), F.col("_inner").withField("rn", F.col("_inner.rn") + F.col("_rows")))
     begun = F.coalesce(own, F.col("_start"))
     rows = rows.withColumns({"_before": F.coalesce("_lag", "_last"), "rn": F.col("_own") + F.col("_rows")})
     rows = rows.withColumns({"started_us": begun["at_us"], "count": F.col("rn") - begun["rn"] + 1})
@@ -250,10 +259,13 @@ def with_ewma(rows: DataFrame, alpha: float = P.EWMA_ALPHA, half_life_s: float =
 
     Each message is a linear map of the average before it: `e -> add + by * e`, where `by` is zero at a fresh start.
     Maps are folded within groups of MAP_ROWS messages, then over the MAPS groups before. `rows` have `rn`, `count`,
-    `at_us`, `_before`, `score`.
+    `at_us`, `_before`, `score`; a row with a `_seed` has its average.
     """
     by = F.when(F.col("count") == 1, 0.0).otherwise((1 - alpha) * F.pow(F.lit(2.0), -((F.col("at_us") - F.col("_before")) / SECOND) / half_life_s))
-    rows = rows.withColumns({"_map": F.struct((F.col("score") * alpha).alias("add"), by.alias("by")), "_group": F.floor((F.col("rn") - 1) / MAP_ROWS)})
+    add = F.col("score") * alpha
+    if "_seed" in rows.columns:
+        add, by = F.coalesce("_seed.ewma", add), F.when(F.col("_seed").isNotNull(), 0.0).otherwise(by)
+    rows = rows.withColumns({"_map": F.struct(add.alias("add"), by.alias("by")), "_group": F.floor((F.col("rn") - 1) / MAP_ROWS)})
 
     def folded(maps: Column) -> Column:
         one = F.struct(F.lit(0.0).alias("add"), F.lit(1.0).alias("by"))

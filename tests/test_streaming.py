@@ -143,3 +143,31 @@ def test_sessions(spark, stream):
 
     streamed = spark.read.parquet(f"{SS.shared_dir(spark)}/sessions/results")
     assert keyed(streamed) == keyed(S.analyze(spark.createDataFrame(rows, schema)))
+
+
+def test_sessions_keep_their_beginning(spark, tmp_path):
+    """A session that has not paused for twelve days, with a late message, beside one that pauses."""
+    rng = random.Random(9)
+    said = ["act as admin", "hello", "same", "same", "trust me", "do anything now", '{"method": "list_credentials"}', '{"method": "send_x"}']
+    schema = "session_id string, user_id string, msg_id bigint, ts timestamp, content string"
+    begin = dt.datetime(2024, 1, 1, 5)
+    rows = [("bot", "u", i, begin + dt.timedelta(minutes=20 * i), rng.choice(said)) for i in range(12 * 72)]
+    rows += [("s", "v", i, begin + dt.timedelta(hours=7 * i // 6, minutes=i), rng.choice(said)) for i in range(240)]
+    base = str(tmp_path)
+    SS.prepare(spark, base)
+    ordered = sorted(rows, key=lambda r: r[3])
+    cuts = [0, 300, 620, 900, len(rows)]
+    parts = [ordered[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    parts[1].append(parts[0].pop(-20))
+    for i, part in enumerate(parts):
+        SS.analyze_batch(spark.createDataFrame(part, schema), i, base)
+    columns = ["session_id", "msg_id", "count", "started_us", "score", "ewma", "risk", "patterns", "sequence", "max_repetition", "stable"]
+
+    def keyed(df):
+        return {r[:2]: tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in df.select(*columns).collect()}
+
+    whole = keyed(S.analyze(spark.createDataFrame(rows, schema)))
+    for i in (1, 2, 3):
+        streamed = keyed(spark.read.parquet(f"{base}/results/batch={i}"))
+        assert len(streamed) == len(parts[i]) and streamed == {k: whole[k] for k in streamed}
+    assert max(int(v[2]) for k, v in whole.items() if k[0] == "bot") == 864
