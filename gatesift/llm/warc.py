@@ -9,7 +9,8 @@ Reading: files are streamed, frame by frame, from any file system that Arrow kno
 line, its headers, its lengths and, where it carries its payload, the digest. A broken file is an error.
 
 A NULL html is an empty payload. Pages that repeat the smallest id of their payload are all responses; a NULL id counts
-as larger than every other. No pages give no archive and an empty result.
+as larger than every other and is read back as NULL: its record is named `urn:page-null:`, beside `urn:page:` and the id.
+No pages give no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 URN = "urn:page:"
+NULL_URN = "urn:page-null:"
 
 
 def record(page_id: Any, url: str, payload: bytes, digest: str, refers_to: Any, date: str) -> bytes:
@@ -49,7 +51,7 @@ def record(page_id: Any, url: str, payload: bytes, digest: str, refers_to: Any,
     block = http if refers_to is not None else http + payload
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<{URN}{page_id}>",
+        "WARC-Record-ID": f"<{NULL_URN}>" if page_id is None else f"<{URN}{page_id}>",
         "WARC-Date": date,
         "WARC-Target-URI": re.sub(r"[\r\n]", "", url),
         "WARC-Payload-Digest": f"sha256:{digest}",

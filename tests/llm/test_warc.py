@@ -6,6 +6,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from gatesift.llm import registry
 from gatesift.llm import warc as W
 
 SCHEMA = "page_id bigint, url string, html string, digest string, payload int, _key string"
@@ -86,3 +87,16 @@ def test_broken_records(change):
 def test_empty(spark, tmp_path):
     files = W.write_archives(pages(spark, []), str(tmp_path / "w"))
     assert files.count() == 0 and W.read_archives(files).count() == 0
+
+
+def test_null_ids_are_read_back_as_null(spark, tmp_path):
+    same = "<p>" + "same " * 40
+    rows = [(None, "http://none", "<p>alone</p>"), (None, "http://copy", same), (2, "http://a/2", same), (3, "http://a/3", "short"), (None, "u", None)]
+    assert W.parse(W.record(None, "http://a", b"x", hashlib.sha256(b"x").hexdigest(), None, "2024-01-01T00:00:00Z"))["page_id"] is None
+    read = W.read_archives(W.write_archives(pages(spark, rows), str(tmp_path / "w")))
+    got = sorted((r["page_id"] or "", r["url"], r["record_type"], r["refers_to"]) for r in read.collect())
+    assert got == [("", "http://copy", "revisit", "2"), ("", "http://none", "response", None), ("", "u", "response", None), ("2", "http://a/2", "response", None), ("3", "http://a/3", "response", None)]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in registry.op2_warc(spark, str(tmp_path)).collect()) == [
+        (0, "response", 0), (0, "response", 0), (0, "revisit", 2), (2, "response", 0), (3, "response", 0),
+    ]
