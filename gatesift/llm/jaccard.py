@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatesift.llm.common import bitmap_of, in_bitmap, join_groups, plain, saved, text_or_empty
 from gatesift.llm.components import components
@@ -141,6 +142,17 @@ def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return sets
 
 
+def _classed(words: int, column: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows with the class of the text in `column` as a further column `kind`."""
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = [_class(s) for _, texts in _batches(batch, column) for s in shingle_sets(texts, words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.binary())], [*batch.schema.names, kind])
+
+    return classed
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlap of pairs which come ordered by their first set."""
 
@@ -313,29 +325,55 @@ class Join:
         return texts.mapInArrow(_sets(self.words), "class binary, shingles binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of `docs`: id, `n_shingles` and `component_id`, the smallest id that links lead to, itself included."""
-    join = Join(docs, id_col, text_col, words, percent)
+def _judged(join: Join) -> DataFrame:
+    """Per document: `id`, `class`, `n`, and of a component of several documents `_component`, its smallest id, and `_kept`, the class that stays under it."""
     labels = join.run()
     classes = join.classes.join(labels, "class", "left")
     linked = saved(classes.filter("comp is not null"))
-    comps = saved(linked.groupBy("comp").agg(F.min("first_id").alias("least"), F.count("*").alias("size")))
-    reached = join_groups(linked, comps, "comp", "size", linked.count()).select("class", F.col("least").alias("_component"), "copies")
-    copied = classes.filter("comp is null and copies > 1").select("class", F.col("first_id").alias("_component"), "copies")
+    comps = saved(linked.groupBy("comp").agg(F.min(F.struct("first_id", "class")).alias("least"), F.count("*").alias("size")))
+    reached = join_groups(linked, comps, "comp", "size", linked.count()).select(
+        "class", F.col("least.first_id").alias("_component"), F.col("least.class").alias("_kept"), "copies"
+    )
+    copied = classes.filter("comp is null and copies > 1").select("class", F.col("first_id").alias("_component"), F.col("class").alias("_kept"), "copies")
     groups = saved(reached.unionByName(copied))
-    rows = join_groups(join.members, groups, "class", "copies", join.members.count())
+    return join_groups(join.members, groups, "class", "copies", join.members.count())
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of `docs`: id, `n_shingles` and `component_id`, the smallest id that links lead to, itself included."""
+    rows = _judged(Join(docs, id_col, text_col, words, percent))
     own = F.col("id")
     component = F.when(own.isNull(), F.lit(None)).otherwise(F.coalesce("_component", own))
     return rows.select(own.alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each component, that with the smallest id; a NULL id or a text without words stays."""
-    found = jaccard_components(docs, id_col, text_col, words, percent)
-    gone = saved(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"), F.xxhash64(id_col).alias("_key")).distinct())
+    """`docs` with one document of each component, one with the smallest id; a NULL id or a text without words stays.
+
+    An id that occurs once decides by itself. Rows whose id may be repeated are decided by id and class, and of those
+    that are equal in both one stays.
+    """
+    join = Join(docs, id_col, text_col, words, percent)
+    judged = _judged(join).filter("id is not null")
+    dropped = judged.filter((F.col("id") != F.col("_component")) | (F.col("class") != F.col("_kept")))
+    gone = saved(dropped.select(F.col("id").alias("_gone"), F.col("class").alias("_class_gone"), F.xxhash64("id").alias("_key")).distinct())
+    repeated = saved(join.members.filter("id is not null").groupBy("id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select(F.xxhash64("id").alias("_key")))
     bitmap = saved(bitmap_of(gone, "_key", BITS))
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_key"))
-    likely = in_bitmap(rows, "_key", bitmap, BITS, "_likely")
-    kept = likely.filter("_likely").join(gone.select("_gone"), F.col("_id") == F.col("_gone"), "left_anti").select("_doc.*")
-    return likely.filter("not _likely").select("_doc.*").unionByName(kept)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_key"), text_or_empty(text_col).alias("_text"))
+    several = None
+    if not _empty(repeated):
+        rows = in_bitmap(rows, "_key", saved(bitmap_of(repeated, "_key", BITS)), BITS, "_several")
+        several = rows.filter(F.col("_several") & F.col("_id").isNotNull()).select("_doc", "_id", "_text")
+        rows = rows.filter(~(F.col("_several") & F.col("_id").isNotNull()))
+    likely = in_bitmap(rows.select("_doc", "_id", "_key"), "_key", bitmap, BITS, "_likely")
+    kept = likely.filter("_likely").join(gone.select("_gone").distinct(), F.col("_id") == F.col("_gone"), "left_anti").select("_doc.*")
+    out = likely.filter("not _likely").select("_doc.*").unionByName(kept)
+    if several is None:
+        return out
+    schema = T.StructType([*several.schema.fields, T.StructField("_class", T.BinaryType())])
+    several = several.mapInArrow(_classed(words, 2, "_class"), schema)
+    same = (F.col("_id") == F.col("_gone")) & (F.col("_class") == F.col("_class_gone"))
+    stay = several.join(gone, same, "left_anti")
+    one = stay.filter("_class is not null").groupBy("_id", "_class").agg(F.first("_doc").alias("_doc"))
+    return out.unionByName(stay.filter("_class is null").select("_doc.*")).unionByName(one.select("_doc.*"))

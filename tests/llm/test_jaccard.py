@@ -71,6 +71,19 @@ def test_null_and_repeated_ids(spark):
     assert sorted(map(tuple, got.fillna(-1).collect())) == [(-1, 26, -1), (5, 26, 5), (5, 26, 5), (7, 27, 5), (9, 0, 9), (11, 26, 5)]
 
 
+def test_drop_linked_decides_by_row(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [
+        (1, one), (5, one + " more"), (5, two), (6, two + " more"),  # one text of 5 is linked with 1, the other leads 6
+        (8, three), (8, three + " more"), (9, three),  # two linked texts under one id
+        (11, "same words under one id " * 2), (11, "same words under one id " * 2), (12, "x"), (12, None), (12, ""), (None, one), (13, "alone"),
+    ]
+    kept = drop_linked(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept)
+    assert len(got) == 9 and sum(i == 8 and t.startswith(three) for i, t in got) == 1
+    assert [g for g in got if g[0] != 8] == [(0, one), (1, one), (5, two), (11, "same words under one id " * 2), (12, ""), (12, ""), (12, "x"), (13, "alone")]
+
+
 def test_empty(spark):
     assert jaccard_components(documents(spark, [])).count() == 0
     assert drop_linked(documents(spark, [])).count() == 0
