@@ -71,19 +71,17 @@ class Shard:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of `text` in order of the `depth` ids from there on; ids behind the end count as `BREAK`."""
+    """Places of `text`, taken for a ring, in order of the `depth` ids from there on."""
     rank, known = text.astype(np.int64), 1
     while known < depth:
         step = min(known, depth - known)
-        behind = np.zeros(len(text), np.int64)
-        behind[: len(text) - step] = rank[step:]
-        key = rank * (int(rank.max(initial=0)) + 1) + behind
+        key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -step)
         rank, known = np.unique(key, return_inverse=True)[1], known + step
     return np.argsort(rank, kind="stable")
 
 
 def bwt(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """The id before each suffix, in the order of the suffixes; the text is taken for a ring."""
+    """The id before each suffix, in the order of the suffixes."""
     return text[suffix_order(text, depth) - 1]
 
 
