@@ -8,9 +8,10 @@ equal word and equal interval is the interval of a longer phrase, its length the
 interval by the word on its right. Both neighbours of a longer phrase, without its first and without its last word, are
 therefore known in place, and a phrase is handed on only if both can still be frequent.
 
-Counts of a depth are summed over shards by Spark, and what is frequent in all is told to the next depth by a bitmap of
+Counts of a depth are summed over shards by Spark. What is frequent in all is told to the next depth by a bitmap of
 bounded size: it lets through every frequent phrase and few others, and what is too rare is dropped by its exact count.
-So a depth costs each shard's distinct phrases whose parts are frequent, and no list of phrases is held by anyone.
+Most phrases of a shard are rare, so the shards first sum up counts by a part of each phrase's hash; a second bitmap of
+these sums holds back what cannot be frequent, and only the rest is moved as text. No list of phrases is held by anyone.
 
 A phrase of 2 to `DEPTH` words that occurs at least `least` times is a candidate; `l`, `r` and the score are those of the
 cut that scores lowest. A candidate goes if a longer one around it has four fifths of its occurrences; only the
@@ -40,9 +41,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DEPTH = 4  # words of the longest phrase
 LEAST = 30  # occurrences of a candidate
-SHARD_WORDS = 1 << 20  # words after which a shard is closed
-OPEN_WORDS = 1 << 22  # words in the open shards of a task, all languages together
-MAX_BITS = 28  # 32 MB of bitmap at most, whatever the number of frequent phrases
+SHARD_WORDS = 1 << 19  # words after which a shard is closed
+OPEN_WORDS = 1 << 21  # words in the open shards of a task, all languages together
+SIEVED = 1 << 21  # phrases of a task whose places are summed up together
+MAX_BITS = 27  # 16 MB of bitmap at most, whatever the number of frequent phrases
 CHUNK = 1 << 16  # phrases in an Arrow batch
 BREAK = 0  # id of the place between two pieces
 
@@ -176,36 +178,104 @@ def _indexed(depth: int, shard_words: int, open_words: int):
     return indexed
 
 
-def _counted(frequent: list[Broadcast], length: int):
-    """Phrases of a length whose parts can all be frequent, with their count in the shard.
+def _phrases(row: dict, frequent: list[Broadcast], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Phrases of a length whose parts can all be frequent: ids of their words, counts in the shard, and codes.
 
     `frequent` has a bitmap per shorter length. Every depth is enumerated from the one before it.
     """
+    index = Index(np.frombuffer(row["transform"], np.int32))
+    codes = np.concatenate((np.zeros(1, np.uint64), word_codes(row["words"], row["lang"])))
+    alive = np.concatenate(([False], may_be(np.frombuffer(frequent[0].value, np.uint8), codes[1:])))[index.first]
+    interval = index.words()
+    for k in range(2, length + 1):
+        interval, starts, counts = index.extended(interval)
+        # A phrase of k words holds two of k - 1: the one that begins where it does, and the one a word further.
+        keep = np.flatnonzero(alive[starts] & alive[index.back[starts]])
+        parts = index.phrase(starts[keep], k)
+        whole = phrase_codes([codes[p] for p in parts])
+        if k < length:
+            kept = np.zeros(len(starts), bool)
+            kept[keep] = may_be(np.frombuffer(frequent[k - 1].value, np.uint8), whole)
+            alive = kept[interval]
+    return parts, counts[keep], whole
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for r in range(len(batch)):
+        yield {c: batch.column(c)[r].as_py() for c in ("lang", "words", "transform")}
+
+
+def _sieved(frequent: list[Broadcast], length: int, bits: int):
+    """Sums of the counts of all phrases with the same last `bits` of their code, a row per range of these."""
+
+    def table(places: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        at, which = np.unique(np.concatenate(places), return_inverse=True)
+        sums = np.bincount(which, weights=np.concatenate(counts)).astype(np.uint32)
+        ranges, begins = np.unique(at >> 15, return_index=True)
+        ends = np.append(begins[1:], len(at))
+        low = (at & 0x7FFF).astype(np.uint16)
+        columns = [
+            pa.array(ranges, pa.int64()), pa.array([low[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()),
+            pa.array([sums[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["range", "places", "counts"])
+
+    def sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, counts, n = [], [], 0
+        for batch in batches:
+            for row in _rows(batch):
+                _, own, codes = _phrases(row, frequent, length)
+                places.append((codes & np.uint64((1 << bits) - 1)).astype(np.int64))
+                counts.append(own)
+                n += len(own)
+                if n >= SIEVED:
+                    yield table(places, counts)
+                    places, counts, n = [], [], 0
+        if n:
+            yield table(places, counts)
+
+    return sieved
+
+
+def _enough(least: int):
+    """Of every range, whose rows come together, a bitmap of the places whose sum is enough."""
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sums = None, np.zeros(1 << 15, np.int64)
+
+        def row() -> pa.RecordBatch:
+            bits = np.packbits(sums >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([bits], pa.binary())], ["_bucket", "_bitmap"])
+
+        for batch in batches:
+            for number, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != current:
+                    if current is not None and (sums >= least).any():
+                        yield row()
+                    current = number
+                    sums[:] = 0
+                sums[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
+        if current is not None and (sums >= least).any():
+            yield row()
+
+    return enough
+
+
+def _counted(frequent: list[Broadcast], sieve: Broadcast, length: int):
+    """Phrases of a length that can be frequent, with their count in the shard."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(len(batch)):
-                lang = batch.column("lang")[r].as_py()
-                words = batch.column("words")[r].values
-                index = Index(np.frombuffer(batch.column("transform")[r].as_buffer(), np.int32))
-                codes = np.concatenate((np.zeros(1, np.uint64), word_codes(words.to_pylist(), lang)))
-                alive = np.concatenate(([False], may_be(np.frombuffer(frequent[0].value, np.uint8), codes[1:])))[index.first]
-                interval = index.words()
-                for k in range(2, length + 1):
-                    interval, starts, counts = index.extended(interval)
-                    # A phrase of k words holds two of k - 1: the one that begins where it does, and the one a word further.
-                    keep = alive[starts] & alive[index.back[starts]]
-                    found, counts = starts[keep], counts[keep]
-                    parts = index.phrase(found, k)
-                    if k < length:
-                        kept = np.zeros(len(starts), bool)
-                        kept[np.flatnonzero(keep)] = may_be(np.frombuffer(frequent[k - 1].value, np.uint8), phrase_codes([codes[p] for p in parts]))
-                        alive = kept[interval]
-                for at in range(0, len(found), CHUNK):
-                    texts = [words.take(pa.array(p[at : at + CHUNK] - 1)) for p in parts]
+            for row in _rows(batch):
+                parts, counts, codes = _phrases(row, frequent, length)
+                keep = np.flatnonzero(may_be(np.frombuffer(sieve.value, np.uint8), codes))
+                words = pa.array(row["words"], pa.binary())
+                for at in range(0, len(keep), CHUNK):
+                    some = keep[at : at + CHUNK]
+                    texts = [words.take(pa.array(p[some] - 1)) for p in parts]
                     phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.binary())).cast(pa.string())
-                    n = len(phrase)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), phrase, pa.array(counts[at : at + n], pa.int64())], ["lang", "phrase", "f"])
+                    langs = pa.array([row["lang"]] * len(some), pa.string())
+                    yield pa.RecordBatch.from_arrays([langs, phrase, pa.array(counts[some], pa.int64())], ["lang", "phrase", "f"])
 
     return counted
 
@@ -220,16 +290,36 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["code"])
 
 
-def bitmap(phrases: DataFrame, max_bits: int = MAX_BITS) -> Broadcast:
-    """The phrases as a bitmap of sixteen bits a phrase, at most 2**max_bits bits."""
-    n = phrases.count()
-    bits = min(max(16, (16 * n).bit_length()), max_bits)
-    codes = phrases.select("lang", "phrase").mapInArrow(_coded, "code bigint")
+def _broadcast(rows: DataFrame, bits: int) -> Broadcast:
+    """Rows of a bitmap as one object of 2**(bits - 3) bytes on every executor."""
     whole = np.zeros(1 << (bits - 3), np.uint8)
-    for r in bitmap_of(codes, "code", bits).toLocalIterator():
+    for r in rows.toLocalIterator():
         own = np.frombuffer(r["_bitmap"], np.uint8)
         whole[r["_bucket"] * 4096 : r["_bucket"] * 4096 + len(own)] = own[: len(whole) - r["_bucket"] * 4096]
-    return phrases.sparkSession.sparkContext.broadcast(whole.tobytes())
+    return rows.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+
+def bits_for(n: int, max_bits: int) -> int:
+    return min(max(16, n.bit_length()), max_bits)
+
+
+def bitmap(phrases: DataFrame, max_bits: int = MAX_BITS) -> Broadcast:
+    """The phrases as a bitmap of sixteen bits a phrase, at most 2**max_bits bits."""
+    bits = bits_for(16 * phrases.count(), max_bits)
+    codes = phrases.select("lang", "phrase").mapInArrow(_coded, "code bigint")
+    return _broadcast(bitmap_of(codes, "code", bits), bits)
+
+
+def sieve(index: DataFrame, known: list[Broadcast], size: int, words: int, least: int, max_bits: int) -> Broadcast:
+    """A bitmap that lets every phrase of a size through that is frequent in all, before any phrase is moved.
+
+    Phrases are counted by the last bits of their codes, some two bytes each on their way; the sum of a place is at
+    least the count of each of its phrases.
+    """
+    bits = bits_for(words, max_bits)
+    sums = index.mapInArrow(_sieved(list(known), size, bits), "range bigint, places binary, counts binary")
+    rows = saved(sums.repartition("range").sortWithinPartitions("range").mapInArrow(_enough(least), "_bucket bigint, _bitmap binary"))
+    return _broadcast(rows, bits)
 
 
 def frequent_phrases(
@@ -240,6 +330,7 @@ def frequent_phrases(
     rows = plain(docs, lang_col, text_col).select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
     shards = saved(rows.mapInArrow(_indexed(depth, shard_words, max(OPEN_WORDS, shard_words)), SHARDS))
     totals = saved(shards.groupBy("lang").agg(F.sum("n").alias("n")))
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
     pairs = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
     words = pairs.groupBy("lang", F.col("w.words").cast("string").alias("phrase")).agg(F.sum("w.counts").alias("f"))
     found = [saved(words.filter(F.col("f") >= least).withColumn("size", F.lit(1)))]
@@ -247,9 +338,13 @@ def frequent_phrases(
     known: list[Broadcast] = []
     for size in range(2, depth + 1):
         known.append(bitmap(found[-1], max_bits))
-        counted = index.mapInArrow(_counted(list(known), size), "lang string, phrase string, f bigint")
+        likely = sieve(index, known, size, n_words, least, max_bits)
+        counted = index.mapInArrow(_counted(list(known), likely, size), "lang string, phrase string, f bigint")
         summed = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
         found.append(saved(summed.withColumn("size", F.lit(size))))
+        likely.unpersist()
+    for used in known:
+        used.unpersist()
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
