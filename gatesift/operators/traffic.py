@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatesift.operators.limits import admitted
-from gatesift.operators.slices import own_rows, running_total, side_by_side, with_halo
+from gatesift.operators.slices import SLICE, carried, own_rows, running_total, side_by_side, with_halo
 from gatesift.patterns import gates as G
 
 SECOND = 1_000_000
@@ -59,7 +59,7 @@ def _instants(rows: DataFrame, window_us: int, closed: bool) -> DataFrame:
 
     Rows are counted per instant first. Every instant enters at its time and leaves `window_us` later, so the rows
     in the window are a running total, and the first of them is the one that leaves next: both are found in slices
-    of a second, of which each hands on one row. `closed` says whether a row exactly `window_us` old still counts.
+    of a second, of which each hands on one row in a scan of two levels. `closed` says whether a row exactly `window_us` old still counts.
     """
     age = window_us + (1 if closed else 0)
     counts = rows.groupBy("at_us").agg(F.count("*").alias("c"))
@@ -68,15 +68,17 @@ def _instants(rows: DataFrame, window_us: int, closed: bool) -> DataFrame:
     events = counts.select(F.explode(F.array(enter, leave)).alias("e")).select("e.*").groupBy("t").agg(
         F.sum("d").alias("d"), F.min("left").alias("left"), F.max(F.col("left").isNull()).alias("enters")
     )
-    events = running_total(events, [], F.expr(f"t div {SECOND}"), ["t"], F.col("d"), "in_window")
+    sliced = events.withColumn(SLICE, F.expr(f"t div {SECOND}"))
+    inside = Window.partitionBy(SLICE)
+    upto = inside.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     # The first row that leaves after an instant was the first in its window.
-    sliced = events.withColumn("_slice", F.expr(f"t div {SECOND}"))
-    later = Window.partitionBy("_slice").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
-    heads = sliced.groupBy("_slice").agg(F.min("left").alias("_head"))
-    after = Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
-    carry = heads.select("_slice", F.min("_head").over(after).alias("_next"))
-    found = sliced.withColumn("_own", F.min("left").over(later)).join(carry, "_slice")
-    return found.filter("enters").select(F.col("t").alias("at_us"), "in_window", F.coalesce("_own", "_next").alias("first_us"))
+    later = inside.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    summary = sliced.groupBy(SLICE).agg(F.sum("d").alias("d"), F.min("left").alias("left"))
+    carry = carried(summary, [], sums=["d"], minima=["left"])
+    found = sliced.withColumn("_sum", F.sum("d").over(upto)).withColumn("_own", F.min("left").over(later)).join(carry, SLICE)
+    return found.filter("enters").select(
+        F.col("t").alias("at_us"), (F.col("_sum") + F.col("d_before")).alias("in_window"), F.coalesce("_own", "left_after").alias("first_us")
+    )
 
 
 def _in_last(rows: DataFrame, window_us: int, closed: bool) -> DataFrame:
