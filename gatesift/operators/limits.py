@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from gatesift.operators.saved import saved
+from gatesift.operators.slices import previous_row, running_total, same_keys
 from gatesift.patterns import gates as G
 
 # The few functions which run in Python workers travel with the plan, so workers need not have the package.
@@ -70,7 +72,7 @@ def by_silence(df: DataFrame, keys: Sequence[str], silence_us: int, slice_us: in
     upto = across.rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum(F.col("_begins") + F.col("_pauses")).over(upto) - F.col("_pauses")
     carry = ends.withColumn("_begins", begins).select(*keys, total.alias("_carry"))
-    joined = rows.join(carry, keys)
+    joined = same_keys(rows, carry, keys)
     return joined.withColumn("segment", F.col("_inside") + F.col("_carry")).drop("_slice", "_pause", "_inside", "_carry")
 
 
@@ -234,39 +236,119 @@ def token_bucket(
     return decided.mapInPandas(_replayed(cost, cap), "request_id bigint, key string, at_us bigint, allowed boolean")
 
 
-def replay(
-    messages: DataFrame, session: str, message: str, ttl_us: int = G.REPLAY_TTL * SECOND, slice_us: int = HOUR
-) -> DataFrame:
-    """`request_id` and `replayed`: the same message of a session within `ttl_us` of its first accepted sighting.
+def first_sightings(rows: DataFrame, keys: Sequence[str], ttl_us: int) -> DataFrame:
+    """The instants (`keys`, `at_us`, `first_id`) at which a key's row is accepted: the first, and each time the first
+    one later than `ttl_us` after the last that was accepted.
 
-    After that time the next sighting is accepted again and starts a new one.
+    Which instant is accepted next is a function of the instant before. The function is found in slices of `ttl_us`,
+    and only for instants without a pause of `ttl_us` before them; an instant behind a pause is accepted anyhow. It is
+    then squared until no instant has an image, and every squaring doubles how far the accepted instants are known. All
+    joins are on key and instant, so a key of any size and without any pause is spread like all others.
     """
-    def step(first, row):
-        at = row[3]
-        return (at, False) if first is None or at - first > ttl_us else (first, True)
+    keys = list(keys)
+    # One text per key stands for its columns, NULL ones included, so that it can be joined on.
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    instants = saved(rows.withColumn("_key", key).groupBy("_key", *keys, "at_us").agg(F.min("request_id").alias("first_id")))
+    nodes = instants.select("_key", "at_us", F.expr(f"at_us div {ttl_us}").alias("_slice"))
+    ends = nodes.groupBy("_key", "_slice").agg(F.min("at_us").alias("_head"), F.max("at_us").alias("_tail"))
+    node = F.struct("_slice", F.col("at_us").alias("t"), F.lit(0).alias("kind"), F.col("at_us").alias("node"), F.col("at_us").alias("origin"))
+    question = F.struct(
+        (F.col("_slice") + 1).alias("_slice"), (F.col("at_us") + ttl_us).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("node"), F.col("at_us").alias("origin")
+    )
+    events = nodes.select("_key", F.explode(F.array(node, question)).alias("e")).select("_key", "e.*")
+    # Seen from the end of a slice, the last node passed before a question is the first one after its time.
+    down = Window.partitionBy("_key", "_slice").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy("_key", "_slice").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    seen = events.withColumn("_next", F.last("node", ignorenulls=True).over(down)).withColumn("_before", F.last("node", ignorenulls=True).over(up))
+    near = ends.select("_key", (F.col("_slice") - 1).alias("_slice"), F.col("_head").alias("_later"))
+    far = ends.select("_key", (F.col("_slice") + 1).alias("_slice"), F.col("_tail").alias("_earlier"))
+    seen = saved(seen.join(near, ["_key", "_slice"], "left").join(far, ["_key", "_slice"], "left"))
+    before = F.coalesce("_before", "_earlier")
+    roots = seen.filter("kind = 0").filter(before.isNull() | (F.col("t") - before > ttl_us)).select("_key", F.col("t").alias("at_us"))
+    # No pause lies between an instant and its image, so the image is in the slice of the question or in the next.
+    jumps = seen.filter("kind = 1").select("_key", F.col("origin").alias("at_us"), F.coalesce("_next", "_later").alias("to")).filter("to IS NOT NULL")
+    jumps = saved(jumps.join(roots.withColumnRenamed("at_us", "to"), ["_key", "to"], "left_anti"))
+    accepted = saved(roots)
+    while not jumps.isEmpty():
+        for _ in range(2):  # two squarings between two tables
+            reached = accepted.join(jumps, ["_key", "at_us"]).select("_key", F.col("to").alias("at_us"))
+            accepted = accepted.unionByName(reached).distinct()
+            onward = jumps.select("_key", F.col("at_us").alias("to"), F.col("to").alias("_further"))
+            jumps = jumps.join(onward, ["_key", "to"]).select("_key", "at_us", F.col("_further").alias("to"))
+        accepted, jumps = saved(accepted), saved(jumps)
+    return instants.join(accepted, ["_key", "at_us"], "left_semi").select(*keys, "at_us", "first_id")
+
+
+def replay(messages: DataFrame, session: str, message: str, ttl_us: int = G.REPLAY_TTL * SECOND) -> DataFrame:
+    """`request_id` and `replayed`: the same message of a session within `ttl_us` of its first accepted sighting.
 
+    After that time the next sighting is accepted again and starts a new one. Of rows at one instant the smallest id
+    is the first; rows that repeat an id there are one sighting. No key is scanned: see `first_sightings`.
+    """
     keys = ["session", "message"]
     rows = messages.select("request_id", F.col(session).alias("session"), F.col(message).alias("message"), "at_us")
-    rows = by_silence(rows, keys, ttl_us, slice_us).select("request_id", *keys, "at_us", "segment")
-    return ordered_scan(rows, [*keys, "segment"], ["at_us", "request_id"], step, "replayed")
-
+    first = first_sightings(rows, keys, ttl_us).select(
+        F.col("session").alias("_s"), F.col("message").alias("_m"), F.col("at_us").alias("_at"), F.col("first_id").alias("_first")
+    )
+    same = F.col("session").eqNullSafe(F.col("_s")) & F.col("message").eqNullSafe(F.col("_m")) & (F.col("at_us") == F.col("_at"))
+    found = rows.join(first, same & (F.col("request_id") == F.col("_first")), "left")
+    return found.select("request_id", *keys, "at_us", F.col("_first").isNull().alias("replayed"))
 
-def admitted(
-    tasks: DataFrame, user: str = "user_id", limit: int = G.TASK_LIMIT, timeout_s: int = G.TASK_TIMEOUT, slice_us: int = HOUR
-) -> DataFrame:
-    """`task_id`, the user, `start_us`, `end_us` (timeout included) and `admitted`: a start is refused while `limit` admitted tasks run.
 
-    The state of a user is at most `limit` ends. An end comes before a start at the same instant.
-    """
+def _by_user(rows: DataFrame, limit: int, timeout_us: int, slice_us: int) -> DataFrame:
+    """Admission under a user's limit alone. Users' stretches in which never more than `limit` tasks run at once, refused
+    ones counted, admit all; only the others are decided row by row."""
     def step(ends, row):
         running = [e for e in ends or [] if e > row[2]]
         return (running + [row[3]], True) if len(running) < limit else (running, False)
 
-    end = F.least("end_us", F.col("start_us") + timeout_s * SECOND)
+    columns = ["request_id", "user", "at_us", "end_us", "segment"]
+    rows = saved(by_silence(rows, ["user"], timeout_us, slice_us).select(*columns))
+    start = F.struct(F.col("at_us").alias("t"), F.lit(1).alias("step"))
+    stop = F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("step"))
+    events = rows.select("user", "segment", "request_id", F.explode(F.array(start, stop)).alias("e")).select("user", "segment", "request_id", "e.*")
+    running = running_total(events, ["user", "segment"], F.expr(f"t div {slice_us}"), ["t", "step", "request_id"], F.col("step"), "_running")
+    crowded = running.groupBy("user", "segment").agg(F.max("_running").alias("_most")).filter(F.col("_most") > limit)
+    crowded = saved(crowded.select(F.col("user").alias("_user"), F.col("segment").alias("_segment")))
+    same = F.col("user").eqNullSafe(F.col("_user")) & (F.col("segment") == F.col("_segment"))
+    free = rows.join(crowded, same, "left_anti").withColumn("admitted", F.lit(True))
+    decided = ordered_scan(rows.join(crowded, same, "left_semi"), ["user", "segment"], ["at_us", "request_id"], step, "admitted")
+    return free.unionByName(decided).drop("segment")
+
+
+def admitted(
+    tasks: DataFrame, user: str = "user_id", limit: int = G.TASK_LIMIT, timeout_s: int = G.TASK_TIMEOUT, slice_us: int = HOUR,
+    total: int = G.TASK_TOTAL,
+) -> DataFrame:
+    """`task_id`, the user, `start_us`, `end_us` (timeout included) and `admitted`: a start is refused while `total` admitted
+    tasks run over all users, or `limit` of its user.
+
+    An end comes before a start at the same instant; a refused task runs for nobody. Users are decided apart first. Where
+    no more than `total` of the tasks admitted so run at once, the total refuses nothing and the decisions stand. From
+    pause to pause of the whole log (`timeout_s` without a start, after which nothing runs), a stretch that goes above it
+    is decided again in the order of its rows, all users together, since each decision there depends on all before it;
+    its state is at most `total` tasks.
+    """
+    def step(running, row):
+        live = [(e, u) for e, u in running or [] if e > row[2]]
+        ok = len(live) < total and sum(u == row[1] for _, u in live) < limit
+        return (live + [(row[3], row[1])], True) if ok else (live, False)
+
+    timeout_us = timeout_s * SECOND
+    end = F.least("end_us", F.col("start_us") + timeout_us)
     rows = tasks.select(F.col("task_id").alias("request_id"), F.col(user).alias("user"), F.col("start_us").alias("at_us"), end.alias("end_us"))
-    rows = by_silence(rows, ["user"], timeout_s * SECOND, slice_us).select("request_id", "user", "at_us", "end_us", "segment")
-    judged = ordered_scan(rows, ["user", "segment"], ["at_us", "request_id"], step, "admitted")
-    return judged.select(F.col("request_id").alias("task_id"), F.col("user").alias(user), F.col("at_us").alias("start_us"), "end_us", "admitted")
+    judged = saved(by_silence(_by_user(rows, limit, timeout_us, slice_us), [], timeout_us, slice_us).drop("_slice"))
+    start = F.struct(F.col("at_us").alias("t"), F.lit(1).alias("step"))
+    stop = F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("step"))
+    events = judged.filter("admitted").select("segment", "request_id", F.explode(F.array(start, stop)).alias("e")).select("segment", "request_id", "e.*")
+    running = running_total(events, [], F.expr(f"t div {10 * SECOND}"), ["t", "step", "request_id"], F.col("step"), "_running")
+    crowded = saved(running.groupBy("segment").agg(F.max("_running").alias("_most")).filter(F.col("_most") > total).select("segment"))
+    free = judged.join(crowded, "segment", "left_anti")
+    again = judged.join(crowded, "segment", "left_semi").select("request_id", "user", "at_us", "end_us", "segment")
+    decided = free.select("request_id", "user", "at_us", "end_us", "admitted").unionByName(
+        ordered_scan(again, ["segment"], ["at_us", "request_id"], step, "admitted").drop("segment")
+    )
+    return decided.select(F.col("request_id").alias("task_id"), F.col("user").alias(user), F.col("at_us").alias("start_us"), "end_us", "admitted")
 
 
 def rotation_step(state, sid: str, at: int, limit: int, window_us: int):
@@ -289,12 +371,29 @@ def sid_rotation(
 ) -> DataFrame:
     """`request_id` and `honored`: whether a client's session identifier is used or the shared key instead.
 
-    More than `limit` identifiers of an identity within the window degrade it until the window empties.
-    The state holds at most `limit + 1` identifiers.
+    More than `limit` identifiers of an identity within the window degrade it until the window empties. An identifier
+    counts for no longer than the window after a sighting, so the sightings bound how many are held at once: from pause
+    to pause of an identity, a stretch whose bound stays within `limit` honors all. Only the others are decided row by
+    row; the state there is at most `limit + 1` identifiers.
     """
     def step(state, row):
         return rotation_step(state, row[2], row[3], limit, window_us)
 
+    columns = ["request_id", "identity", "sid", "at_us", "segment"]
     rows = requests.select("request_id", F.col(identity).alias("identity"), F.col(sid).alias("sid"), "at_us")
-    rows = by_silence(rows, ["identity"], window_us, slice_us).select("request_id", "identity", "sid", "at_us", "segment")
-    return ordered_scan(rows, ["identity", "segment"], ["at_us", "request_id"], step, "honored")
+    rows = saved(by_silence(rows, ["identity"], window_us, slice_us).select(*columns))
+    key = ["identity", "segment", "sid"]
+    last = previous_row(rows, key, F.expr(f"at_us div {slice_us}"), ["at_us", "request_id"], F.col("at_us"), "_last")
+    fresh = last.filter(F.col("_last").isNull() | (F.col("at_us") - F.col("_last") > window_us))
+    event = lambda at, n: F.struct(at.alias("t"), F.lit(n).alias("step"))
+    gone = F.col("_last") + window_us + 1
+    enters = fresh.select(*key, F.explode(F.array_compact(F.array(event(F.col("at_us"), 1), F.when(gone.isNotNull(), event(gone, -1))))).alias("e"))
+    leaves = rows.groupBy(*key).agg(event(F.max("at_us") + window_us + 1, -1).alias("e"))
+    events = enters.unionByName(leaves).select(*key, "e.*")
+    held = running_total(events, ["identity", "segment"], F.expr(f"t div {slice_us}"), ["t", "step", "sid"], F.col("step"), "_held")
+    crowded = held.groupBy("identity", "segment").agg(F.max("_held").alias("_most")).filter(F.col("_most") > limit)
+    crowded = saved(crowded.select(F.col("identity").alias("_identity"), F.col("segment").alias("_segment")))
+    same = F.col("identity").eqNullSafe(F.col("_identity")) & (F.col("segment") == F.col("_segment"))
+    free = rows.join(crowded, same, "left_anti").withColumn("honored", F.lit(True))
+    decided = ordered_scan(rows.join(crowded, same, "left_semi"), ["identity", "segment"], ["at_us", "request_id"], step, "honored")
+    return free.unionByName(decided)

@@ -45,11 +45,11 @@ def previous_row(df: DataFrame, keys: Sequence[str], slice_: Column, order: Sequ
     last = rows.groupBy(*keys, SLICE).agg(F.max_by("_value", F.struct(*order)).alias("_last"))
     across = Window.partitionBy(*keys).orderBy(SLICE)
     carry = last.select(*keys, SLICE, F.lag("_last").over(across).alias("_carry"))
-    joined = rows.withColumn("_lag", F.lag("_value").over(inside)).join(carry, [*keys, SLICE], "left")
+    joined = same_keys(rows.withColumn("_lag", F.lag("_value").over(inside)), carry, [*keys, SLICE], "left")
     return joined.withColumn(name, F.coalesce("_lag", "_carry")["v"]).drop(SLICE, "_value", "_lag", "_carry")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys which may be NULL; the columns of `left` and those of `right` that are no keys."""
     named = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     joined = left.join(named, F.expr(" AND ".join(f"`{k}` <=> `_right_{k}`" for k in keys)), how)
@@ -82,7 +82,7 @@ def carried(summary: DataFrame, keys: Sequence[str], sums: Sequence[str] = (), m
         *keys, SLICE, GROUPED, *[scanned([*keys, GROUPED], SLICE, c, "sum").alias(f"{c}_in") for c in sums],
         *[scanned([*keys, GROUPED], SLICE, c, "min").alias(f"{c}_in") for c in minima],
     )
-    both = _same(inside, across, [*keys, GROUPED], "inner")
+    both = same_keys(inside, across, [*keys, GROUPED])
     zero = F.lit(0)
     return both.select(
         *keys, SLICE, *[(F.coalesce(f"{c}_in", zero) + F.coalesce(f"_{c}", zero)).alias(f"{c}_before") for c in sums],
@@ -97,7 +97,7 @@ def running_total(df: DataFrame, keys: Sequence[str], slice_: Column, order: Seq
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.groupBy(*keys, SLICE).agg(F.sum("_amount").alias("_total"))
     carry = carried(totals, keys, sums=["_total"])
-    joined = _same(rows.withColumn("_inside", F.sum("_amount").over(inside)), carry, [*keys, SLICE], "left")
+    joined = same_keys(rows.withColumn("_inside", F.sum("_amount").over(inside)), carry, [*keys, SLICE], "left")
     return joined.withColumn(name, F.col("_inside") + F.col("_total_before")).drop(SLICE, "_amount", "_inside", "_total_before")
 
 

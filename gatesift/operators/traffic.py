@@ -231,26 +231,28 @@ def running_tasks(tasks: DataFrame, keys: Sequence[str] = (), name: str = "runni
 
 
 def task_concurrency(
-    tasks: DataFrame, user: str = "user_id", limit: int = G.TASK_LIMIT, timeout_s: int = G.TASK_TIMEOUT, slice_s: int = 60
+    tasks: DataFrame, user: str = "user_id", limit: int = G.TASK_LIMIT, timeout_s: int = G.TASK_TIMEOUT, slice_s: int = 60,
+    total: int = G.TASK_TOTAL,
 ) -> DataFrame:
-    """Admitted tasks of a user which run at each start, and whether the start is refused.
+    """Admitted tasks of a user which run at each start, and whether the start is refused, by the limit of all or its user's.
 
     `tasks` has `task_id`, the user, `start_us`, `end_us`. A refused task does not run and counts for nothing.
     """
-    judged = admitted(tasks, user, limit, timeout_s)
+    judged = admitted(tasks, user, limit, timeout_s, total=total)
     counted = running_tasks(judged, [user], "running", slice_s)
     return counted.join(judged.select("task_id", (~F.col("admitted")).alias("over_quota")), "task_id")
 
 
 def total_concurrency(tasks: DataFrame, total: int = G.TASK_TOTAL, timeout_s: int = G.TASK_TIMEOUT, slice_s: int = 10, limit: int = G.TASK_LIMIT) -> DataFrame:
-    """Admitted tasks over all users which run at each start, and whether they are more than `total`."""
-    counted = running_tasks(admitted(tasks, limit=limit, timeout_s=timeout_s), [], "running_total", slice_s)
-    return counted.select("task_id", "running_total", (F.col("running_total") > total).alias("over_total"))
+    """Admitted tasks over all users which run at each start, and whether it is refused since `total` run already."""
+    judged = admitted(tasks, limit=limit, timeout_s=timeout_s, total=total)
+    counted = running_tasks(judged, [], "running_total", slice_s).join(judged.select("task_id", "admitted"), "task_id")
+    return counted.select("task_id", "running_total", (~F.col("admitted") & (F.col("running_total") >= total)).alias("over_total"))
 
 
-def tenant_concurrency(tasks: DataFrame, tenant: str = "tenant_id", limit: int = G.TASK_LIMIT, timeout_s: int = G.TASK_TIMEOUT, slice_s: int = 60) -> DataFrame:
+def tenant_concurrency(tasks: DataFrame, tenant: str = "tenant_id", limit: int = G.TASK_LIMIT, timeout_s: int = G.TASK_TIMEOUT, slice_s: int = 60, total: int = G.TASK_TOTAL) -> DataFrame:
     """Admitted tasks of a tenant which run at each start; tenants have no limit of their own."""
-    judged = admitted(tasks, limit=limit, timeout_s=timeout_s).join(tasks.select("task_id", tenant), "task_id")
+    judged = admitted(tasks, limit=limit, timeout_s=timeout_s, total=total).join(tasks.select("task_id", tenant), "task_id")
     return running_tasks(judged, [tenant], "running", slice_s)
 
 

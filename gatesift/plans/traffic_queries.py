@@ -122,13 +122,13 @@ steps(request_id, ident, rn, ids, degraded, honored) AS (
 _ADMITTED = f"""tasks AS (
   SELECT request_id AS task_id, session_id AS user_id, client AS tenant_id, at_us,
          least(at_us + duration_ns, at_us + {G.TASK_TIMEOUT}000000) AS end_us,
-         row_number() OVER (PARTITION BY session_id ORDER BY at_us, request_id) AS rn FROM requests_in),
+         row_number() OVER (ORDER BY at_us, request_id) AS rn FROM requests_in),
 steps(task_id, user_id, tenant_id, at_us, end_us, rn, ends, admitted) AS (
-  SELECT task_id, user_id, tenant_id, at_us, end_us, rn, [end_us], true FROM tasks WHERE rn = 1
+  SELECT task_id, user_id, tenant_id, at_us, end_us, rn, [{{'e': end_us, 'u': user_id}}], true FROM tasks WHERE rn = 1
   UNION ALL
-  SELECT task_id, user_id, tenant_id, at_us, end_us, rn,
-         CASE WHEN len(live) < {G.TASK_LIMIT} THEN list_append(live, end_us) ELSE live END, len(live) < {G.TASK_LIMIT}
-  FROM (SELECT n.*, list_filter(s.ends, lambda e: e > n.at_us) AS live FROM steps s JOIN tasks n ON n.user_id = s.user_id AND n.rn = s.rn + 1)),
+  SELECT task_id, user_id, tenant_id, at_us, end_us, rn, CASE WHEN ok THEN list_append(live, {{'e': end_us, 'u': user_id}}) ELSE live END, ok
+  FROM (SELECT *, len(live) < {G.TASK_TOTAL} AND len(list_filter(live, lambda x: x.u = user_id)) < {G.TASK_LIMIT} AS ok
+        FROM (SELECT n.*, list_filter(s.ends, lambda e: e.e > n.at_us) AS live FROM steps s JOIN tasks n ON n.rn = s.rn + 1))),
 events AS (
   SELECT task_id, user_id, tenant_id, admitted, at_us, 1 AS kind, CAST(admitted AS INT) AS step FROM steps
   UNION ALL SELECT task_id, user_id, tenant_id, admitted, end_us, 0, -1 FROM steps WHERE admitted)"""
@@ -171,7 +171,7 @@ FROM requests_in, (VALUES {_BOUNDS}, (NULL)) AS b(le) GROUP BY b.le"""),
     "client_ip": _sql(f"""SELECT request_id, CASE WHEN client_ip NOT IN ({", ".join(map(K.q, TRUSTED))}) THEN client_ip
   WHEN k % 4 = 1 THEN '9.9.9.9' WHEN k % 4 <> 0 THEN '203.0.113.5' WHEN k % 3 = 0 THEN '198.51.100.7' ELSE client_ip END AS ip FROM requests_in"""),
     "task_concurrency": _running("task_id, user_id, running, NOT admitted AS over_quota", "PARTITION BY user_id"),
-    "total_concurrency": _running(f"task_id, running AS running_total, running > {G.TASK_TOTAL} AS over_total", ""),
+    "total_concurrency": _running(f"task_id, running AS running_total, NOT admitted AND running >= {G.TASK_TOTAL} AS over_total", ""),
     "tenant_concurrency": _running("task_id, tenant_id, running", "PARTITION BY tenant_id"),
     "recon_rate": _sql(f"""SELECT request_id, session_id, n AS calls_per_minute FROM (
   SELECT a.request_id, a.session_id, count(*) AS n FROM requests_in a JOIN requests_in b ON a.session_id = b.session_id
