@@ -1,12 +1,14 @@
-"""Erasure and column encryption."""
+"""Erasure, column encryption and the rotation of keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatesift.operators.slices import SLICE
+
 
 def erase_user(df: DataFrame, erasures: DataFrame, user: str = "user_id") -> DataFrame:
     """The rows of every user who has not asked for erasure. Rows without a user stay."""
@@ -24,21 +26,90 @@ def erasure_events(erasures: DataFrame, user: str = "user_id") -> DataFrame:
     )
 
 
-def encrypt_columns(df: DataFrame, columns: Sequence[str], keys: DataFrame, key_id: str = "key_id") -> DataFrame:
+def _with_key(df: DataFrame, keys: DataFrame, key_id: str) -> DataFrame:
+    """Every row with its key as `_gatesift_key`, NULL where the key id is NULL or unknown."""
+    twice = keys.groupBy("key_id").count().filter("count > 1").select("key_id").head()
+    if twice:
+        raise ValueError(f"key id {twice[0]!r} stands more than once in the key table")
+    named = keys.select(F.col("key_id").alias("_gatesift_id"), F.col("key").alias("_gatesift_key"))
+    return df.join(named, F.col(f"`{key_id}`") == F.col("_gatesift_id"), "left")
+
+
+def _seal(value: Column, key: Column) -> Column:
+    return F.aes_encrypt(value, key, F.lit("GCM"))
+
+
+def _open(value: Column, key: Column) -> Column:
+    return F.try_aes_decrypt(value, key, F.lit("GCM"))
+
+
+def encrypt_columns(df: DataFrame, columns: Sequence[str], keys: DataFrame, key_id: str = "key_id", unknown: str = "error") -> DataFrame:
     """The columns as AES-256-GCM ciphertext under the row's key; `keys` has `key_id` and a 32-byte `key`.
 
-    Each value gets a fresh nonce, so the ciphertext differs from run to run.
+    Each value gets a fresh nonce, so the ciphertext differs from run to run. Every row comes back once, whatever its
+    other columns are called. A value whose key id is NULL or unknown fails the query, or with `unknown="null"` becomes
+    NULL; NULL values stay NULL under any key. A key id that stands twice in `keys` is refused.
     """
-    joined = df.join(keys.select(F.col("key_id").alias(key_id), "key"), key_id)
-    encrypted = {c: F.aes_encrypt(F.col(c), F.col("key"), F.lit("GCM")) for c in columns}
-    return joined.withColumns(encrypted).select(*df.columns)
+    key = F.col("_gatesift_key")
+    lost = F.raise_error(F.concat(F.lit("no key for key id "), F.coalesce(F.col(f"`{key_id}`").cast("string"), F.lit("NULL")))).cast("binary")
+    missing = F.lit(None).cast("binary") if unknown == "null" else lost
+    sealed = {c: F.when(F.col(f"`{c}`").isNull(), F.lit(None)).when(key.isNull(), missing).otherwise(_seal(F.col(f"`{c}`"), key)) for c in columns}
+    return _with_key(df, keys, key_id).withColumns(sealed).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def decrypt_columns(df: DataFrame, columns: Sequence[str], keys: DataFrame, key_id: str = "key_id") -> DataFrame:
-    """Inverse of `encrypt_columns`; a value under a wrong key gives NULL."""
-    joined = df.join(keys.select(F.col("key_id").alias(key_id), "key"), key_id)
-    plain = {c: F.try_aes_decrypt(F.col(c), F.col("key"), F.lit("GCM")).cast("string") for c in columns}
-    return joined.withColumns(plain).select(*df.columns)
+    """Inverse of `encrypt_columns`: every row comes back; a value under a wrong, unknown or NULL key is NULL."""
+    plain = {c: _open(F.col(f"`{c}`"), F.col("_gatesift_key")).cast("string") for c in columns}
+    return _with_key(df, keys, key_id).withColumns(plain).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def key_in_force(df: DataFrame, keys: DataFrame, at: str, name: str = "key_id", slice_us: int = 3_600_000_000) -> DataFrame:
+    """Every row with the id of the key in force at its time: the last one created at or before it, NULL before the first.
+
+    An as-of join. `at` and `created_us` are microseconds. Distinct instants and keys are put in order slice by slice; what
+    was in force before a slice is scanned over one row per slice. Of keys created at one instant the largest id counts.
+    """
+    instants = df.select(F.col(f"`{at}`").alias("t")).filter("t IS NOT NULL").distinct()
+    events = instants.select("t", F.lit(None).cast("string").alias("id")).unionByName(
+        keys.groupBy(F.col("created_us").alias("t")).agg(F.max(F.col("key_id").cast("string")).alias("id"))
+    ).withColumn(SLICE, F.expr(f"t div {slice_us}"))
+    # Keys before instants at the same time.
+    inside = Window.partitionBy(SLICE).orderBy("t", F.col("id").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = events.groupBy(SLICE).agg(F.max(F.when(F.col("id").isNotNull(), F.struct("t", "id"))).alias("_last"))
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(SLICE, F.max("_last").over(before)["id"].alias("_carry"))
+    found = events.withColumn("_own", F.last("id", ignorenulls=True).over(inside)).filter("id IS NULL").join(carry, SLICE)
+    force = found.select(F.col("t").alias("_gatesift_at"), F.coalesce("_own", "_carry").alias("_gatesift_id"))
+    joined = df.join(force, F.col(f"`{at}`") == F.col("_gatesift_at"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col("_gatesift_id").alias(name))
+
+
+def rotate_columns(
+    df: DataFrame, columns: Sequence[str], keys: DataFrame, as_of_us: int, days: int = 90, key_id: str = "key_id"
+) -> DataFrame:
+    """Ciphertext under keys that are due moved to the newest key: the rows with their new key id, and `rotated`.
+
+    `keys` has `key_id`, `key` and `created_us`; a key is due `days` after it was created. The newest key is the last
+    one created at or before `as_of_us`. A row moves only if all its values open under its old key; others, and rows of
+    an unknown or NULL key, stay as they are, so nothing is lost. Without a newest key nothing moves.
+    """
+    newest = keys.filter(F.col("created_us") <= as_of_us).orderBy(F.desc("created_us"), F.desc("key_id")).limit(1).collect()
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    if not newest:
+        return df.select(*kept, F.lit(False).alias("rotated"))
+    new_id, new_key = newest[0]["key_id"], F.lit(bytes(newest[0]["key"]))
+    due = keys.filter((F.col("created_us") + days * 86_400_000_000 <= as_of_us) & (F.col("key_id") != new_id))
+    opened = _with_key(df, due.select("key_id", "key"), key_id)
+    for i, c in enumerate(columns):
+        opened = opened.withColumn(f"_gatesift_{i}", _open(F.col(f"`{c}`"), F.col("_gatesift_key")))
+    moves = F.col("_gatesift_key").isNotNull()
+    for i, c in enumerate(columns):
+        moves = moves & (F.col(f"`{c}`").isNull() | F.col(f"_gatesift_{i}").isNotNull())
+    judged = opened.withColumn("_gatesift_moves", moves)
+    moved = F.col("_gatesift_moves")
+    new = {c: F.when(moved, _seal(F.col(f"_gatesift_{i}"), new_key)).otherwise(F.col(f"`{c}`")) for i, c in enumerate(columns)}
+    new[key_id] = F.when(moved, F.lit(new_id)).otherwise(F.col(f"`{key_id}`"))
+    return judged.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in df.columns], moved.alias("rotated"))
 
 
 def key_rotation_due(keys: DataFrame, created: str, as_of: Column, days: int = 90) -> DataFrame:

@@ -68,8 +68,9 @@ def _redact(spark, sf):
 
 
 def erasures(spark, sf):
-    e = I.table(spark, sf, "events").filter((F.col("event_type") == "error") & (F.col("value") > 250))
-    return e.select(F.concat(F.lit("u"), F.col("user_id") % 10).alias("user_id"))
+    """A user whose last event is an error has asked for erasure."""
+    last = I.table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    return last.filter("last = 'error'").select(F.concat(F.lit("u"), F.col("user_id")).alias("user_id"))
 
 
 def _erase(spark, sf):
@@ -105,6 +106,28 @@ def _decrypt(spark, sf):
     return P.decrypt_columns(sealed, ["text"], _keys(spark)).select("doc_id", "key_id", F.sha2("text", 256).alias("text_hash"))
 
 
+DAY_US = 86_400_000_000
+CREATED = [i * 40 * DAY_US for i in range(KEY_COUNT)]  # a key every forty days
+AS_OF = CREATED[-1] + 10 * DAY_US
+
+
+def _dated_keys(spark):
+    created = F.element_at(F.array(*[F.lit(c).cast("bigint") for c in CREATED]), F.substring("key_id", 2, 9).cast("int") + 1)
+    return _keys(spark).withColumn("created_us", created)
+
+
+def _rotate(spark, sf):
+    """Documents under keys of every age; text is shown as it decrypts after the move."""
+    sealed = P.encrypt_columns(_keyed(spark, sf), ["text"], _keys(spark))
+    moved = P.rotate_columns(sealed, ["text"], _dated_keys(spark), AS_OF)
+    return P.decrypt_columns(moved, ["text"], _keys(spark)).select("doc_id", "key_id", F.sha2("text", 256).alias("text_hash"), "rotated")
+
+
+def _in_force(spark, sf):
+    orders = I.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * 7_654_321_987 % (CREATED[-1] + 50 * DAY_US) - DAY_US).alias("at_us"))
+    return P.key_in_force(orders, _dated_keys(spark), "at_us").select("o_orderkey", "key_id")
+
+
 def _rotation(spark, sf):
     o = I.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 50).alias("key_no"))
     keys = o.agg(F.to_date(F.max("o_orderdate")).alias("created"))
@@ -139,6 +162,8 @@ QUERIES = {
     "erase_user": _erase,
     "erasure_events": _erasure_events,
     "encrypt_columns": _encrypt,
+    "rotate_columns": _rotate,
+    "key_in_force": _in_force,
     "decrypt_columns": _decrypt,
     "key_rotation_due": _rotation,
     "regulated_by_label": flagship,
@@ -180,7 +205,8 @@ def _action(action: str) -> str:
     SELECT doc_id, {action} AS a FROM found LEFT JOIN policy USING (class)) GROUP BY doc_id)"""
 
 
-_ERASURES = "SELECT DISTINCT 'u' || (user_id % 10) AS user_id FROM events WHERE event_type = 'error' AND value > 250"
+_ERASURES = """SELECT 'u' || user_id AS user_id FROM (
+  SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type = 'error'"""
 _BASIC = f"basic AS MATERIALIZED (SELECT doc_id, {K.chain('text', R.BASIC_RULES)} AS r FROM documents_in)"
 
 
@@ -219,6 +245,12 @@ ORACLES = {
     + f"SELECT session_id, user_id, msg_id FROM dialogues_in WHERE user_id NOT IN ({_ERASURES})",
     "erasure_events": f"SELECT 'gdpr_erasure' AS event_type, 'info' AS severity, user_id, "
                       f"'User data erasure requested and completed' AS message, true AS erased FROM ({_ERASURES})",
+    "rotate_columns": K.with_(I.DOCUMENTS)
+    + f"""SELECT doc_id, CASE WHEN due THEN 'k{KEY_COUNT - 1}' ELSE 'k' || n END AS key_id, sha256(text) AS text_hash, due AS rotated FROM (
+  SELECT doc_id, text, doc_id % {KEY_COUNT} AS n, (doc_id % {KEY_COUNT}) * 40 + 90 <= {(KEY_COUNT - 1) * 40 + 10} AND doc_id % {KEY_COUNT} <> {KEY_COUNT - 1} AS due
+  FROM documents_in)""",
+    "key_in_force": f"""SELECT o_orderkey, CASE WHEN at_us >= 0 THEN 'k' || least(at_us // {40 * DAY_US}, {KEY_COUNT - 1}) END AS key_id FROM (
+  SELECT o_orderkey, o_orderkey * 7654321987 % {CREATED[-1] + 50 * DAY_US} - {DAY_US} AS at_us FROM orders)""",
     "encrypt_columns": K.with_(I.DOCUMENTS)
     + f"SELECT doc_id, 'k' || (doc_id % {KEY_COUNT}) AS key_id, 28::BIGINT AS added, true AS changed FROM documents_in",
     "decrypt_columns": K.with_(I.DOCUMENTS)

@@ -168,6 +168,54 @@ def test_encryption(spark):
     assert all(r["t"] is None for r in privacy.decrypt_columns(sealed, ["t"], wrong).collect())
 
 
+def test_encryption_loses_no_row(spark):
+    keys = spark.createDataFrame([("k1", bytes(range(32)))], "key_id string, key binary")
+    rows = [(1, "k1", "a", "own"), (2, "k9", "b", "own"), (3, None, "c", "own"), (4, "k9", None, "own")]
+    df = spark.createDataFrame(rows, "i int, key_id string, t string, key string")
+    sealed = privacy.encrypt_columns(df, ["t"], keys, unknown="null")
+    assert sealed.columns == df.columns
+    assert {r["i"]: (r["t"], r["key"]) for r in privacy.decrypt_columns(sealed, ["t"], keys).collect()} == {
+        1: ("a", "own"), 2: (None, "own"), 3: (None, "own"), 4: (None, "own")
+    }
+    with pytest.raises(Exception, match="no key for key id"):
+        privacy.encrypt_columns(df, ["t"], keys).collect()
+    with pytest.raises(ValueError, match="more than once"):
+        privacy.encrypt_columns(df, ["t"], keys.unionByName(keys))
+    with pytest.raises(ValueError, match="more than once"):
+        privacy.decrypt_columns(df, ["t"], keys.unionByName(keys))
+
+
+DAY = 86_400_000_000
+
+
+def dated_keys(spark):
+    rows = [("k1", bytes(range(32)), 0), ("k2", bytes(32), 50 * DAY), ("k3", bytes([7] * 32), 95 * DAY)]
+    return spark.createDataFrame(rows, "key_id string, key binary, created_us bigint")
+
+
+def test_rotated_rows_move_and_still_decrypt(spark):
+    keys = dated_keys(spark)
+    df = spark.createDataFrame([(1, "k1", "a"), (2, "k2", "b"), (3, "k3", "c"), (4, "k1", None)], "i int, key_id string, t string")
+    sealed = privacy.encrypt_columns(df, ["t"], keys)
+    strange = spark.createDataFrame([(5, "k9", b"x"), (6, None, b"y"), (7, "k1", b"not sealed")], "i int, key_id string, t binary")
+    moved = privacy.rotate_columns(sealed.unionByName(strange), ["t"], keys, 100 * DAY)
+    got = {r["i"]: (r["key_id"], r["rotated"]) for r in moved.collect()}
+    assert got == {1: ("k3", True), 2: ("k2", False), 3: ("k3", False), 4: ("k3", True), 5: ("k9", False), 6: (None, False), 7: ("k1", False)}
+    plain = {r["i"]: r["t"] for r in privacy.decrypt_columns(moved, ["t"], keys).collect()}
+    assert {i: plain[i] for i in range(1, 5)} == {1: "a", 2: "b", 3: "c", 4: None}
+    assert {r["i"]: bytes(r["t"]) for r in moved.filter("i > 4").collect()} == {5: b"x", 6: b"y", 7: b"not sealed"}
+    assert privacy.rotate_columns(sealed, ["t"], keys, -1).filter("rotated").count() == 0
+
+
+@pytest.mark.parametrize("slice_us", [DAY // 24, 7 * DAY, 10**18])
+def test_key_in_force(spark, slice_us):
+    keys = dated_keys(spark).unionByName(spark.createDataFrame([("k2b", bytes(32), 50 * DAY)], "key_id string, key binary, created_us bigint"))
+    times = [None, -5, 0, 1, 50 * DAY - 1, 50 * DAY, 94 * DAY, 95 * DAY, 1000 * DAY, 1000 * DAY]
+    df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(times)], "i int, at bigint, key_id string")
+    got = [r["key_id"] for r in sorted(privacy.key_in_force(df, keys, "at", slice_us=slice_us).collect())]
+    assert got == [None, None, "k1", "k1", "k1", "k2b", "k2b", "k3", "k3", "k3"]
+
+
 def test_erasure(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "user_id string, n int")
     asked = spark.createDataFrame([("a",), ("a",), ("z",)], "user_id string")
