@@ -173,13 +173,15 @@ def scan_licenses(
 
 
 def oracle_sql() -> str:
-    """The same matches without MinHash: every template against every window."""
+    """The same matches without MinHash: every template against every window, short ones against every place."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    values = ", ".join(f"('{n}', {stride_of(len(template_words(t)))}, {quoted(template_words(t))})" for n, t in NOTICES.items())
+    values = ", ".join(f"('{n}', {stride_of(len(template_words(t)))}, {quoted(template_words(t))})" for n, t in EVERY.items())
+    line = stride_of(1)
     return f"""
 WITH templates(license, stride, w) AS (VALUES {values}),
 template_shingles AS (
-  SELECT DISTINCT license, stride, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT license, stride, w, unnest(range(1, len(w) - 3)) AS i FROM templates)),
+  SELECT DISTINCT license, stride, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT license, stride, w, unnest(range(1, len(w) - 3)) AS i FROM templates WHERE len(w) >= {WORDS})),
 sizes AS (SELECT license, count(*) AS n FROM template_shingles GROUP BY license),
 doc_words AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents),
 doc_shingles AS (
@@ -189,6 +191,14 @@ placed AS (
   SELECT doc_id, license, stride, s, p, unnest([p // stride * stride, p // stride * stride - stride]) AS start FROM hits),
 held AS (
   SELECT doc_id, license, stride, start, count(DISTINCT s) AS k FROM placed WHERE start >= 0 AND p <= start + 2 * stride - 5 GROUP BY ALL),
-good AS (SELECT doc_id, license, stride, start, k / n AS containment FROM held JOIN sizes USING (license) WHERE k / n >= {CONTAINMENT})
+lines AS (SELECT license, len(w) AS width, array_to_string(w, ' ') AS s FROM templates WHERE len(w) < {WORDS}),
+line_places AS (
+  SELECT doc_id, width, i - 1 AS p, array_to_string(w[i:i + width - 1], ' ') AS s
+  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM doc_words, (SELECT DISTINCT width FROM lines) WHERE len(w) >= width)),
+line_starts AS (SELECT doc_id, license, p, width, p // {line} * {line} AS own FROM line_places JOIN lines USING (width, s)),
+good AS (
+  SELECT doc_id, license, stride, start, k / n AS containment FROM held JOIN sizes USING (license) WHERE k / n >= {CONTAINMENT}
+  UNION ALL
+  SELECT doc_id, license, {line}, CASE WHEN own >= {line} AND p + width <= own + {line} THEN own - {line} ELSE own END, 1.0 FROM line_starts)
 SELECT doc_id, license, containment, CAST(start AS BIGINT) AS start_word, CAST(2 * stride AS BIGINT) AS window_words
 FROM good QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start) = 1"""
