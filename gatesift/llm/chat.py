@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatesift.llm.common import plain, text_or_empty
+from gatesift.llm.packing import token_ids  # travels by value, like all that workers run
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -104,8 +105,6 @@ MASK = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _counter(path: str) -> Callable[[list[str]], list[int]]:
-    from gatesift.llm.packing import token_ids
-
     return lambda texts: [len(token_ids(t, path)) - 1 for t in texts]
 
 
