@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark import TaskContext, cloudpickle
@@ -90,17 +91,69 @@ def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     What only earlier stages have used is dropped, so that a worker which lives through a pipeline does not keep the
     vocabularies and automata of all its stages.
     """
-    task = TaskContext.get()
-    stage = task.stageId() if task else None
     kept = sys.__dict__.setdefault("_gatesift_per_worker", {})
+    stage = _stage()
     if key not in kept:
-        for old in [k for k, (used, _) in kept.items() if used != stage]:
-            del kept[old]
+        _drop_others(stage)
         kept[key] = (stage, make())
     elif kept[key][0] != stage:
         kept[key] = (stage, kept[key][1])
     return kept[key][1]
 
 
+def _stage() -> int | None:
+    task = TaskContext.get()
+    return task.stageId() if task else None
+
+
+def _drop_others(stage: int | None) -> None:
+    kept = sys.__dict__.setdefault("_gatesift_per_worker", {})
+    for old in [k for k, (used, _) in kept.items() if used != stage]:
+        del kept[old]
+
+
+def lean(work: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """Work over batches in a worker that keeps little: what earlier stages left goes before, and what the task has freed
+    goes back to the machine afterwards, since an idle worker shares an executor's memory with the stages that follow."""
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        _drop_others(_stage())
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library: it gives memory back by itself or not at all
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, what is computed by Python workers comes and goes in batches of fewer rows: for rows that hold sets or texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatesift.llm.common import bitmap_of, in_bitmap, join_groups, plain, saved, text_or_empty
+from gatesift.llm.common import bitmap_of, in_bitmap, join_groups, lean, plain, saved, small_batches, text_or_empty
 from gatesift.llm.components import components
 from gatesift.llm.shingles import shingle_sets
 
@@ -200,7 +200,7 @@ class Join:
         self.words, self.percent, self.id_col = words, percent, id_col
         self.texts = plain(docs, id_col, text_col).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
         kind = self.texts.schema["id"].dataType.simpleString()
-        described = saved(self.texts.mapInArrow(_described(words), f"id {kind}, class binary, n bigint, slice int, counts binary"))
+        described = saved(self.texts.mapInArrow(lean(_described(words)), f"id {kind}, class binary, n bigint, slice int, counts binary"))
         self.members = described.filter("slice is null").select("id", "class", "n")
         known = self.members.filter("class is not null and id is not null")
         self.classes = saved(known.groupBy("class").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")))
@@ -216,7 +216,7 @@ class Join:
     def prefixes(self) -> DataFrame:
         """`class, n, tokens` of every class, its prefix in the global order."""
         rows = self.texts.filter("id is not null").select("text").mapInArrow(
-            _prefixes(self.words, self.percent, self.sketch), "class binary, n bigint, tokens array<bigint>"
+            lean(_prefixes(self.words, self.percent, self.sketch)), "class binary, n bigint, tokens array<bigint>"
         )
         return rows.groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
@@ -252,7 +252,7 @@ class Join:
         left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
         right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
         rows = pairs.join(left, "a").join(right, "b").select("a", "set_a", "b", "set_b")
-        found = rows.sortWithinPartitions("a", "b").mapInArrow(_overlaps, "a binary, b binary, both bigint, n_a bigint, n_b bigint")
+        found = rows.sortWithinPartitions("a", "b").mapInArrow(lean(_overlaps), "a binary, b binary, both bigint, n_a bigint, n_b bigint")
         linked = 100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
         return saved(found.filter(linked).select("a", "b"))
 
@@ -322,7 +322,7 @@ class Join:
         wanted = self.classes.join(classes, "class", "left_semi").select(F.xxhash64("first_id").alias("_key"))
         bitmap = saved(bitmap_of(wanted, "_key", BITS))
         texts = in_bitmap(self.texts.filter("id is not null").withColumn("_key", F.xxhash64("id")), "_key", bitmap, BITS, "_likely").filter("_likely").select("text")
-        return texts.mapInArrow(_sets(self.words), "class binary, shingles binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
+        return texts.mapInArrow(lean(_sets(self.words)), "class binary, shingles binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
 
 
 def _judged(join: Join) -> DataFrame:
@@ -341,7 +341,8 @@ def _judged(join: Join) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of `docs`: id, `n_shingles` and `component_id`, the smallest id that links lead to, itself included."""
-    rows = _judged(Join(docs, id_col, text_col, words, percent))
+    with small_batches(docs.sparkSession):
+        rows = _judged(Join(docs, id_col, text_col, words, percent))
     own = F.col("id")
     component = F.when(own.isNull(), F.lit(None)).otherwise(F.coalesce("_component", own))
     return rows.select(own.alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -353,8 +354,10 @@ def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An id that occurs once decides by itself. Rows whose id may be repeated are decided by id and class, and of those
     that are equal in both one stays.
     """
-    join = Join(docs, id_col, text_col, words, percent)
-    judged = _judged(join).filter("id is not null")
+    with small_batches(docs.sparkSession):
+        join = Join(docs, id_col, text_col, words, percent)
+        judged = _judged(join)
+    judged = judged.filter("id is not null")
     dropped = judged.filter((F.col("id") != F.col("_component")) | (F.col("class") != F.col("_kept")))
     gone = saved(dropped.select(F.col("id").alias("_gone"), F.col("class").alias("_class_gone"), F.xxhash64("id").alias("_key")).distinct())
     repeated = saved(join.members.filter("id is not null").groupBy("id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select(F.xxhash64("id").alias("_key")))
@@ -372,7 +375,7 @@ def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if several is None:
         return out
     schema = T.StructType([*several.schema.fields, T.StructField("_class", T.BinaryType())])
-    several = several.mapInArrow(_classed(words, 2, "_class"), schema)
+    several = several.mapInArrow(lean(_classed(words, 2, "_class")), schema)
     same = (F.col("_id") == F.col("_gone")) & (F.col("_class") == F.col("_class_gone"))
     stay = several.join(gone, same, "left_anti")
     one = stay.filter("_class is not null").groupBy("_id", "_class").agg(F.first("_doc").alias("_doc"))
