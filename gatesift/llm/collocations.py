@@ -34,7 +34,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatesift.llm.common import bitmap_of, plain, saved, text_or_empty
+from gatesift.llm.common import bitmap_of, lean, plain, saved, small_batches, text_or_empty
 from gatesift.llm.shingles import mixed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,8 +42,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DEPTH = 4  # words of the longest phrase
 LEAST = 30  # occurrences of a candidate
 SHARD_WORDS = 1 << 19  # words after which a shard is closed
-OPEN_WORDS = 1 << 21  # words in the open shards of a task, all languages together
-SIEVED = 1 << 21  # phrases of a task whose places are summed up together
+OPEN_WORDS = 3 << 19  # words in the open shards of a task, all languages together
+SIEVED = 1 << 20  # phrases of a task that are summed up together
+LEAST_RANGES, RANGE_BITS = 256, 20  # ranges of codes whose phrases are summed up apart
 MAX_BITS = 27  # 16 MB of bitmap at most, whatever the number of frequent phrases
 CHUNK = 1 << 16  # phrases in an Arrow batch
 BREAK = 0  # id of the place between two pieces
@@ -261,25 +262,69 @@ def _enough(least: int):
     return enough
 
 
-def _counted(frequent: list[Broadcast], sieve: Broadcast, length: int):
-    """Phrases of a length that can be frequent, with their count in the shard."""
+def _counted(frequent: list[Broadcast], sieve: Broadcast, length: int, ranges: int):
+    """Phrases of a length that can be frequent, with their count in the shard: a row per shard and range of codes."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 parts, counts, codes = _phrases(row, frequent, length)
                 keep = np.flatnonzero(may_be(np.frombuffer(sieve.value, np.uint8), codes))
+                if not len(keep):
+                    continue
+                own = (codes[keep] >> np.uint64(64 - RANGE_BITS)).astype(np.int64) % ranges
+                order = np.argsort(own, kind="stable")
+                keep, numbers = keep[order], own[order]
                 words = pa.array(row["words"], pa.binary())
-                for at in range(0, len(keep), CHUNK):
-                    some = keep[at : at + CHUNK]
-                    texts = [words.take(pa.array(p[some] - 1)) for p in parts]
-                    phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.binary())).cast(pa.string())
-                    langs = pa.array([row["lang"]] * len(some), pa.string())
-                    yield pa.RecordBatch.from_arrays([langs, phrase, pa.array(counts[some], pa.int64())], ["lang", "phrase", "f"])
+                texts = [words.take(pa.array(p[keep] - 1)) for p in parts]
+                phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.binary())).cast(pa.string())
+                present, begins = np.unique(numbers, return_index=True)
+                offsets = pa.array(np.append(begins, len(keep)), pa.int32())
+                columns = [
+                    pa.array(present, pa.int64()), pa.array([row["lang"]] * len(present), pa.string()),
+                    pa.ListArray.from_arrays(offsets, phrase), pa.ListArray.from_arrays(offsets, pa.array(counts[keep], pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "lang", "phrases", "counts"])
 
     return counted
 
 
+def _summed(least: int):
+    """Of every range, whose rows come together, the phrases that are frequent in all shards."""
+
+    def whole(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+
+    def frequent(tables: list[pa.Table]) -> list[pa.RecordBatch]:
+        summed = whole(tables)
+        return summed.filter(pc.greater_equal(summed["f"], least)).combine_chunks().to_batches(CHUNK)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, tables, n = None, [], 0
+        for batch in batches:
+            numbers = batch.column("range").to_numpy()
+            edges = np.flatnonzero(np.diff(numbers)) + 1
+            for a, b in zip([0, *edges], [*edges, len(numbers)], strict=True):
+                if b == a:
+                    continue
+                if numbers[a] != current and tables:
+                    yield from frequent(tables)
+                    tables, n = [], 0
+                current = numbers[a]
+                part = batch.slice(a, b - a)
+                lists = part.column("phrases")
+                langs = part.column("lang").take(pc.list_parent_indices(lists))
+                tables.append(pa.table({"lang": langs, "phrase": lists.flatten(), "f": part.column("counts").flatten()}))
+                n += len(langs)
+                if n >= SIEVED:
+                    tables = [whole(tables)]
+                    n = len(tables[0])
+        if tables:
+            yield from frequent(tables)
+
+    return summed
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of each phrase, as `_counted` computes it."""
     for batch in batches:
@@ -306,7 +351,7 @@ def bits_for(n: int, max_bits: int) -> int:
 def bitmap(phrases: DataFrame, max_bits: int = MAX_BITS) -> Broadcast:
     """The phrases as a bitmap of sixteen bits a phrase, at most 2**max_bits bits."""
     bits = bits_for(16 * phrases.count(), max_bits)
-    codes = phrases.select("lang", "phrase").mapInArrow(_coded, "code bigint")
+    codes = phrases.select("lang", "phrase").mapInArrow(lean(_coded), "code bigint")
     return _broadcast(bitmap_of(codes, "code", bits), bits)
 
 
@@ -317,8 +362,8 @@ def sieve(index: DataFrame, known: list[Broadcast], size: int, words: int, least
     least the count of each of its phrases.
     """
     bits = bits_for(words, max_bits)
-    sums = index.mapInArrow(_sieved(list(known), size, bits), "range bigint, places binary, counts binary")
-    rows = saved(sums.repartition("range").sortWithinPartitions("range").mapInArrow(_enough(least), "_bucket bigint, _bitmap binary"))
+    sums = index.mapInArrow(lean(_sieved(list(known), size, bits)), "range bigint, places binary, counts binary")
+    rows = saved(sums.repartition("range").sortWithinPartitions("range").mapInArrow(lean(_enough(least)), "_bucket bigint, _bitmap binary"))
     return _broadcast(rows, bits)
 
 
@@ -328,7 +373,7 @@ def frequent_phrases(
     """Two saved tables: phrases of 1 to `depth` words that occur at least `least` times (`lang, size, phrase, f`), and
     the words of each language (`lang, n`)."""
     rows = plain(docs, lang_col, text_col).select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
-    shards = saved(rows.mapInArrow(_indexed(depth, shard_words, max(OPEN_WORDS, shard_words)), SHARDS))
+    shards = saved(rows.mapInArrow(lean(_indexed(depth, shard_words, max(OPEN_WORDS, shard_words))), SHARDS))
     totals = saved(shards.groupBy("lang").agg(F.sum("n").alias("n")))
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     pairs = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
@@ -339,8 +384,10 @@ def frequent_phrases(
     for size in range(2, depth + 1):
         known.append(bitmap(found[-1], max_bits))
         likely = sieve(index, known, size, n_words, least, max_bits)
-        counted = index.mapInArrow(_counted(list(known), likely, size), "lang string, phrase string, f bigint")
-        summed = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+        # As many ranges as keep what a task sums up small: what the sieve lets through bounds the frequent phrases.
+        ranges = min(max(LEAST_RANGES, int.from_bytes(likely.value).bit_count() >> 15), 1 << RANGE_BITS)
+        counted = index.mapInArrow(lean(_counted(list(known), likely, size, ranges)), "range bigint, lang string, phrases array<string>, counts array<bigint>")
+        summed = counted.repartition("range").sortWithinPartitions("range").mapInArrow(lean(_summed(least)), "lang string, phrase string, f bigint")
         found.append(saved(summed.withColumn("size", F.lit(size))))
         likely.unpersist()
     for used in known:
@@ -360,7 +407,8 @@ def collocations(
     `left_ext` and `right_ext` count the most frequent extension by a word (0: none is a candidate). `absorbed` is the
     percentage of occurrences from which on a longer candidate replaces a shorter one; `top` None keeps all.
     """
-    every, totals = frequent_phrases(docs, text_col, lang_col, depth, least, shard_words, max_bits)
+    with small_batches(docs.sparkSession, size="8m"):  # a shard or two at a time
+        every, totals = frequent_phrases(docs, text_col, lang_col, depth, least, shard_words, max_bits)
     longer = every.filter("size > 1")
     words = F.split("phrase", " ")
     # Of every phrase the one without its last and the one without its first word: what it extends to the right and left.

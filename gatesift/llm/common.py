@@ -141,18 +141,20 @@ def _give_back() -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Within it, what is computed by Python workers comes and goes in batches of fewer rows: for rows that hold sets or texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: str | None = None) -> Iterator[None]:
+    """Within it, what Python workers compute comes and goes in batches of fewer rows and bytes: for rows that hold sets or texts."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} | ({"spark.sql.execution.arrow.maxBytesPerBatch": size} if size else {})
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def text_or_empty(text: str) -> Column:
