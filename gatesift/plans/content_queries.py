@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gatesift.functions import text as T
 from gatesift.operators import detect as D
+from gatesift.operators import packs as U
 from gatesift.operators import responses as R
 from gatesift.operators import sanitize as Z
 from gatesift.operators import verdict as V
@@ -146,6 +147,13 @@ def _response(scan):
     return lambda spark, sf: scan(I.documents(spark, sf), "text", KEEP)
 
 
+def _user_pack(spark, sf):
+    """The indicators as a user would give them: a table of expressions, without what the built-in pack knows of them."""
+    rows = [(i, r.name, r.regex, r.severity, r.marker, r.kind) for i, r in enumerate(D.IOC_RULES)]
+    table = spark.createDataFrame(rows, "position int, name string, regex string, severity string, marker string, kind string")
+    return U.match_pack(I.documents(spark, sf), "text", table, KEEP, prefix="prompt_injection_ioc_")
+
+
 QUERIES = {
     "fold_confusables": _fold,
     "normalize_for_match": _column("normalized", T.normalize_for_match),
@@ -159,6 +167,7 @@ QUERIES = {
     "anomaly_band": _anomaly_band,
     "match_literals": _documents(D.match_literals),
     "match_ioc": _documents(D.match_ioc),
+    "match_pack": _user_pack,
     "detect_command_injection": _documents(D.detect_command_injection),
     "detect_secrets": _secret_detections,
     "detect_xss": _documents(D.detect_xss),
@@ -403,6 +412,7 @@ ORACLES = {
   CAST(len(list_filter(range(1, length(t) + 1), lambda i: starts_with(substr(t, i), literal))) AS BIGINT) AS hits, sha256(t) AS content_hash
 FROM norm, (VALUES {_LITERAL_ROWS}) AS l(literal, id, technique, severity) WHERE contains(t, literal)""",
     "match_ioc": _sql(_IOC),
+    "match_pack": _sql(_IOC),
     "detect_command_injection": _sql(_COMMANDS),
     "detect_secrets": _sql(_SECRETS),
     "detect_xss": K.with_(I.DOCUMENTS, _run(C.XSS_RULES, first_only=True)) + _xss("run"),
