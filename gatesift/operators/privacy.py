@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatesift.operators.slices import SLICE
+from gatesift.sources import store
+from gatesift.sources.numbered_log import append_numbered
 
 
 def erase_user(df: DataFrame, erasures: DataFrame, user: str = "user_id") -> DataFrame:
@@ -26,6 +28,48 @@ def erasure_events(erasures: DataFrame, user: str = "user_id") -> DataFrame:
     )
 
 
+def erase_from_table(
+    spark: SparkSession, path: str, erasures: DataFrame, request: str, partitions: Sequence[str], user: str = "user_id", log: str | None = None
+) -> DataFrame:
+    """Erases the rows of the users in `erasures` from a partitioned Parquet table; only partitions that hold some are rewritten.
+
+    Returns a row per partition that was touched: its columns, `rows` before and `erased`. Files of other partitions stay
+    as they are. Rows without a user stay, a partition without any row left is removed, `log` gets the audit events.
+
+    What stays is first written beside the table, below `_erasure/<request>`, which readers of the table do not see. If a
+    run breaks off, the same request takes up from there, so no row is lost and none is erased half; after it has
+    finished, doing it again changes nothing. Nobody may write to the touched partitions meanwhile.
+    """
+    if not partitions:
+        raise ValueError("name the columns by which the table is partitioned")
+    stage = f"{path}/_erasure/{request}"
+    touched_at, rest_at, done_at = f"{stage}/touched", f"{stage}/rest", f"{stage}/done"
+    if store.exists(spark, done_at):
+        return spark.read.parquet(touched_at).drop("_folder")
+    gone = erasures.select(F.col(user).alias("_gone")).filter("_gone IS NOT NULL").distinct()
+    by = [F.col(f"`{c}`") for c in partitions]
+    if not store.exists(spark, f"{rest_at}/_SUCCESS"):
+        table = spark.read.parquet(path)
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        marked = table.select(*by, F.col(f"`{user}`").alias("_user"), folder.alias("_folder")).join(gone, F.col("_user") == F.col("_gone"), "left")
+        counted = marked.groupBy(*by, "_folder").agg(F.count("*").alias("rows"), F.count("_gone").alias("erased")).filter("erased > 0")
+        counted.write.mode("overwrite").parquet(touched_at)
+        touched = spark.read.parquet(touched_at)
+        same = [F.col(f"t.`{c}`").eqNullSafe(F.col(f"h.`{c}`")) for c in partitions]
+        held = table.alias("t").join(touched.alias("h"), same, "left_semi")
+        held.join(gone, F.col(f"`{user}`") == F.col("_gone"), "left_anti").write.mode("overwrite").parquet(rest_at)
+    rest, touched = spark.read.parquet(rest_at), spark.read.parquet(touched_at)
+    # Every task of a partition's size writes to few partitions; a large one is split among tasks.
+    rest.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    for row in touched.filter("rows = erased").select("_folder").toLocalIterator():
+        store.remove_uri(spark, row["_folder"])
+    if log:
+        append_numbered(erasure_events(erasures.select(F.col(user).alias("user_id")).filter("user_id IS NOT NULL")), log, f"erasure-{request}", ["user_id"])
+    store.create_once(spark, done_at, "")
+    store.remove(spark, rest_at)
+    return touched.drop("_folder")
+
+
 def _with_key(df: DataFrame, keys: DataFrame, key_id: str) -> DataFrame:
     """Every row with its key as `_gatesift_key`, NULL where the key id is NULL or unknown."""
     twice = keys.groupBy("key_id").count().filter("count > 1").select("key_id").head()

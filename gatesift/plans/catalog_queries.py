@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gatesift.operators import audit as A
 from gatesift.operators import catalog as C
+from gatesift.operators.saved import shared_folder
 from gatesift.patterns import responses as RP
 from gatesift.plans import duck as K
 from gatesift.plans import inputs as I
 from gatesift.sources import audit_log as L
 from gatesift.sources import corpus
+from gatesift.sources import numbered_log as N
 
 ROW = ["snapshot", "upstream", "name"]
 
@@ -85,6 +89,17 @@ def _written(spark, sf):
     )
 
 
+def _numbered(spark, sf):
+    """The event log in two batches, one of them sent twice, with the numbers that stand in the log."""
+    path = f"{shared_folder(spark)}/gatesift-{uuid.uuid4().hex}"
+    events = I.audit(spark, sf).select("event_id", F.col("log_timestamp").cast("bigint").alias("at_us"), "log_timestamp", "msg")
+    odd = F.col("event_id") % 2 == 1
+    for batch, part in (("even", ~odd), ("even", ~odd), ("odd", odd)):
+        N.append_numbered(events.filter(part), path, batch, ["at_us", "event_id"], I.KEY)
+    log = A.check_audit(N.read_numbered(spark, path, "event_id BIGINT"), I.KEY)
+    return log.select("sequence_id", "event_id", "valid")
+
+
 def _read(spark, sf):
     """Log lines, some cut off, as entries."""
     lines = L.audit_line(I.audit(spark, sf))
@@ -108,6 +123,7 @@ QUERIES = {
     "read_payload_corpus": _corpus,
     "write_audit_log": _written,
     "read_audit_log": _read,
+    "append_numbered": _numbered,
 }
 
 
@@ -161,6 +177,7 @@ SELECT file, ordinal, CASE WHEN line_no % 5 = 1 AND value <> '' THEN 'm' ELSE 'c
   CASE WHEN line_no % 5 IN (1, 2) THEN CASE WHEN value <> '' THEN value WHEN line_no % 5 = 1
     THEN '{{"id":"p' || line_no || '","payload":"","attack_module":"m"}}' ELSE '{{"payload":""}}' END ELSE t END AS payload FROM kept""",
     "write_audit_log": K.with_(I.AUDIT) + "SELECT sequence_id, msg, CAST(event_id // 2 AS VARCHAR) AS detail_half FROM audit_in",
+    "append_numbered": "SELECT row_number() OVER (ORDER BY event_id % 2, ts, event_id) AS sequence_id, event_id, true AS valid FROM events",
     "read_audit_log": K.with_(I.AUDIT)
     + "SELECT CASE WHEN sequence_id % 50 <> 9 THEN sequence_id END AS sequence_id, CASE WHEN sequence_id % 50 <> 9 THEN msg END AS msg, "
       "sequence_id % 50 = 9 AS corrupt FROM audit_in",

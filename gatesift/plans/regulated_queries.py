@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from gatesift.functions import cards
 from gatesift.operators import detect as D
 from gatesift.operators import privacy as P
 from gatesift.operators import regulated as G
+from gatesift.operators.saved import saved, shared_folder
 from gatesift.patterns import regulated as R
 from gatesift.plans import duck as K
 from gatesift.plans import inputs as I
@@ -81,6 +83,19 @@ def _erasure_events(spark, sf):
     return P.erasure_events(erasures(spark, sf))
 
 
+def _erase_table(spark, sf):
+    """Sessions in folders by number; what is left after erasure, and whether its file was written by it."""
+    path = f"{shared_folder(spark)}/gatesift-{uuid.uuid4().hex}"
+    number = F.substring("session_id", 2, 18).cast("bigint") % 30
+    rows = I.dialogues(spark, sf).withColumn("bucket", F.floor(number / 4))
+    rows.select("session_id", "user_id", "msg_id", "bucket").write.partitionBy("bucket").parquet(f"{path}/table")
+    name = F.col("_metadata.file_name")
+    old = saved(spark.read.parquet(f"{path}/table").select(name.alias("old")).distinct())
+    P.erase_from_table(spark, f"{path}/table", erasures(spark, sf), "r1", ["bucket"], log=f"{path}/log")
+    left = spark.read.parquet(f"{path}/table").withColumn("new", name).join(old, F.col("new") == F.col("old"), "left")
+    return left.select("session_id", "user_id", "msg_id", F.col("old").isNull().alias("rewritten"))
+
+
 def _keys(spark):
     rows = [(f"k{i}", hashlib.sha256(f"demonstration key {i}".encode()).digest()) for i in range(KEY_COUNT)]
     return spark.createDataFrame(rows, "key_id string, key binary")
@@ -161,6 +176,7 @@ QUERIES = {
     "redact_basic": _redact,
     "erase_user": _erase,
     "erasure_events": _erasure_events,
+    "erase_from_table": _erase_table,
     "encrypt_columns": _encrypt,
     "rotate_columns": _rotate,
     "key_in_force": _in_force,
@@ -245,6 +261,9 @@ ORACLES = {
     + f"SELECT session_id, user_id, msg_id FROM dialogues_in WHERE user_id NOT IN ({_ERASURES})",
     "erasure_events": f"SELECT 'gdpr_erasure' AS event_type, 'info' AS severity, user_id, "
                       f"'User data erasure requested and completed' AS message, true AS erased FROM ({_ERASURES})",
+    "erase_from_table": K.with_(I.DIALOGUES, f"gone AS ({_ERASURES})",
+        "t AS (SELECT session_id, user_id, msg_id, CAST(substr(session_id, 2) AS BIGINT) % 30 // 4 AS bucket, user_id IN (FROM gone) AS erased FROM dialogues_in)")
+    + "SELECT session_id, user_id, msg_id, bucket IN (SELECT bucket FROM t WHERE erased) AS rewritten FROM t WHERE NOT erased",
     "rotate_columns": K.with_(I.DOCUMENTS)
     + f"""SELECT doc_id, CASE WHEN due THEN 'k{KEY_COUNT - 1}' ELSE 'k' || n END AS key_id, sha256(text) AS text_hash, due AS rotated FROM (
   SELECT doc_id, text, doc_id % {KEY_COUNT} AS n, (doc_id % {KEY_COUNT}) * 40 + 90 <= {(KEY_COUNT - 1) * 40 + 10} AND doc_id % {KEY_COUNT} <> {KEY_COUNT - 1} AS due
