@@ -199,7 +199,10 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, offset: float) -> tuple[float, floa
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
-    """A model from labelled rows which are not held out."""
+    """A model from labelled rows which are not held out: the same for any order and distribution of the rows.
+
+    Of a repeated id the smallest text counts, of near copies the one with the smallest id.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(
         F.max((F.col("toxic") == 1).cast("int")).alias("_toxic")
     )
@@ -210,16 +213,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     texts = plain(docs, id_col, text_col).select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     # At most toxic_rows + clean_rows ids and flags.
-    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("_text", "_toxic")
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
     rows = rows.withColumn("_words", F.split(F.trim("_text"), r"\s+")).withColumn("_like", likeness("_words"))
-    rows = saved(rows.dropDuplicates(["_toxic", "_like"]).select("_text", "_toxic"))
+    rows = rows.groupBy("_toxic", "_like").agg(F.min(F.struct("_id", "_text"))["_text"].alias("_text"))
+    rows = saved(rows.select("_text", "_toxic"))
     seen = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
     toxic, clean = seen.get(1, 0), seen.get(0, 0)
     if not toxic or not clean:
         return Model()
     terms = _learned_terms(rows, toxic, clean)
     model = Model(terms=tuple((GENERAL | dict(terms)).items()))
-    found = rows.mapInArrow(_totals(model), "label int, total double, words bigint").collect()
+    # In one order, since sums of floating point numbers depend on it.
+    found = sorted(rows.mapInArrow(_totals(model), "label int, total double, words bigint").collect())
     x = np.array([model.features(r["total"], r["words"]) for r in found])
     y = np.array([r["label"] for r in found], dtype=float)
     prior = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}

@@ -42,6 +42,42 @@ def test_folding_and_exceptions(spark, text, toxic):
     assert bool(row["matches"]) == toxic
 
 
+def test_model_does_not_depend_on_the_order_of_rows(spark):
+    docs, labels = labelled(spark)
+    near = docs.filter("doc_id < 300").selectExpr("doc_id", "concat(text, ' at the end') as text")  # repeated ids, near copies
+    rows = docs.unionByName(near)
+    model = T.learn(rows, labels)
+    assert len(model.terms) > len(T.Model().terms)
+    assert T.learn(rows.orderBy("text").repartition(7), labels.orderBy("toxic", "doc_id").repartition(3)) == model
+
+
+def by_search(model, text):
+    """Matches by looking for every term at every place."""
+    visible, searched = T.folded(text)
+    places = lambda p: [i for i in range(len(searched)) if searched.startswith(p, i)]
+    excused = {j for phrase in model.exceptions for i in places(T.pattern(phrase)) for j in range(i, i + len(T.pattern(phrase)) - 1)}
+    best = {}
+    for term, weight in model.terms:
+        p = T.pattern(term)
+        for i in places(p):
+            if any(c.isalpha() for c in visible[i : i + len(p) - 1]):
+                best[i] = max(weight, best.get(i, 0.0))
+    return sorted((i, w) for i, w in best.items() if i not in excused)
+
+
+def test_matches_are_those_of_a_search_for_every_term(spark):
+    model, rng = T.Model(), random.Random(8)
+    pieces = [t.rstrip("*") for t in T.GENERAL] + list(T.EXCEPTIONS) + ["1d10t", "\u0456diot", "can", "cans", "a", "-", "5tup1d", "shitty", "12", "tr\u200bash"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "  ", "-", "", "! "]) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    searcher = model.automaton()
+    found = [model.matches(t, searcher) for t in texts]
+    assert [m for _, m in found] == [by_search(model, t) for t in texts]
+    assert sum(bool(m) for _, m in found) > 200
+    got = {r["text"]: r["score"] for r in T.score(documents(spark, texts), model).join(documents(spark, texts), "doc_id").select("text", "score").collect()}
+    for text, (words, m) in zip(texts, found, strict=True):
+        assert got[text] == pytest.approx(model.score(sum(w for _, w in m), words))
+
+
 def test_score_falls_with_length(spark):
     words = prose(random.Random(2), 3000)
     short, long = (r["score"] for r in T.score(documents(spark, ["such a loser " + words[:100], "such a loser " + words]), T.Model()).orderBy("doc_id").collect())
