@@ -156,11 +156,18 @@ def read_records(source: Any) -> Iterator[bytes]:
 
 
 def train_dictionary(pages: DataFrame, payload: str, order: str) -> bytes:
-    """A dictionary from at most SAMPLES payloads, SAMPLE_BYTES of each, chosen by a hash of the id; empty where there are none."""
+    """A dictionary from at most SAMPLES payloads, SAMPLE_BYTES of each, chosen by a hash of the id; empty where there are none.
+
+    Only ids are ranked; payloads are fetched for those that were chosen, so no more than SAMPLES of them reach the driver
+    however many partitions there are. Of a repeated id the smallest payload counts.
+    """
     import zstandard
 
-    chosen = pages.filter(F.octet_length(payload) > 0).select(F.xxhash64(order).alias("o"), F.substring(payload, 1, SAMPLE_BYTES).alias("p"))
-    samples = [bytes(r["p"]) for r in chosen.orderBy("o").limit(SAMPLES).collect()]
+    full = pages.filter(F.octet_length(payload) > 0).select(F.col(order).alias("_id"), F.substring(payload, 1, SAMPLE_BYTES).alias("p"))
+    rank = F.xxhash64("_id")
+    chosen = full.select("_id").distinct().orderBy(rank, "_id").limit(SAMPLES).select(F.col("_id").alias("_chosen"))
+    fetched = full.join(F.broadcast(chosen), F.col("_id").eqNullSafe(F.col("_chosen"))).groupBy("_id").agg(F.min("p").alias("p"))
+    samples = [bytes(r["p"]) for r in fetched.orderBy(rank, "_id").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too small samples

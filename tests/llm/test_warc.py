@@ -100,3 +100,11 @@ def test_null_ids_are_read_back_as_null(spark, tmp_path):
     assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in registry.op2_warc(spark, str(tmp_path)).collect()) == [
         (0, "response", 0), (0, "response", 0), (0, "revisit", 2), (2, "response", 0), (3, "response", 0),
     ]
+
+
+def test_dictionary_does_not_depend_on_how_rows_are_spread(spark):
+    rows = [(i % 350 if i % 40 else None, "http://x", f"<html><body>{i * i} " + f"page {i % 7} " * 30) for i in range(400)]
+    df = pages(spark, rows).withColumn("payload", F.col("html").cast("binary"))
+    made = W.train_dictionary(df, "payload", "page_id")
+    assert made and W.train_dictionary(df.orderBy(F.desc("html")).repartition(11), "payload", "page_id") == made
+    assert W.train_dictionary(df.filter("false"), "payload", "page_id") == b""
