@@ -1,18 +1,23 @@
-"""Token counts from pre-tokens: each distinct pre-token is counted once, documents sum over their pre-tokens.
+"""Token counts from pre-tokens: each distinct pre-token of the corpus is counted once, documents join these numbers.
 
-A task takes documents in blocks of bounded size. It finds the frequency of every pre-token per document, looks up how
-many pieces each distinct one has (new ones are encoded once, in one call, and remembered), joins these numbers to the
-frequencies and sums up. No ids are kept, and no document is shuffled. A vocabulary which is not byte-level is asked
-for the pre-tokens by its own pre-tokenizer.
+A first pass finds the distinct pre-tokens with their frequencies; every one is encoded once, only the number of its
+pieces is kept, and the table is saved. A second pass gives the frequency of every pre-token per document; these are
+joined to the table and summed. Pre-tokens that hold more than a `COMMON`th of all occurrences are fewer than `COMMON`
+and have keys of bounded length, so they are broadcast: most occurrences are summed where they are read. The others
+are shuffled by pre-token, and none of them is hot. No ids are kept. A vocabulary which is not byte-level is asked for
+the pre-tokens by its own pre-tokenizer.
 
-NULL text counts as empty and has no tokens; repeated rows each get their count; an empty table gives an empty result.
+NULL text counts as empty and has no tokens; a NULL id is kept as it is; rows that repeat an id or a text each get their
+own count; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -20,85 +25,179 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatesift.llm import vocab
-from gatesift.llm.common import plain, text_or_empty
+from gatesift.llm.common import lean, plain, saved, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 4_000_000  # characters of the documents that are counted together
-REMEMBERED = 400_000  # distinct pre-tokens whose number of pieces a worker keeps
+BLOCK = 4_000_000  # characters of the documents whose frequencies a task holds at a time
+HELD = 200_000  # distinct pre-tokens which a task of the first pass sums up before it hands them on
+COMMON = 65_536  # a pre-token with more than 1/COMMON of all occurrences is common
+LONG = 48  # characters; a longer pre-token has its SHA-256 for key, which no shorter one can equal
 
 
-class Pieces:
-    """How many pieces a pre-token has, for a vocabulary file."""
+class PreTokens:
+    """Pre-tokens of a text, for a vocabulary file."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str):
         import regex
 
-        self.path, self.remembered, self.known = path, remembered, {}
+        self.path = path
         self.special = vocab.special_tokens(path)
         self.byte_level = vocab.is_byte_level(path)
         self.find = regex.compile(vocab.PRE_TOKEN).findall
         self.split = regex.compile("|".join(map(regex.escape, self.special))).split if self.special else None
 
-    def frequencies(self, text: str) -> tuple[Counter, int]:
-        """Pre-tokens of a text with their number, and how many special tokens it has."""
+    def of(self, text: str, block: int) -> tuple[Iterator[list[str]], int]:
+        """Lists of pre-tokens, each from a bounded part of the text, and how many special tokens the text has."""
         segments = self.split(text) if self.split else [text]
-        found: Counter = Counter()
-        for segment in segments:
-            if not self.byte_level:
-                tk = vocab.tokenizer(self.path)
-                whole = tk.normalizer.normalize_str(segment) if tk.normalizer else segment
-                found.update(p for p, _ in tk.pre_tokenizer.pre_tokenize_str(whole))
-            else:
-                for part in vocab.parts(segment, BLOCK):
-                    found.update(self.find(part))
-        return found, len(segments) - 1
-
-    def learn(self, pre_tokens: set[str]) -> None:
-        """Encodes pre-tokens that are not known yet, each once."""
-        new = [p for p in pre_tokens if p not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            self.known = {p: self.known[p] for p in pre_tokens if p in self.known}
-        tk = vocab.tokenizer(self.path)
+        return (found for segment in segments for found in self._lists(segment, block)), len(segments) - 1
+
+    def _lists(self, segment: str, block: int) -> Iterator[list[str]]:
         if self.byte_level:
-            counts = [len(e) for e in tk.encode_batch_fast(new, add_special_tokens=False)]
+            for part in vocab.parts(segment, block):
+                yield self.find(part)
         else:
-            counts = [len(tk.model.tokenize(p)) for p in new]
-        self.known.update(zip(new, counts, strict=True))
+            tk = vocab.tokenizer(self.path)
+            whole = tk.normalizer.normalize_str(segment) if tk.normalizer else segment
+            yield [p for p, _ in tk.pre_tokenizer.pre_tokenize_str(whole)]
+
+
+def key_of(pre_token: str) -> str:
+    return pre_token if len(pre_token) <= LONG else hashlib.sha256(pre_token.encode()).hexdigest()
+
+
+def _distinct(path: str, block: int, held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """First pass: `key`, `whole` (a long pre-token itself, else NULL) and `n`, summed up within the task."""
 
-    def totals(self, texts: list[str]) -> list[int]:
-        """Tokens per text."""
-        found = [self.frequencies(t) for t in texts]
-        self.learn(set().union(*(f for f, _ in found)))
-        known = self.known
-        return [sum(known[p] * n for p, n in f.items()) + special for f, special in found]
+    def out(found: Counter) -> pa.RecordBatch:
+        keys = [key_of(p) for p in found]
+        whole = [p if len(p) > LONG else None for p in found]
+        columns = [pa.array(keys, pa.string()), pa.array(whole, pa.string()), pa.array(list(found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "whole", "n"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pre_tokens = PreTokens(path)
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                for several in pre_tokens.of(text.as_py(), block)[0]:
+                    found.update(several)
+                    if len(found) > held:
+                        yield out(found)
+                        found = Counter()
+        yield out(found)
+
+    return lean(work)
 
 
-def _counter(path: str, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to distinct pre-tokens how many pieces each has."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk = vocab.tokenizer(path)
+        byte_level = vocab.is_byte_level(path)
         for batch in batches:
-            totals: list[int] = []
-            waiting: list[str] = []
-            size = 0
-            for text in batch.column(2):
-                waiting.append(text.as_py())
-                size += len(waiting[-1])
-                if size >= block:
-                    totals += pieces.totals(waiting)
-                    waiting, size = [], 0
-            if waiting:
-                totals += pieces.totals(waiting)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64())], ["id", "n_bytes", "n_tokens"])
-
-    return count
-
-
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, block: int = BLOCK) -> DataFrame:
+            keys, whole = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = [k if w is None else w for k, w in zip(keys, whole, strict=True)]
+            if byte_level:
+                counts = [len(e) for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
+            else:
+                counts = [len(tk.model.tokenize(p)) for p in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["key", "n", "pieces"])
+
+    return lean(work)
+
+
+def pre_token_table(texts: DataFrame, path: str, block: int = BLOCK, held: int = HELD) -> DataFrame:
+    """Saved table of the distinct pre-tokens of a column `text`: `key`, occurrences `n` and number of `pieces`, one row each."""
+    found = texts.select("text").mapInArrow(_distinct(path, block, held), "key string, whole string, n bigint")
+    summed = found.groupBy("key", "whole").agg(F.sum("n").alias("n"))
+    return saved(summed.mapInArrow(_encoded(path), "key string, n bigint, pieces bigint"))
+
+
+def _counted(pre_tokens: PreTokens, text: str, block: int) -> Iterator[tuple[int, Counter]]:
+    """Special tokens and frequencies of a text; of a very long one in several parts, of which the first has the special tokens."""
+    lists, special = pre_tokens.of(text, block)
+    found: Counter = Counter()
+    seen = 0
+    for several in lists:
+        found.update(several)
+        seen += len(several)
+        if seen * 4 > block:
+            yield special, found
+            found, seen, special = Counter(), 0, 0
+    yield special, found
+
+
+def _frequencies(path: str, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Second pass: per row, or part of a very long one, its number, id, size, special tokens, keys and their frequencies."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pre_tokens = PreTokens(path)
+        for batch in batches:
+            parts = ((i, *part) for i, text in enumerate(batch.column(3)) for part in _counted(pre_tokens, text.as_py(), block))
+            for several in _blocks(parts, block):
+                source, special, found = zip(*several, strict=True)
+                at = pa.array(source, pa.int64())
+                ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+                keys = pa.array([k for f in found for k in (f if max(map(len, f), default=0) <= LONG else map(key_of, f))], pa.string())
+                counts = pa.array([n for f in found for n in f.values()], pa.int64())
+                columns = [batch.column(i).take(at) for i in range(3)]
+                columns += [pa.array(special, pa.int64()), pa.ListArray.from_arrays(ends, keys), pa.ListArray.from_arrays(ends, counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n_bytes", "special", "keys", "counts"])
+
+    return lean(work)
+
+
+def _blocks(parts: Iterator[tuple[int, int, Counter]], block: int) -> Iterator[list[tuple[int, int, Counter]]]:
+    """Parts whose frequencies, taken together, are of bounded size."""
+    waiting: list[tuple[int, int, Counter]] = []
+    size = 0
+    for part in parts:
+        waiting.append(part)
+        size += len(part[2])
+        if size * 8 > block:
+            yield waiting
+            waiting, size = [], 0
+    if waiting:
+        yield waiting
+
+
+def count_tokens(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, block: int = BLOCK, common: int = COMMON
+) -> DataFrame:
     """Per row of `docs`: id, `n_bytes` (UTF-8), `n_tokens` and `over_limit`. `path` names the vocabulary on every executor."""
     rows = plain(docs, id_col, text_col).select(
-        F.col(id_col).alias("id"), F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"), text_or_empty(text_col).alias("text")
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+        F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"), text_or_empty(text_col).alias("text"),
     )
+    known = pre_token_table(rows, path, block)
+    total = known.agg(F.sum("n")).first()[0] or 0
+    is_common = F.col("n") * common > total
+    frequent = known.filter(is_common).select(F.col("key").alias("_frequent"), F.col("pieces").alias("_pieces"))
+    rare = known.filter(~is_common).select(F.col("key").alias("_rare"), F.col("pieces").alias("_rare_pieces"))
+
     kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(_counter(path, block), f"id {kind}, n_bytes bigint, n_tokens bigint")
-    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    schema = f"row bigint, id {kind}, n_bytes bigint, special bigint, keys array<string>, counts array<bigint>"
+    each = rows.mapInArrow(_frequencies(path, block), schema).select(
+        "row", "id", "n_bytes", F.posexplode_outer(F.arrays_zip("keys", "counts")).alias("at", "of"), "special"
+    )
+    # Special tokens of a row count with its first pre-token, or alone where it has none.
+    each = each.select(
+        "row", "id", "n_bytes", F.col("of.keys").alias("key"), F.coalesce("of.counts", F.lit(0)).alias("n"),
+        F.when(F.coalesce("at", F.lit(0)) == 0, F.col("special")).otherwise(0).alias("special"),
+    )
+    joined = each.join(F.broadcast(frequent), F.col("key") == F.col("_frequent"), "left")
+    is_rare = F.col("key").isNotNull() & F.col("_frequent").isNull()
+    # What is common is summed before anything moves: one row per document is left, and one for each of its rare pre-tokens.
+    summed = joined.groupBy("row", "id", "n_bytes", F.when(is_rare, F.col("key")).alias("key")).agg(
+        F.sum(F.col("special") + F.when(is_rare, 0).otherwise(F.col("n") * F.coalesce("_pieces", F.lit(0)))).alias("tokens"),
+        F.sum(F.when(is_rare, F.col("n")).otherwise(0)).alias("n"),
+    )
+    # Rows without a rare pre-token get a key of their own, so that they do not meet in one task.
+    own = F.coalesce("key", F.concat(F.lit("\n" * (LONG + 1)), F.col("row").cast("string")))
+    counted = summed.withColumn("_own", own).join(rare, F.col("_own") == F.col("_rare"), "left")
+    tokens = counted.groupBy("row", "id", "n_bytes").agg(
+        F.sum(F.col("tokens") + F.col("n") * F.coalesce("_rare_pieces", F.lit(0))).alias("n_tokens")
+    )
+    return tokens.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

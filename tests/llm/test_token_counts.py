@@ -29,12 +29,29 @@ def test_vocabulary_with_its_own_pre_tokenizer(spark):
     check(T.count_tokens(documents(spark, texts), path, limit=3).collect(), texts, path, limit=3)
 
 
-def test_each_pre_token_is_counted_once_and_memory_is_bounded():
-    pieces = T.Pieces(PATH, remembered=50)
-    texts = [f"word{i} common words here" for i in range(200)]
-    expected = [len(e) for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-    assert [n for t in texts for n in pieces.totals([t])] == expected
-    assert len(pieces.known) <= 60
+@pytest.mark.parametrize("common", [1, 50, 10**9])
+def test_common_and_rare_pre_tokens_give_the_same(spark, common):
+    texts = [*awkward_texts(), *(f"word{i} common words here <|endoftext|>" for i in range(200)), "x" * 100, "x" * 101, "", None]
+    check(T.count_tokens(documents(spark, texts), PATH, common=common).collect(), texts, PATH)
+
+
+@pytest.mark.parametrize("held", [3, T.HELD])
+def test_each_pre_token_is_counted_once(spark, held):
+    texts = [f"word{i % 20} common words here {'y' * (i % 3 + 60)}" for i in range(200)]
+    table = T.pre_token_table(documents(spark, texts).repartition(7), PATH, held=held).collect()
+    keys = [r["key"] for r in table]
+    assert len(keys) == len(set(keys)) == 1 + 20 + 3 + 3
+    of = Tokenizer.from_file(PATH)
+    for r in table:
+        if len(r["key"]) <= T.LONG:
+            assert r["pieces"] == len(of.encode(r["key"], add_special_tokens=False).ids)
+    assert {r["key"]: r["n"] for r in table}[" common"] == 200
+
+
+def test_repeated_and_null_ids_stay_rows(spark):
+    rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "a"), (None, "a b"), (None, None)], "doc_id bigint, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_tokens"]) for r in T.count_tokens(rows, PATH).collect()))
+    assert got == [(0, 0), (0, 2), (1, 1), (1, 3), (1, 3)]
 
 
 def test_empty(spark):
