@@ -31,8 +31,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 4_000_000  # characters of the documents whose frequencies a task holds at a time
 HELD = 200_000  # distinct pre-tokens which a task of the first pass sums up before it hands them on
-COMMON = 65_536  # a pre-token with more than 1/COMMON of all occurrences is common
-LONG = 48  # characters; a longer pre-token has its SHA-256 for key, which no shorter one can equal
+COMMON = 1 << 20  # a pre-token with more than 1/COMMON of all occurrences is common
+LONG = 24  # characters; a longer pre-token has its SHA-256 for key, which no shorter one can equal
 
 
 class PreTokens:
@@ -179,25 +179,23 @@ def count_tokens(
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"row bigint, id {kind}, n_bytes bigint, special bigint, keys array<string>, counts array<bigint>"
-    each = rows.mapInArrow(_frequencies(path, block), schema).select(
-        "row", "id", "n_bytes", F.posexplode_outer(F.arrays_zip("keys", "counts")).alias("at", "of"), "special"
-    )
-    # Special tokens of a row count with its first pre-token, or alone where it has none.
-    each = each.select(
-        "row", "id", "n_bytes", F.col("of.keys").alias("key"), F.coalesce("of.counts", F.lit(0)).alias("n"),
-        F.when(F.coalesce("at", F.lit(0)) == 0, F.col("special")).otherwise(0).alias("special"),
-    )
+    # The entry without a key stands for the row itself: its id, size and special tokens.
+    entries = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("keys"), F.col("special").alias("counts"))), F.arrays_zip("keys", "counts"))
+    each = rows.mapInArrow(_frequencies(path, block), schema).select("row", "id", "n_bytes", F.explode(entries).alias("of"))
+    each = each.select("row", "id", "n_bytes", F.col("of.keys").alias("key"), F.col("of.counts").alias("n"))
     joined = each.join(F.broadcast(frequent), F.col("key") == F.col("_frequent"), "left")
     is_rare = F.col("key").isNotNull() & F.col("_frequent").isNull()
     # What is common is summed before anything moves: one row per document is left, and one for each of its rare pre-tokens.
-    summed = joined.groupBy("row", "id", "n_bytes", F.when(is_rare, F.col("key")).alias("key")).agg(
-        F.sum(F.col("special") + F.when(is_rare, 0).otherwise(F.col("n") * F.coalesce("_pieces", F.lit(0)))).alias("tokens"),
-        F.sum(F.when(is_rare, F.col("n")).otherwise(0)).alias("n"),
+    of_document = {c: F.when(~is_rare, F.col(c)) for c in ("id", "n_bytes")}
+    summed = joined.groupBy("row", F.when(is_rare, F.col("key")).alias("key")).agg(
+        *(F.max(c).alias(name) for name, c in of_document.items()),
+        F.sum(F.col("n") * F.coalesce("_pieces", F.lit(1))).alias("n"),
     )
     # Rows without a rare pre-token get a key of their own, so that they do not meet in one task.
     own = F.coalesce("key", F.concat(F.lit("\n" * (LONG + 1)), F.col("row").cast("string")))
     counted = summed.withColumn("_own", own).join(rare, F.col("_own") == F.col("_rare"), "left")
-    tokens = counted.groupBy("row", "id", "n_bytes").agg(
-        F.sum(F.col("tokens") + F.col("n") * F.coalesce("_rare_pieces", F.lit(0))).alias("n_tokens")
+    tokens = counted.groupBy("row").agg(
+        F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"),
+        F.sum(F.col("n") * F.coalesce("_rare_pieces", F.lit(1))).alias("n_tokens"),
     )
     return tokens.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
