@@ -11,6 +11,7 @@ from gatesift.functions.expr import texts
 from gatesift.operators import envelopes as E
 from gatesift.operators import gateway as W
 from gatesift.operators import limits as L
+from gatesift.operators import networks as NW
 from gatesift.operators import regulated as R
 from gatesift.operators import sanitize as Z
 from gatesift.operators import sessions as SS
@@ -86,6 +87,20 @@ def _ssrf(spark, sf):
     return I.targets(spark, sf).select("page_id", "text", net.ssrf_target(F.col("text")).alias("unsafe"))
 
 
+def _networks(spark, sf):
+    return NW.match_networks(I.addresses(spark, sf), "address", I.networks(spark, sf)).select(
+        "page_id", "address", "matched_network", "matched_label", F.col("prefix_bits").cast("bigint").alias("prefix_bits")
+    )
+
+
+def _network_hits(spark, sf):
+    """Per listed network: pages and distinct addresses for which it is the longest."""
+    hits = _networks(spark, sf).filter(F.col("matched_network").isNotNull()).groupBy("matched_network", "matched_label", "address").agg(
+        F.count("*").alias("n")
+    )
+    return hits.groupBy("matched_network", "matched_label").agg(F.sum("n").alias("pages"), F.count("*").alias("addresses"))
+
+
 def _resource(spark, sf):
     return I.targets(spark, sf).select("page_id", "url", net.resource_uri_reason(F.col("url")).alias("reason"))
 
@@ -183,6 +198,8 @@ QUERIES = {
     "extract_tool_call_name": _call_names,
     "flatten_arguments": _arguments,
     "ssrf_target": _ssrf,
+    "match_networks": _networks,
+    "network_hits": _network_hits,
     "validate_resource_uri": _resource,
     "clamp_session_id": _clamp,
     "destructive_tool_filter": _destructive,
@@ -240,6 +257,19 @@ def _number(host: str) -> str:
 _RANGES = "({n} >> 24 IN (0, 10, 127) OR {n} >> 20 = 2753 OR {n} >> 16 IN (49320, 43518) OR {n} >> 28 >= 14)"
 _LIMITED = "({n} = 0 OR {n} >> 24 IN (10, 127) OR {n} >> 20 = 2753 OR {n} >> 16 IN (49320, 43518) OR {n} >> 28 = 14)"
 _V6 = "regexp_matches({h}, '^(::1?|fe[89ab][0-9a-f]:.*|f[cd][0-9a-f]{{2}}:.*|::ffff:(10|127)\\..*)$')"
+_LONGEST = """best AS (
+  SELECT base >> (32 - bits) AS prefix, bits, network, label FROM networks_in
+  QUALIFY row_number() OVER (PARTITION BY base >> (32 - bits), bits ORDER BY label, network) = 1),
+keys AS (
+  SELECT address, number, unnest(range(8, 33)) AS bits FROM (SELECT DISTINCT address, number FROM addresses_in WHERE address IS NOT NULL)),
+held AS (
+  SELECT k.address, b.network, b.label, b.bits FROM keys k JOIN best b ON k.bits = b.bits AND k.number >> (32 - k.bits) = b.prefix
+  QUALIFY row_number() OVER (PARTITION BY k.address ORDER BY b.bits DESC) = 1),
+longest AS (
+  SELECT page_id, a.address, network AS matched_network, label AS matched_label, CAST(bits AS BIGINT) AS prefix_bits
+  FROM addresses_in a LEFT JOIN held h ON a.address = h.address)
+"""
+
 _HOSTS = I.TARGETS + """,
 parsed AS (
   SELECT *, lower(regexp_extract(url, '^([a-z]+):', 1)) AS scheme,
@@ -324,6 +354,10 @@ UNION ALL SELECT p_partkey, 't' || p_partkey, '', '', '' FROM part""",
 FROM (SELECT *, CASE WHEN contains(content, '"method"') THEN content[position('"method"' IN content) + 8:] END AS m,
              CASE WHEN contains(content, '"name"') THEN content[position('"name"' IN content) + 6:] END AS n FROM dialogues_in)""",
     "flatten_arguments": K.with_(I.ENVELOPES) + _STRINGS,
+    "match_networks": K.with_(I.ADDRESSES, I.NETWORKS, _LONGEST) + "SELECT page_id, address, matched_network, matched_label, prefix_bits FROM longest",
+    "network_hits": K.with_(I.ADDRESSES, I.NETWORKS, _LONGEST) + """
+SELECT matched_network, matched_label, count(*) AS pages, count(DISTINCT address) AS addresses
+FROM longest WHERE matched_network IS NOT NULL GROUP BY ALL""",
     "ssrf_target": K.with_(_HOSTS)
     + f"""SELECT page_id, text, CASE WHEN {_BEFORE} IN ({", ".join(map(K.q, G.UNSAFE_SCHEMES))}) THEN true
   WHEN text = url AND scheme IN ('http', 'https') THEN {_UNSAFE_HOST}

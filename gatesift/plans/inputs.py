@@ -258,6 +258,37 @@ targets_in AS (
   SELECT *, CASE WHEN page_id % 5 = 2 THEN 'please fetch ' || url || ' for me' ELSE url END AS text FROM targets_base)"""
 
 
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address from which each page was fetched; a third of all pages has the same one, some have none."""
+    k = F.col("page_id")
+    address = F.concat_ws(".", F.lit("10"), (k % 8).cast("string"), F.expr("page_id div 8 % 256").cast("string"), (k % 64).cast("string"))
+    hot = F.when(k % 3 == 0, F.lit("10.1.7.13")).when(k % 50 != 49, address)
+    return table(spark, sf_dir, "pages").select("page_id", hot.alias("address"))
+
+
+ADDRESSES = """addresses_in AS (
+  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '10.1.7.13'
+           WHEN page_id % 50 <> 49 THEN '10.' || page_id % 8 || '.' || page_id // 8 % 256 || '.' || page_id % 64 END AS address,
+         CAST(CASE WHEN page_id % 3 = 0 THEN 10 * 16777216 + 65536 + 7 * 256 + 13
+           ELSE 10 * 16777216 + page_id % 8 * 65536 + page_id // 8 % 256 * 256 + page_id % 64 END AS BIGINT) AS number
+  FROM pages)"""
+
+
+def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network per customer, of 13 to 32 bits, some of them listed twice, labelled by nation."""
+    k = F.col("c_custkey")
+    address = F.concat_ws(".", F.lit("10"), (k % 5).cast("string"), (k * 7 % 256).cast("string"), (k * 13 % 64).cast("string"))
+    network = F.concat(address, F.lit("/"), (k % 20 + 13).cast("string"))
+    return table(spark, sf_dir, "customer").select(network.alias("network"), F.concat(F.lit("nation "), F.col("c_nationkey")).alias("label"))
+
+
+NETWORKS = """networks_in AS (
+  SELECT '10.' || c_custkey % 5 || '.' || c_custkey * 7 % 256 || '.' || c_custkey * 13 % 64 || '/' || (c_custkey % 20 + 13) AS network,
+         CAST(10 * 16777216 + c_custkey % 5 * 65536 + c_custkey * 7 % 256 * 256 + c_custkey * 13 % 64 AS BIGINT) AS base,
+         CAST(c_custkey % 20 + 13 AS INTEGER) AS bits, 'nation ' || c_nationkey AS label
+  FROM customer)"""
+
+
 def bearer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request per customer with an Origin and an unsigned bearer token."""
     c = table(spark, sf_dir, "customer")
