@@ -50,7 +50,17 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
                 values.append(value)
             yield batch.assign(**{output: values})
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
+    return together(df, keys).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
+
+
+def together(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of equal keys in one partition, also behind a join on these keys.
+
+    Spark leaves out a repartition by the keys where a join has dealt the rows out by them already. If it then broadcasts the
+    join's other side at run time, it reads the rows as they were written, and a key's rows lie in several tasks. It does
+    not leave out a repartition by a hash of the keys.
+    """
+    return df.repartition(F.xxhash64(*keys))
 
 
 def by_silence(df: DataFrame, keys: Sequence[str], silence_us: int, slice_us: int) -> DataFrame:
@@ -78,6 +88,8 @@ def by_silence(df: DataFrame, keys: Sequence[str], silence_us: int, slice_us: in
 
 # Token bucket. Credit is counted in microseconds of refill, so that all arithmetic is exact.
 
+CREDIT, REQUEST = 0, 1  # kinds of rows of a slice, in this order
+
 
 class CreditMap:
     """Credit after some requests as a function of the credit before them.
@@ -193,20 +205,20 @@ def _carry(cost: int, cap: int) -> Callable:
 
 
 def _replayed(cost: int, cap: int) -> Callable:
-    """Decisions for the rows of each slice, from the credit at its start."""
+    """Decisions for the rows of each slice; the row before them has the credit at its start for a time."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, credit, last = None, 0, 0
+        credit, last = 0, None
         for batch in batches:
             allowed = []
-            for key, slice_, at, start in zip(
-                batch["key"].tolist(), batch["slice"].tolist(), batch["at_us"].tolist(), batch["credit"].tolist()
-            ):
-                if (key, slice_) != current:
-                    current, credit, last = (key, slice_), start, at
-                credit, ok = _spend(credit, at - last, cost, cap)
+            for kind, at in zip(batch["kind"].tolist(), batch["at_us"].tolist()):
+                if kind == CREDIT:
+                    credit, last, ok = at, None, False
+                else:
+                    credit, ok = _spend(credit, 0 if last is None else at - last, cost, cap)
+                    last = at
                 allowed.append(ok)
-                last = at
-            yield batch.assign(allowed=allowed)[["request_id", "key", "at_us", "allowed"]]
+            decided = batch.assign(allowed=allowed)[["request_id", "key", "at_us", "allowed"]]
+            yield decided[(batch["kind"] == REQUEST).to_numpy()]
 
     return run
 
@@ -225,14 +237,15 @@ def token_bucket(
     cap = burst * cost
     rows = requests.select("request_id", F.col(key).alias("key"), "at_us", F.expr(f"at_us div {slice_us}").alias("slice"))
     order = ["key", "slice", "at_us", "request_id"]
-    sliced = rows.repartition("key", "slice").sortWithinPartitions(*order)
+    sliced = together(rows, ["key", "slice"]).sortWithinPartitions(*order)
     summary = (
         "key string, slice bigint, first_us bigint, last_us bigint, start array<bigint>, offset array<bigint>, moving array<boolean>"
     )
     maps = sliced.mapInPandas(_summaries(cost, cap), summary)
     credit = maps.groupBy("key").applyInPandas(_carry(cost, cap), "key string, slice bigint, credit bigint")
-    joined = rows.join(credit, ["key", "slice"]).select("request_id", "key", "at_us", "slice", "credit")
-    decided = joined.repartition("key", "slice").sortWithinPartitions(*order)
+    starts = credit.select(F.lit(0).cast("bigint").alias("request_id"), "key", F.col("credit").alias("at_us"), "slice", F.lit(CREDIT).alias("kind"))
+    every = together(rows.withColumn("kind", F.lit(REQUEST)).unionByName(starts), ["key", "slice"])
+    decided = every.sortWithinPartitions("key", "slice", "kind", "at_us", "request_id")
     return decided.mapInPandas(_replayed(cost, cap), "request_id bigint, key string, at_us bigint, allowed boolean")
 
 

@@ -53,6 +53,36 @@ def test_token_bucket(spark, seed, per_minute, burst, slice_s):
     assert 0 < sum(not v for v in expected.values()) < len(rows)
 
 
+@pytest.fixture
+def late_broadcast(spark):
+    """Joins are planned as sorted ones; a small side is broadcast at run time, as with logs above the broadcast limit."""
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "16KB", "adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    yield
+    for name in settings:
+        spark.conf.unset(f"spark.sql.{name}")
+
+
+def test_token_bucket_whose_join_becomes_a_broadcast(spark, late_broadcast):
+    rows = log(1, pace=0.1)
+    got = L.token_bucket(frame(spark, rows), "key").collect()
+    assert {r["request_id"]: r["allowed"] for r in got} == bucket(rows, 100, 20)
+
+
+def test_token_bucket_keeps_rows_without_a_key(spark):
+    rows = [(i, None if key == "hot" else key, *more) for i, key, *more in log(6, n=400, pace=0.1)]
+    got = L.token_bucket(frame(spark, rows), "key", 100, 5).collect()
+    assert {r["request_id"]: r["allowed"] for r in got} == bucket(rows, 100, 5)
+
+
+def test_ordered_scan_behind_a_join_that_becomes_a_broadcast(spark, late_broadcast):
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id % 3 AS key", "id AS at")
+    kept = rows.join(spark.createDataFrame([(0,), (1,)], "key bigint"), "key", "left_semi")
+    got = L.ordered_scan(kept, ["key"], ["at"], lambda seen, row: (True, seen is None), "first")
+    assert got.filter("first").count() == 2
+
+
 def test_credit_map_stays_small():
     """However many requests a slice has, its map has about as many pieces as the bucket has tokens."""
     rng = random.Random(9)
