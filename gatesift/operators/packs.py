@@ -2,8 +2,8 @@
 
 A table has `name` and `regex` (RE2 dialect), and may have `severity`, `marker`, `kind` and `position`, the place of a rule in
 the order in which rules rewrite a text (else the order of names). What a pack needs to be fast is found in the
-expressions themselves: strings without which a rule cannot match, and whether its matches stay within a line. Neither
-changes a result, only its cost.
+expressions themselves: strings or characters beyond ASCII without which a rule cannot match, and whether its matches stay
+within a line. None changes a result, only its cost.
 """
 
 from __future__ import annotations
@@ -54,8 +54,8 @@ def _best(found: Sequence[tuple[str, ...]]) -> tuple[str, ...]:
     return max(good, key=lambda f: (min(map(len, f)), -len(f)), default=())
 
 
-def _beyond_ascii(items: Sequence) -> bool:
-    """Whether every match holds a character beyond ASCII."""
+def _beyond_ascii(items: Sequence) -> list[tuple[int, int]]:
+    """Ranges of characters beyond ASCII of which every match holds one; none where a match may do without."""
     folded = (0x17F, 0x212A)  # these two match ASCII letters where case does not matter
 
     def outside(inner, what) -> bool:
@@ -63,13 +63,29 @@ def _beyond_ascii(items: Sequence) -> bool:
         return inner in (C.LITERAL, C.RANGE) and low >= 128 and not any(low <= f <= high for f in folded)
 
     for op, value in items:
-        if op is C.LITERAL and outside(op, value) or op is C.IN and all(outside(*x) for x in value):
-            return True
-        if op is C.SUBPATTERN and _beyond_ascii(value[3]) or op is C.BRANCH and all(map(_beyond_ascii, value[1])):
-            return True
-        if op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] > 0 and _beyond_ascii(value[2]):
-            return True
-    return False
+        found = []
+        if op is C.LITERAL and outside(op, value):
+            found = [(value, value)]
+        elif op is C.IN and all(outside(*x) for x in value):
+            found = [what if inner is C.RANGE else (what, what) for inner, what in value]
+        elif op is C.SUBPATTERN:
+            found = _beyond_ascii(value[3])
+        elif op is C.BRANCH:
+            branches = [_beyond_ascii(b) for b in value[1]]
+            found = [r for b in branches for r in b] if all(branches) else []
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] > 0:
+            found = _beyond_ascii(value[2])
+        if found:
+            return found
+    return []
+
+
+def _foreign(tree: parser.SubPattern, ranges: Sequence[tuple[int, int]]) -> str:
+    """The characters beyond ASCII as an expression, for a rule that looks for more than one character."""
+    if not ranges or len(tree) == 1 and tree[0][0] in (C.IN, C.LITERAL):
+        return ""
+    case = "(?iu)" if tree.state.flags & re.IGNORECASE else ""
+    return case + "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in dict.fromkeys(ranges)) + "]"
 
 
 def _screen(found: Sequence[tuple[str, ...]], needs: tuple[str, ...]) -> str:
@@ -108,8 +124,9 @@ def compiled(name: str, regex: str, **attributes: str) -> Rule:
         return Rule(name, regex, **attributes)  # in the dialect, but not in Python's; it is tried on every text
     by_line = not (tree.state.flags & re.DOTALL) and not _crosses_lines(tree)
     found = _strings(tree)
-    needs = _best(found)
-    return Rule(name, regex, needs=needs, screen=_screen(found, needs), by_line=by_line, non_ascii=_beyond_ascii(tree), **attributes)
+    needs, ranges = _best(found), _beyond_ascii(tree)
+    screen = _screen(found, needs) or _foreign(tree, ranges)
+    return Rule(name, regex, needs=needs, screen=screen, by_line=by_line, non_ascii=bool(ranges), **attributes)
 
 
 def read_pack(table: DataFrame) -> tuple[Rule, ...]:
