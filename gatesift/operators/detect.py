@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from gatesift.functions import text as T
 from gatesift.functions.expr import let, texts
-from gatesift.functions.regex import low_sql, sql_text, to_java
-from gatesift.operators.rewrite import apply_rules, explode_hits, hit_sql, rule_column
+from gatesift.functions.regex import sql_text, to_java
+from gatesift.operators.rewrite import apply_rules, explode_hits, matching_rules, rule_column
 from gatesift.patterns import content as C
 from gatesift.patterns.indicators import IOC_RULES
 from gatesift.patterns.literals import LITERALS
@@ -150,21 +150,13 @@ def detect_encoded_xss(df: DataFrame, text: str, keep: Sequence[str]) -> DataFra
     return explode_detections(df, hidden, keep)
 
 
-def sql_rules_in(text: str) -> Column:
-    """Numbers of the SQL rules which match the text as it stands."""
-    tests = [f"CASE WHEN {hit_sql(r, text, 'v.low')} THEN {i}L END" for i, r in enumerate(C.SQL_RULES)]
-    return F.expr(
-        f"element_at(transform(array(named_struct('low', {low_sql(text)})), v -> array_compact(array({', '.join(tests)}))), 1)"
-    )
-
-
-def sql_injection(current: str, original: str, low: str | None = None) -> Column:
+def sql_injection(current: str, original: str) -> Column:
     """`(text, rules)`: rewritten text and the rules which match it or the original text.
 
     Where a signature stands only in the original, because an earlier pack has eaten it, the marker is
     appended, once, unless a rewrite has put it there before.
     """
-    run = F.struct(apply_rules(current, C.SQL_RULES, first_only=True, low=low).alias("r"), sql_rules_in(original).alias("o"))
+    run = F.struct(apply_rules(current, C.SQL_RULES, first_only=True).alias("r"), matching_rules(original, C.SQL_RULES).alias("o"))
 
     def combine(x: Column) -> Column:
         here = F.transform(x["r"]["hits"], lambda h: h["rule"])

@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from re import _constants as C
 from re import _parser as parser
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatesift.functions.regex import to_java
 from gatesift.operators.rewrite import apply_rules, explode_hits
 from gatesift.patterns.rule import Rule
 
@@ -130,7 +131,7 @@ def compiled(name: str, regex: str, **attributes: str) -> Rule:
 
 
 def read_pack(table: DataFrame) -> tuple[Rule, ...]:
-    """The rules of a table, in order. Names must be there once each; the JVM must accept every expression."""
+    """The rules of a table, in order. Names must be there once each; RE2 must accept every expression."""
     columns = {c: F.col(c) for c in ("severity", "marker", "kind") if c in table.columns}
     order = F.col("position") if "position" in table.columns else F.col("name")
     rows = table.select("name", "regex", order.alias("_order"), *[c.alias(n) for n, c in columns.items()]).limit(MOST_RULES + 1).collect()
@@ -143,12 +144,11 @@ def read_pack(table: DataFrame) -> tuple[Rule, ...]:
     rules = []
     for r in sorted(rows, key=lambda r: (r["_order"] is None, r["_order"], r["name"])):
         rules.append(compiled(r["name"], r["regex"], **{n: (r[n] if n in columns and r[n] is not None else d) for n, d in DEFAULTS.items()}))
-    if rules:
-        one = table.sparkSession.range(1)
+    for rule in rules:
         try:
-            one.select(*[F.regexp_count(F.concat(F.lit("x"), F.col("id")), F.lit(to_java(x.regex))) for x in rules]).collect()
-        except Exception as wrong:
-            raise ValueError(f"an expression of the pack is refused: {str(wrong)[:300]}") from wrong
+            pc.match_substring_regex(pa.array(["x"]), rule.regex)
+        except pa.ArrowInvalid as wrong:
+            raise ValueError(f"rule {rule.name!r}: the expression is refused: {str(wrong)[:300]}") from wrong
     return tuple(rules)
 
 

@@ -1,14 +1,20 @@
-"""Applying a pattern pack to a text, rule after rule, as one native expression.
+"""Applying a pattern pack to a text, rule after rule, over batches of texts.
 
-Each rule sees the text as earlier rules left it. The whole pack is one `aggregate` over the rule
-numbers, so it stays in a single projection: no job, shuffle or Python worker per rule, and text
-without a hit is never copied.
+Each rule sees the text as earlier rules left it. A pack is one scalar Arrow function: no job and no shuffle per
+rule. Arrow's kernels search with RE2, the dialect of the packs, in linear time, so every rule is tried on every text
+at memory speed; only texts with a match are cut up and rewritten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +23,11 @@ from gatesift.functions.regex import low_sql, sql_text, to_java
 from gatesift.patterns.rule import Rule
 
 HITS = "array<struct<rule:bigint,pos:int,ok:boolean>>"
-BLOCK = 256
-GROUP = 8
+RESULT = pa.struct([("text", pa.string()), ("hits", pa.list_(pa.struct([("rule", pa.int64()), ("pos", pa.int32()), ("ok", pa.bool_())])))])
+ROWS = 1000  # texts which a pack runs over at a time
+# Code points in the order in which they are tried as a mark around matches: private use first, then all but backslash and surrogates.
+UNUSED = (range(0xF0000, 0xF0100), range(1, 92), range(93, 0xD800), range(0xE000, 0x110000))
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 # Letters by how often English prose uses them; a search which looks for a rare letter first is quick.
@@ -47,35 +56,6 @@ def guard_sql(rule: Rule, text: str, low: str) -> str:
     return " AND ".join(parts) or "true"
 
 
-def _literal(character: str) -> str:
-    return character if character.isalnum() and character.isascii() else f"\\x{{{ord(character):X}}}"
-
-
-def any_of_regex(strings: Sequence[str]) -> str:
-    """An expression which finds any of the strings, written as the tree of their beginnings.
-
-    At a character the engine looks at one branch for each first letter, not at every string.
-    """
-    if "" in strings:
-        return ""
-    by_first: dict[str, list[str]] = {}
-    for s in sorted(set(strings)):
-        by_first.setdefault(s[0], []).append(s[1:])
-    branches = [_literal(c) + any_of_regex(rest) for c, rest in by_first.items()]
-    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-
-
-def any_rule_sql(rules: Sequence[Rule], text: str, low: str) -> str:
-    """A condition without which no rule of the pack matches: one search for all needed strings, then what has none."""
-    needed = sorted({_quick(n) for r in rules for n in r.needs})
-    parts = [f"{low} RLIKE {sql_text(any_of_regex(needed))}"] if needed else []
-    for rule in rules:
-        if not rule.needs:
-            guard = guard_sql(rule, text, low)
-            parts.append(f"({guard})" if guard != "true" else f"{text} RLIKE {sql_text(to_java(rule.regex))}")
-    return " OR ".join(parts)
-
-
 def candidate_lines_sql(rule: Rule, text: str) -> str:
     """The text with every line which cannot match blanked out, length unchanged."""
     keep = guard_sql(rule, "line", low_sql("line"))
@@ -94,109 +74,122 @@ def hit_sql(rule: Rule, text: str, low: str) -> str:
     return f"({guard_sql(rule, text, low)} AND {searched_sql(rule, text)} RLIKE {sql_text(to_java(rule.regex))})"
 
 
-def luhn_sql(text: str) -> str:
-    """13 to 19 digits, whatever stands between them, whose check digit is right."""
-    return (
-        f"element_at(transform(array(regexp_replace({text}, '[^0-9]', '')), d -> "
-        "CASE WHEN char_length(d) BETWEEN 13 AND 19 THEN aggregate(sequence(1, char_length(d)), 0, "
-        "(s, i) -> s + IF(i % 2 = 0, 2 * int(substring(d, -i, 1)) - IF(int(substring(d, -i, 1)) > 4, 9, 0), "
-        "int(substring(d, -i, 1)))) % 10 = 0 ELSE false END), 1)"
-    )
+def _matching(texts: pa.Array, regex: str) -> pa.Array:
+    """Numbers of the texts which an expression matches."""
+    return pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, regex), False))
 
 
-def _pieces_sql(rule: Rule, text: str) -> str:
-    """Texts between the matches (`p`) and the matches (`m`) of one rule."""
-    pattern = sql_text(to_java(rule.regex))
-    if not (rule.by_line and (rule.needs or rule.screen)):
-        return f"named_struct('p', split({text}, {pattern}, -1), 'm', regexp_extract_all({text}, {pattern}, 0))"
-    # Found in the masked text, cut out of the full one: both have the same length.
-    return (
-        f"element_at(transform(array({candidate_lines_sql(rule, text)}), v -> element_at(transform(array("
-        f"named_struct('q', split(v, {pattern}, -1), 'm', regexp_extract_all(v, {pattern}, 0))), c -> "
-        "named_struct('p', aggregate(sequence(0, size(c.q) - 1), named_struct('at', 1, 'out', cast(array() AS array<string>)), "
-        f"(s, i) -> named_struct('at', s.at + char_length(c.q[i]) + IF(i < size(c.m), char_length(c.m[i]), 0), "
-        f"'out', concat(s.out, array(substring({text}, s.at, char_length(c.q[i]))))), s -> s.out), "
-        "'m', c.m)), 1)), 1)"
-    )
+def _absent(texts: pa.Array) -> str:
+    """A character which none of the texts holds."""
+    for point in chain(*UNUSED):
+        if not pc.any(pc.match_substring(texts, chr(point))).as_py():
+            return chr(point)
+    raise ValueError("the texts hold every character")
 
 
-def _starts_sql(pieces: str) -> str:
-    """Start of each match, in characters from 0, built in blocks so that it stays near linear."""
-    inner = (
-        f"aggregate(sequence(b * {BLOCK}, least(size({pieces}.m) - 1, b * {BLOCK} + {BLOCK - 1})), "
-        "named_struct('at', s.at, 'pos', cast(array() AS array<int>)), "
-        f"(r, i) -> named_struct('at', r.at + char_length({pieces}.p[i]) + char_length({pieces}.m[i]), "
-        f"'pos', concat(r.pos, array(r.at + char_length({pieces}.p[i])))))"
-    )
-    return (
-        f"flatten(aggregate(sequence(0, (size({pieces}.m) - 1) div {BLOCK}), "
-        "named_struct('at', 0, 'blocks', cast(array() AS array<array<int>>)), "
-        f"(s, b) -> element_at(transform(array({inner}), r -> "
-        "named_struct('at', r.at, 'blocks', concat(s.blocks, array(r.pos)))), 1), s -> s.blocks))"
-    )
-
-
-def _choose(rules: Sequence[Rule], branch, step: int, first: int) -> str:
-    """A two-level CASE on the step number `k`: rule `i` has the number `step * i + first`."""
-    groups = []
-    for g in range(0, len(rules), GROUP):
-        part = range(g, min(g + GROUP, len(rules)))
-        inner = " ".join(f"WHEN k = {step * i + first} THEN {branch(rules[i])}" for i in part)
-        groups.append(f"WHEN k <= {step * part[-1] + first} THEN CASE {inner} END")
-    return "CASE " + " ".join(groups) + " END"
+def _cut(texts: pa.Array, regex: str) -> Iterator[list[str]]:
+    """Each text cut into what stands between matches and, at odd places, the matches of an expression."""
+    mark = _absent(texts)
+    for text in pc.replace_substring_regex(texts, regex, f"{mark}\\0{mark}"):
+        yield text.as_py().split(mark)
 
 
-def apply_rules(
-    text: str, rules: Sequence[Rule], *, first_only: bool = False, leet: str | None = None, low: str | None = None
-) -> Column:
-    """`struct(text, low, hits)` after the rules have run over the SQL expression `text` in order.
+def _luhn(found: str) -> bool:
+    """13 to 19 digits, whatever stands between them, whose check digit is right."""
+    digits = [int(c) for c in reversed(found) if c in "0123456789"]
+    doubled = [2 * d - 9 * (d > 4) if i % 2 else d for i, d in enumerate(digits)]
+    return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+
+
+def _starts(parts: list[str]) -> list[int]:
+    """Start of each match, in characters from 0."""
+    return list(accumulate(map(len, parts)))[:-1:2]
+
+
+def _replaced(texts: pa.Array, at: pa.Array, new: pa.Array) -> pa.Array:
+    changed = np.zeros(len(texts), dtype=bool)
+    changed[at.to_numpy()] = True
+    return pc.replace_with_mask(texts, pa.array(changed), new)
+
+
+def _run(texts: pa.Array, leet: pa.Array | None, rules: Sequence[tuple[str, str, bool]], first_only: bool) -> tuple[pa.Array, list[list[tuple]]]:
+    """The texts after the rules, and the hits of each."""
+    hits: list[list[tuple]] = [[] for _ in range(len(texts))]
+    for k, (regex, marker, luhn) in enumerate(rules):
+        at = _matching(texts, regex)
+        if len(at) and first_only:
+            for row in at.to_pylist():
+                hits[row].append((k, 0, True))
+        if len(at):
+            new = []
+            for row, parts in zip(at.to_pylist(), _cut(texts.take(at), regex), strict=True):
+                ok = [not luhn or _luhn(m) for m in parts[1::2]]
+                if not first_only:
+                    hits[row] += [(k, start, good) for start, good in zip(_starts(parts), ok, strict=True)]
+                parts[1::2] = [marker if good else m for m, good in zip(parts[1::2], ok, strict=True)]
+                new.append("".join(parts))
+            texts = _replaced(texts, at, pa.array(new, pa.string()))
+        if leet is not None:
+            # While both texts are the same the second can add nothing.
+            at = _matching(leet, regex)
+            at = at.filter(pc.not_equal(texts.take(at), leet.take(at)))
+            if len(at):
+                for row, parts in zip(at.to_pylist(), _cut(leet.take(at), regex), strict=True):
+                    seen = {start for rule, start, _ in hits[row] if rule == k}
+                    hits[row] += [(k, start, True) for start in _starts(parts) if start not in seen]
+    return texts, hits
+
+
+def _hit_lists(hits: list[list[tuple]]) -> pa.Array:
+    rule, pos, ok = zip(*[h for each in hits for h in each], strict=True) if any(hits) else ((), (), ())
+    columns = [pa.array(rule, pa.int64()), pa.array(pos, pa.int32()), pa.array(ok, pa.bool_())]
+    ends = pa.array([0, *accumulate(map(len, hits))], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, ["rule", "pos", "ok"]))
+
+
+def _pack(rules: Sequence[tuple[str, str, bool]], first_only: bool) -> Callable[..., pa.Array]:
+    """A pack over a batch of texts, some rows at a time."""
+
+    def work(texts: pa.Array, leet: pa.Array | None = None) -> pa.Array:
+        texts, leet = texts.cast(pa.string()), None if leet is None else leet.cast(pa.string())
+        done = []
+        for i in range(0, len(texts), ROWS):
+            text, hits = _run(texts.slice(i, ROWS), None if leet is None else leet.slice(i, ROWS), rules, first_only)
+            done.append(pa.StructArray.from_arrays([text, _hit_lists(hits)], ["text", "hits"]))
+        return pa.concat_arrays(done) if done else pa.array([], RESULT)
+
+    return work
+
+
+def apply_rules(text: str, rules: Sequence[Rule], *, first_only: bool = False, leet: str | None = None) -> Column:
+    """`struct(text, hits)` after the rules have run over the SQL expression `text` in order.
 
     A hit is `(rule, pos, ok)`: rule number, start in characters from 0 in the text of that step, and
     false for a match which failed its check. With `first_only` a rule gives one hit, position 0.
     `leet` names a second text which is searched as well; only starts not yet seen are added.
-    `low` names the lower-cased text where a stage before has it already.
     """
-    step = 1 if leet is None else 2
-    rule = "k" if leet is None else "k div 2"
-    markers = "array(" + ", ".join(sql_text(r.marker) for r in rules) + ")"
-    gated = "array(" + ", ".join("true" if r.luhn else "false" for r in rules) + ")"
-    any_gated = any(r.luhn for r in rules)
-    state = {"text": text, "low": low or low_sql(text), "hits": f"cast(array() AS {HITS})"}
-    if leet is not None:
-        state |= {"leet": leet, "leet_low": low_sql(leet)}
-
-    def struct(**changed: str) -> str:
-        return "named_struct(" + ", ".join(f"'{f}', {changed.get(f, f'a.{f}')}" for f in state) + ")"
-
-    def searched(text_sql: str, low_sql: str, first: int, found: str) -> str:
-        """The state `found` builds from the pieces `h` where rule `k` matches, else the state as it is."""
-        test = _choose(rules, lambda r: hit_sql(r, text_sql, low_sql), step, first)
-        pieces = _choose(rules, lambda r: _pieces_sql(r, text_sql), step, first)
-        return f"IF({test}, element_at(transform(array({pieces}), h -> {found}), 1), a)"
-
-    kept = f"({gated}[{rule}] AND NOT {luhn_sql('h.m[i]')})"
-    if first_only:
-        hits = f"array(named_struct('rule', {rule}, 'pos', 0, 'ok', true))"
+    plain = tuple((r.regex, r.marker, r.luhn) for r in rules)
+    inputs = [F.make_valid_utf8(F.expr(t)) for t in (text, leet) if t is not None]
+    if leet is None:
+        run = F.arrow_udf(lambda t: _pack(plain, first_only)(t), f"struct<text:string,hits:{HITS}>")
     else:
-        ok = f"NOT {kept}" if any_gated else "true"
-        hits = f"transform({_starts_sql('h')}, (pos, i) -> named_struct('rule', {rule}, 'pos', pos, 'ok', {ok}))"
-    marker = f"IF({kept}, h.m[i], {markers}[{rule}])" if any_gated else f"{markers}[{rule}]"
-    new_text = f"array_join(transform(h.p, (piece, i) -> concat(piece, IF(i < size(h.m), {marker}, ''))), '')"
-    changed = struct(text="t", low=low_sql("t"), hits=f"concat(a.hits, {hits})")
-    merge = searched("a.text", "a.low", 0, f"element_at(transform(array({new_text}), t -> {changed}), 1)")
-    if leet is not None:
-        # Odd steps search the second text. While both texts are the same it can add nothing.
-        seen = f"transform(filter(a.hits, x -> x.rule = {rule}), x -> x.pos)"
-        new = f"transform(array_except({_starts_sql('h')}, {seen}), p -> named_struct('rule', {rule}, 'pos', p, 'ok', true))"
-        second = searched("a.leet", "a.leet_low", 1, struct(hits=f"concat(a.hits, {new})"))
-        merge = f"IF(k % 2 = 0, {merge}, IF(a.text = a.leet, a, {second}))"
-    start = "named_struct(" + ", ".join(f"'{f}', {v}" for f, v in state.items()) + ")"
-    end = "named_struct('text', a.text, 'low', a.low, 'hits', a.hits)"
-    # Rules see what earlier ones have left; where none has anything to find, the pack is passed over.
-    tests = [any_rule_sql(rules, "b.text", "b.low")] + ([any_rule_sql(rules, "b.leet", "b.leet_low")] if leet is not None else [])
-    run = f"aggregate(sequence(0, {step * len(rules) - 1}), b, (a, k) -> {merge}, a -> {end})"
-    skip = end.replace("a.", "b.")
-    return F.expr(f"element_at(transform(array({start}), b -> IF({' OR '.join(tests)}, {run}, {skip})), 1)")
+        run = F.arrow_udf(lambda t, other: _pack(plain, first_only)(t, other), f"struct<text:string,hits:{HITS}>")
+    return run(*inputs)
+
+
+def matching_rules(text: str, rules: Sequence[Rule]) -> Column:
+    """Numbers of the rules which match the SQL expression `text` as it stands."""
+    expressions = tuple(r.regex for r in rules)
+
+    def work(t: pa.Array) -> pa.Array:
+        texts = t.cast(pa.string())
+        found: list[list[int]] = [[] for _ in range(len(texts))]
+        for k, regex in enumerate(expressions):
+            for row in _matching(texts, regex).to_pylist():
+                found[row].append(k)
+        return pa.array(found, pa.list_(pa.int64()))
+
+    return F.arrow_udf(lambda t: work(t), "array<bigint>")(F.make_valid_utf8(F.expr(text)))
 
 
 def rule_column(rules: Sequence[Rule], attribute: str, index: Column) -> Column:

@@ -1,7 +1,7 @@
 """The whole content pipeline: fold, packs in order, heuristics, risk.
 
-Each stage is one projection which reads the text the stage before has left; there is no shuffle and
-no Python worker. Detections leave as one array column and are exploded only on request.
+Each stage reads the text the stage before has left; there is no shuffle, and packs run over Arrow batches
+(`rewrite`). Detections leave as one array column and are exploded only on request.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ def sanitize_columns(df: DataFrame, text: str, stages: Sequence[str] = STAGES) -
     """Adds `sanitized` and `detections`. A stage which is left out adds no columns to the plan."""
     out = df
     current = text  # SQL name of the text as the stages so far have left it
-    low = None  # and of its lower-case form, where a stage has left one
     found: list[Column] = []
 
     if "fold" in stages:
@@ -42,15 +41,15 @@ def sanitize_columns(df: DataFrame, text: str, stages: Sequence[str] = STAGES) -
         found.append(F.col("_folded"))
         current = "_fold"
     if "commands" in stages:
-        out = out.withColumn("_cmd", apply_rules(current, C.COMMAND_RULES, low=low))
+        out = out.withColumn("_cmd", apply_rules(current, C.COMMAND_RULES))
         found.append(D.hits_as_detections(F.col("_cmd.hits"), C.COMMAND_RULES, pattern="regex", type_="command_injection"))
-        current, low = "_cmd.text", "_cmd.low"
+        current = "_cmd.text"
     if "secrets" in stages:
-        out = out.withColumn("_sec", apply_rules(current, SECRET_RULES, low=low))
+        out = out.withColumn("_sec", apply_rules(current, SECRET_RULES))
         found.append(D.hits_as_detections(F.col("_sec.hits"), SECRET_RULES, "secret_"))
-        current, low = "_sec.text", "_sec.low"
+        current = "_sec.text"
     if "content" in stages:
-        out = out.withColumn("_xss", apply_rules(current, C.XSS_RULES, first_only=True, low=low))
+        out = out.withColumn("_xss", apply_rules(current, C.XSS_RULES, first_only=True))
         out = out.withColumn("_blobs", D.encoded_xss(F.col("_xss.text")))
         out = out.withColumn("_plain", _replace_blobs(F.col("_xss.text"), F.col("_blobs")))
         out = out.withColumn("_sql", D.sql_injection("_plain", text))
@@ -67,7 +66,7 @@ def sanitize_columns(df: DataFrame, text: str, stages: Sequence[str] = STAGES) -
         out = out.withColumns({"_b64": D.base64_injections(F.col(current)), "_flat": T.collapse_spacing(F.col(current))})
         out = out.withColumn("_leet", T.normalize_leet(F.col("_flat")))
         out = out.withColumn("_prompt", apply_rules("_flat", PROMPT_RULES, leet="_leet"))
-        out = out.withColumn("_ioc", apply_rules("_prompt.text", IOC_RULES, low="_prompt.low"))
+        out = out.withColumn("_ioc", apply_rules("_prompt.text", IOC_RULES))
         out = out.withColumn("_lit", D.literal_counts(T.normalize_for_match(F.col("_ioc.text"))))
         out = out.withColumn("_marked", F.when(F.size("_lit") > 0, F.lit(MARKER)).otherwise(F.col("_ioc.text")))
         found += [

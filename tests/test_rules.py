@@ -2,6 +2,7 @@
 
 import dataclasses
 import re
+import time
 
 import duckdb
 import pytest
@@ -109,3 +110,23 @@ def test_letters_beyond_ascii_fold_as_in_re2(spark):
     want = [con.execute("SELECT count(*) FROM t WHERE regexp_matches(text, $1)", [r.regex]).fetchone()[0] for r in rules]
     assert [(r.name, g) for r, g in zip(rules, got)] == [(r.name, w) for r, w in zip(rules, want)]
     assert len(rules) > 50
+
+
+def test_rules_without_guards_are_linear(spark):
+    """`X+.*Y` on one long line without Y: a backtracking engine tries every beginning, unless a guard keeps it from that."""
+    bare = [dataclasses.replace(r, needs=(), screen="", by_line=False, non_ascii=False) for r in IOC_RULES if r.by_line]
+    df = spark.createDataFrame([(0, "word" * 50_000), (1, "word" * 50_000 + " ок now")], "i int, text string")
+    began = time.monotonic()
+    got = results(df, bare)
+    assert time.monotonic() - began < 60
+    assert got[0] == ("word" * 50_000, []) and got[1][1]
+
+
+def test_marks_and_empty_matches(spark):
+    """Texts may hold any character, also the one that marks matches first, and an expression may match nothing."""
+    rules = [Rule("a", r"a+", marker="\\0"), Rule("x", r"x*", marker="-")]
+    first = chr(0xF0000)
+    df = spark.createDataFrame([(0, f"{first}aa{first}"), (1, "\\1"), (2, None)], "i int, text string")
+    got = results(df, rules)
+    assert got[0] == (f"-{first}-\\-0-{first}-", [(0, 1, True), *((1, i, True) for i in range(5))])
+    assert got[1] == ("-\\-1-", [(1, 0, True), (1, 1, True), (1, 2, True)]) and got[2] == (None, [])
