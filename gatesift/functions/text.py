@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gatesift.functions import batches as B
 from gatesift.functions.expr import BLANK, fields, let
 from gatesift.patterns import content as C
 
@@ -17,6 +18,10 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 # Mathematical bold and bold italic: four runs of 26 letters from U+1D400.
 _MATH = "".join(map(chr, range(0x1D400, 0x1D400 + 104)))
+# The same white space for RE2, whose `\s` lacks the vertical tab; a run of any ASCII character.
+_RE2_BLANK = BLANK.replace(r"\s", r"\t\n\x0B\f\r ")
+WORD_GAP = f"[{_RE2_BLANK}]+"
+CHARACTER_RUN = "|".join(f"\\x{{{c:X}}}{{{C.CHAR_RUN}}}" for c in range(128))
 FOLD_FROM = "".join(C.CONFUSABLES) + _FULLWIDTH + _MATH
 FOLD_TO = "".join(C.CONFUSABLES.values()) + _FULLWIDTH_ASCII + (_UPPER + _LOWER) * 2
 
@@ -131,16 +136,8 @@ def runs(words: Column) -> Column:
 
 def has_repetition(text: Column) -> Column:
     """Fifty equal ASCII characters in a row, or ten equal longer words among more than ten."""
-
-    def long_run(words: Column) -> Column:
-        found = F.exists(
-            runs(words), lambda r: (r["n"] >= C.WORD_RUN) & (F.octet_length(r["word"]) > C.WORD_RUN_MIN_LENGTH)
-        )
-        return F.when(F.size(words) > C.WORD_RUN_MIN_WORDS, found).otherwise(F.lit(False))
-
-    # Words are only cut where some word stands twice in a row.
-    doubled = F.rlike(text, F.lit(f"(?<![^{BLANK}])([^{BLANK}]++)[{BLANK}]++\\1(?![^{BLANK}])"))
-    return F.rlike(text, F.lit(r"([\x00-\x7F])\1{49}")) | F.when(doubled, let(fields(text), long_run)).otherwise(F.lit(False))
+    of_words = B.has_run(text, WORD_GAP, C.WORD_RUN, C.WORD_RUN_MIN_LENGTH, C.WORD_RUN_MIN_WORDS)
+    return F.when(text.isNotNull(), B.has_match(text, CHARACTER_RUN) | of_words)
 
 
 def limit_repetition(text: Column) -> Column:
@@ -157,7 +154,8 @@ def limit_repetition(text: Column) -> Column:
 
 def is_stuffed(text: Column) -> Column:
     """More than 10,000 bytes and more than 2,000 words."""
-    return F.when(F.octet_length(text) > C.STUFFING_BYTES, F.size(fields(text)) > C.STUFFING_WORDS).otherwise(F.lit(False))
+    words = F.regexp_count(text, F.lit(f"[^{BLANK}]++"))
+    return F.when(F.octet_length(text) > C.STUFFING_BYTES, words > C.STUFFING_WORDS).otherwise(F.lit(False))
 
 
 def truncate_stuffed(text: Column) -> Column:

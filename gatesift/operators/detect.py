@@ -6,11 +6,13 @@ in the text as the rules before have left it; 0 where a pack records no position
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatesift.functions import batches as B
 from gatesift.functions import text as T
 from gatesift.functions.expr import let, texts
 from gatesift.functions.regex import sql_text, to_java
@@ -104,7 +106,9 @@ def literal_counts(normalized: Column) -> Column:
             ),
         )
 
-    return let(normalized, counted)
+    # Most texts hold none of the literals; these are looked for one by one in the others only.
+    any_literal = "|".join(re.escape(row[0]) for row in LITERALS)
+    return let(F.when(B.has_match(normalized, any_literal), normalized), counted)
 
 
 def match_literals(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
@@ -117,7 +121,7 @@ def match_literals(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
 
 def base64_blobs(text: Column) -> Column:
     """`(blob, body)` of each base64 run which decodes; one character per byte in `body`."""
-    runs = F.regexp_extract_all(text, F.lit(C.BASE64_RUN), F.lit(0))
+    runs = B.find_all(text, C.BASE64_RUN)
     well_formed = F.filter(runs, lambda b: F.char_length(b) % 4 == 0)
     decoded = F.transform(
         well_formed,

@@ -8,8 +8,8 @@ at memory speed; only texts with a match are cut up and rewritten.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate, chain
+from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatesift.functions.batches import cut, matching, valid
 from gatesift.functions.expr import texts
 from gatesift.functions.regex import low_sql, sql_text, to_java
 from gatesift.patterns.rule import Rule
@@ -25,8 +26,6 @@ from gatesift.patterns.rule import Rule
 HITS = "array<struct<rule:bigint,pos:int,ok:boolean>>"
 RESULT = pa.struct([("text", pa.string()), ("hits", pa.list_(pa.struct([("rule", pa.int64()), ("pos", pa.int32()), ("ok", pa.bool_())])))])
 ROWS = 1000  # texts which a pack runs over at a time
-# Code points in the order in which they are tried as a mark around matches: private use first, then all but backslash and surrogates.
-UNUSED = (range(0xF0000, 0xF0100), range(1, 92), range(93, 0xD800), range(0xE000, 0x110000))
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -74,26 +73,6 @@ def hit_sql(rule: Rule, text: str, low: str) -> str:
     return f"({guard_sql(rule, text, low)} AND {searched_sql(rule, text)} RLIKE {sql_text(to_java(rule.regex))})"
 
 
-def _matching(texts: pa.Array, regex: str) -> pa.Array:
-    """Numbers of the texts which an expression matches."""
-    return pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, regex), False))
-
-
-def _absent(texts: pa.Array) -> str:
-    """A character which none of the texts holds."""
-    for point in chain(*UNUSED):
-        if not pc.any(pc.match_substring(texts, chr(point))).as_py():
-            return chr(point)
-    raise ValueError("the texts hold every character")
-
-
-def _cut(texts: pa.Array, regex: str) -> Iterator[list[str]]:
-    """Each text cut into what stands between matches and, at odd places, the matches of an expression."""
-    mark = _absent(texts)
-    for text in pc.replace_substring_regex(texts, regex, f"{mark}\\0{mark}"):
-        yield text.as_py().split(mark)
-
-
 def _luhn(found: str) -> bool:
     """13 to 19 digits, whatever stands between them, whose check digit is right."""
     digits = [int(c) for c in reversed(found) if c in "0123456789"]
@@ -116,13 +95,13 @@ def _run(texts: pa.Array, leet: pa.Array | None, rules: Sequence[tuple[str, str,
     """The texts after the rules, and the hits of each."""
     hits: list[list[tuple]] = [[] for _ in range(len(texts))]
     for k, (regex, marker, luhn) in enumerate(rules):
-        at = _matching(texts, regex)
+        at = matching(texts, regex)
         if len(at) and first_only:
             for row in at.to_pylist():
                 hits[row].append((k, 0, True))
         if len(at):
             new = []
-            for row, parts in zip(at.to_pylist(), _cut(texts.take(at), regex), strict=True):
+            for row, parts in zip(at.to_pylist(), cut(texts.take(at), regex), strict=True):
                 ok = [not luhn or _luhn(m) for m in parts[1::2]]
                 if not first_only:
                     hits[row] += [(k, start, good) for start, good in zip(_starts(parts), ok, strict=True)]
@@ -131,10 +110,10 @@ def _run(texts: pa.Array, leet: pa.Array | None, rules: Sequence[tuple[str, str,
             texts = _replaced(texts, at, pa.array(new, pa.string()))
         if leet is not None:
             # While both texts are the same the second can add nothing.
-            at = _matching(leet, regex)
+            at = matching(leet, regex)
             at = at.filter(pc.not_equal(texts.take(at), leet.take(at)))
             if len(at):
-                for row, parts in zip(at.to_pylist(), _cut(leet.take(at), regex), strict=True):
+                for row, parts in zip(at.to_pylist(), cut(leet.take(at), regex), strict=True):
                     seen = {start for rule, start, _ in hits[row] if rule == k}
                     hits[row] += [(k, start, True) for start in _starts(parts) if start not in seen]
     return texts, hits
@@ -169,7 +148,7 @@ def apply_rules(text: str, rules: Sequence[Rule], *, first_only: bool = False, l
     `leet` names a second text which is searched as well; only starts not yet seen are added.
     """
     plain = tuple((r.regex, r.marker, r.luhn) for r in rules)
-    inputs = [F.make_valid_utf8(F.expr(t)) for t in (text, leet) if t is not None]
+    inputs = [valid(F.expr(t)) for t in (text, leet) if t is not None]
     if leet is None:
         run = F.arrow_udf(lambda t: _pack(plain, first_only)(t), f"struct<text:string,hits:{HITS}>")
     else:
@@ -185,11 +164,11 @@ def matching_rules(text: str, rules: Sequence[Rule]) -> Column:
         texts = t.cast(pa.string())
         found: list[list[int]] = [[] for _ in range(len(texts))]
         for k, regex in enumerate(expressions):
-            for row in _matching(texts, regex).to_pylist():
+            for row in matching(texts, regex).to_pylist():
                 found[row].append(k)
         return pa.array(found, pa.list_(pa.int64()))
 
-    return F.arrow_udf(lambda t: work(t), "array<bigint>")(F.make_valid_utf8(F.expr(text)))
+    return F.arrow_udf(lambda t: work(t), "array<bigint>")(valid(F.expr(text)))
 
 
 def rule_column(rules: Sequence[Rule], attribute: str, index: Column) -> Column:

@@ -67,8 +67,10 @@ def sanitize_columns(df: DataFrame, text: str, stages: Sequence[str] = STAGES) -
         out = out.withColumn("_leet", T.normalize_leet(F.col("_flat")))
         out = out.withColumn("_prompt", apply_rules("_flat", PROMPT_RULES, leet="_leet"))
         out = out.withColumn("_ioc", apply_rules("_prompt.text", IOC_RULES))
-        out = out.withColumn("_lit", D.literal_counts(T.normalize_for_match(F.col("_ioc.text"))))
-        out = out.withColumn("_marked", F.when(F.size("_lit") > 0, F.lit(MARKER)).otherwise(F.col("_ioc.text")))
+        out = out.withColumn("_normal", T.normalize_for_match(F.col("_ioc.text")))
+        out = out.withColumn("_lit", D.literal_counts(F.col("_normal")))
+        # Settled, since Spark loses functions over batches whose argument is itself an expression with lambdas.
+        out = out.withColumn("_marked", settled(F.when(F.size("_lit") > 0, F.lit(MARKER)).otherwise(F.col("_ioc.text"))))
         found += [
             F.col("_b64"),
             D.hits_as_detections(F.col("_prompt.hits"), PROMPT_RULES, "prompt_injection_"),

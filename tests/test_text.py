@@ -1,4 +1,6 @@
+import itertools
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -6,9 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gatesift.functions import cards, net, signing
+from gatesift.functions import batches, cards, net, signing
 from gatesift.functions import text as T
 from gatesift.functions.regex import to_java
+from gatesift.patterns import content as C
 
 
 def one(spark, function, values, type_="string"):
@@ -182,3 +185,25 @@ def test_dialect(spark):
     for pattern, text, expected in cases:
         got = rows.filter(F.col("t") == text).select(F.rlike("t", F.lit(to_java(pattern)))).first()[0]
         assert got is expected, (pattern, text)
+
+
+def test_repetition_by_words_as_a_plain_loop_has_it(spark):
+    """Rows are judged together, so a run must not go on in the next row; blanks are those of the JVM, vertical tab included."""
+    blank = "[\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+    def plain(text):
+        words = [w for w in re.split(blank, text) if w]
+        runs = [(w, len(list(same))) for w, same in itertools.groupby(words)]
+        return bool(re.search(r"([\x00-\x7f])\1{49}", text)) or len(words) > 10 and any(n >= 10 and len(w.encode()) > 3 for w, n in runs)
+
+    cases = ["word " * 11, "word " * 9, "x " + "word " * 10, "word " * 10, "a " * 30, "éé " * 11, "word\x0b" * 11, "word\xa0" * 11, "word\x1c" * 11, "",
+             " ", "word " * 5 + "other " + "word " * 6, "word", "word " * 6, "word " * 6, "z" * 50, "z" * 49, "\n" * 50, "é" * 60, "a " * 3 + "wörter　" * 10]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*cases, None])], "i int, text string").coalesce(1)
+    got = {r["i"]: r["hit"] for r in df.select("i", T.has_repetition(F.col("text")).alias("hit")).collect()}
+    assert got == {**{i: plain(t) for i, t in enumerate(cases)}, len(cases): None}
+
+
+def test_base64_runs_are_found_in_a_batch(spark):
+    df = spark.createDataFrame([(0, "no run"), (1, "a" * 20 + "== b " + "B" * 24 + "\U000f0000"), (2, None), (3, "x" * 19)], "i int, text string")
+    got = {r["i"]: r["found"] for r in df.select("i", batches.find_all(F.col("text"), C.BASE64_RUN).alias("found")).collect()}
+    assert got == {0: [], 1: ["a" * 20 + "==", "B" * 24], 2: [], 3: []}
