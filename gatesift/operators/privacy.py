@@ -70,13 +70,22 @@ def erase_from_table(
     return touched.drop("_folder")
 
 
+KEYS_BYTES = 8 << 20  # of a key table that is broadcast
+
+
 def _with_key(df: DataFrame, keys: DataFrame, key_id: str) -> DataFrame:
-    """Every row with its key as `_gatesift_key`, NULL where the key id is NULL or unknown."""
-    twice = keys.groupBy("key_id").count().filter("count > 1").select("key_id").head()
-    if twice:
-        raise ValueError(f"key id {twice[0]!r} stands more than once in the key table")
+    """Every row with its key as `_gatesift_key`, NULL where the key id is NULL or unknown.
+
+    A key table of up to `KEYS_BYTES` is broadcast: a few keys hold all rows, so a shuffle would send a key's rows to one task, and
+    at run time Spark does not turn a join into a broadcast whose small side has few keys. A larger table is shuffled.
+    """
+    each = keys.groupBy("key_id").agg(F.count("*").alias("count"), F.sum(F.octet_length(F.col("key_id").cast("string")) + F.octet_length("key") + 100).alias("size"))
+    found = each.agg(F.min(F.when(F.col("count") > 1, F.struct("key_id"))).alias("twice"), F.sum("size").alias("size")).first()
+    if found["twice"]:
+        raise ValueError(f"key id {found['twice']['key_id']!r} stands more than once in the key table")
     named = keys.select(F.col("key_id").alias("_gatesift_id"), F.col("key").alias("_gatesift_key"))
-    return df.join(named, F.col(f"`{key_id}`") == F.col("_gatesift_id"), "left")
+    small = F.broadcast(named) if (found["size"] or 0) <= KEYS_BYTES else named
+    return df.join(small, F.col(f"`{key_id}`") == F.col("_gatesift_id"), "left")
 
 
 def _seal(value: Column, key: Column) -> Column:
