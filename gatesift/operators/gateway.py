@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatesift.functions import jsonv as J
-from gatesift.functions.expr import fields, severity_name, texts
+from gatesift.functions.expr import fields, let, settled, severity_name, texts
 from gatesift.functions.net import ssrf_target
 from gatesift.functions.signing import from_base64url
 from gatesift.operators.envelopes import app_html, tool_texts
@@ -81,23 +81,24 @@ def destructive_tool_filter(df: DataFrame, tool: str, prefixes: Sequence[str] =
 def token_scopes(authorization: Column) -> Column:
     """Scopes claimed in a bearer token, `scope` before `scp`; the signature is not checked."""
     token = F.when(F.startswith(authorization, F.lit("Bearer ")), F.substring(authorization, 8, 1_000_000_000))
-    parts = F.split(token, r"\.", 3)
-    claims = F.when(F.size(parts) == 3, F.try_parse_json(from_base64url(F.get(parts, 1))))
     none = F.expr("cast(array() AS array<string>)")
 
-    def of(path: str) -> Column:
+    def of(claims: Column, path: str) -> Column:
         listed = F.filter(
             F.transform(J.elements(claims, path), lambda e: J.get_string(e, "$")), lambda s: s.isNotNull()
         )
         return F.coalesce(fields(J.get_string(claims, path)), listed, none)
 
-    return F.concat(of("$.scope"), of("$.scp"))
+    # Each step is computed once per row, however often the next one uses it.
+    middle = let(F.split(token, r"\.", 3), lambda parts: F.when(F.size(parts) == 3, F.get(parts, 1)))
+    claims = F.try_parse_json(let(middle, from_base64url))
+    return let(claims, lambda c: F.concat(of(c, "$.scope"), of(c, "$.scp")))
 
 
 def audit_scopes(df: DataFrame, authorization: str, keep: Sequence[str], prohibited: Sequence[str] = G.PROHIBITED_SCOPES) -> DataFrame:
     """One row per request whose token claims a prohibited scope, with the first such scope."""
     bad = F.filter(token_scopes(F.col(authorization)), lambda s: s.isin(list(prohibited)))
-    return df.select(*keep, F.get(bad, 0).alias("scope")).filter(F.col("scope").isNotNull())
+    return df.select(*keep, settled(F.get(bad, 0)).alias("scope")).filter(F.col("scope").isNotNull())
 
 
 def origin_check(df: DataFrame, origin: str, allowed: Sequence[str]) -> DataFrame:

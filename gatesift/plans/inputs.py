@@ -291,7 +291,7 @@ NETWORKS = """networks_in AS (
 
 def bearer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request per customer with an Origin and an unsigned bearer token."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey")
     claims = F.concat(F.lit('{"sub":"'), "c_name", F.lit('",'), pick(SCOPES, F.col("c_custkey")), F.lit("}"))
     token = F.concat(F.lit("Bearer e30."), base64url(F.encode(claims, "UTF-8")), F.lit(".c2ln"))
     broken = F.when(F.col("c_custkey") % 9 == 4, F.lit("Bearer only.two")).when(F.col("c_custkey") % 9 == 5, F.lit("Basic abc"))

@@ -1,4 +1,5 @@
 import base64
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +239,16 @@ def test_filters_reach_the_scan(spark, tmp_path):
         assert "EqualTo(lang,en)" in plan
         assert judged.count() == 2
         assert judged.filter("lang = 'en'").select("id").first()["id"] == 1
+
+
+def test_a_token_is_parsed_once(spark):
+    """Spark would write the claims into every place that uses them, and all of it again into the filter."""
+    def token(claims):
+        return "Bearer e30." + base64.urlsafe_b64encode(json.dumps(claims).encode()).decode().rstrip("=") + ".c2ln"
+
+    rows = [token({"scope": "read admin"}), token({"scp": ["read", "write:all"]}), token({"scope": "read", "scp": ["admin"]}), "Bearer only.two", "Basic abc", None,
+            "Bearer e30.!!.x", token([]), token({"scope": 3, "scp": "admin"})]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, authorization string")
+    out = W.audit_scopes(df, "authorization", ["i"], ["admin", "write:all"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("base64") <= 2
+    assert {r["i"]: r["scope"] for r in out.collect()} == {0: "admin", 1: "write:all", 2: "admin", 8: "admin"}
