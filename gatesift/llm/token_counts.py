@@ -3,9 +3,9 @@
 A first pass finds the distinct pre-tokens with their frequencies; every one is encoded once, only the number of its
 pieces is kept, and the table is saved. A second pass gives the frequency of every pre-token per document; these are
 joined to the table and summed. Pre-tokens that hold more than a `COMMON`th of all occurrences are fewer than `COMMON`
-and have keys of bounded length, so they are broadcast: most occurrences are summed where they are read. The others
-are shuffled by pre-token, and none of them is hot. No ids are kept. A vocabulary which is not byte-level is asked for
-the pre-tokens by its own pre-tokenizer.
+and have keys of bounded length, so they travel with the second pass: most occurrences are summed where they are read.
+The others are shuffled by pre-token, once, and none of them is hot. No ids are kept. A vocabulary which is not
+byte-level is asked for the pre-tokens by its own pre-tokenizer.
 
 NULL text counts as empty and has no tokens; a NULL id is kept as it is; rows that repeat an id or a text each get their
 own count; an empty table gives an empty result; other columns are left out.
@@ -19,7 +19,9 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,26 +131,36 @@ def _counted(pre_tokens: PreTokens, text: str, block: int) -> Iterator[tuple[int
     yield special, found
 
 
-def _frequencies(path: str, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Second pass: per row, or part of a very long one, its number, id, size, special tokens, keys and their frequencies."""
+def _frequencies(path: str, block: int, common: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Second pass: per row, or part of a very long one, its number, id, size, tokens of special and `common` pre-tokens, other keys and their frequencies."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre_tokens = PreTokens(path)
+        common_keys, pieces = (common.column(c).combine_chunks() for c in ("key", "pieces"))
         for batch in batches:
             parts = ((i, *part) for i, text in enumerate(batch.column(3)) for part in _counted(pre_tokens, text.as_py(), block))
             for several in _blocks(parts, block):
                 source, special, found = zip(*several, strict=True)
                 at = pa.array(source, pa.int64())
-                ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+                ends = np.array([0, *accumulate(map(len, found))])
                 keys = pa.array([k for f in found for k in (f if max(map(len, f), default=0) <= LONG else map(key_of, f))], pa.string())
                 counts = pa.array([n for f in found for n in f.values()], pa.int64())
-                columns = [batch.column(i).take(at) for i in range(3)]
-                columns += [pa.array(special, pa.int64()), pa.ListArray.from_arrays(ends, keys), pa.ListArray.from_arrays(ends, counts)]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n_bytes", "special", "keys", "counts"])
+                known = pc.index_in(keys, value_set=common_keys)
+                tokens = _sums(counts.to_numpy() * pieces.take(known).fill_null(0).to_numpy(), ends) + np.array(special)
+                is_rare = known.is_null()
+                rare_ends = np.concatenate(([0], np.cumsum(is_rare.to_numpy(zero_copy_only=False))))[ends]
+                lists = [pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), c.filter(is_rare)) for c in (keys, counts)]
+                columns = [batch.column(i).take(at) for i in range(3)] + [pa.array(tokens, pa.int64()), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n_bytes", "tokens", "keys", "counts"])
 
     return lean(work)
 
 
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the runs of values between neighbouring ends; an empty run has 0."""
+    return np.diff(np.concatenate(([0], np.cumsum(values)))[ends])
+
+
 def _blocks(parts: Iterator[tuple[int, int, Counter]], block: int) -> Iterator[list[tuple[int, int, Counter]]]:
     """Parts whose frequencies, taken together, are of bounded size."""
     waiting: list[tuple[int, int, Counter]] = []
@@ -174,28 +186,22 @@ def count_tokens(
     known = pre_token_table(rows, path, block)
     total = known.agg(F.sum("n")).first()[0] or 0
     is_common = F.col("n") * common > total
-    frequent = known.filter(is_common).select(F.col("key").alias("_frequent"), F.col("pieces").alias("_pieces"))
-    rare = known.filter(~is_common).select(F.col("key").alias("_rare"), F.col("pieces").alias("_rare_pieces"))
+    frequent = known.filter(is_common).select("key", "pieces").toArrow()
+    rare = known.filter(~is_common).select(F.col("key").alias("_rare"), "pieces")
 
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"row bigint, id {kind}, n_bytes bigint, special bigint, keys array<string>, counts array<bigint>"
-    # The entry without a key stands for the row itself: its id, size and special tokens.
-    entries = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("keys"), F.col("special").alias("counts"))), F.arrays_zip("keys", "counts"))
-    each = rows.mapInArrow(_frequencies(path, block), schema).select("row", "id", "n_bytes", F.explode(entries).alias("of"))
-    each = each.select("row", "id", "n_bytes", F.col("of.keys").alias("key"), F.col("of.counts").alias("n"))
-    joined = each.join(F.broadcast(frequent), F.col("key") == F.col("_frequent"), "left")
-    is_rare = F.col("key").isNotNull() & F.col("_frequent").isNull()
-    # What is common is summed before anything moves: one row per document is left, and one for each of its rare pre-tokens.
-    of_document = {c: F.when(~is_rare, F.col(c)) for c in ("id", "n_bytes")}
-    summed = joined.groupBy("row", F.when(is_rare, F.col("key")).alias("key")).agg(
-        *(F.max(c).alias(name) for name, c in of_document.items()),
-        F.sum(F.col("n") * F.coalesce("_pieces", F.lit(1))).alias("n"),
-    )
-    # Rows without a rare pre-token get a key of their own, so that they do not meet in one task.
-    own = F.coalesce("key", F.concat(F.lit("\n" * (LONG + 1)), F.col("row").cast("string")))
-    counted = summed.withColumn("_own", own).join(rare, F.col("_own") == F.col("_rare"), "left")
+    schema = f"row bigint, id {kind}, n_bytes bigint, tokens bigint, keys array<string>, counts array<bigint>"
+    of_each = rows.mapInArrow(_frequencies(path, block, frequent), schema)
+    # The entry without a key stands for the row itself: its id, size and the tokens known so far. Its own key keeps such rows
+    # from meeting in one task, and no pre-token has it.
+    own = F.concat(F.lit("\n" * (LONG + 1)), F.col("row").cast("string"))
+    itself = F.struct(own.alias("keys"), F.col("tokens").alias("counts"))
+    each = of_each.select("row", "id", "n_bytes", F.posexplode(F.concat(F.array(itself), F.arrays_zip("keys", "counts"))).alias("at", "of"))
+    of_row = {c: F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("id", "n_bytes")}
+    entries = each.select("row", of_row["id"], of_row["n_bytes"], F.col("of.keys").alias("key"), F.col("of.counts").alias("n"))
+    counted = entries.join(rare, F.col("key") == F.col("_rare"), "left")
     tokens = counted.groupBy("row").agg(
         F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"),
-        F.sum(F.col("n") * F.coalesce("_rare_pieces", F.lit(1))).alias("n_tokens"),
+        F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"),
     )
     return tokens.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -48,6 +48,20 @@ def test_each_pre_token_is_counted_once(spark, held):
     assert {r["key"]: r["n"] for r in table}[" common"] == 200
 
 
+def test_frequencies_move_once_by_pre_token(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = [*awkward_texts(), *(f"word{i} common words here" for i in range(50))]
+        got = T.count_tokens(documents(spark, texts), PATH, common=20)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # Frequencies and numbers of pieces by pre-token, then what is summed by row.
+        assert plan.count("Exchange hashpartitioning(") == 3, plan
+        check(got.collect(), texts, PATH)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_repeated_and_null_ids_stay_rows(spark):
     rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "a"), (None, "a b"), (None, None)], "doc_id bigint, text string")
     got = sorted(((r["doc_id"] or 0, r["n_tokens"]) for r in T.count_tokens(rows, PATH).collect()))
