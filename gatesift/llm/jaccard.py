@@ -6,7 +6,7 @@ order comes from a count sketch over all documents, whose size is fixed.
 
 Block skipping: entries of a shingle's list are grouped into blocks by set size and position. Whether two blocks can
 hold a linked pair follows from sizes and positions alone, so blocks are compared, not entries, and most are skipped.
-Derived answers: the members of a block are first compared with one member only, its leader, and leaders with leaders.
+Derived answers: the members of a block are first compared with one member only, its leader, and each leader with one other.
 What is linked makes up a component, and inside a component no answer is needed any more. The next rounds compare one
 leader per block and component, first with the largest component of the list, then with each other; the last one all
 entries of blocks that lie in different components and were not compared before, so no link between components is lost. While pairs are verified, the answers of a set are derived from
@@ -256,11 +256,25 @@ class Join:
         linked = 100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
         return saved(found.filter(linked).select("a", "b"))
 
-    def labelled(self, links: DataFrame) -> DataFrame:
-        """`class, comp` of every class that has a link."""
+    def merged(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """`class, comp` of every class that has a link, after further links.
+
+        Components are joined, not their members: a link counts once for the two components that it joins, however many
+        links there are between them.
+        """
         if _empty(links):
-            return links.select(F.col("a").alias("class"), F.col("b").alias("comp"))
-        return components(links).select(F.col("vertex").alias("class"), F.col("label").alias("comp"))
+            return links.select(F.col("a").alias("class"), F.col("b").alias("comp")) if labels is None else labels
+        if labels is None:
+            return components(links).select(F.col("vertex").alias("class"), F.col("label").alias("comp"))
+        for end in ("a", "b"):
+            known = labels.select(F.col("class").alias("_class"), F.col("comp").alias("_comp"))
+            links = links.join(known, F.col(end) == F.col("_class"), "left").withColumn(end, F.coalesce("_comp", end)).select("a", "b")
+        joined = saved(components(links.filter("a <> b").distinct()))
+        sizes = labels.groupBy("comp").agg(F.count("*").alias("_size"))
+        moved = saved(sizes.join(joined, F.col("comp") == F.col("vertex")).select("comp", "label", "_size"))
+        old = join_groups(labels, moved, "comp", "_size", labels.count()).select("class", F.coalesce("label", "comp").alias("comp"))
+        new = joined.join(labels, F.col("vertex") == F.col("class"), "left_anti").select(F.col("vertex").alias("class"), F.col("label").alias("comp"))
+        return old.unionByName(new)
 
     def run(self) -> DataFrame:
         """`class, comp` of every class that is linked with another."""
@@ -284,19 +298,27 @@ class Join:
 
         own = near.filter("lead_x = lead_y and n_x = n_y and pos_x = pos_y").select("token", F.col("n_x").alias("n"), F.col("pos_x").alias("pos"))
         members = active.join(own, place, "left_semi").filter("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b"))
-        leaders = near.filter("lead_x <> lead_y").select(F.least("lead_x", "lead_y").alias("a"), F.greatest("lead_x", "lead_y").alias("b"))
-        compared = saved(members.unionByName(leaders).distinct())
-        links = self.links_among(compared)
-        labels = saved(self.labelled(links))
+        compared = saved(members.unionByName(self._leaders(near)).distinct())
+        labels = saved(self.merged(None, self.links_among(compared)))
 
         for which in ("main", "leaders", "entries"):
             pairs = saved(self._between(active, labels, which).join(compared, ["a", "b"], "left_anti"))
             more = self.links_among(pairs)
-            compared, links = compared.unionByName(pairs), links.unionByName(more)
+            compared = compared.unionByName(pairs)
             if not _empty(more):
-                labels = saved(self.labelled(links))
+                labels = saved(self.merged(labels, more))
         return labels
 
+    def _leaders(self, near: DataFrame) -> DataFrame:
+        """Of every block its leader with one leader of the blocks that may hold a link with it, the smallest.
+
+        So there are no more pairs than blocks, and a group of near copies meets in few leaders. What this leaves apart
+        is compared in the rounds that follow.
+        """
+        sides = [near.select("token", *[F.col(f"{c}_{t}").alias(c) for c in ("n", "pos", "lead")], F.col(f"lead_{o}").alias("other")) for t, o in ("xy", "yx")]
+        chosen = sides[0].unionByName(sides[1]).filter("lead <> other").groupBy("token", "n", "pos", "lead").agg(F.min("other").alias("other"))
+        return chosen.select(F.least("lead", "other").alias("a"), F.greatest("lead", "other").alias("b"))
+
     def _between(self, active: DataFrame, labels: DataFrame, which: str) -> DataFrame:
         """Pairs from different components in blocks that may hold a link.
 

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from gatesift.llm import jaccard
 from gatesift.llm.components import components
 from gatesift.llm.jaccard import drop_linked, jaccard_components
 from gatesift.llm import shingles
@@ -55,6 +56,28 @@ def test_against_all_pairs(spark, words, percent):
     assert len(set(comps.values())) < len(comps) - 20
 
 
+def near_copies(n):
+    """Copies of one text, each with a few other words and a line of its own length: sizes and positions differ."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for k in range(rng.randrange(3)):
+            copy[rng.randrange(200)] = f"x{i}_{k}"
+        out.append(" ".join(copy + [f"y{i}_{k}" for k in range(rng.randrange(16))]))
+    return out
+
+
+def test_links_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    edges = []
+    monkeypatch.setattr(jaccard, "components", lambda links: (edges.append(links.count()), components(links))[1])
+    texts = near_copies(150)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(documents(spark, texts)).collect()}
+    assert got == brute(texts, 5, 80)[1]
+    assert sum(edges) < 10 * len(texts), edges
+
+
 def test_drop_linked(spark):
     texts = awkward_texts()
     docs = documents(spark, texts)
