@@ -7,7 +7,7 @@ in the text as the rules before have left it; 0 where a pack records no position
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from gatesift.functions import batches as B
 from gatesift.functions import text as T
 from gatesift.functions.expr import let, texts
 from gatesift.functions.regex import sql_text, to_java
-from gatesift.operators.rewrite import apply_rules, explode_hits, matching_rules, rule_column
+from gatesift.operators.rewrite import apply_rules, explode_hits, matching_rules, rule_column, rule_hits
 from gatesift.patterns import content as C
 from gatesift.patterns.indicators import IOC_RULES
 from gatesift.patterns.literals import LITERALS
@@ -66,24 +66,40 @@ def explode_detections(df: DataFrame, detections: Column, keep: Sequence[str]) -
     return long.select(*keep, "_d.*")
 
 
+def detect_together(df: DataFrame, text: str, keep: Sequence[str], packs: Sequence[Callable[[str], Column]]) -> DataFrame:
+    """Detections of several packs on the same texts, which are read and sent to the searches once."""
+    return explode_detections(df, F.concat(*[pack(text) for pack in packs]), keep)
+
+
+def command_injections(text: str) -> Column:
+    return hits_as_detections(rule_hits(text, C.COMMAND_RULES), C.COMMAND_RULES, pattern="regex", type_="command_injection")
+
+
 def detect_command_injection(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    found = apply_rules(text, C.COMMAND_RULES)["hits"]
-    return explode_detections(df, hits_as_detections(found, C.COMMAND_RULES, pattern="regex", type_="command_injection"), keep)
+    return explode_detections(df, command_injections(text), keep)
+
+
+def secrets(text: str) -> Column:
+    return hits_as_detections(rule_hits(text, SECRET_RULES), SECRET_RULES, "secret_")
 
 
 def detect_secrets(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    return explode_hits(df, apply_rules(text, SECRET_RULES)["hits"], SECRET_RULES, keep, "secret_")
+    return explode_hits(df, rule_hits(text, SECRET_RULES), SECRET_RULES, keep, "secret_")
 
 
 def detect_prompt_injection(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """Prompt phrasings on the spacing-collapsed text, and on its leet form at starts not yet seen."""
     prepared = df.withColumn("_t", T.collapse_spacing(F.col(text))).withColumn("_leet", T.normalize_leet(F.col("_t")))
-    found = apply_rules("_t", PROMPT_RULES, leet="_leet")["hits"]
+    found = rule_hits("_t", PROMPT_RULES, leet="_leet")
     return explode_hits(prepared, found, PROMPT_RULES, keep, "prompt_injection_")
 
 
+def indicators(text: str) -> Column:
+    return hits_as_detections(rule_hits(text, IOC_RULES), IOC_RULES, "prompt_injection_ioc_")
+
+
 def match_ioc(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    return explode_hits(df, apply_rules(text, IOC_RULES)["hits"], IOC_RULES, keep, "prompt_injection_ioc_")
+    return explode_hits(df, rule_hits(text, IOC_RULES), IOC_RULES, keep, "prompt_injection_ioc_")
 
 
 def literal_counts(normalized: Column) -> Column:
@@ -178,13 +194,17 @@ def sql_detections(rules: Column) -> Column:
     return F.transform(rules, lambda i: detection(F.lit("sql_injection"), shown_regex(C.SQL_RULES, i), F.lit("high")))
 
 
+def sql_injections(text: str, original: str | None = None) -> Column:
+    here = F.transform(rule_hits(text, C.SQL_RULES, first_only=True), lambda h: h["rule"])
+    return sql_detections(F.array_sort(F.array_union(here, matching_rules(original or text, C.SQL_RULES))))
+
+
 def detect_sql_injection(df: DataFrame, text: str, keep: Sequence[str], original: str | None = None) -> DataFrame:
-    run = df.withColumn("_r", sql_injection(text, original or text))
-    return explode_detections(run, sql_detections(F.col("_r.rules")), keep)
+    return explode_detections(df, sql_injections(text, original), keep)
 
 
 def detect_formula(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    found = apply_rules(text, C.FORMULA_RULES, first_only=True)["hits"]
+    found = rule_hits(text, C.FORMULA_RULES, first_only=True)
     return explode_detections(df, hits_as_detections(found, C.FORMULA_RULES, pattern="regex", type_="spreadsheet_formula"), keep)
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatesift.operators.rewrite import apply_rules, explode_hits
+from gatesift.operators.rewrite import apply_rules, explode_hits, rule_hits
 from gatesift.patterns.rule import Rule
 
 MOST_RULES = 1000  # a pack is one expression; larger tables are several packs
@@ -157,7 +157,7 @@ def match_pack(df: DataFrame, text: str, pack: DataFrame | Sequence[Rule], keep:
     rules = read_pack(pack) if isinstance(pack, DataFrame) else tuple(pack)
     if not rules:
         return df.select(*keep, *[F.lit(None).cast("string").alias(c) for c in ("type", "pattern", "severity")], F.lit(None).cast("bigint").alias("position")).limit(0)
-    return explode_hits(df, apply_rules(text, rules)["hits"], rules, keep, prefix)
+    return explode_hits(df, rule_hits(text, rules), rules, keep, prefix)
 
 
 def rewrite_with_pack(df: DataFrame, text: str, pack: DataFrame | Sequence[Rule], name: str = "rewritten") -> DataFrame:

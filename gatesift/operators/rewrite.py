@@ -2,13 +2,16 @@
 
 Each rule sees the text as earlier rules left it. A pack is one scalar Arrow function: no job and no shuffle per
 rule. Arrow's kernels search with RE2, the dialect of the packs, in linear time, so every rule is tried on every text
-at memory speed; only texts with a match are cut up and rewritten.
+at memory speed; only texts with a match are cut up and rewritten. What rules need is looked for first, for several rules at
+once, and a rule is tried on the texts that hold it.
 """
 
 from __future__ import annotations
 
+import re
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -26,6 +29,8 @@ from gatesift.patterns.rule import Rule
 HITS = "array<struct<rule:bigint,pos:int,ok:boolean>>"
 RESULT = pa.struct([("text", pa.string()), ("hits", pa.list_(pa.struct([("rule", pa.int64()), ("pos", pa.int32()), ("ok", pa.bool_())])))])
 ROWS = 1000  # texts which a pack runs over at a time
+GROUP = 8  # rules whose needed strings are looked for in one search
+BEYOND_ASCII = r"[^\x00-\x7F]"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -91,11 +96,81 @@ def _replaced(texts: pa.Array, at: pa.Array, new: pa.Array) -> pa.Array:
     return pc.replace_with_mask(texts, pa.array(changed), new)
 
 
-def _run(texts: pa.Array, leet: pa.Array | None, rules: Sequence[tuple[str, str, bool]], first_only: bool) -> tuple[pa.Array, list[list[tuple]]]:
+def _folded(text: str) -> str:
+    """Lower case, also of the two characters beyond ASCII which match ASCII letters without regard to case."""
+    return text.lower().replace("\u017f", "s").replace("\u212a", "k")
+
+
+def _may_make(marker: str, needle: str) -> bool:
+    """Whether a text may hold a string, once a match has become the marker, that it did not hold before."""
+    inside = marker in needle or needle in marker
+    return inside or any(marker.startswith(needle[i:]) or marker.endswith(needle[:i]) for i in range(1, len(needle)))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A pack as a task runs it: per rule expression, marker, Luhn check, screen (-1 for none) and what its marker may bring
+    about (needed string and screen); the screens; the longest needed string."""
+
+    rules: tuple[tuple[str, str, bool, int, tuple[tuple[str, int], ...]], ...]
+    screens: tuple[str, ...]
+    reach: int
+
+
+def planned(rules: Sequence[Rule]) -> Plan:
+    """Rules that need strings share screens by eights, long strings first, since these are rare."""
+    order = sorted((i for i, r in enumerate(rules) if r.needs), key=lambda i: (-min(map(len, rules[i].needs)), i))
+    groups = [order[i:i + GROUP] for i in range(0, len(order), GROUP)]
+    groups = [g for g in groups if len(g) > 1]
+    needles = [sorted({n for i in g for n in rules[i].needs}) for g in groups]
+    screens = ["(?i)" + "|".join(map(re.escape, n)) for n in needles]
+    of_rule = {i: k for k, g in enumerate(groups) for i in g}
+    foreign = [i for i, r in enumerate(rules) if r.non_ascii and i not in of_rule]
+    if len(foreign) > 1:
+        of_rule |= dict.fromkeys(foreign, len(screens))
+        screens.append(BEYOND_ASCII)
+        foreign_screen = len(screens) - 1
+    else:
+        foreign_screen = -1
+
+    def brings(marker: str) -> tuple[tuple[str, int], ...]:
+        made = [(_folded(n), k) for k, group in enumerate(needles) for n in group if _may_make(_folded(marker), _folded(n))]
+        return (*made, *([("", foreign_screen)] if foreign_screen >= 0 and not marker.isascii() else []))
+
+    made = {m: brings(m) for m in {r.marker for r in rules}}
+    reach = max((len(n) for group in needles for n in group), default=0)
+    return Plan(tuple((r.regex, r.marker, r.luhn, of_rule.get(i, -1), made[r.marker]) for i, r in enumerate(rules)), tuple(screens), reach)
+
+
+def _held(texts: pa.Array, screens: Sequence[str]) -> list[np.ndarray]:
+    """Per screen, which texts it matches."""
+    found = []
+    for screen in screens:
+        found.append(np.zeros(len(texts), dtype=bool))
+        found[-1][matching(texts, screen).to_numpy()] = True
+    return found
+
+
+def _tried(texts: pa.Array, regex: str, where: np.ndarray | None) -> pa.Array:
+    """Numbers of the texts which an expression matches, of those worth trying."""
+    if where is None or where.all():
+        return matching(texts, regex)
+    rows = np.flatnonzero(where)
+    return pa.array(rows[matching(texts.take(pa.array(rows)), regex).to_numpy()])
+
+
+def _seams(parts: list[str], reach: int) -> str:
+    """A text that was put together anew, without what lies far from what was put in."""
+    return "".join(p if i % 2 or len(p) <= 2 * reach else f"{p[:reach]}\0{p[-reach:]}" for i, p in enumerate(parts))
+
+
+def _run(texts: pa.Array, leet: pa.Array | None, plan: Plan, first_only: bool) -> tuple[pa.Array, list[list[tuple]]]:
     """The texts after the rules, and the hits of each."""
     hits: list[list[tuple]] = [[] for _ in range(len(texts))]
-    for k, (regex, marker, luhn) in enumerate(rules):
-        at = matching(texts, regex)
+    held = _held(texts, plan.screens)
+    held_leet = [] if leet is None else _held(leet, plan.screens)
+    for k, (regex, marker, luhn, screen, brings) in enumerate(plan.rules):
+        at = _tried(texts, regex, held[screen] if screen >= 0 else None)
         if len(at) and first_only:
             for row in at.to_pylist():
                 hits[row].append((k, 0, True))
@@ -107,10 +182,15 @@ def _run(texts: pa.Array, leet: pa.Array | None, rules: Sequence[tuple[str, str,
                     hits[row] += [(k, start, good) for start, good in zip(_starts(parts), ok, strict=True)]
                 parts[1::2] = [marker if good else m for m, good in zip(parts[1::2], ok, strict=True)]
                 new.append("".join(parts))
+                if brings:
+                    seams = _folded(_seams(parts, plan.reach))
+                    for needle, other in brings:
+                        if needle in seams:
+                            held[other][row] = True
             texts = _replaced(texts, at, pa.array(new, pa.string()))
         if leet is not None:
             # While both texts are the same the second can add nothing.
-            at = matching(leet, regex)
+            at = _tried(leet, regex, held_leet[screen] if screen >= 0 else None)
             at = at.filter(pc.not_equal(texts.take(at), leet.take(at)))
             if len(at):
                 for row, parts in zip(at.to_pylist(), cut(leet.take(at), regex), strict=True):
@@ -126,20 +206,39 @@ def _hit_lists(hits: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, ["rule", "pos", "ok"]))
 
 
-def _pack(rules: Sequence[tuple[str, str, bool]], first_only: bool) -> Callable[..., pa.Array]:
-    """A pack over a batch of texts, some rows at a time."""
+def _slices(texts: pa.Array, leet: pa.Array | None, plan: Plan, first_only: bool) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """A pack over a batch of texts, some rows at a time: the texts and the lists of hits."""
+    texts, leet = texts.cast(pa.string()), None if leet is None else leet.cast(pa.string())
+    for i in range(0, len(texts), ROWS):
+        text, hits = _run(texts.slice(i, ROWS), None if leet is None else leet.slice(i, ROWS), plan, first_only)
+        yield text, _hit_lists(hits)
+
+
+def _pack(plan: Plan, first_only: bool, with_text: bool) -> Callable[..., pa.Array]:
+    """What a task does with a batch: `struct(text, hits)`, or the hits alone."""
 
     def work(texts: pa.Array, leet: pa.Array | None = None) -> pa.Array:
-        texts, leet = texts.cast(pa.string()), None if leet is None else leet.cast(pa.string())
-        done = []
-        for i in range(0, len(texts), ROWS):
-            text, hits = _run(texts.slice(i, ROWS), None if leet is None else leet.slice(i, ROWS), rules, first_only)
-            done.append(pa.StructArray.from_arrays([text, _hit_lists(hits)], ["text", "hits"]))
-        return pa.concat_arrays(done) if done else pa.array([], RESULT)
+        slices = _slices(texts, leet, plan, first_only)
+        if with_text:
+            done = [pa.StructArray.from_arrays([text, hits], ["text", "hits"]) for text, hits in slices]
+        else:
+            done = [hits for _, hits in slices]
+        return pa.concat_arrays(done) if done else pa.array([], RESULT if with_text else RESULT.field("hits").type)
 
     return work
 
 
+def _function(text: str, rules: Sequence[Rule], first_only: bool, leet: str | None, with_text: bool) -> Column:
+    plan = planned(rules)
+    inputs = [valid(F.expr(t)) for t in (text, leet) if t is not None]
+    result = f"struct<text:string,hits:{HITS}>" if with_text else HITS
+    if leet is None:
+        run = F.arrow_udf(lambda t: _pack(plan, first_only, with_text)(t), result)
+    else:
+        run = F.arrow_udf(lambda t, other: _pack(plan, first_only, with_text)(t, other), result)
+    return run(*inputs)
+
+
 def apply_rules(text: str, rules: Sequence[Rule], *, first_only: bool = False, leet: str | None = None) -> Column:
     """`struct(text, hits)` after the rules have run over the SQL expression `text` in order.
 
@@ -147,24 +246,24 @@ def apply_rules(text: str, rules: Sequence[Rule], *, first_only: bool = False, l
     false for a match which failed its check. With `first_only` a rule gives one hit, position 0.
     `leet` names a second text which is searched as well; only starts not yet seen are added.
     """
-    plain = tuple((r.regex, r.marker, r.luhn) for r in rules)
-    inputs = [valid(F.expr(t)) for t in (text, leet) if t is not None]
-    if leet is None:
-        run = F.arrow_udf(lambda t: _pack(plain, first_only)(t), f"struct<text:string,hits:{HITS}>")
-    else:
-        run = F.arrow_udf(lambda t, other: _pack(plain, first_only)(t, other), f"struct<text:string,hits:{HITS}>")
-    return run(*inputs)
+    return _function(text, rules, first_only, leet, with_text=True)
+
+
+def rule_hits(text: str, rules: Sequence[Rule], *, first_only: bool = False, leet: str | None = None) -> Column:
+    """The hits of `apply_rules`; the rewritten texts stay in the task that searches them."""
+    return _function(text, rules, first_only, leet, with_text=False)
 
 
 def matching_rules(text: str, rules: Sequence[Rule]) -> Column:
     """Numbers of the rules which match the SQL expression `text` as it stands."""
-    expressions = tuple(r.regex for r in rules)
+    plan = planned(rules)
 
     def work(t: pa.Array) -> pa.Array:
         texts = t.cast(pa.string())
         found: list[list[int]] = [[] for _ in range(len(texts))]
-        for k, regex in enumerate(expressions):
-            for row in matching(texts, regex).to_pylist():
+        held = _held(texts, plan.screens)
+        for k, (regex, _, _, screen, _) in enumerate(plan.rules):
+            for row in _tried(texts, regex, held[screen] if screen >= 0 else None).to_pylist():
                 found[row].append(k)
         return pa.array(found, pa.list_(pa.int64()))
 

@@ -87,12 +87,8 @@ def _secret_detections(spark, sf):
 
 def _mixed_detections(spark, sf):
     """Detections of four packs on the same documents, as one long table."""
-    d = I.documents(spark, sf)
-    parts = [D.detect_command_injection, D.detect_secrets, D.detect_sql_injection, D.match_ioc]
-    long = parts[0](d, "text", KEEP)
-    for p in parts[1:]:
-        long = long.unionByName(p(d, "text", KEEP))
-    return long
+    packs = [D.command_injections, D.secrets, D.sql_injections, D.indicators]
+    return D.detect_together(I.documents(spark, sf), "text", KEEP, packs)
 
 
 def _risk_level(spark, sf):

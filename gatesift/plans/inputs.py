@@ -17,6 +17,7 @@ from gatesift.plans.duck import q, qlist
 
 EPOCH = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 SQUEEZE = 3000  # the event log spans 30 days; a traffic log of the same rows spans a quarter of an hour
+UNEVEN = 1.25  # times the even share of a core that one task may read of a text table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """The rows over all cores where a small table fills fewer partitions than there are cores.
+    """The rows over all cores where the tasks that read the files would share them unevenly.
 
-    Text scans are bound by the processor. A large table has far more splits than cores and is left
-    as it is, without a shuffle.
+    Text scans are bound by the processor, and a file has more splits than row groups: one task reads a row group whole, the
+    other splits are empty. So rows are counted per task, for which Spark reads no column.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    if max(rows, default=0) * cores <= UNEVEN * sum(rows):
+        return df
+    return df.repartition(max(cores, df.rdd.getNumPartitions()), key)
 
 
 def pick(values: list[str], number: Column) -> Column:

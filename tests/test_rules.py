@@ -5,11 +5,13 @@ import re
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gatesift.functions.regex import low_sql
-from gatesift.operators.rewrite import apply_rules, hit_sql
+from gatesift.operators import rewrite
+from gatesift.operators.rewrite import apply_rules, hit_sql, rule_hits
 from gatesift.patterns import content, regulated, responses
 from gatesift.patterns.indicators import IOC_RULES
 from gatesift.patterns.literals import LITERALS
@@ -130,3 +132,35 @@ def test_marks_and_empty_matches(spark):
     got = results(df, rules)
     assert got[0] == (f"-{first}-\\-0-{first}-", [(0, 1, True), *((1, i, True) for i in range(5))])
     assert got[1] == ("-\\-1-", [(1, 0, True), (1, 1, True), (1, 2, True)]) and got[2] == (None, [])
+
+
+def test_rules_are_tried_where_their_strings_stand():
+    """A rule searches the texts that hold what its screen looks for, not all of them."""
+    texts = pa.array(["plain words " * 20] * 90 + [f"{p} words" for p in samples.PAYLOADS[:10]])
+    plan = rewrite.planned(IOC_RULES)
+    assert sum(bool(r.needs) for r in IOC_RULES) == sum(0 <= s < len(plan.screens) - 1 for _, _, _, s, _ in plan.rules)
+    held = rewrite._held(texts, plan.screens)
+    assert not any(h[:90].any() for h in held) and any(h[90:].any() for h in held)
+    assert len(plan.screens) <= -(-len(IOC_RULES) // rewrite.GROUP) + 1
+
+
+def test_markers_may_make_what_a_later_rule_needs(spark):
+    """The later rules' strings arise only by the rewriting: inside a marker, over its edges, and where it is empty."""
+    rules = [
+        Rule("a", r"x+", marker="\u0131gno"), Rule("b", r"q+", marker="no STOP yet"), Rule("c", r"z+", marker=""), Rule("d", r"w+", marker="\u0436"),
+        Rule("e", r"(?i)gnore", needs=("gnore",)), Rule("f", r"(?i)stop", needs=("stop",)), Rule("g", r"(?i)bypass", needs=("bypass",)),
+        Rule("h", "\u0436", non_ascii=True), Rule("i", "[\u0436\u0437]", non_ascii=True),
+    ]
+    bare = [dataclasses.replace(r, needs=(), non_ascii=False) for r in rules]
+    rows = ["xxre", "q", "byzpass", "byzpa\u017fzs", "w", "gnzzore " + "long " * 40 + "xRE", None, "", "wzw"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    got = results(df, rules)
+    assert got == results(df, bare)
+    assert [[h[0] for h in got[i][1]] for i in range(6)] == [[0, 4], [1, 5], [2, 6], [2, 2, 6], [3, 7], [0, 2, 4, 4]]
+
+
+@pytest.mark.parametrize("pack", list(PACKS))
+def test_hits_alone_are_those_beside_the_text(spark, pack):
+    df = texts(spark)
+    alone = {r["i"]: [tuple(h) for h in r["h"]] for r in df.select("i", rule_hits("text", PACKS[pack]).alias("h")).collect()}
+    assert alone == {i: hits for i, (_, hits) in results(df, PACKS[pack]).items()}
