@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatesift.functions.expr import lookup, settled, texts
 from gatesift.operators.detect import explode_detections
-from gatesift.operators.rewrite import apply_rules, rule_column
+from gatesift.operators.rewrite import apply_rules, rule_column, rule_hits
 from gatesift.patterns import regulated as R
 from gatesift.patterns.rule import Rule
 
@@ -17,16 +17,22 @@ PACKS = {"pci": R.PCI_RULES, "phi": R.PHI_RULES, "pii": R.PII_RULES}
 VIOLATION = "struct<class:string,type:string,pattern:string,severity:string,position:bigint>"
 
 
-def violations(hits: Column, class_: str) -> Column:
-    """Hits of one pack as violations; a card number which fails its check is reported as low."""
-    rules = PACKS[class_]
+def rules_of(classes: Sequence[str]) -> list[Rule]:
+    """Packs one after the other: each sees what the one before has redacted."""
+    return [r for c in classes for r in PACKS[c]]
+
+
+def violations(hits: Column, classes: Sequence[str]) -> Column:
+    """Hits of packs that ran one after the other as violations; a card number which fails its check is reported as low."""
+    rules, owners = rules_of(classes), [c for c in classes for _ in PACKS[c]]
 
     def convert(h: Column) -> Column:
         name = rule_column(rules, "name", h["rule"])
+        class_ = F.element_at(texts(owners), (h["rule"] + 1).cast("int"))
         kind = F.when(h["ok"], name).otherwise(F.lit(R.UNVALIDATED))
         return F.struct(
-            F.lit(class_).alias("class"),
-            F.concat(F.lit(f"{class_}_"), kind).alias("type"),
+            class_.alias("class"),
+            F.concat(class_, F.lit("_"), kind).alias("type"),
             name.alias("pattern"),
             F.when(h["ok"], rule_column(rules, "severity", h["rule"])).otherwise(F.lit("low")).alias("severity"),
             h["pos"].cast("bigint").alias("position"),
@@ -36,7 +42,7 @@ def violations(hits: Column, class_: str) -> Column:
 
 
 def _detect(df: DataFrame, text: str, keep: Sequence[str], class_: str) -> DataFrame:
-    return explode_detections(df, violations(apply_rules(text, PACKS[class_])["hits"], class_), keep).drop("class")
+    return explode_detections(df, violations(rule_hits(text, PACKS[class_]), [class_]), keep).drop("class")
 
 
 def detect_pci(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
@@ -68,22 +74,26 @@ def scan_compliance(df: DataFrame, text: str, classes: Sequence[str] = ("pci", "
     """The input with `redacted`, `violations` and `compliance_risk`.
 
     Cards come first, so that phone and number patterns do not eat into them; each class sees what the
-    class before has redacted. A class which is left out adds no columns to the plan.
+    class before has redacted. All classes are one function, so a text is sent to its searches once.
     """
-    out, current, found = df, text, []
-    for class_ in classes:
-        out = out.withColumn(f"_{class_}", apply_rules(current, PACKS[class_]))
-        found.append(violations(F.col(f"_{class_}.hits"), class_))
-        current = f"_{class_}.text"
-    all_found = F.concat(F.expr(f"cast(array() AS array<{VIOLATION}>)"), *found)
-    result = settled(F.struct(F.col(current).alias("redacted"), all_found.alias("violations")))
-    out = out.select(*df.columns, result.alias("_result"))
+    none = F.expr(f"cast(array() AS array<{VIOLATION}>)")
+    if classes:
+        run = df.withColumn("_run", apply_rules(text, rules_of(classes)))
+        result = F.struct(F.col("_run.text").alias("redacted"), F.concat(none, violations(F.col("_run.hits"), classes)).alias("violations"))
+    else:
+        run, result = df, F.struct(F.col(text).alias("redacted"), none.alias("violations"))
+    out = run.select(*df.columns, settled(result).alias("_result"))
     risk = compliance_risk(F.col("_result.violations"))
     return out.select(*df.columns, "_result.redacted", "_result.violations", risk.alias("compliance_risk"))
 
 
+def find_violations(df: DataFrame, text: str, classes: Sequence[str] = ("pci", "phi", "pii")) -> DataFrame:
+    """The input with the `violations` of `scan_compliance`; redacted texts stay in the tasks that search them."""
+    return df.select(*df.columns, settled(violations(rule_hits(text, rules_of(classes)), classes)).alias("violations"))
+
+
 def violations_by_regulation(scanned: DataFrame) -> DataFrame:
-    """Violations and distinct patterns per regulation and severity, from the result of `scan_compliance`."""
+    """Violations and distinct patterns per regulation and severity, from the result of `scan_compliance` or `find_violations`."""
     found = scanned.select(F.explode("violations").alias("v")).select("v.*")
     return found.groupBy(lookup(F.col("class"), R.REGULATION).alias("regulation"), "severity").agg(
         F.count("*").alias("violations"), F.countDistinct("pattern").alias("patterns")

@@ -172,7 +172,7 @@ QUERIES = {
     "request_action": lambda spark, sf: G.request_action(_violations(spark, sf), _policy(spark), KEEP),
     "response_action": lambda spark, sf: G.response_action(_violations(spark, sf), _policy(spark), KEEP),
     "violation_summary": _summary,
-    "violations_by_regulation": lambda spark, sf: G.violations_by_regulation(G.scan_compliance(I.documents(spark, sf), "text")),
+    "violations_by_regulation": lambda spark, sf: G.violations_by_regulation(G.find_violations(I.documents(spark, sf), "text")),
     "redact_basic": _redact,
     "erase_user": _erase,
     "erasure_events": _erasure_events,

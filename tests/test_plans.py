@@ -44,7 +44,7 @@ def test_even_splits_are_left_alone(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["atlas_technique", "match_ioc", "pattern_pack"])
+@pytest.mark.parametrize("name", ["atlas_technique", "violations_by_regulation", "match_ioc", "pattern_pack"])
 def test_documents_are_read_and_searched_once(spark, name):
     """One scan of the texts, one step in Python, and no rewritten text on the way back."""
     plan = plan_of(registry.queries()[name](spark, SF))
