@@ -69,21 +69,37 @@ def find_all(text: Column, regex: str) -> Column:
     return F.arrow_udf(lambda t: work(t), "array<string>")(valid(text))
 
 
-def has_run(text: Column, blank: str, run: int, min_bytes: int, min_words: int) -> Column:
+def runs_in(texts: pa.Array, blank: str, run: int, min_bytes: int, min_words: int) -> np.ndarray:
     """True where, among more than `min_words` words, one of more than `min_bytes` bytes stands `run` times in a row."""
+    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), blank)
+    words, row = lists.flatten(), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    held = np.bincount(row[size > 0], minlength=len(texts)) > min_words
+    result = np.zeros(len(texts), dtype=bool)
+    if len(words) >= run:
+        same = pc.equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False) & (row[1:] == row[:-1])
+        before = np.concatenate([[0], np.cumsum(same)])
+        start = np.flatnonzero(before[run - 1:] - before[: len(before) - run + 1] == run - 1)
+        result[row[start[size[start] > min_bytes]]] = True
+    return result & held
 
-    def work(t: pa.Array) -> pa.Array:
-        texts = t.cast(pa.string())
-        lists = pc.split_pattern_regex(pc.fill_null(texts, ""), blank)
-        words, row = lists.flatten(), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-        size = pc.binary_length(words).to_numpy(zero_copy_only=False)
-        held = np.bincount(row[size > 0], minlength=len(texts)) > min_words
-        result = np.zeros(len(texts), dtype=bool)
-        if len(words) >= run:
-            same = pc.equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False) & (row[1:] == row[:-1])
-            before = np.concatenate([[0], np.cumsum(same)])
-            start = np.flatnonzero(before[run - 1:] - before[: len(before) - run + 1] == run - 1)
-            result[row[start[size[start] > min_bytes]]] = True
-        return pa.array(result & held)
 
-    return F.arrow_udf(lambda t: work(t), "boolean")(valid(text))
+def has_run(text: Column, blank: str, run: int, min_bytes: int, min_words: int) -> Column:
+    """`runs_in` as a column."""
+    return F.arrow_udf(lambda t: pa.array(runs_in(t.cast(pa.string()), blank, run, min_bytes, min_words)), "boolean")(valid(text))
+
+
+def compact(texts: pa.Array) -> pa.Array:
+    """The same texts in buffers of their own, without what else a slice refers to."""
+    return texts.take(pa.array(np.arange(len(texts))))
+
+
+def slices(texts: pa.Array, rows: int, size: int) -> Iterator[pa.Array]:
+    """The texts some rows at a time: at most `rows`, and no more than fit into `size` bytes unless one alone is larger."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts) or not at:
+        before = int(ends[at - 1]) if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))), len(texts))
+        yield texts.slice(at, stop - at)
+        at = max(stop, 1)

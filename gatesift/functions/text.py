@@ -19,8 +19,8 @@ _LOWER = _UPPER.lower()
 # Mathematical bold and bold italic: four runs of 26 letters from U+1D400.
 _MATH = "".join(map(chr, range(0x1D400, 0x1D400 + 104)))
 # The same white space for RE2, whose `\s` lacks the vertical tab; a run of any ASCII character.
-_RE2_BLANK = BLANK.replace(r"\s", r"\t\n\x0B\f\r ")
-WORD_GAP = f"[{_RE2_BLANK}]+"
+RE2_BLANK = BLANK.replace(r"\s", r"\t\n\x0B\f\r ")
+WORD_GAP = f"[{RE2_BLANK}]+"
 CHARACTER_RUN = "|".join(f"\\x{{{c:X}}}{{{C.CHAR_RUN}}}" for c in range(128))
 FOLD_FROM = "".join(C.CONFUSABLES) + _FULLWIDTH + _MATH
 FOLD_TO = "".join(C.CONFUSABLES.values()) + _FULLWIDTH_ASCII + (_UPPER + _LOWER) * 2

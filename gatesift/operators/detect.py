@@ -102,10 +102,10 @@ def match_ioc(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     return explode_hits(df, rule_hits(text, IOC_RULES), IOC_RULES, keep, "prompt_injection_ioc_")
 
 
-def literal_counts(normalized: Column) -> Column:
-    """Array of `(id, technique, severity, hits)` for the literals in a normalised text.
+def counted_literals(normalized: Column) -> Column:
+    """Array of `(id, technique, severity, hits)` for the literals in a normalised text, each looked for by itself.
 
-    `hits` counts overlapping occurrences.
+    `hits` counts overlapping occurrences; NULL has none.
     """
     names = ("literal", "id", "technique", "severity")
     structs = ", ".join(
@@ -122,9 +122,13 @@ def literal_counts(normalized: Column) -> Column:
             ),
         )
 
-    # Most texts hold none of the literals; these are looked for one by one in the others only.
+    return let(normalized, counted)
+
+
+def literal_counts(normalized: Column) -> Column:
+    """`counted_literals`, where most texts hold none: one search finds the others."""
     any_literal = "|".join(re.escape(row[0]) for row in LITERALS)
-    return let(F.when(B.has_match(normalized, any_literal), normalized), counted)
+    return counted_literals(F.when(B.has_match(normalized, any_literal), normalized))
 
 
 def match_literals(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
@@ -155,14 +159,13 @@ def encoded_xss(text: Column) -> Column:
 def detect_xss(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """Active content, then active content hidden in base64 within what is left."""
     run = df.withColumn("_r", apply_rules(text, C.XSS_RULES, first_only=True))
-    return explode_detections(run, xss_detections("_r"), keep)
+    return explode_detections(run, xss_detections(F.col("_r.hits"), encoded_xss(F.col("_r.text"))), keep)
 
 
-def xss_detections(result: str, blobs: Column | None = None) -> Column:
-    """Detections of the pack's result, then of the base64 runs (found in its text unless given)."""
-    plain = hits_as_detections(F.col(f"{result}.hits"), C.XSS_RULES, pattern="kind")
-    hidden = encoded_xss(F.col(f"{result}.text")) if blobs is None else blobs
-    return F.concat(plain, F.transform(hidden, lambda b: detection(F.lit(C.ENCODED_XSS_TYPE), b, F.lit("high"))))
+def xss_detections(hits: Column, blobs: Column) -> Column:
+    """Detections of the pack's hits, then of the base64 runs that hold active content."""
+    plain = hits_as_detections(hits, C.XSS_RULES, pattern="kind")
+    return F.concat(plain, F.transform(blobs, lambda b: detection(F.lit(C.ENCODED_XSS_TYPE), b, F.lit("high"))))
 
 
 def detect_encoded_xss(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
@@ -170,26 +173,6 @@ def detect_encoded_xss(df: DataFrame, text: str, keep: Sequence[str]) -> DataFra
     return explode_detections(df, hidden, keep)
 
 
-def sql_injection(current: str, original: str) -> Column:
-    """`(text, rules)`: rewritten text and the rules which match it or the original text.
-
-    Where a signature stands only in the original, because an earlier pack has eaten it, the marker is
-    appended, once, unless a rewrite has put it there before.
-    """
-    run = F.struct(apply_rules(current, C.SQL_RULES, first_only=True).alias("r"), matching_rules(original, C.SQL_RULES).alias("o"))
-
-    def combine(x: Column) -> Column:
-        here = F.transform(x["r"]["hits"], lambda h: h["rule"])
-        rules = F.array_sort(F.array_union(here, x["o"]))
-        lost = F.array_except(x["o"], here)
-        first_lost, first_here = F.array_min(lost), F.coalesce(F.array_min(here), F.lit(len(C.SQL_RULES)).cast("bigint"))
-        append = first_lost.isNotNull() & (first_lost < first_here) & ~F.contains(F.expr(current), F.lit(C.SQL_MARKER))
-        text = F.when(append, F.concat(x["r"]["text"], F.lit(" " + C.SQL_MARKER))).otherwise(x["r"]["text"])
-        return F.struct(text.alias("text"), rules.alias("rules"))
-
-    return let(run, combine)
-
-
 def sql_detections(rules: Column) -> Column:
     return F.transform(rules, lambda i: detection(F.lit("sql_injection"), shown_regex(C.SQL_RULES, i), F.lit("high")))
 
@@ -209,7 +192,10 @@ def detect_formula(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
 
 
 def homoglyph_detections(text: Column) -> Column:
-    letters = F.filter(texts(C.HOMOGLYPHS), lambda c: F.contains(text, c))
+    return glyph_detections(F.filter(texts(C.HOMOGLYPHS), lambda c: F.contains(text, c)))
+
+
+def glyph_detections(letters: Column) -> Column:
     return F.transform(letters, lambda c: detection(F.lit("homoglyph"), c, F.lit("medium")))
 
 
@@ -223,12 +209,11 @@ def base64_injections(text: Column) -> Column:
         base64_blobs(text),
         lambda x: F.exists(texts(C.BASE64_KEYWORDS), lambda k: F.contains(F.lower(x["body"]), k)),
     )
-    return F.transform(
-        hidden,
-        lambda x: detection(
-            F.lit("base64_encoded_injection"), x["blob"], F.lit("critical"), F.position(x["blob"], text) - 1
-        ),
-    )
+    return F.transform(hidden, lambda x: base64_detection(x["blob"], F.position(x["blob"], text) - 1))
+
+
+def base64_detection(blob: Column, position: Column) -> Column:
+    return detection(F.lit("base64_encoded_injection"), blob, F.lit("critical"), position)
 
 
 def detect_base64_injection(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:

@@ -254,20 +254,20 @@ def rule_hits(text: str, rules: Sequence[Rule], *, first_only: bool = False, lee
     return _function(text, rules, first_only, leet, with_text=False)
 
 
+def hit_rules(texts: pa.Array, plan: Plan) -> list[list[int]]:
+    """Numbers of the rules which match the texts as they stand."""
+    found: list[list[int]] = [[] for _ in range(len(texts))]
+    held = _held(texts, plan.screens)
+    for k, (regex, _, _, screen, _) in enumerate(plan.rules):
+        for row in _tried(texts, regex, held[screen] if screen >= 0 else None).to_pylist():
+            found[row].append(k)
+    return found
+
+
 def matching_rules(text: str, rules: Sequence[Rule]) -> Column:
     """Numbers of the rules which match the SQL expression `text` as it stands."""
     plan = planned(rules)
-
-    def work(t: pa.Array) -> pa.Array:
-        texts = t.cast(pa.string())
-        found: list[list[int]] = [[] for _ in range(len(texts))]
-        held = _held(texts, plan.screens)
-        for k, (regex, _, _, screen, _) in enumerate(plan.rules):
-            for row in _tried(texts, regex, held[screen] if screen >= 0 else None).to_pylist():
-                found[row].append(k)
-        return pa.array(found, pa.list_(pa.int64()))
-
-    return F.arrow_udf(lambda t: work(t), "array<bigint>")(valid(F.expr(text)))
+    return F.arrow_udf(lambda t: pa.array(hit_rules(t.cast(pa.string()), plan), pa.list_(pa.int64())), "array<bigint>")(valid(F.expr(text)))
 
 
 def rule_column(rules: Sequence[Rule], attribute: str, index: Column) -> Column:

@@ -1,7 +1,7 @@
 """The whole content pipeline: fold, packs in order, heuristics, risk.
 
-Each stage reads the text the stage before has left; there is no shuffle, and packs run over Arrow batches
-(`rewrite`). Detections leave as one array column and are exploded only on request.
+Each stage reads the text the stage before has left; there is no shuffle, and all searches are one function over Arrow
+batches (`cleaning`). Detections leave as one array column and are exploded only on request.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from gatesift.functions import text as T
 from gatesift.functions.expr import settled
 from gatesift.operators import detect as D
 from gatesift.operators import verdict as V
-from gatesift.operators.rewrite import apply_rules
+from gatesift.operators.cleaning import cleaned
 from gatesift.patterns import content as C
 from gatesift.patterns.indicators import IOC_RULES, MARKER
 from gatesift.patterns.prompts import PROMPT_RULES
@@ -24,10 +24,6 @@ from gatesift.patterns.secrets import SECRET_RULES
 STAGES = ("fold", "commands", "secrets", "content", "prompts")
 
 
-def _replace_blobs(text: Column, blobs: Column) -> Column:
-    return F.aggregate(blobs, text, lambda t, b: F.replace(t, b, F.lit(C.ENCODED_XSS_MARKER)))
-
-
 def sanitize_columns(df: DataFrame, text: str, stages: Sequence[str] = STAGES) -> DataFrame:
     """Adds `sanitized` and `detections`. A stage which is left out adds no columns to the plan."""
     out = df
@@ -37,47 +33,37 @@ def sanitize_columns(df: DataFrame, text: str, stages: Sequence[str] = STAGES) -
     if "fold" in stages:
         n = T.folded_count(F.col(text))
         note = D.detection(F.lit("confusables_fold"), F.concat(n.cast("string"), F.lit(" runes folded")), F.lit("low"))
-        out = out.withColumns({"_fold": T.fold_confusables(F.col(text)), "_folded": D.one_if(n > 0, note)})
-        found.append(F.col("_folded"))
+        found.append(D.one_if(n > 0, note))
+    if set(stages) - {"fold"}:
+        out = out.withColumn("_run", cleaned(text, stages))
+        current = "_run.text"
+    elif "fold" in stages:
+        out = out.withColumn("_fold", T.fold_confusables(F.col(text)))
         current = "_fold"
     if "commands" in stages:
-        out = out.withColumn("_cmd", apply_rules(current, C.COMMAND_RULES))
-        found.append(D.hits_as_detections(F.col("_cmd.hits"), C.COMMAND_RULES, pattern="regex", type_="command_injection"))
-        current = "_cmd.text"
+        found.append(D.hits_as_detections(F.col("_run.cmd"), C.COMMAND_RULES, pattern="regex", type_="command_injection"))
     if "secrets" in stages:
-        out = out.withColumn("_sec", apply_rules(current, SECRET_RULES))
-        found.append(D.hits_as_detections(F.col("_sec.hits"), SECRET_RULES, "secret_"))
-        current = "_sec.text"
+        found.append(D.hits_as_detections(F.col("_run.sec"), SECRET_RULES, "secret_"))
     if "content" in stages:
-        out = out.withColumn("_xss", apply_rules(current, C.XSS_RULES, first_only=True))
-        out = out.withColumn("_blobs", D.encoded_xss(F.col("_xss.text")))
-        out = out.withColumn("_plain", _replace_blobs(F.col("_xss.text"), F.col("_blobs")))
-        out = out.withColumn("_sql", D.sql_injection("_plain", text))
-        out = out.withColumn("_glyph", F.regexp_replace("_sql.text", f"[{C.HOMOGLYPHS}]", C.HOMOGLYPH_MARKER))
-        out = out.withColumn("_form", apply_rules("_glyph", C.FORMULA_RULES, first_only=True))
         found += [
-            D.xss_detections("_xss", F.col("_blobs")),
-            D.sql_detections(F.col("_sql.rules")),
-            D.homoglyph_detections(F.col("_sql.text")),
-            D.hits_as_detections(F.col("_form.hits"), C.FORMULA_RULES, pattern="regex", type_="spreadsheet_formula"),
+            D.xss_detections(F.col("_run.xss"), F.col("_run.blobs")),
+            D.sql_detections(F.col("_run.sql")),
+            D.glyph_detections(F.col("_run.glyphs")),
+            D.hits_as_detections(F.col("_run.form"), C.FORMULA_RULES, pattern="regex", type_="spreadsheet_formula"),
         ]
-        current = "_form.text"
     if "prompts" in stages:
-        out = out.withColumns({"_b64": D.base64_injections(F.col(current)), "_flat": T.collapse_spacing(F.col(current))})
-        out = out.withColumn("_leet", T.normalize_leet(F.col("_flat")))
-        out = out.withColumn("_prompt", apply_rules("_flat", PROMPT_RULES, leet="_leet"))
-        out = out.withColumn("_ioc", apply_rules("_prompt.text", IOC_RULES))
-        out = out.withColumn("_normal", T.normalize_for_match(F.col("_ioc.text")))
-        out = out.withColumn("_lit", D.literal_counts(F.col("_normal")))
-        # Settled, since Spark loses functions over batches whose argument is itself an expression with lambdas.
-        out = out.withColumn("_marked", settled(F.when(F.size("_lit") > 0, F.lit(MARKER)).otherwise(F.col("_ioc.text"))))
+        out = out.withColumn("_lit", D.counted_literals(F.when(F.col("_run.literal"), T.normalize_for_match(F.col("_run.text")))))
+        marked = F.size("_lit") > 0  # the marker itself repeats nothing
+        # Settled, since the tests that follow would each compute it.
+        text_now = F.when(marked, F.lit(MARKER)).otherwise(F.col("_run.text"))
+        out = out.withColumn("_now", settled(F.struct(text_now.alias("text"), (F.col("_run.repeats") & ~marked).alias("repeats"))))
         found += [
-            F.col("_b64"),
-            D.hits_as_detections(F.col("_prompt.hits"), PROMPT_RULES, "prompt_injection_"),
-            D.hits_as_detections(F.col("_ioc.hits"), IOC_RULES, "prompt_injection_ioc_"),
+            F.transform("_run.b64", lambda b: D.base64_detection(b["blob"], b["pos"])),
+            D.hits_as_detections(F.col("_run.prompt"), PROMPT_RULES, "prompt_injection_"),
+            D.hits_as_detections(F.col("_run.ioc"), IOC_RULES, "prompt_injection_ioc_"),
             _literal_detections(F.col("_lit")),
         ]
-        out, heuristics, current = _advanced(out, "_marked")
+        out, heuristics, current = _advanced(out, "_now.text", F.col("_now.repeats"))
         found += heuristics
     result = F.struct(F.col(current).alias("sanitized"), F.concat(F.expr(D.NONE), *found).alias("detections"))
     out = out.select(*df.columns, settled(result).alias("_result"))
@@ -95,10 +81,10 @@ def _literal_detections(found: Column) -> Column:
     return F.flatten(each)
 
 
-def _advanced(out: DataFrame, current: str) -> tuple[DataFrame, list[Column], str]:
+def _advanced(out: DataFrame, current: str, repeats: Column) -> tuple[DataFrame, list[Column], str]:
     """Repetition, stuffing and invisible characters; each rewrite is seen by the next test."""
     steps = (
-        (T.has_repetition, T.limit_repetition, "repetition", "repetition_attack", "medium"),
+        (lambda _: repeats, T.limit_repetition, "repetition", "repetition_attack", "medium"),
         (T.is_stuffed, T.truncate_stuffed, "stuffing", "prompt_stuffing", "high"),
         (T.has_invisible, T.strip_invisible, "unicode", "suspicious_unicode", "medium"),
     )
@@ -137,8 +123,8 @@ def top_technique(detections: Column) -> Column:
 
 def scan_app_html(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """Active content in HTML which a client will render: detections, risk, and blocked for any hit."""
-    run = df.select(*keep, apply_rules(html, C.XSS_RULES, first_only=True).alias("_r"))
-    found = run.select(*keep, settled(D.xss_detections("_r")).alias("_d"))
+    run = df.select(*keep, cleaned(html, ("active",), with_text=False).alias("_r"))
+    found = run.select(*keep, settled(D.xss_detections(F.col("_r.xss"), F.col("_r.blobs"))).alias("_d"))
     return found.select(
         *keep,
         F.size("_d").cast("bigint").alias("detections"),
