@@ -69,24 +69,24 @@ def find_all(text: Column, regex: str) -> Column:
     return F.arrow_udf(lambda t: work(t), "array<string>")(valid(text))
 
 
-def runs_in(texts: pa.Array, blank: str, run: int, min_bytes: int, min_words: int) -> np.ndarray:
-    """True where, among more than `min_words` words, one of more than `min_bytes` bytes stands `run` times in a row."""
+def runs_in(texts: pa.Array, blank: str, run: int, min_bytes: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """True where, among more than `min_words` words, one of more than `min_bytes` bytes stands `run` times in a row; how many words there are."""
     lists = pc.split_pattern_regex(pc.fill_null(texts, ""), blank)
     words, row = lists.flatten(), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
     size = pc.binary_length(words).to_numpy(zero_copy_only=False)
-    held = np.bincount(row[size > 0], minlength=len(texts)) > min_words
+    count = np.bincount(row[size > 0], minlength=len(texts))
     result = np.zeros(len(texts), dtype=bool)
     if len(words) >= run:
         same = pc.equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False) & (row[1:] == row[:-1])
         before = np.concatenate([[0], np.cumsum(same)])
         start = np.flatnonzero(before[run - 1:] - before[: len(before) - run + 1] == run - 1)
         result[row[start[size[start] > min_bytes]]] = True
-    return result & held
+    return result & (count > min_words), count
 
 
 def has_run(text: Column, blank: str, run: int, min_bytes: int, min_words: int) -> Column:
-    """`runs_in` as a column."""
-    return F.arrow_udf(lambda t: pa.array(runs_in(t.cast(pa.string()), blank, run, min_bytes, min_words)), "boolean")(valid(text))
+    """The first result of `runs_in` as a column."""
+    return F.arrow_udf(lambda t: pa.array(runs_in(t.cast(pa.string()), blank, run, min_bytes, min_words)[0]), "boolean")(valid(text))
 
 
 def compact(texts: pa.Array) -> pa.Array:

@@ -43,6 +43,7 @@ NEIGHBOURS, GAP = f"[^{RE2_BLANK}][^{RE2_BLANK}]", WORD_GAP
 PYTHON_GAP = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", WORD_GAP)
 LEET = bytes.maketrans(*(s.encode() for s in C.LEET_PROMPT))
 CHARACTERS, WORD_RUN, WORD_BYTES, WORDS = CHARACTER_RUN, C.WORD_RUN, C.WORD_RUN_MIN_LENGTH, C.WORD_RUN_MIN_WORDS
+STUFFING_BYTES, STUFFING_WORDS = C.STUFFING_BYTES, C.STUFFING_WORDS
 
 # The letters that the literal matcher reads, without anything between them: where a normalised text holds a literal, its
 # letters hold the letters of the literal.
@@ -58,7 +59,7 @@ FIELDS = {
     "secrets": {"sec": HITS},
     "active": {"xss": HITS, "blobs": "array<string>"},
     "content": {"xss": HITS, "blobs": "array<string>", "sql": "array<bigint>", "glyphs": "array<string>", "form": HITS},
-    "prompts": {"b64": "array<struct<blob:string,pos:bigint>>", "prompt": HITS, "ioc": HITS, "literal": "boolean", "repeats": "boolean"},
+    "prompts": {"b64": "array<struct<blob:string,pos:bigint>>", "prompt": HITS, "ioc": HITS, "literal": "boolean", "repeats": "boolean", "stuffed": "boolean"},
 }
 
 
@@ -159,10 +160,12 @@ def may_hold_literal(texts: pa.Array) -> np.ndarray:
     return found
 
 
-def _repeats(texts: pa.Array) -> np.ndarray:
-    found = runs_in(texts, GAP, WORD_RUN, WORD_BYTES, WORDS)
-    found[matching(texts, CHARACTERS).to_numpy()] = True
-    return found
+def heuristics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """`has_repetition` and `is_stuffed` over a batch, false for NULL."""
+    repeats, words = runs_in(texts, GAP, WORD_RUN, WORD_BYTES, WORDS)
+    repeats[matching(texts, CHARACTERS).to_numpy()] = True
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    return repeats, (size > STUFFING_BYTES) & (words > STUFFING_WORDS)
 
 
 def _work(stages: Sequence[str], plans: dict[str, Plan], original: pa.Array) -> dict[str, pa.Array]:
@@ -191,7 +194,8 @@ def _work(stages: Sequence[str], plans: dict[str, Plan], original: pa.Array) ->
         texts, hits = _run(texts, leet(texts), plans["prompt"], False)
         out |= {"b64": pa.array(b64, BLOBS), "prompt": _hit_lists(hits)}
         texts, hits = _run(texts, None, plans["ioc"], False)
-        out |= {"ioc": _hit_lists(hits), "literal": pa.array(may_hold_literal(texts)), "repeats": pa.array(_repeats(texts))}
+        repeats, stuffed = heuristics(texts)
+        out |= {"ioc": _hit_lists(hits), "literal": pa.array(may_hold_literal(texts)), "repeats": pa.array(repeats), "stuffed": pa.array(stuffed)}
     return out | {"text": texts}
 
 
@@ -202,7 +206,7 @@ def cleaned(text: str, stages: Sequence[str], with_text: bool = True) -> Column:
     """A struct of what the stages find in the SQL expression `text`, in order, and the `text` that they leave.
 
     `active` is the first step of `content` alone: active content, as it stands and in base64. `literal` says whether the
-    normalised text may hold a literal indicator, `repeats` whether characters or words repeat.
+    normalised text may hold a literal indicator, `repeats` whether characters or words repeat, `stuffed` whether it is too long.
     """
     kinds = {name: kind for stage, own in FIELDS.items() if stage in stages for name, kind in own.items()} | ({"text": "string"} if with_text else {})
     plans = {name: planned(rules) for name, rules in RULES.items() if name in kinds}

@@ -53,17 +53,19 @@ def sanitize_columns(df: DataFrame, text: str, stages: Sequence[str] = STAGES) -
         ]
     if "prompts" in stages:
         out = out.withColumn("_lit", D.counted_literals(F.when(F.col("_run.literal"), T.normalize_for_match(F.col("_run.text")))))
-        marked = F.size("_lit") > 0  # the marker itself repeats nothing
-        # Settled, since the tests that follow would each compute it.
-        text_now = F.when(marked, F.lit(MARKER)).otherwise(F.col("_run.text"))
-        out = out.withColumn("_now", settled(F.struct(text_now.alias("text"), (F.col("_run.repeats") & ~marked).alias("repeats"))))
+        marked = F.size("_lit") > 0  # the marker itself neither repeats anything nor is long
+        now = F.struct(
+            F.when(marked, F.lit(MARKER)).otherwise(F.col("_run.text")).alias("text"),
+            (F.col("_run.repeats") & ~marked).alias("repeats"), (F.col("_run.stuffed") & ~marked).alias("stuffed"),
+        )
+        out = out.withColumn("_now", settled(now))  # settled, since the tests that follow would each compute it
         found += [
             F.transform("_run.b64", lambda b: D.base64_detection(b["blob"], b["pos"])),
             D.hits_as_detections(F.col("_run.prompt"), PROMPT_RULES, "prompt_injection_"),
             D.hits_as_detections(F.col("_run.ioc"), IOC_RULES, "prompt_injection_ioc_"),
             _literal_detections(F.col("_lit")),
         ]
-        out, heuristics, current = _advanced(out, "_now.text", F.col("_now.repeats"))
+        out, heuristics, current = _advanced(out, "_now")
         found += heuristics
     result = F.struct(F.col(current).alias("sanitized"), F.concat(F.expr(D.NONE), *found).alias("detections"))
     out = out.select(*df.columns, settled(result).alias("_result"))
@@ -81,11 +83,15 @@ def _literal_detections(found: Column) -> Column:
     return F.flatten(each)
 
 
-def _advanced(out: DataFrame, current: str, repeats: Column) -> tuple[DataFrame, list[Column], str]:
-    """Repetition, stuffing and invisible characters; each rewrite is seen by the next test."""
+def _advanced(out: DataFrame, now: str) -> tuple[DataFrame, list[Column], str]:
+    """Repetition, stuffing and invisible characters; each rewrite is seen by the next test.
+
+    `now` has the text with the results of the first two tests, of which the second is made again where the first led to a rewrite.
+    """
+    repeats, current = F.col(f"{now}.repeats"), f"{now}.text"
     steps = (
         (lambda _: repeats, T.limit_repetition, "repetition", "repetition_attack", "medium"),
-        (T.is_stuffed, T.truncate_stuffed, "stuffing", "prompt_stuffing", "high"),
+        (lambda t: F.when(repeats, T.is_stuffed(t)).otherwise(F.col(f"{now}.stuffed")), T.truncate_stuffed, "stuffing", "prompt_stuffing", "high"),
         (T.has_invisible, T.strip_invisible, "unicode", "suspicious_unicode", "medium"),
     )
     found = []

@@ -53,15 +53,27 @@ def test_no_literal_is_missed(spark):
 def test_repetition_and_blobs_as_columns(spark):
     rows = frame(spark).orderBy("i").select(T.has_repetition(F.col("text")), D.encoded_xss(F.col("text")), F.transform(D.base64_injections(F.col("text")), lambda d: d["pattern"])).collect()
     texts = pa.array(TEXTS, pa.string())
-    assert K._repeats(texts).tolist() == [bool(r[0]) for r in rows]
+    assert K.heuristics(texts)[0].tolist() == [bool(r[0]) for r in rows]
     for k, test in ((1, K._active), (2, K._injecting)):
         found = K.hidden(texts, test)
         assert [found.get(i, []) for i in range(len(TEXTS))] == [r[k] for r in rows]
     assert [r[1] for r in rows].count([SCRIPT]) == 1 and [r[2] for r in rows].count([BLOB]) == 1
 
 
-def test_marker_of_a_literal_does_not_repeat():
-    assert not K._repeats(pa.array([MARKER])).any()
+def test_marker_of_a_literal_neither_repeats_nor_is_long():
+    assert not any(found.any() for found in K.heuristics(pa.array([MARKER])))
+
+
+def test_stuffing(spark):
+    """More than 10,000 bytes and 2,000 words; counted again where repetition was cut first."""
+    long = [" ".join(f"w{i:0{n}}" for i in range(words)) for n, words in ((4, 2000), (4, 2001), (9, 1500), (5, 3000))]
+    texts = [*long, "ab c " * 1500, "　".join(long[1].split()), "same\u00a0" * 3000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    expected = [bool(r[0]) for r in df.orderBy("i").select(T.is_stuffed(F.col("text"))).collect()]
+    assert K.heuristics(pa.array(texts, pa.string()))[1].tolist() == expected == [False, True, False, True, False, True, True, False]
+    rows = Z.sanitize_content(df, "text", stages=("prompts",)).orderBy("i").collect()
+    assert [[d["pattern"] for d in r["detections"]] for r in rows] == [[], ["prompt_stuffing"], [], ["prompt_stuffing"], [], ["prompt_stuffing"], ["repetition_attack"], []]
+    assert len(rows[1]["sanitized"].split()) == 1001
 
 
 def test_stages_apart_find_what_the_columns_find(spark):
