@@ -45,6 +45,7 @@ SHARD_WORDS = 1 << 19  # words after which a shard is closed
 OPEN_WORDS = 3 << 19  # words in the open shards of a task, all languages together
 SIEVED = 1 << 20  # phrases of a task that are summed up together
 LEAST_RANGES, RANGE_BITS = 256, 20  # ranges of codes whose phrases are summed up apart
+RANGE_WORDS = 1 << 19  # words of the input to a range, at most
 MAX_BITS = 27  # 16 MB of bitmap at most, whatever the number of frequent phrases
 CHUNK = 1 << 16  # phrases in an Arrow batch
 BREAK = 0  # id of the place between two pieces
@@ -373,7 +374,7 @@ def frequent_phrases(
     """Two saved tables: phrases of 1 to `depth` words that occur at least `least` times (`lang, size, phrase, f`), and
     the words of each language (`lang, n`)."""
     rows = plain(docs, lang_col, text_col).select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
-    shards = saved(rows.mapInArrow(lean(_indexed(depth, shard_words, max(OPEN_WORDS, shard_words))), SHARDS))
+    shards = saved(rows.mapInArrow(lean(_indexed(depth, shard_words, max(OPEN_WORDS, shard_words))), SHARDS), large_rows=True)
     totals = saved(shards.groupBy("lang").agg(F.sum("n").alias("n")))
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     pairs = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
@@ -384,8 +385,9 @@ def frequent_phrases(
     for size in range(2, depth + 1):
         known.append(bitmap(found[-1], max_bits))
         likely = sieve(index, known, size, n_words, least, max_bits)
-        # As many ranges as keep what a task sums up small: what the sieve lets through bounds the frequent phrases.
-        ranges = min(max(LEAST_RANGES, int.from_bytes(likely.value).bit_count() >> 15), 1 << RANGE_BITS)
+        # As many ranges as keep what a task sums up small: what the sieve lets through bounds the frequent phrases, and
+        # the words bound what shards send, also once the sieve is full.
+        ranges = min(max(LEAST_RANGES, int.from_bytes(likely.value).bit_count() >> 15, n_words // RANGE_WORDS), 1 << RANGE_BITS)
         counted = index.mapInArrow(lean(_counted(list(known), likely, size, ranges)), "range bigint, lang string, phrases array<string>, counts array<bigint>")
         summed = counted.repartition("range").sortWithinPartitions("range").mapInArrow(lean(_summed(least)), "lang string, phrase string, f bigint")
         found.append(saved(summed.withColumn("size", F.lit(size))))

@@ -30,13 +30,19 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_SHARED
 
 
-def saved(df: DataFrame) -> DataFrame:
+# Parquet looks at sizes after a hundred rows only, and a task then holds all of them, with as much again to compress them;
+# whoever reads them holds a row group. So sizes are looked at after each row, and a row group is a few rows.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(16 << 20)}
+
+
+def saved(df: DataFrame, large_rows: bool = False) -> DataFrame:
     """The rows, written once to the shared folder: lineage ends here and a lost executor costs no more than its task.
 
-    The table stays in the folder until the cluster's own retention clears it, as checkpoints do.
+    `large_rows` is for rows of a megabyte and more. The table stays in the folder until the cluster's own retention clears it,
+    as checkpoints do.
     """
     path = f"{shared_folder(df.sparkSession)}/gatesift-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**LARGE_ROWS if large_rows else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

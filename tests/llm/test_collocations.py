@@ -107,3 +107,31 @@ def test_long_text_and_empty(spark):
     assert {(r["phrase"], r["a"]) for r in rows if r["phrase"].startswith("alpha")} == {("alpha beta gamma alpha", 29_999)}
     assert collocations(documents(spark, [])).count() == 0
     assert collocations(documents(spark, [None, "", " .,\n"])).count() == 0
+
+
+def test_shards_are_written_and_read_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """Rows of megabytes: a task held up to a hundred of them, in one page, before it wrote any."""
+    import random
+    import urllib.parse
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from gatesift.llm import collocations as M
+
+    saved, paths = M.saved, []
+
+    def kept(df, *args, **kwargs):
+        out = saved(df, *args, **kwargs)
+        paths.extend(Path(urllib.parse.urlparse(f).path) for f in out.inputFiles() if "transform" in out.columns)
+        return out
+
+    monkeypatch.setattr(M, "saved", kept)
+    rng = random.Random(3)
+    texts = [" ".join(rng.randbytes(150_000).hex() for _ in range(4)) + " so it goes" for _ in range(48)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id int, lang string, text string").coalesce(1)
+    every, _ = M.frequent_phrases(docs, least=40, shard_words=7)
+    assert {r["phrase"]: r["f"] for r in every.collect()} == {p: 48 for p in ("so", "it", "goes", "so it", "it goes", "so it goes")}
+    groups = [m.row_group(g) for p in paths for m in [pq.ParquetFile(p).metadata] for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 48
+    assert max(g.total_byte_size for g in groups) < 24 << 20
