@@ -94,3 +94,12 @@ def test_slices_hold_every_text_once():
         assert sum((p.to_pylist() for p in parts), []) == texts.to_pylist()
         assert all(len(p) <= rows and (len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= size) for p in parts)
     assert [len(p) for p in B.slices(texts.slice(0, 0), 10, 10)] == [0]
+
+
+def test_detections_of_the_pipeline_need_one_python_worker_per_task(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    frame(spark).write.parquet(path)
+    long = D.explode_detections(Z.sanitize_content(spark.read.parquet(path), "text"), F.col("detections"), ["i"])
+    counts = long.groupBy("type", "severity").agg(F.count("*").alias("n"), F.countDistinct("i").alias("documents"))
+    assert arrow_nodes(counts) == 1
+    assert {r["type"]: r["documents"] for r in counts.collect()}["confusables_fold"] == 1
